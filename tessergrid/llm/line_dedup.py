@@ -23,14 +23,13 @@ doc_id are left as they are and match nothing.
 
 from __future__ import annotations
 
-import gc
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textops import ensure_checkpoint_dir
+from .textops import SharedTables
 
 THRESHOLD = 0.8
 #: Hash slots of the rarity table: its size, whatever the vocabulary.
@@ -42,14 +41,6 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _GAP), "")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A checkpoint; shuffle files that only led to it can then be released."""
-    out = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("id is not null and body is not null").select("id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
 
@@ -86,67 +77,74 @@ def _bounded(pairs: DataFrame, t: float) -> DataFrame:
     return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("b_id", "b_no", "a_id", "a_no")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, t: float, kept: SharedTables) -> DataFrame:
     """The later lines (id, line_no) of pairs whose word sets reach the threshold."""
-    pairs = _stored(pairs)
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_no").alias("no")), F.struct(F.col("b_id").alias("id"), F.col("b_no").alias("no")))).alias("x")).groupBy("x.id").agg(F.collect_set("x.no").alias("nos"))
-    found = docs.join(wanted.withColumnRenamed("id", "wid"), F.col("id") == F.col("wid")).withColumn("parts", F.split("body", "\n")).select("id", F.explode("nos").alias("line_no"), "parts")
-    words = found.select("id", "line_no", F.array_distinct(_words(F.get("parts", F.col("line_no")))).alias("words"))
+    pairs = kept.store(pairs)
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_no").alias("no")), F.struct(F.col("b_id").alias("id"), F.col("b_no").alias("no")))).alias("x")).groupBy(F.col("x.id").alias("wid")).agg(F.collect_set("x.no").alias("nos"))
+    found = docs.join(kept.store(wanted), F.col("id") == F.col("wid")).withColumn("parts", F.split("body", "\n")).select("id", F.explode("nos").alias("line_no"), "parts")
+    words = kept.store(found.select("id", "line_no", F.array_distinct(_words(F.get("parts", F.col("line_no")))).alias("words")).dropDuplicates(["id", "line_no"]))
     first = pairs.join(words.select(F.col("id").alias("b_id"), F.col("line_no").alias("b_no"), F.col("words").alias("b_words")), ["b_id", "b_no"])
     both = first.join(words.select(F.col("id").alias("a_id"), F.col("line_no").alias("a_no"), F.col("words").alias("a_words")), ["a_id", "a_no"])
     shared = F.size(F.array_intersect("a_words", "b_words"))
     total = F.size("a_words") + F.size("b_words")
-    return _stored(both.where(shared * (1 + t) >= total * t - 1e-9).select(F.col("b_id").alias("id"), F.col("b_no").alias("line_no")).distinct())
+    out = kept.store(both.where(shared * (1 + t) >= total * t - 1e-9).select(F.col("b_id").alias("id"), F.col("b_no").alias("line_no")).distinct())
+    kept.drop(words)
+    kept.drop(pairs)
+    return out
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, line_no) of every line that an earlier line matches."""
     t = threshold
-    ensure_checkpoint_dir(docs.sparkSession)
+    kept = SharedTables(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     ranks = F.lit(rarity(base.where("id is not null and body is not null")))
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     rank = lambda h: F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
     token = lambda h: F.shiftleft(rank(h), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
-    lines = (
+    size = F.size("words")
+    lines = kept.store(
         _lines(base)
         .select("id", "line_no", F.sort_array(F.transform(hashes, token)).alias("words"))
-        .where(F.size("words") > 0)
+        .where(size > 0)
         .select(
             "id",
             "line_no",
-            F.size("words").alias("n"),
+            size.alias("n"),
             F.xxhash64("words").alias("h1"),
             F.xxhash64(F.lit(1), "words").alias("h2"),
             F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
-            F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * t - 1e-9).cast("int") + 1).alias("prefix"),
+            F.slice("words", F.lit(1), size - F.ceil(size * t - 1e-9).cast("int") + 1).alias("prefix"),
         )
     )
-    lines = _stored(lines)
-    firsts = _stored(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    copies = lines.select("id", "line_no", "h1", "h2", "n").join(firsts.select("h1", "h2", "n", "at"), ["h1", "h2", "n"]).where(F.struct("id", "line_no") != F.col("at")).select("id", "line_no")
-    # {n words} and the same with one more reach t from n = t / (1 - t) on; smaller sets only match themselves
+    firsts = kept.store(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    copies = kept.store(lines.select("id", "line_no", "h1", "h2", "n").join(firsts.select("h1", "h2", "n", "at"), ["h1", "h2", "n"]).where(F.struct("id", "line_no") != F.col("at")).select("id", "line_no"))
+    kept.drop(lines)
     if t >= 1:
         return copies
+    # {n words} and the same with one more reach t from n = t / (1 - t) on; smaller sets only match themselves
     least = math.floor(t / (1 - t) + 1e-9)
-    kind = F.floor(F.log("n") / F.lit(-1.0) / F.log(F.lit(t)) + 1e-9).cast("int")
+    kind = F.floor(F.log("n") / F.lit(-math.log(t)) + 1e-9).cast("int")
     entries = firsts.where(F.col("n") >= least).select(F.posexplode("prefix").alias("pos", "word"), kind.alias("kind"), F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "bits")
-    group = Window.partitionBy("word", "kind")
+    meeting, group = Window.partitionBy("word"), Window.partitionBy("word", "kind")
     entry = F.struct("id", "line_no", "n", "pos", "bits")
-    headed = entries.select("word", "kind", entry.alias("b")).withColumn("a", F.min("b").over(group))
-    easy = _verified(_bounded(headed.where("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)").where(_may_match("a", "b", t)), t), base, t)
-    hard = entries.join(easy, ["id", "line_no"], "left_anti")
-    probe = hard.select("word", entry.alias("b"), F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)).alias("kind"))
-    index = entries.select("word", "kind", entry.alias("a"))
-    order = F.expr("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)")
-    rest = _verified(_bounded(probe.join(index, ["word", "kind"]).where(order & _may_match("a", "b", t)), t), base, t)
+    # a prefix word of one line only leads nowhere
+    met = kept.store(entries.select("word", "kind", entry.alias("b")).withColumn("many", F.count("*").over(meeting)).where("many > 1").drop("many").withColumn("a", F.min("b").over(group)).drop("kind"))
+    kept.drop(firsts)
+    earlier = F.expr("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)")
+    easy = _verified(_bounded(met.where(earlier & _may_match("a", "b", t)), t), base, t, kept)
+    settled = easy.select(F.struct("id", "line_no").alias("s"))
+    hard = met.select("word", "b").join(settled, F.col("b.id").eqNullSafe(F.col("s.id")) & F.col("b.line_no").eqNullSafe(F.col("s.line_no")), "left_anti")
+    index = met.select("word", F.col("b").alias("a"))
+    rest = _verified(_bounded(hard.join(index, "word").where(earlier & _may_match("a", "b", t)), t), base, t, kept)
+    kept.drop(met)
     return copies.unionByName(easy).unionByName(rest)
 
 
 def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the text of each row less its removed lines; ``counts`` names columns for lines had and removed."""
     gone = removed_lines(docs, doc_id=doc_id, text=text, threshold=threshold).groupBy("id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = _stored(gone.withColumnRenamed("id", "_gone_id"))
+    gone = SharedTables(docs.sparkSession).store(gone.withColumnRenamed("id", "_gone_id"))
     joined = docs.join(gone, docs[doc_id] == F.col("_gone_id"), "left")
     parts = F.split(F.col(text), "\n")
     left = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"])), lambda p: p["x"])

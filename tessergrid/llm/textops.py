@@ -6,6 +6,8 @@ documents is one ``uint8`` array plus offsets and never a list of Python strings
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -157,8 +159,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return have.get()
 
 
+class SharedTables:
+    """Intermediate results as Parquet in the cluster's shared folder: they cut lineage and outlive executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        self.release()
+        out = self.spark.read.parquet(path)
+        out._stored_at = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a stored result that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete shuffle files of plans that are done."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["Words", "append_columns", "ensure_checkpoint_dir", "mix", "ngram_hash", "range_hash", "slices", "spans", "string_bytes", "table"]
+__all__ = ["SharedTables", "Words", "append_columns", "ensure_checkpoint_dir", "mix", "ngram_hash", "range_hash", "slices", "spans", "string_bytes", "table"]
