@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_mix, line_dedup, near_duplicates, tokenize_bpe
+from . import decontaminate, language_mix, line_dedup, near_duplicates, repeats, tokenize_bpe
 from .textops import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE, PATTERN)
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_mix, op4_byte_bpe, op9_line_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_mix, op4_byte_bpe, op7_repeated_bytes, op9_line_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
