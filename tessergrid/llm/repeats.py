@@ -8,11 +8,11 @@ id loses it. Equal strings are brought together without moving every suffix:
    mostly have one minimizer, so a document is cut into segments (runs of string
    starts with one minimizer) that overlap by ``length`` - 1 bytes. Segments go,
    packed and compressed by map batch, to the shard of their minimizer.
-2. In a shard, minimizers of one document only are dropped and equal segments
-   collapse. The suffixes of what is left are sorted by external induced sorting,
-   which also yields common-prefix lengths; string starts whose neighbours share
-   at least ``length`` bytes are equal, and the least document id of such a run
-   decides for all of it.
+2. In a shard, minimizers of one document only are dropped, equal segments
+   collapse, and so fall strings whose hash one document has alone. The suffixes of
+   what is left are sorted by external induced sorting, which also yields
+   common-prefix lengths; string starts whose neighbours share at least ``length``
+   bytes are equal, and the least document id of such a run decides for all of it.
 3. The removed spans meet their documents again in one join by id.
 
 Defined cases: a null or empty text has no bytes and loses none; texts of fewer
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_sort import MEMORY, suffix_buckets
-from .textops import MULT, SharedTables, append_columns, mix, range_hash, slices, spans, string_bytes
+from .textops import BYTE_CODE, MULT, SharedTables, append_columns, mix, slices, spans, string_bytes
 
 LENGTH = 50
 GRAM = 12
 #: Bytes of segments a shard holds, about, and bytes of text a map batch packs at a time.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 PACK_BYTES = 12 << 20
 _SEPARATOR = 255  # no byte of UTF-8
 
@@ -143,9 +143,26 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int
         yield flush()
 
 
-def _collapse(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each segment the number of its content, and for each content a segment that has it."""
-    _, first, number = np.unique(range_hash(text, start, start + size), return_index=True, return_inverse=True)
+def window_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` bytes, by its start."""
+    part, have, out, at = BYTE_CODE[text], 1, None, 0
+    weight = MULT  # to the power of ``have``
+    while True:
+        if length & have:
+            n = len(text) - at - have + 1
+            out = part[at : at + n].copy() if out is None else out[:n] * weight + part[at : at + n]
+            at += have
+        if have * 2 > length:
+            return out
+        m = len(part) - have
+        part = part[:m] * weight + part[have : have + m]
+        weight = np.uint64(int(weight) ** 2 & (1 << 64) - 1)
+        have *= 2
+
+
+def _collapse(text: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the number of its content, and for each content a segment that has it; ``key`` is a hash of the content."""
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
     # equal hashes of unequal bytes would part here
     twin = first[number]
     alike = size == size[twin]
@@ -159,10 +176,15 @@ def _collapse(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
     return number, first
 
 
+def _ramp(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, 1, .. for each count, end to end, and where each begins."""
+    edge = np.cumsum(count) - count
+    return np.arange(int(count.sum())) - np.repeat(edge, count), edge
+
+
 def repeated_spans(ids: np.ndarray, place: np.ndarray, count: np.ndarray, least: np.ndarray, text: np.ndarray, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard's segments: id, first byte and last byte + 1 of what later documents lose."""
     none = (np.zeros(0, np.int64),) * 3
-    start = np.cumsum(count + length - 1) - (count + length - 1)
     order = np.argsort(least, kind="stable")
     edge = np.flatnonzero(np.diff(least[order].astype(np.int64), prepend=-1))
     if not len(edge):
@@ -171,46 +193,74 @@ def repeated_spans(ids: np.ndarray, place: np.ndarray, count: np.ndarray, least:
     own = np.sort(order[np.repeat(several, np.diff(np.append(edge, len(order))))])
     if not len(own):
         return none
-    ids, place, count, start = ids[own], place[own], count[own], start[own]
-    number, first = _collapse(text, start, count + length - 1)
-    lowest = np.full(len(first), np.iinfo(np.int64).max)
+    start = (np.cumsum(count + length - 1) - (count + length - 1))[own]
+    ids, place, count, least = ids[own], place[own], count[own], least[own]
+    text = _gather(text, start, count + length - 1)
+    start = np.cumsum(count + length - 1) - (count + length - 1)
+    hashes = window_hashes(text, length)
+    step, edge = _ramp(count)
+    # a segment's content is known by the hashes of its strings
+    key = mix(np.add.reduceat(mix(hashes[np.repeat(start, count) + step] + step.astype(np.uint64)), edge) + count.astype(np.uint64))
+    number, first = _collapse(text, start, count + length - 1, key)
+    lowest, highest = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
     np.minimum.at(lowest, number, ids)
-    # the distinct segments end to end, each closed by a byte that is in no text
-    size = count[first] + length
-    at = np.cumsum(size) - size
-    joined = np.full(int(size.sum()), _SEPARATOR, np.uint8)
-    inner = np.arange(int((size - 1).sum())) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)
-    joined[inner + np.repeat(at, size - 1)] = _gather(text, start[first], size - 1)
-    begins = np.zeros(len(joined) + 1, np.int8)
-    np.add.at(begins, at, 1)
-    np.add.at(begins, at + count[first], -1)
-    begins = np.cumsum(begins[:-1], dtype=np.int8) > 0
-    winner = np.repeat(lowest, size)
-    for suffix, lcp in suffix_buckets(joined, 256, length, memory):
-        window = np.flatnonzero(begins[suffix])
-        if len(window) < 2:
-            continue
-        # what two string starts share is the least of what lies between them
-        shared = np.minimum.reduceat(lcp[: window[-1] + 1], np.concatenate([[0], window[:-1] + 1]))
-        suffix = suffix[window]
-        run = np.flatnonzero(np.concatenate([[True], shared[1:] < length]))
-        best = np.minimum.reduceat(winner[suffix], run)
-        winner[suffix] = np.repeat(best, np.diff(np.append(run, len(suffix))))
+    np.maximum.at(highest, number, ids)
+    size = count[first]
+    step, edge = _ramp(size)
+    winner = np.repeat(lowest, size)  # for each string of each distinct segment
+    # strings of a minimizer with one content have no partner; neither have those whose hash one document has alone
+    _, kind, members = np.unique(least[first], return_inverse=True, return_counts=True)
+    busy = np.flatnonzero(np.repeat(members[kind] > 1, size))
+    if len(busy):
+        at = np.repeat(start[first], size)[busy] + step[busy]
+        h = hashes[at]
+        order = np.argsort(h, kind="stable")
+        run = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))
+        most = np.repeat(highest, size)[busy]
+        shared = np.minimum.reduceat(winner[busy][order], run) != np.maximum.reduceat(most[order], run)
+        keep = np.zeros(len(busy), bool)
+        keep[order] = np.repeat(shared, np.diff(np.append(run, len(order))))
+        _sort_strings(text, at[keep], busy[keep], winner, length, memory)
     # a later copy of a segment loses all of it
     copy = np.flatnonzero(ids > lowest[number])
     lost = [(ids[copy], place[copy], place[copy] + count[copy] + length - 1)]
     rest = np.flatnonzero(ids == lowest[number])
     if len(rest):
-        c = count[rest]
-        edge = np.cumsum(c) - c
-        spot = np.arange(int(c.sum())) - np.repeat(edge, c)
-        beaten = winner[np.repeat(at[number[rest]], c) + spot] < np.repeat(ids[rest], c)
-        a, b = spans(beaten, edge)
-        which = np.searchsorted(edge, a, side="right") - 1
-        lost.append((ids[rest][which], place[rest][which] + a - edge[which], place[rest][which] + b - edge[which] + length - 1))
+        spot, begin = _ramp(count[rest])
+        beaten = winner[np.repeat(edge[number[rest]], count[rest]) + spot] < np.repeat(ids[rest], count[rest])
+        a, b = spans(beaten, begin)
+        which = np.searchsorted(begin, a, side="right") - 1
+        lost.append((ids[rest][which], place[rest][which] + a - begin[which], place[rest][which] + b - begin[which] + length - 1))
     return tuple(np.concatenate(x) for x in zip(*lost, strict=True))
 
 
+def _sort_strings(text: np.ndarray, at: np.ndarray, number: np.ndarray, winner: np.ndarray, length: int, memory: int) -> None:
+    """Suffix-sort the strings that start at ``at`` and give equal ones the least ``winner`` (by ``number``) among them."""
+    if not len(at):
+        return
+    # neighbouring strings share their bytes; each stretch is closed by a byte that is in no text
+    begin = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+    run = np.diff(np.append(begin, len(at)))
+    size = run + length
+    edge = np.cumsum(size) - size
+    joined = np.full(int(size.sum()), _SEPARATOR, np.uint8)
+    step, _ = _ramp(size - 1)
+    joined[np.repeat(edge, size - 1) + step] = _gather(text, at[begin], size - 1)
+    string = np.full(len(joined), -1, np.int32)
+    step, _ = _ramp(run)
+    string[np.repeat(edge, run) + step] = np.arange(len(at), dtype=np.int32)
+    for suffix, lcp in suffix_buckets(joined, 256, length, memory):
+        which = string[suffix]
+        window = np.flatnonzero(which >= 0)
+        if len(window) < 2:
+            continue
+        # what two strings share is the least of what lies between them
+        shared = np.minimum.reduceat(lcp[: window[-1] + 1], np.concatenate([[0], window[:-1] + 1]))
+        own = number[which[window]]
+        same = np.flatnonzero(np.concatenate([[True], shared[1:] < length]))
+        winner[own] = np.repeat(np.minimum.reduceat(winner[own], same), np.diff(np.append(same, len(own))))
+
+
 def _shard(packed: pa.Table, length: int) -> pa.Table:
     grow = zstandard.ZstdDecompressor().decompress
     ids = np.concatenate([np.frombuffer(grow(x), np.int64) for x in packed.column("ids").to_pylist()])
