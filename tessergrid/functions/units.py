@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT_BYTES = 4000
 _ENDS = ("\n", ". ", "! ", "? ")
@@ -30,7 +31,7 @@ def spans(text: str, most: int = UNIT_BYTES) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def unit_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in spans(t or "")])
 
@@ -54,7 +55,7 @@ def regions(docs: DataFrame, doc_id: str, text: str, size: int = 6000) -> DataFr
 def best_window(text: Column, wanted: list[str], allowance: int) -> Column:
     """Where an excerpt of ``allowance`` characters starts: a quarter of it before the hit that the most distinct terms follow."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def start(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> int:
             low = (t or "").lower()
