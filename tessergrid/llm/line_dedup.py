@@ -34,6 +34,8 @@ from .textops import SharedTables
 THRESHOLD = 0.8
 #: Hash slots of the rarity table: its size, whatever the vocabulary.
 SLOTS = 1 << 20
+#: Parts in which prefix words are joined, one after the other.
+TURNS = 4
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -69,10 +71,14 @@ def _may_match(a: str, b: str, t: float) -> Column:
     return (F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)) & (most >= need) & (differ <= n + m - 2 * need)
 
 
-def _bounded(pairs: DataFrame, t: float) -> DataFrame:
-    """Pairs of lines from their shared prefix words; what is left after the last of them bounds the overlap."""
+def _flat(pairs: DataFrame) -> DataFrame:
+    """One row for each prefix word that two lines share, with what is left of the shorter after it."""
     rest = F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
-    flat = pairs.select(F.col("b.id").alias("b_id"), F.col("b.line_no").alias("b_no"), F.col("a.id").alias("a_id"), F.col("a.line_no").alias("a_no"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"), rest.alias("rest"))
+    return pairs.select(F.col("b.id").alias("b_id"), F.col("b.line_no").alias("b_no"), F.col("a.id").alias("a_id"), F.col("a.line_no").alias("a_no"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"), rest.alias("rest"))
+
+
+def _bounded(flat: DataFrame, t: float) -> DataFrame:
+    """Pairs of lines whose shared prefix words, and what is left after the last of them, can make up the overlap."""
     met = flat.groupBy("b_id", "b_no", "a_id", "a_no", "a_n", "b_n").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
     return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("b_id", "b_no", "a_id", "a_no")
 
@@ -132,12 +138,18 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     met = kept.store(entries.select("word", "kind", entry.alias("b")).withColumn("many", F.count("*").over(meeting)).where("many > 1").drop("many").withColumn("a", F.min("b").over(group)).drop("kind"))
     kept.drop(firsts)
     earlier = F.expr("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)")
-    easy = _verified(_bounded(met.where(earlier & _may_match("a", "b", t)), t), base, t, kept)
+    easy = _verified(_bounded(_flat(met.where(earlier & _may_match("a", "b", t))), t), base, t, kept)
     settled = easy.select(F.struct("id", "line_no").alias("s"))
     hard = met.select("word", "b").join(settled, F.col("b.id").eqNullSafe(F.col("s.id")) & F.col("b.line_no").eqNullSafe(F.col("s.line_no")), "left_anti")
     index = met.select("word", F.col("b").alias("a"))
-    rest = _verified(_bounded(hard.join(index, "word").where(earlier & _may_match("a", "b", t)), t), base, t, kept)
+    # prefix words are taken in turns, so that only a part of both sides is in shuffle files at a time
+    pairs = None
+    for turn in range(TURNS):
+        mine = F.pmod(F.xxhash64("word", F.lit(3)), F.lit(TURNS)) == turn
+        flat = kept.store(_flat(hard.where(mine).join(index.where(mine), "word").where(earlier & _may_match("a", "b", t))))
+        pairs = flat if pairs is None else pairs.unionByName(flat)
     kept.drop(met)
+    rest = _verified(_bounded(pairs, t), base, t, kept)
     return copies.unionByName(easy).unionByName(rest)
 
 
