@@ -43,10 +43,10 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT doc_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM post JOIN df USING (term), sizes GROUP BY doc_id)"""
 
 
-@query("T3 W6", f"WITH {_BM25} SELECT doc_id, round(rank, 6) AS rank FROM bm ORDER BY bm.rank, doc_id LIMIT 20")
+@query("T3 W6", f"WITH {_BM25} SELECT doc_id, round(rank, 6) AS rank FROM bm ORDER BY round(bm.rank, 9), doc_id LIMIT 20")
 def bm25_topk(t: Tables) -> DataFrame:
     found = retrieval.bm25(t.documents, "doc_id", "text", QUERY_TERMS, unicode=False)
-    return found.orderBy("rank", "doc_id").limit(20).select("doc_id", F.round("rank", 6).alias("rank"))
+    return found.orderBy(F.round("rank", 9), "doc_id").limit(20).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query("T4", f"""
@@ -54,12 +54,12 @@ WITH h AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), w
 s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(left(text, 80)), '[a-z]+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT term, ln(1 + any_value(n) / (1 + count(*))) AS w FROM w, n GROUP BY term)
 SELECT w.doc_id, round(sum(df.w), 6) AS specificity, count(*) AS body_terms, count(s.term) AS title_terms FROM w JOIN df USING (term) LEFT JOIN s ON s.doc_id = w.doc_id AND s.term = w.term
-GROUP BY w.doc_id ORDER BY sum(df.w) DESC, count(*) DESC, count(s.term) DESC, w.doc_id LIMIT 30""")
+GROUP BY w.doc_id ORDER BY round(sum(df.w), 6) DESC, count(*) DESC, count(s.term) DESC, w.doc_id LIMIT 30""")
 def posting_search(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", F.left("text", F.lit(80)).alias("title"))
     found = retrieval.field_search(docs, "doc_id", {"body": "text", "title": "title"}, QUERY_TERMS, unicode=False)
-    top = found.orderBy(F.desc("specificity"), F.desc("body_terms"), F.desc("title_terms"), "doc_id").limit(30)
-    return top.select("doc_id", F.round("specificity", 6).alias("specificity"), "body_terms", "title_terms")
+    top = found.withColumn("specificity", F.round("specificity", 6)).orderBy(F.desc("specificity"), F.desc("body_terms"), F.desc("title_terms"), "doc_id").limit(30)
+    return top.select("doc_id", "specificity", "body_terms", "title_terms")
 
 
 @query("T5", "SELECT form, list_sort(list(word)) AS words FROM (VALUES " + ", ".join(f"('{f}', '{w}')" for f, ws in T.WORD_FORMS.items() for w in ws.split() if f in ("robot", "analysis")) + ") v(form, word) GROUP BY form")
@@ -104,9 +104,9 @@ def cosine_topk(t: Tables) -> DataFrame:
 
 
 _RRF = f"""
-WITH {_BM25}, {_COS}, lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY rank, doc_id) AS r FROM bm QUALIFY r <= 1000),
+WITH {_BM25}, {_COS}, lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(rank, 9), doc_id) AS r FROM bm QUALIFY r <= 1000),
 sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id DESC) AS r FROM cos QUALIFY r <= 1000)
-SELECT id, round(sum(1.0 / (60 + r)), 8) AS rrf, list_sort(list(channel)) AS channels FROM (SELECT *, 'lexical' AS channel FROM lex UNION ALL SELECT *, 'semantic' FROM sem) GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 10"""
+SELECT id, round(sum(1.0 / (60 + r)), 8) AS rrf, list_sort(list(channel)) AS channels FROM (SELECT *, 'lexical' AS channel FROM lex UNION ALL SELECT *, 'semantic' FROM sem) GROUP BY id ORDER BY round(sum(1.0 / (60 + r)), 8) DESC, id LIMIT 10"""
 
 
 @query("T10", _RRF)
@@ -114,8 +114,8 @@ def rrf_fusion(t: Tables) -> DataFrame:
     """Hybrid search: BM25 and cosine, each to 1,000 candidates, fused by reciprocal rank."""
     lexical = retrieval.bm25(t.documents, "doc_id", "text", QUERY_TERMS, unicode=False).withColumnRenamed("doc_id", "id")
     semantic = retrieval.cosine(t.embeddings, "vec_id", "embedding", _query_vector(t)).withColumnRenamed("key", "id")
-    fused = retrieval.fuse(("lexical", lexical, [F.col("rank"), F.col("id")]), ("semantic", semantic, [F.desc("score"), F.desc("id")]))
-    return fused.orderBy(F.desc("rrf"), "id").limit(10).select("id", F.round("rrf", 8).alias("rrf"), "channels")
+    fused = retrieval.fuse(("lexical", lexical, [F.round("rank", 9), F.col("id")]), ("semantic", semantic, [F.desc("score"), F.desc("id")]))
+    return fused.orderBy(F.round("rrf", 8).desc(), "id").limit(10).select("id", F.round("rrf", 8).alias("rrf"), "channels")
 
 
 @query("T14 J19", """
@@ -477,10 +477,10 @@ def byte_batches(t: Tables) -> DataFrame:
 
 
 @query("P1 P2", f"""
-WITH {_BM25}, lex AS (SELECT doc_id FROM bm ORDER BY rank, doc_id LIMIT 1000), m AS (SELECT doc_id, lang, n_chars, len(list_intersect(list_distinct({_TOKENS}), ['thre', 'than', 'erst', 'ther'])) AS found FROM documents WHERE doc_id IN (SELECT doc_id FROM lex))
+WITH {_BM25}, lex AS (SELECT doc_id FROM bm ORDER BY round(rank, 9), doc_id LIMIT 1000), m AS (SELECT doc_id, lang, n_chars, len(list_intersect(list_distinct({_TOKENS}), ['thre', 'than', 'erst', 'ther'])) AS found FROM documents WHERE doc_id IN (SELECT doc_id FROM lex))
 SELECT lang, doc_id, rank, CASE WHEN rank = 1 AND found = 4 THEN 'must-have' ELSE 'supplemental' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY -found, -n_chars, doc_id) AS rank FROM m) WHERE rank <= 3""")
 def education_plan(t: Tables) -> DataFrame:
-    found = retrieval.bm25(t.documents, "doc_id", "text", QUERY_TERMS, unicode=False).orderBy("rank", "doc_id").limit(1000)
+    found = retrieval.bm25(t.documents, "doc_id", "text", QUERY_TERMS, unicode=False).orderBy(F.round("rank", 9), "doc_id").limit(1000)
     wanted = F.array(*[F.lit(w) for w in QUERY_TERMS])
     rows = t.documents.join(found.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "n_chars", F.size(F.array_intersect(T.tokens(F.col("text"), unicode=False), wanted)).alias("found"))
     top = ranking.top_per(rows, ["lang"], [-F.col("found"), -F.col("n_chars"), F.col("doc_id")], 3)
