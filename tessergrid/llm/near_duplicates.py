@@ -196,7 +196,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], over: Fraction) -> Iterator[pa.Rec
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node of each component, for every node of ``edges`` (u, v).
+    """(node, root): the smallest node of its component for every node of ``edges`` (u, v) but those smallest ones.
 
     Each round is two aggregations and two joins on distributed data, checkpointed.
     """
