@@ -298,7 +298,7 @@ def repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of each text (which may end inside a character)."""
-    found = SharedTables(docs.sparkSession).store(repeated_bytes(docs, doc_id=doc_id, text=text, **options))
+    found = SharedTables(docs.sparkSession).store(repeated_bytes(docs, doc_id=doc_id, text=text, **options), large=True)
     found = found.withColumnsRenamed({"span_id": "_span_id", "spans": "_spans"})
     joined = docs.join(found, docs[doc_id] == F.col("_span_id"), "left").withColumn("_row", F.struct(F.col(text).alias("t"), F.col("_spans").alias("s"))).drop("_span_id", "_spans")
 

@@ -7,6 +7,7 @@ documents is one ``uint8`` array plus offsets and never a list of Python strings
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -167,11 +168,14 @@ class SharedTables:
         self.folder = f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.made = 0
 
-    def store(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame, large: bool = False) -> DataFrame:
+        """``df``, written and read again; ``large`` says that its plan shuffled much, which is then let go."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
         df.write.parquet(path)
-        self.release()
+        if large:
+            del df
+            self.release()
         out = self.spark.read.parquet(path)
         out._stored_at = path
         return out
@@ -182,9 +186,14 @@ class SharedTables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark delete shuffle files of plans that are done."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark delete shuffle files of plans that are done: it does so once the driver's garbage is collected.
+
+        Listeners hold the last plan for a moment, so the second round is the one that finds it free.
+        """
+        for _ in range(2):
+            time.sleep(0.3)
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
