@@ -13,7 +13,7 @@ result does not depend on any processing order.
    Lines meet on (prefix word, length class), under length, positional and
    bitmap filters, each of which only drops pairs that cannot reach t.
 4. First every line meets the first line of each of its groups (linear in the
-   group); only lines not settled by that meet all earlier lines of the group.
+   group); pairs whose later line that settles are not looked at again.
 5. Surviving pairs are verified on the words themselves.
 
 Defined cases: a null text stays null, an empty one empty; lines without a word
@@ -56,6 +56,12 @@ def rarity(docs: DataFrame) -> bytes:
     return every.agg(F.array_join(F.transform(listed, lambda x: F.char(x["rank"] + 1)), "").alias("ranks")).first()[0].encode("ascii")
 
 
+def _parity(words: Column) -> Column:
+    """64 bits, each the parity of the number of words that fall on it; sets that differ in d words differ in d bits at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(bit(w)))
+
+
 def _least_shared(a: Column, b: Column, t: float) -> Column:
     """Words two sets of these sizes must share."""
     return F.ceil((a + b) * F.lit(t / (1 + t)) - 1e-9)
@@ -67,7 +73,7 @@ def _may_match(a: str, b: str, t: float) -> Column:
     p, q = F.col(f"{a}.pos"), F.col(f"{b}.pos")
     need = _least_shared(n, m, t)
     most = F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1)
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    differ = F.bit_count(F.col(f"{a}.even").bitwiseXOR(F.col(f"{b}.even"))) + F.bit_count(F.col(f"{a}.odd").bitwiseXOR(F.col(f"{b}.odd")))
     return (F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)) & (most >= need) & (differ <= n + m - 2 * need)
 
 
@@ -88,7 +94,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, t: float, kept: SharedTables) -
     pairs = kept.store(pairs)
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_no").alias("no")), F.struct(F.col("b_id").alias("id"), F.col("b_no").alias("no")))).alias("x")).groupBy(F.col("x.id").alias("wid")).agg(F.collect_set("x.no").alias("nos"))
     found = docs.join(kept.store(wanted), F.col("id") == F.col("wid")).withColumn("parts", F.split("body", "\n")).select("id", F.explode("nos").alias("line_no"), "parts")
-    words = kept.store(found.select("id", "line_no", F.array_distinct(_words(F.get("parts", F.col("line_no")))).alias("words")).dropDuplicates(["id", "line_no"]))
+    words = kept.store(found.select("id", "line_no", F.array_distinct(_words(F.get("parts", F.col("line_no")))).alias("words")).dropDuplicates(["id", "line_no"]), large=True)
     first = pairs.join(words.select(F.col("id").alias("b_id"), F.col("line_no").alias("b_no"), F.col("words").alias("b_words")), ["b_id", "b_no"])
     both = first.join(words.select(F.col("id").alias("a_id"), F.col("line_no").alias("a_no"), F.col("words").alias("a_words")), ["a_id", "a_no"])
     shared = F.size(F.array_intersect("a_words", "b_words"))
@@ -119,11 +125,12 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             size.alias("n"),
             F.xxhash64("words").alias("h1"),
             F.xxhash64(F.lit(1), "words").alias("h2"),
-            F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+            _parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) == 0)).alias("even"),
+            _parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) != 0)).alias("odd"),
             F.slice("words", F.lit(1), size - F.ceil(size * t - 1e-9).cast("int") + 1).alias("prefix"),
         )
     )
-    firsts = kept.store(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    firsts = kept.store(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), large=True)
     copies = kept.store(lines.select("id", "line_no", "h1", "h2", "n").join(firsts.select("h1", "h2", "n", "at"), ["h1", "h2", "n"]).where(F.struct("id", "line_no") != F.col("at")).select("id", "line_no"))
     kept.drop(lines)
     if t >= 1:
@@ -131,25 +138,32 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # {n words} and the same with one more reach t from n = t / (1 - t) on; smaller sets only match themselves
     least = math.floor(t / (1 - t) + 1e-9)
     kind = F.floor(F.log("n") / F.lit(-math.log(t)) + 1e-9).cast("int")
-    entries = firsts.where(F.col("n") >= least).select(F.posexplode("prefix").alias("pos", "word"), kind.alias("kind"), F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "bits")
+    entries = firsts.where(F.col("n") >= least).select(F.posexplode("prefix").alias("pos", "word"), kind.alias("kind"), F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "even", "odd")
     meeting, group = Window.partitionBy("word"), Window.partitionBy("word", "kind")
-    entry = F.struct("id", "line_no", "n", "pos", "bits")
+    entry = F.struct("id", "line_no", "n", "pos", "even", "odd")
     # a prefix word of one line only leads nowhere
-    met = kept.store(entries.select("word", "kind", entry.alias("b")).withColumn("many", F.count("*").over(meeting)).where("many > 1").drop("many").withColumn("a", F.min("b").over(group)).drop("kind"))
+    met = kept.store(entries.select("word", "kind", entry.alias("b")).withColumn("many", F.count("*").over(meeting)).where("many > 1").drop("many").withColumn("a", F.min("b").over(group)).drop("kind"), large=True)
     kept.drop(firsts)
     earlier = F.expr("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)")
     easy = _verified(_bounded(_flat(met.where(earlier & _may_match("a", "b", t))), t), base, t, kept)
+    # of two lines the shorter is found by its first |x| - ceil(2t / (1 + t) |x|) + 1 words
     settled = easy.select(F.struct("id", "line_no").alias("s"))
-    hard = met.select("word", "b").join(settled, F.col("b.id").eqNullSafe(F.col("s.id")) & F.col("b.line_no").eqNullSafe(F.col("s.line_no")), "left_anti")
-    index = met.select("word", F.col("b").alias("a"))
+    marked = met.select("word", F.col("b").alias("x")).join(settled, (F.col("x.id") == F.col("s.id")) & (F.col("x.line_no") == F.col("s.line_no")), "left").select("word", "x", F.col("s").isNull().alias("open"))
+    short = F.col("x.pos") < F.col("x.n") - F.ceil(F.col("x.n") * (2 * t / (1 + t)) - 1e-9) + 1
+    first = F.expr("x.id < y.id or (x.id = y.id and x.line_no < y.line_no)")
+    ordered = F.expr("x.n < y.n") | (F.expr("x.n = y.n") & first)
+    wanted = F.when(first, F.col("y_open")).otherwise(F.col("x_open"))
     # prefix words are taken in turns, so that only a part of both sides is in shuffle files at a time
-    pairs = None
+    flat = None
     for turn in range(TURNS):
-        mine = F.pmod(F.xxhash64("word", F.lit(3)), F.lit(TURNS)) == turn
-        flat = kept.store(_flat(hard.where(mine).join(index.where(mine), "word").where(earlier & _may_match("a", "b", t))))
-        pairs = flat if pairs is None else pairs.unionByName(flat)
+        mine = marked.where(F.pmod(F.xxhash64("word", F.lit(3)), F.lit(TURNS)) == turn)
+        index = mine.where(short).withColumnRenamed("open", "x_open")
+        probe = mine.select("word", F.col("x").alias("y"), F.col("open").alias("y_open"))
+        pairs = index.join(probe, "word").where(ordered & wanted & _may_match("x", "y", t))
+        part = kept.store(_flat(pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))), large=True)
+        flat = part if flat is None else flat.unionByName(part)
     kept.drop(met)
-    rest = _verified(_bounded(pairs, t), base, t, kept)
+    rest = _verified(_bounded(flat, t), base, t, kept)
     return copies.unionByName(easy).unionByName(rest)
 
 
