@@ -227,7 +227,14 @@ def main_text(html: str | None, template: Callable[[int], bool] | None = None) -
 
 def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree): subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host."""
-    return _recurring(_occurrences(pages.select(F.col(url).alias("url"), F.col(html).alias("html"))), min_pages, min_share)
+    found = _occurrences(pages.select(F.col(url).alias("url"), F.col(html).alias("html")))
+    # the number of pages of a host is the count of the marker null, so one shuffle counts both;
+    # the counts are stored, since both filters on them would otherwise parse all pages
+    marked = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree"))
+    counts = SharedTables(pages.sparkSession).store(marked.groupBy("host", "subtree").agg(F.count("*").alias("n")))
+    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= min_pages))
+    hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    return often.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
@@ -239,15 +246,6 @@ def _occurrences(pages: DataFrame) -> DataFrame:
     return append_columns(pages.select(*others, F.struct("url", "html").alias("page")), "page", run, "host string, subtrees array<bigint>").drop("page")
 
 
-def _recurring(found: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    # the number of pages of a host is the count of the marker null, so one shuffle counts both
-    marked = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree"))
-    counts = marked.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= min_pages))
-    hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    return often.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
-
-
 def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages``."""
     kept = SharedTables(pages.sparkSession)
