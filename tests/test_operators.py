@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessergrid.functions import identity, isbn, markup, units, vectors
 from tessergrid.functions import text as T
 from tessergrid.operators import aggregates, classify, filters, incremental, joins, knn, ranking
-from tessergrid.plans import retrieval
+from tessergrid.plans import brief, retrieval
 from tessergrid.streaming import jobs
 
 
@@ -142,3 +142,21 @@ def test_windows_as_stream(spark, tmp_path):
     assert sorted(r.n for r in spark.table("minutes").collect()) == [1, 2]
     lease = events.withColumns({"state": F.lit("running"), "lease_until": F.col("ts")})
     assert {r.state for r in jobs.expire_leases(lease, "2024-01-01 00:01:00").collect()} == {"running", "review-needed"}
+
+
+def test_brief():
+    got = brief.extract_intent("Must calibrate robot sensors, optional machine vision, not drones; already knows linear algebra. Compare archives within MIT", {"MIT": "mit"})
+    assert [(c["description"], c["priority"]) for c in got["capabilities"]] == [("calibrate robot sensors", "essential"), ("machine vision", "supplemental"), ("Compare archives", "essential")]
+    assert got["exclude"] == ["drones"] and got["existing_knowledge"] == ["linear algebra"] and got["institutions"] == ["mit"]
+    brief.validate_brief(got, 3)
+    for wrong, n in (({}, 3), (got, 0), (got, True), (got | {"exclude": [""]}, 3)):
+        with pytest.raises(ValueError):
+            brief.validate_brief(wrong, n)
+
+
+def test_bounded_answers():
+    rows = [{"id": i, "text": "é" * 3000} for i in range(4)]
+    kept, out = brief.bounded(rows, 3000)
+    assert out == 0 and len(kept) == 4 and all(len(r["text"]) <= 750 for r in kept)
+    kept, out = brief.bounded(rows, 900)
+    assert len(kept) + out == 4 and out > 0 and rows[0]["text"] == "é" * 3000
