@@ -185,7 +185,7 @@ def _ramp(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(ids: np.ndarray, place: np.ndarray, count: np.ndarray, least: np.ndarray, text: np.ndarray, length: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard's segments: id, first byte and last byte + 1 of what later documents lose."""
     none = (np.zeros(0, np.int64),) * 3
-    order = np.argsort(least, kind="stable")
+    order = np.argsort(least)
     edge = np.flatnonzero(np.diff(least[order].astype(np.int64), prepend=-1))
     if not len(edge):
         return none
@@ -214,7 +214,7 @@ def repeated_spans(ids: np.ndarray, place: np.ndarray, count: np.ndarray, least:
     if len(busy):
         at = np.repeat(start[first], size)[busy] + step[busy]
         h = hashes[at]
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         run = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))
         most = np.repeat(highest, size)[busy]
         shared = np.minimum.reduceat(winner[busy][order], run) != np.maximum.reduceat(most[order], run)

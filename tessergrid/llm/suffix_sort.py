@@ -99,7 +99,7 @@ class _Sweep:
 
     def seam(self, at: int) -> int:
         """What the next suffix to be swept shares with the last one."""
-        return 0 if self.last is None else common_prefix(self.text, self.last, at, self.cap)
+        return 0 if self.last is None or self.cap == 0 else common_prefix(self.text, self.last, at, self.cap)
 
     def run(self, at: np.ndarray, lcp: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Sweep suffixes in order; push those in front of them and return those that begin with ``own`` again."""
@@ -109,13 +109,21 @@ class _Sweep:
         fits = self.up[front] == self.want
         source, front = source[fits], front[fits]
         same = np.zeros(0, at.dtype), np.zeros(0, np.uint8)
-        overall = lcp.min()
         first = self.text[front]
         order = np.argsort(first, kind="stable")
-        keys, start = np.unique(first[order], return_index=True)
-        bounds = np.append(start, len(order))
+        ranked = first[order]
+        start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+        keys, bounds = ranked[start], np.append(start, len(order))
+        if self.cap == 0:
+            for k, key in enumerate(keys.tolist()):
+                at = front[order[bounds[k] : bounds[k + 1]]]
+                if key == own:
+                    same = at, np.zeros(len(at), np.uint8)
+                else:
+                    self.queue.push(key, at, np.zeros(len(at), np.uint8))
+            return same
         before = self.least.copy()
-        np.minimum(self.least, overall, out=self.least)
+        np.minimum(self.least, lcp.min(), out=self.least)
         for k, key in enumerate(keys.tolist()):
             mine = order[bounds[k] : bounds[k + 1]]
             rank = source[mine]
@@ -158,8 +166,7 @@ def _induce(text: np.ndarray, up: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarr
     lms_cut = np.searchsorted(text[lms], np.arange(keys + 1)) if len(lms) else np.zeros(keys + 1, np.int64)
     forward = _Sweep(text, up, False, keys, cap, memory, kind)
     falling = DiskQueue(keys, kind, memory)
-    end = np.array([len(text) - 1], kind)
-    forward.queue.push(int(text[-1]), end, np.zeros(1, np.uint8))
+    forward.queue.push(int(text[-1]), np.array([len(text) - 1], kind), np.zeros(1, np.uint8))
     backward = _Sweep(text, up, True, keys, cap, memory, kind)
     try:
         for key in range(keys):
@@ -213,7 +220,7 @@ def _names(text: np.ndarray, up: np.ndarray, lms: np.ndarray, keys: int, memory:
     by_first = lms[np.argsort(text[lms], kind="stable")]
     is_lms = np.zeros(len(text) + 1, bool)
     is_lms[lms] = True
-    parts = [at[is_lms[at]] for at, _ in _induce(text, up, by_first, np.zeros(len(lms), np.uint8), keys, 1, memory)]
+    parts = [at[is_lms[at]] for at, _ in _induce(text, up, by_first, np.zeros(len(lms), np.uint8), keys, 0, memory)]
     order = np.concatenate(parts[::-1])
     size = np.empty(len(text), lms.dtype)
     size[lms] = np.diff(np.append(lms, len(text))) + 1
@@ -237,12 +244,12 @@ def _double(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of ``names``, right to ``depth`` items, by prefix doubling."""
     n, reach = len(names), 1
     rank = names.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while reach < depth:
         after = np.zeros(n, np.int64)
         after[: max(n - reach, 0)] = rank[reach:]
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
         reach *= 2
