@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import MULT, Words, append_columns, ensure_checkpoint_dir, mix, ngram_hash, slices, string_bytes
+from .textops import MULT, SharedTables, Words, append_columns, ensure_checkpoint_dir, mix, ngram_hash, slices, string_bytes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members in a block; a tile holds two.
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     n_text_links (other n-gram sets at or over it)."""
     bands, rows = choose_bands(threshold, recall)
     over = Fraction(str(threshold))
-    ensure_checkpoint_dir(docs.sparkSession)
+    kept = SharedTables(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     sketch = append_columns(base, "body", lambda c: _sketch(c, n, bands, rows), "n int, h1 bigint, h2 bigint, bands array<bigint>").drop("body").checkpoint()
     known = sketch.where("id is not null and n > 0")
@@ -236,9 +236,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     linked = linked.checkpoint()
     pairs = linked.select("*", F.explode("pivots").alias("pivot"))
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).checkpoint()
-    texts = base.where("id is not null")
-    members = linked.join(texts, linked.member == texts.id).select("member", "weight", "pivots", F.col("body").alias("member_text"), F.explode("pivots").alias("pivot"))
-    roots = sizes.join(texts, sizes.pivot == texts.id).select("pivot", "blocks", F.col("body").alias("pivot_text")).checkpoint()
+    # the texts of linked documents, pivots among them, are fetched once
+    held = kept.store(linked.join(base.where("id is not null"), F.col("member") == F.col("id")).select("member", "weight", "pivots", "body"), large=True)
+    members = held.select("member", "weight", "pivots", F.col("body").alias("member_text"), F.explode("pivots").alias("pivot"))
+    roots = held.select(F.col("member").alias("pivot"), F.col("body").alias("pivot_text")).join(sizes, "pivot")
     compared = members.join(roots, "pivot").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumns({"left": F.lit(0), "right": F.col("blocks")})
     fields = "member bigint, weight bigint, pivots array<bigint>, pivot bigint, left int, right int, block int, n_pivot int, n_minus int, n_own int, difference binary"
     compared = compared.select("member", "weight", "pivots", "pivot", "left", "right", "block", "member_text", "pivot_text")
