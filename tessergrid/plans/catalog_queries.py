@@ -426,7 +426,7 @@ def per_requirement_topk(t: Tables) -> DataFrame:
     segment = F.col("c_mktsegment")
     order = [segment != "BUILDING", segment == "MACHINERY", -F.col("urgent"), -F.col("orders"), -F.col("spent"), F.col("c_acctbal") < 0, segment != "AUTOMOBILE", -F.col("c_acctbal"), F.col("orders") == 0, F.col("c_custkey")]
     top = ranking.top_per(rows, ["c_nationkey"], order, 3)
-    return top.select("c_nationkey", "c_custkey", "rank", F.when((F.col("rank") == 1) & (F.col("c_acctbal") > 5000), "must-have").otherwise("supplemental").alias("tier"))
+    return top.select("c_nationkey", "c_custkey", F.col("rank").cast("bigint").alias("rank"), F.when((F.col("rank") == 1) & (F.col("c_acctbal") > 5000), "must-have").otherwise("supplemental").alias("tier"))
 
 
 @query("W2", """
@@ -443,7 +443,7 @@ def rerank_bands(t: Tables) -> DataFrame:
     overlap = rows.withColumn("bad", (gap > 0) & (gap <= 2))
     judged = overlap.withColumns({"n": F.count("*").over(group), "banded": F.count("p_size").over(group), "any_bad": F.coalesce(F.bool_or("bad").over(group), F.lit(False))})
     key = F.when((F.col("n") >= 2) & (F.col("n") == F.col("banded")) & ~F.col("any_bad"), F.col("p_size"))
-    return judged.select("p_partkey", F.row_number().over(group.orderBy(key.asc_nulls_last(), "p_partkey")).alias("place"))
+    return judged.select("p_partkey", F.row_number().over(group.orderBy(key.asc_nulls_last(), "p_partkey")).cast("bigint").alias("place"))
 
 
 @query("W3", "SELECT c_custkey, list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'P')) AS strengths FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -469,7 +469,7 @@ def heap_topk(t: Tables) -> DataFrame:
 @query("W7", "SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(p_type), p_type) AS place FROM part GROUP BY p_type")
 def group_ordering(t: Tables) -> DataFrame:
     counted = t.part.groupBy("p_type").agg(F.count("*").alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.lower("p_type"), "p_type")))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.lower("p_type"), "p_type")).cast("bigint"))
 
 
 @query("W8", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")
@@ -483,7 +483,7 @@ WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, so
 s AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY lang, source) AS turn FROM (SELECT DISTINCT lang, source FROM documents))
 SELECT doc_id, round FROM r JOIN s USING (lang, source) ORDER BY round, turn, lang, source LIMIT 60""")
 def stratified_sample(t: Tables) -> DataFrame:
-    return ranking.stratified_sample(t.documents.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", "seed7", 60, "lang").select("doc_id", "round")
+    return ranking.stratified_sample(t.documents.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", "seed7", 60, "lang").select("doc_id", F.col("round").cast("bigint").alias("round"))
 
 
 @query("W10", "SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 1000) AS section_end FROM conversations")
@@ -549,7 +549,7 @@ def scope_import(t: Tables) -> DataFrame:
 
 @query("M4 P4", "SELECT user_id, event_id, row_number() OVER w AS version, CASE WHEN lead(event_id) OVER w IS NULL THEN 'current' ELSE 'stale' END AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def review_history(t: Tables) -> DataFrame:
-    return incremental.history(t.events.select("user_id", "event_id", "ts"), "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "version", "state")
+    return incremental.history(t.events.select("user_id", "event_id", "ts"), "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", F.col("version").cast("bigint").alias("version"), "state")
 
 
 @query("M5", "SELECT DISTINCT sha256(c_mktsegment) AS segment_id, c_mktsegment AS label FROM customer")

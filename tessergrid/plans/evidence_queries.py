@@ -287,7 +287,7 @@ SELECT key, arg_min(name, source) AS name, max(length(name)) AS longest, list_so
 def source_merge_first_nonnull(t: Tables) -> DataFrame:
     a = t.supplier.select(F.md5(F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("name"), F.lit("a").alias("source"))
     b = t.customer.select(F.md5(F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("name"), F.lit("b").alias("source"))
-    return a.unionByName(b).groupBy("key").agg(F.min_by("name", "source").alias("name"), F.max(F.length("name")).alias("longest"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return a.unionByName(b).groupBy("key").agg(F.min_by("name", "source").alias("name"), F.max(F.length("name")).cast("bigint").alias("longest"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 @query("E14", "SELECT DISTINCT md5((o_custkey % 50)::VARCHAR) AS md5 FROM orders WHERE o_custkey % 2 = 0")
@@ -484,7 +484,7 @@ def education_plan(t: Tables) -> DataFrame:
     wanted = F.array(*[F.lit(w) for w in QUERY_TERMS])
     rows = t.documents.join(found.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "n_chars", F.size(F.array_intersect(T.tokens(F.col("text"), unicode=False), wanted)).alias("found"))
     top = ranking.top_per(rows, ["lang"], [-F.col("found"), -F.col("n_chars"), F.col("doc_id")], 3)
-    return top.select("lang", "doc_id", "rank", F.when((F.col("rank") == 1) & (F.col("found") == 4), "must-have").otherwise("supplemental").alias("tier"))
+    return top.select("lang", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.when((F.col("rank") == 1) & (F.col("found") == 4), "must-have").otherwise("supplemental").alias("tier"))
 
 
 @query("P3", """
@@ -493,7 +493,7 @@ f AS (SELECT o_custkey, turn, req FROM r QUALIFY row_number() OVER (PARTITION BY
 SELECT o_custkey, turn, req FROM f ORDER BY turn, req LIMIT 100""")
 def round_robin(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderpriority").alias("req"), "o_custkey", "o_totalprice", "o_orderkey")
-    return ranking.interleave(rows, "req", F.col("req"), [F.desc("o_totalprice"), F.col("o_orderkey")], "o_custkey", 100).select("o_custkey", "turn", "req")
+    return ranking.interleave(rows, "req", F.col("req"), [F.desc("o_totalprice"), F.col("o_orderkey")], "o_custkey", 100).select("o_custkey", F.col("turn").cast("bigint").alias("turn"), "req")
 
 
 @query("P4 P10", "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS decision FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey")
