@@ -12,8 +12,9 @@ result does not depend on any processing order.
 3. The first |x| - ceil(t |x|) + 1 words of each distinct line are its prefix.
    Lines meet on (prefix word, length class), under length, positional and
    bitmap filters, each of which only drops pairs that cannot reach t.
-4. First every line meets the first line of each of its groups (linear in the
-   group); pairs whose later line that settles are not looked at again.
+4. First every line meets two lines of each of its groups, the earliest and the one
+   with most copies, and the two best of those are verified (linear in the group);
+   pairs whose later line that settles are not looked at again.
 5. Surviving pairs are verified on the words themselves.
 
 Defined cases: a null text stays null, an empty one empty; lines without a word
@@ -86,12 +87,12 @@ def _flat(pairs: DataFrame) -> DataFrame:
 def _bounded(flat: DataFrame, t: float) -> DataFrame:
     """Pairs of lines whose shared prefix words, and what is left after the last of them, can make up the overlap."""
     met = flat.groupBy("b_id", "b_no", "a_id", "a_no", "a_n", "b_n").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
-    return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("b_id", "b_no", "a_id", "a_no")
+    return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("b_id", "b_no", "a_id", "a_no", "k")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, t: float, kept: SharedTables) -> DataFrame:
     """The later lines (id, line_no) of pairs whose word sets reach the threshold."""
-    pairs = kept.store(pairs)
+    pairs = kept.store(pairs.select("b_id", "b_no", "a_id", "a_no"))
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_no").alias("no")), F.struct(F.col("b_id").alias("id"), F.col("b_no").alias("no")))).alias("x")).groupBy(F.col("x.id").alias("wid")).agg(F.collect_set("x.no").alias("nos"))
     found = docs.join(kept.store(wanted), F.col("id") == F.col("wid")).withColumn("parts", F.split("body", "\n")).select("id", F.explode("nos").alias("line_no"), "parts")
     words = kept.store(found.select("id", "line_no", F.array_distinct(_words(F.get("parts", F.col("line_no")))).alias("words")).dropDuplicates(["id", "line_no"]), large=True)
@@ -130,7 +131,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             F.slice("words", F.lit(1), size - F.ceil(size * t - 1e-9).cast("int") + 1).alias("prefix"),
         )
     )
-    firsts = kept.store(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), large=True)
+    firsts = kept.store(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("copies"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), large=True)
     copies = kept.store(lines.select("id", "line_no", "h1", "h2", "n").join(firsts.select("h1", "h2", "n", "at"), ["h1", "h2", "n"]).where(F.struct("id", "line_no") != F.col("at")).select("id", "line_no"))
     kept.drop(lines)
     if t >= 1:
@@ -138,17 +139,23 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # {n words} and the same with one more reach t from n = t / (1 - t) on; smaller sets only match themselves
     least = math.floor(t / (1 - t) + 1e-9)
     kind = F.floor(F.log("n") / F.lit(-math.log(t)) + 1e-9).cast("int")
-    entries = firsts.where(F.col("n") >= least).select(F.posexplode("prefix").alias("pos", "word"), kind.alias("kind"), F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "even", "odd")
-    meeting, group = Window.partitionBy("word"), Window.partitionBy("word", "kind")
-    entry = F.struct("id", "line_no", "n", "pos", "even", "odd")
-    # a prefix word of one line only leads nowhere
-    met = kept.store(entries.select("word", "kind", entry.alias("b")).withColumn("many", F.count("*").over(meeting)).where("many > 1").drop("many").withColumn("a", F.min("b").over(group)).drop("kind"), large=True)
-    kept.drop(firsts)
+    line = F.struct(F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "pos", "even", "odd")
+    entries = firsts.where(F.col("n") >= least).select("n", "at", "copies", "even", "odd", F.posexplode("prefix").alias("pos", "word")).select("word", kind.alias("kind"), "copies", line.alias("b"))
+    # of each group two lines are tried first: the earliest, and the one with most copies
+    group = Window.partitionBy("word", "kind")
+    often = F.struct("copies", (-F.col("b.id")).alias("id"), (-F.col("b.line_no")).alias("no"), "b")
+    headed = entries.withColumn("many", F.count("*").over(group)).withColumn("heads", F.array_distinct(F.array(F.min("b").over(group), F.max(often).over(group)["b"]))).where("many > 1")
     earlier = F.expr("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)")
-    easy = _verified(_bounded(_flat(met.where(earlier & _may_match("a", "b", t))), t), base, t, kept)
+    tried = _bounded(_flat(headed.select("b", F.explode("heads").alias("a")).where(earlier & _may_match("a", "b", t))), t)
+    best = Window.partitionBy("b_id", "b_no").orderBy(F.desc("k"), "a_id", "a_no")
+    easy = _verified(tried.withColumn("place", F.row_number().over(best)).where("place <= 2"), base, t, kept)
+    # the rest: every pair whose later line is still open. It is joined by a merge, as what is settled grows with the input
+    settled = easy.select(F.struct("id", "line_no").alias("s")).hint("merge")
+    flagged = firsts.where(F.col("n") >= least).select("at", "n", "even", "odd", "prefix").join(settled, F.col("at") == F.col("s"), "left")
+    flagged = kept.store(flagged.select("at", "n", "even", "odd", "prefix", F.col("s").isNull().alias("open")), large=True)
+    kept.drop(firsts)
+    marked = flagged.select("n", "at", "even", "odd", "open", F.posexplode("prefix").alias("pos", "word")).select("word", line.alias("x"), "open")
     # of two lines the shorter is found by its first |x| - ceil(2t / (1 + t) |x|) + 1 words
-    settled = easy.select(F.struct("id", "line_no").alias("s"))
-    marked = met.select("word", F.col("b").alias("x")).join(settled, (F.col("x.id") == F.col("s.id")) & (F.col("x.line_no") == F.col("s.line_no")), "left").select("word", "x", F.col("s").isNull().alias("open"))
     short = F.col("x.pos") < F.col("x.n") - F.ceil(F.col("x.n") * (2 * t / (1 + t)) - 1e-9) + 1
     first = F.expr("x.id < y.id or (x.id = y.id and x.line_no < y.line_no)")
     ordered = F.expr("x.n < y.n") | (F.expr("x.n = y.n") & first)
@@ -162,7 +169,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         pairs = index.join(probe, "word").where(ordered & wanted & _may_match("x", "y", t))
         part = kept.store(_flat(pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))), large=True)
         flat = part if flat is None else flat.unionByName(part)
-    kept.drop(met)
+    kept.drop(flagged)
     rest = _verified(_bounded(flat, t), base, t, kept)
     return copies.unionByName(easy).unionByName(rest)
 
