@@ -322,7 +322,7 @@ def book_metrics(t: Tables) -> DataFrame:
 @query("A7", """
 SELECT n_name, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS in_debt, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def ledger_manifest(t: Tables) -> DataFrame:
-    rows = t.customer.join(F.broadcast(t.nation.limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("in_debt"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"))
 
 
