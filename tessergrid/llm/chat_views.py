@@ -5,12 +5,15 @@ with that speaker as the assistant and all others as named users. The mask lists
 character ranges of the assistant's own words, which are what a model is trained on.
 
 Dialogues are cut into parts of ``PART_TURNS`` turn numbers, so that no task gathers a
-dialogue of unbounded length; a part is a row, rendered for those who speak in it.
+dialogue of unbounded length; a part is a row. ``perspective_report``, which is the query,
+renders every part for every participant of the dialogue; ``perspectives`` without
+``everyone`` (and ``SQL``, which differs from turn ``PART_TURNS`` on) renders a part only
+for those who speak in it.
 
 Defined cases: a null text is empty; a null role is the participant ``unknown``; a
 null turn comes first, in part 0; equal turns are ordered by role, then text; repeated
-rows are repeated turns; a part with system turns only has no participant and no row;
-rows with a null conv_id form one dialogue.
+rows are repeated turns; a dialogue with system turns only has no participant and no row
+(without ``everyone``, so has such a part); rows with a null conv_id form one dialogue.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ PART_TURNS = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def perspectives(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
+def perspectives(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_turns: int = PART_TURNS, everyone: bool = False) -> DataFrame:
     """conv_id, part, participant, n_turns, n_masked_turns, rendered, mask (array of [start, end) in characters)."""
     rows = turns.select(
         F.col(conv_id).alias("conv_id"),
@@ -31,9 +34,14 @@ def perspectives(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
         F.col(turn).alias("turn"),
         F.coalesce(role, F.lit("unknown")).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"),
+        F.lit(True).alias("said"),
     )
+    if everyone:
+        # a row without words for each participant of the dialogue in each part; texts are not joined
+        parts, who = rows.select("conv_id", "part").distinct(), rows.where("role <> 'system'").select(F.col("conv_id").alias("own"), "role").distinct()
+        rows = rows.unionByName(parts.join(who, F.col("conv_id").eqNullSafe(F.col("own"))).drop("own").withColumn("said", F.lit(False)), allowMissingColumns=True)
     dialogue = Window.partitionBy("conv_id", "part")
-    seen = rows.withColumn("participants", F.array_sort(F.collect_set(F.when(F.col("role") != "system", F.col("role"))).over(dialogue)))
+    seen = rows.withColumn("participants", F.array_sort(F.collect_set(F.when(F.col("role") != "system", F.col("role"))).over(dialogue))).where("said").drop("said")
     views = seen.select("*", F.explode("participants").alias("participant")).drop("participants")
     mine = F.col("role") == F.col("participant")
     head = F.when(mine, F.lit(f"{OPEN}assistant\n")).when(F.col("role") == "system", F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), F.col("role"), F.lit("\n")))
@@ -51,8 +59,8 @@ def perspectives(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
 
 
 def perspective_report(turns: DataFrame, **columns) -> DataFrame:
-    """``perspectives`` with the mask spelled start-end, comma-joined."""
-    return perspectives(turns, **columns).withColumn("mask", F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ","))
+    """``perspectives`` for everyone, with the mask spelled start-end, comma-joined."""
+    return perspectives(turns, **columns, everyone=True).withColumn("mask", F.array_join(F.transform("mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ","))
 
 
 SQL = f"""

@@ -24,6 +24,16 @@ def test_parts_and_empty(spark):
     assert C.perspectives(turns.limit(0)).count() == 0
 
 
+def test_every_participant_gets_every_part(spark):
+    rows = [(1, 0, "a", "one"), (1, 1, "b", "two"), (1, 1500, "system", "Rules"), (1, 2100, "a", "three"), (2, 3000, "system", "only"), (None, 5, "x", "y"), (None, 1030, "z", None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.part, r.participant): r for r in C.perspective_report(turns).collect()}
+    assert set(got) == {(1, p, w) for p in (0, 1, 2) for w in "ab"} | {(None, p, w) for p in (0, 1) for w in "xz"}
+    last = got[1, 2, "b"]
+    assert (last.rendered, last["mask"], last.n_turns, last.n_masked_turns) == ("<|im_start|>user name=a\nthree<|im_end|>\n", "", 1, 0)
+    assert got[1, 1, "a"].rendered == got[1, 1, "b"].rendered == "<|im_start|>system\nRules<|im_end|>\n"
+
+
 def test_no_python_in_the_plan(spark, odd):
     import io
     from contextlib import redirect_stdout
