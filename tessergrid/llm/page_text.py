@@ -1,17 +1,18 @@
 """Main text of web pages, with removal of what recurs on the pages of a site.
 
 A page becomes a tree of its block elements (inline markup only separates or joins
-text). Spark counts, per host, on how many pages each subtree occurs, by the hash
-of its tags and text; subtrees that recur on many pages of the host are template
-and go, besides elements that say what they are: menus, headers, footers, sidebars,
+text). Spark counts, per host, with how many different main contents each subtree
+occurs, by the hash of its tags and text; subtrees that recur on many pages of the
+host are template and go, besides elements that say what they are: menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments by tag, role, class or id. Paragraphs
 and headings of the article itself are never taken for template, however many
-pages carry the same article, nor is a subtree that holds half of the page's text.
+pages carry the same article, nor is a subtree that holds half of the page's text;
+pages with one and the same main content count once, whatever element holds it.
 
 Defined cases: null or empty html gives an empty text; a page without an article
 is read from <main>, else from the body; unclosed and stray tags are tolerated as
 browsers do; a page whose url has no host is counted under the empty host; repeated
-rows count as pages of their own.
+rows count once and are answered row by row.
 """
 
 from __future__ import annotations
@@ -201,9 +202,16 @@ def host_of(url: str | None) -> str:
 
 def subtree_hashes(html: str | None) -> list[int]:
     """Distinct hashes of the subtrees of a page that could be template."""
+    return _page_hashes(html)[1]
+
+
+def _page_hashes(html: str | None) -> tuple[int, list[int]]:
+    """The hash of a page's main content, before any template goes, and those of subtree_hashes."""
     tree, articles, mains = parse(html or "")
     _seal(tree)
-    return sorted({int(n.digest, 16) - (1 << 63) for n in _deletable(tree, _roots(tree, articles, mains))})
+    roots = _roots(tree, articles, mains)
+    content = hashlib.blake2b("\n\n".join(_blocks(roots, set())).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return int(content, 16) - (1 << 63), sorted({int(n.digest, 16) - (1 << 63) for n in _deletable(tree, roots)})
 
 
 def main_text(html: str | None, template: Callable[[int], bool] | None = None) -> str:
@@ -214,6 +222,10 @@ def main_text(html: str | None, template: Callable[[int], bool] | None = None) -
     if template is not None:
         _seal(tree)
         gone = {id(n) for n in _deletable(tree, roots) if template(int(n.digest, 16) - (1 << 63))}
+    return "\n\n".join(_blocks(roots, gone))
+
+
+def _blocks(roots: list[Node], gone: set[int]) -> list[str]:
     out: list[str] = []
     stack: list[Node | str] = list(reversed(roots))
     while stack:
@@ -222,15 +234,16 @@ def main_text(html: str | None, template: Callable[[int], bool] | None = None) -
             out.append(x)
         elif not x.dropped and id(x) not in gone:
             stack += reversed(x.kids)
-    return "\n\n".join(out)
+    return out
 
 
 def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree): subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host."""
+    """(host, subtree): subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host;
+    pages with the same main content are one."""
     found = _occurrences(pages.select(F.col(url).alias("url"), F.col(html).alias("html")))
-    # the number of pages of a host is the count of the marker null, so one shuffle counts both;
+    # the number of pages of a host is the count of the marker null, so the same shuffles count both;
     # the counts are stored, since both filters on them would otherwise parse all pages
-    marked = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree"))
+    marked = found.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "subtrees")).alias("subtree")).distinct()
     counts = SharedTables(pages.sparkSession).store(marked.groupBy("host", "subtree").agg(F.count("*").alias("n")))
     often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= min_pages))
     hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
@@ -239,11 +252,11 @@ def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html",
 
 def _occurrences(pages: DataFrame) -> DataFrame:
     def run(column: pa.Array) -> list[pa.Array]:
-        rows = [(host_of(u), subtree_hashes(h)) for u, h in zip(column.field("url").to_pylist(), column.field("html").to_pylist(), strict=True)]
-        return [pa.array([h for h, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.list_(pa.int64()))]
+        rows = [(host_of(u), *_page_hashes(h)) for u, h in zip(column.field("url").to_pylist(), column.field("html").to_pylist(), strict=True)]
+        return [pa.array([h for h, _, _ in rows], pa.string()), pa.array([c for _, c, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.list_(pa.int64()))]
 
     others = [c for c in pages.columns if c not in ("url", "html")]
-    return append_columns(pages.select(*others, F.struct("url", "html").alias("page")), "page", run, "host string, subtrees array<bigint>").drop("page")
+    return append_columns(pages.select(*others, F.struct("url", "html").alias("page")), "page", run, "host string, content bigint, subtrees array<bigint>").drop("page")
 
 
 def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -38,6 +38,15 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in P.extract_pages(pages).collect()} == {"Same\n\nEverywhere the same"}
 
 
+def test_copies_stay_whatever_holds_them(spark):
+    inner = "<h1>Tiny</h1><p>AAAA</p><p>BBBB</p><ul><li>CCCC</li></ul>"
+    holds = ["<main>{}</main>", "<div role=main>{}</div>", "<body>{}</body>"]
+    rows = [(10 * k + i, f"https://h{k}.org/{i}", h.format(inner) + f"<footer>page {i}</footer>") for k, h in enumerate(holds) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for limit in (100_000, 0):
+        assert {r.text for r in P.extract_pages(pages, broadcast_rows=limit).collect()} == {"Tiny\n\nAAAA\n\nBBBB\n\nCCCC"}
+
+
 def test_nulls_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>é😀</p>"), (1, None, None)], "page_id bigint, url string, html string")
     assert sorted((r.text, r.n_chars) for r in P.extract_pages(pages).collect()) == [("", 0), ("", 0), ("é😀", 2)]
