@@ -31,6 +31,8 @@ from .textops import SharedTables, append_columns
 
 #: A subtree is template if it occurs on so many pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: On so many pages it is template whatever their share: on a host of more than 125 pages the share would ask for more.
+MANY_PAGES = 25
 #: Template subtrees up to this number are broadcast; beyond it, pages are joined with theirs.
 BROADCAST_ROWS = 100_000
 
@@ -237,9 +239,9 @@ def _blocks(roots: list[Node], gone: set[int]) -> list[str]:
     return out
 
 
-def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree): subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host;
-    pages with the same main content are one."""
+def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """(host, subtree): subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host,
+    or on ``many_pages`` of them; pages with the same main content are one."""
     found = _occurrences(pages.select(F.col(url).alias("url"), F.col(html).alias("html")))
     # the number of pages of a host is the count of the marker null, so the same shuffles count both;
     # the counts are stored, since both filters on them would otherwise parse all pages
@@ -247,7 +249,7 @@ def template_subtrees(pages: DataFrame, *, url: str = "url", html: str = "html",
     counts = SharedTables(pages.sparkSession).store(marked.groupBy("host", "subtree").agg(F.count("*").alias("n")))
     often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= min_pages))
     hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    return often.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
+    return often.join(hosts, "host").where(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(many_pages))).select("host", "subtree")
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
@@ -259,11 +261,11 @@ def _occurrences(pages: DataFrame) -> DataFrame:
     return append_columns(pages.select(*others, F.struct("url", "html").alias("page")), "page", run, "host string, content bigint, subtrees array<bigint>").drop("page")
 
 
-def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages``."""
     kept = SharedTables(pages.sparkSession)
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    template = kept.store(template_subtrees(base, min_pages=min_pages, min_share=min_share))
+    template = kept.store(template_subtrees(base, min_pages=min_pages, min_share=min_share, many_pages=many_pages))
     if template.count() <= broadcast_rows:
         known = pages.sparkSession.sparkContext.broadcast({(h, s) for h, s in template.collect()})
 

@@ -47,6 +47,15 @@ def test_copies_stay_whatever_holds_them(spark):
         assert {r.text for r in P.extract_pages(pages, broadcast_rows=limit).collect()} == {"Tiny\n\nAAAA\n\nBBBB\n\nCCCC"}
 
 
+def test_many_pages_are_enough_on_a_large_host(spark):
+    notice = "<div><p>Read our other stories</p></div>"
+    story = "<main>{}<div><p>Story {} is a long text of its own, longer than what the site adds</p></div></main>"
+    rows = [(i, f"https://big.org/{i}", story.format(notice if i < 30 else "", i)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for limit in (100_000, 0):
+        assert {r.text[:6] for r in P.extract_pages(pages, broadcast_rows=limit).collect()} == {"Story "}
+
+
 def test_nulls_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>é😀</p>"), (1, None, None)], "page_id bigint, url string, html string")
     assert sorted((r.text, r.n_chars) for r in P.extract_pages(pages).collect()) == [("", 0), ("", 0), ("é😀", 2)]
