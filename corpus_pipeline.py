@@ -17,7 +17,7 @@ from tessergrid.llm.textops import ensure_checkpoint_dir, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one language has at least half; texts without any go."""
+    """Documents in a language or in several; texts without any go."""
     return language_mix.keep_identified(docs)
 
 

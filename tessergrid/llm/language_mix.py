@@ -6,8 +6,9 @@ labelled documents. For every document, expectation-maximisation estimates the
 proportions of all languages; the languages are then admitted one at a time, in
 order of proportion, as long as the likelihood gains more than the penalty.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0;
-without any labelled text every document is ``und``; rows with a null label
+Defined cases: a null text or one without a letter is ``und`` with score 0; a text
+with a letter but without an n-gram of its own is read with blanks around it, so that
+it has one; without any labelled text every document is ``und``; rows with a null label
 never train; ties go to the language that sorts first; repeated rows count as
 often as they occur.
 """
@@ -61,6 +62,24 @@ def _grams(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np
     return key[first] // BUCKETS, key[first] % BUCKETS, np.diff(np.append(first, len(key)))
 
 
+def _all_grams(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_grams``, and those with blanks around it of each text that has none: any letter then is part of one."""
+    found = _grams(column, a, b)
+    without = np.ones(b - a, bool)
+    without[found[0]] = False
+    at = np.flatnonzero(without)
+    if not len(at):
+        return found
+    blank = lambda n: pa.scalar(" " * n, pa.large_string())
+    texts = column.slice(a, b - a).take(pa.array(at)).cast(pa.large_string()).fill_null("")
+    row, *rest = _grams(pc.binary_join_element_wise(blank(1), texts, blank(GRAM - 2), blank(0)), 0, len(at))
+    if not len(row):
+        return found
+    both = [np.concatenate(x) for x in zip(found, (at[row], *rest), strict=True)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(x[order] for x in both)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n) of a partition of (lang, text)."""
     total: dict[str, np.ndarray] = {}
@@ -68,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, column = batch.column(0).to_pylist(), batch.column(1)
         _, offsets = string_bytes(column)
         for a, b in slices(offsets):
-            row, bucket, n = _grams(column, a, b)
+            row, bucket, n = _all_grams(column, a, b)
             for lang in set(langs[a:b]):
                 own = np.array([x == lang for x in langs[a:b]])[row]
                 total.setdefault(lang, np.zeros(BUCKETS, np.int64))
@@ -125,7 +144,7 @@ def _infer(column: pa.Array, langs: list[str], table: np.ndarray) -> list[pa.Arr
     pred, score, mixes = [], [], []
     for a, b in slices(offsets, 1 << 20):
         size = b - a
-        row, bucket, n = _grams(column, a, b)
+        row, bucket, n = _all_grams(column, a, b)
         best = np.full(size, -1)
         share = np.zeros((size, len(langs)), np.float32)
         if len(row) and langs:
@@ -199,12 +218,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """``docs`` without texts of no language: ``und``, or none with a share of ``min_score``."""
+def keep_identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without texts of no language, ``und``; a mixture stays whatever the shares of its languages."""
     model = train(docs.where(~held_out(F.col(doc_id))), text=text, lang=lang, spread=F.xxhash64(F.col(doc_id)))
     names = {c: f"__{c}" for c in docs.columns}
     made = identify(docs.withColumnsRenamed(names), model, text=f"__{text}")
-    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col(v).alias(k) for k, v in names.items()])
+    return made.where(F.col("lang_pred") != "und").select(*[F.col(v).alias(k) for k, v in names.items()])
 
 
 __all__ = ["held_out", "identify", "keep_identified", "language_report", "train"]

@@ -48,3 +48,25 @@ def test_odd_rows(spark, odd):
 def test_letters():
     assert [L._has_letter(np.frombuffer(t.encode(), np.uint8)) for t in ("1 2", "a", "漢", "😀", "é")] == [False, True, True, False, True]
     assert L._grams(pa.array(["", "ab"]), 0, 2)[0].size == 0
+
+
+def test_every_text_with_a_letter_has_a_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.train(docs)
+    texts = ["Hi", "yes", "漢", "b", "É", "2024: b", "1 2 3 z", "a-b-c", "2024", "!", "", None]
+    rows = L.identify(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), model).collect()
+    assert [r.lang_pred in model[0] and 0 < r.score <= 1 for r in rows] == [True] * 8 + [False] * 4
+    assert {(r.lang_pred, r.score) for r in rows[8:]} == {("und", 0.0)}
+    # padding tells a word of one language: it is not the same language for all
+    short = spark.createDataFrame([(0, "the", "en"), (1, "der", "de"), (2, "the", None), (3, "der", None)], "doc_id bigint, text string, lang string")
+    assert [r.lang_pred for r in L.identify(short, L.train(short)).orderBy("doc_id").collect()] == ["en", "de"] * 2
+
+
+def test_mixtures_of_many_languages_are_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    text = {r.lang: r.text for r in docs.where("n_chars between 1500 and 3000").orderBy("doc_id").collect()}
+    assert len(text) >= 3
+    mixed = "\n".join(t[:1000] for t in text.values())
+    more = docs.unionByName(spark.createDataFrame([(-1, mixed, None), (-2, "Hi", None), (-3, "12 34", None)], docs.schema))
+    assert L.identify(more.where("doc_id = -1"), L.train(docs)).first().score < 0.5
+    assert {r.doc_id for r in L.keep_identified(more).where("doc_id < 0").collect()} == {-1, -2}
