@@ -2,10 +2,11 @@
 
 A shard is a slice of the documents of one task (about 4 MB of text, whole
 documents only). Its words become integer ids over the benchmark's vocabulary,
-the suffixes that can hold a match are sorted by prefix doubling, and every
-suffix of every benchmark item is binary-searched in that order. That gives the
-longest verbatim match of each benchmark suffix and, as an interval of the
-suffix array, every place where a window of it occurs. Documents are never
+the suffixes that can hold a match are sorted by prefix doubling, and the window
+at the head of every suffix of every benchmark item is binary-searched in that
+order. That gives, as an interval of the suffix array, every place where it
+occurs; windows that follow each other in an item and in a document are one match,
+so every document has its own longest match of each benchmark suffix. Documents are never
 shuffled: a document's matches all lie in its own shard.
 
 The benchmark is read in blocks of a bounded number of bytes; with more than
@@ -19,6 +20,7 @@ document rows are answered row by row; empty tables give no rows or no hits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,8 @@ from .textops import Words, append_columns, slices, spans, string_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+#: Places of suffixes that are joined to matches at a time, whole documents only.
+PLACES = 1 << 20
 FIELDS = (
     "n_words bigint, n_hit bigint, leak_items array<string>,"
     " leak_matches array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>, leak_spans array<struct<first:int,last:int>>"
@@ -114,25 +118,26 @@ class _Matcher:
         left = sizes[item] - place
         need = np.minimum(sizes[item], bench.window)
         ok = left >= need  # a suffix shorter than a window holds none
-        self.item, self.place, self.length, self.need = item[ok], place[ok], left[ok], need[ok]
-        width = int(self.length.max()) if len(self.length) else 0
+        self.item, self.place, self.need = item[ok], place[ok], need[ok]
+        width = int(self.need.max()) if len(self.need) else 0
         grid = (bench.first[self.item] + self.place)[:, None] + np.arange(width)
-        self.queries = np.where(np.arange(width) < self.length[:, None], bench.ids[np.minimum(grid, len(bench.ids) - 1)], 0) if width else np.zeros((0, 0), np.int64)
+        heads = np.where(np.arange(width) < self.need[:, None], bench.ids[np.minimum(grid, len(bench.ids) - 1)], 0) if width else np.zeros((0, 0), np.int64)
         # one window is searched once, however many items hold it
-        heads = np.where(np.arange(min(width, bench.window)) < self.need[:, None], self.queries[:, : bench.window], 0)
         self.heads, self.head_of = np.unique(heads, axis=0, return_inverse=True) if width else (heads, np.zeros(0, np.int64))
         self.head_of = self.head_of.reshape(-1)
         self.head_length = (self.heads > 0).sum(1)
+        # the suffixes of head k are by_head[head_first[k]:head_first[k+1]]
+        self.by_head = np.argsort(self.head_of, kind="stable")
+        self.head_first = np.searchsorted(self.head_of[self.by_head], np.arange(len(self.heads) + 1))
         self.least = int(self.need.min()) if len(self.need) else 0
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.bench.vocab, hashes), len(self.bench.vocab) - 1)
         return np.where(self.bench.vocab[at] == hashes, at + 1, 0)
 
-    def shard(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of windows (word of the shard, head), and for every suffix its longest match
-        as (suffix, word of the shard, words)."""
-        none = np.zeros((0, 2), np.int64), np.zeros((0, 3), np.int64)
+    def shard(self, w: Words) -> np.ndarray:
+        """Occurrences of windows (word of the shard, head)."""
+        none = np.zeros((0, 2), np.int64)
         if not self.least or not len(w):
             return none
         ids = self.word_ids(w.hash)
@@ -151,28 +156,41 @@ class _Matcher:
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         text[inner + np.repeat(at, size)] = ids[inner + np.repeat(starts, size)]
         source[inner + np.repeat(at, size)] = inner + np.repeat(starts, size)
-        order = suffix_array(text, self.queries.shape[1])
+        order = suffix_array(text, self.heads.shape[1])
         order = order[text[order] > 0]
         low = lower_bound(text, order, self.heads, self.head_length)
         high = lower_bound(text, order, self.heads, self.head_length, beyond=True)
         count = high - low
         inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         head = np.repeat(np.arange(len(count)), count)
-        hits = np.stack([source[order[inside + np.repeat(low, count)]], head], 1)
-        live = np.flatnonzero(count[self.head_of] > 0)
-        longest = np.zeros((0, 3), np.int64)
-        if len(live):
-            q, n = self.queries[live], self.length[live]
-            spot = lower_bound(text, order, q, n)
-            best = np.zeros((len(live), 2), np.int64)
-            for near in (spot - 1, spot):
-                ok = (near >= 0) & (near < len(order))
-                where = order[np.clip(near, 0, len(order) - 1)]
-                shared, _ = _compare(text, where, q, n)
-                better = ok & (shared > best[:, 1])
-                best[better] = np.stack([source[where], shared], 1)[better]
-            longest = np.column_stack([live, best])
-        return hits, longest
+        return np.stack([source[order[inside + np.repeat(low, count)]], head], 1)
+
+    def longest(self, hits: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, suffix, word of the shard, words): the longest match of every suffix in every row, the first of equal ones.
+
+        A match of a suffix goes on as long as the next suffix of its item has a window at the next word.
+        """
+        order = np.argsort(row, kind="stable")
+        at, head, row = hits[order, 0], hits[order, 1], row[order]
+        count = self.head_first[head + 1] - self.head_first[head]
+        edge = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        for a, b in slices(np.concatenate([[0], np.cumsum(count)])[edge], PLACES):
+            some = slice(edge[a], edge[b])
+            n = count[some]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            suffix = self.by_head[np.repeat(self.head_first[head[some]], n) + inside]
+            word, own = np.repeat(at[some], n), np.repeat(row[some], n)
+            place, item = self.place[suffix], self.item[suffix]
+            by = np.lexsort((place, word - place, item, own))
+            suffix, word, own, place, item = suffix[by], word[by], own[by], place[by], item[by]
+            on = (np.diff(own) == 0) & (np.diff(item) == 0) & (np.diff(place) == 1) & (np.diff(word) == 1)
+            ends = np.flatnonzero(~np.append(on, False))
+            here = np.arange(len(suffix))
+            size = self.need[suffix] + ends[np.searchsorted(ends, here)] - here
+            by = np.lexsort((word, -size, suffix, own))
+            suffix, word, own, size = suffix[by], word[by], own[by], size[by]
+            first = (np.diff(own, prepend=-1) != 0) | (np.diff(suffix, prepend=-1) != 0)
+            yield from zip(*(x[first].tolist() for x in (own, suffix, word, size)), strict=True)
 
 
 def _answers(matcher: _Matcher, column: pa.Array) -> list[pa.Array]:
@@ -183,7 +201,7 @@ def _answers(matcher: _Matcher, column: pa.Array) -> list[pa.Array]:
     for a, b in slices(offsets):
         w = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         n_words.append(np.diff(w.first))
-        hits, longest = matcher.shard(w)
+        hits = matcher.shard(w)
         hit_words = np.zeros(len(w) + 1, np.int64)
         per_row: dict[int, tuple[set, list]] = {}
         if len(hits):
@@ -194,10 +212,8 @@ def _answers(matcher: _Matcher, column: pa.Array) -> list[pa.Array]:
             by_head = by_head or _items_by_head(matcher)
             for row, head in zip(w.row[hits[:, 0]].tolist(), hits[:, 1].tolist(), strict=True):
                 per_row.setdefault(row, (set(), []))[0].update(by_head[head])
-            for suffix, at, shared in longest.tolist():
-                row = int(w.row[at])
-                if row in per_row and shared >= matcher.need[suffix]:
-                    per_row[row][1].append({"item_id": bench.names[matcher.item[suffix]], "item_word": int(matcher.place[suffix]), "doc_word": at - int(w.first[row]), "n_words": shared})
+            for row, suffix, at, shared in matcher.longest(hits, w.row[hits[:, 0]]):
+                per_row[row][1].append({"item_id": bench.names[matcher.item[suffix]], "item_word": int(matcher.place[suffix]), "doc_word": at - int(w.first[row]), "n_words": shared})
         hit = np.cumsum(hit_words)[:-1] > 0
         total = np.concatenate([[0], np.cumsum(hit)])
         n_hit.append(total[w.first[1:]] - total[w.first[:-1]])
@@ -237,7 +253,7 @@ def _spelled_alike(bench: Benchmark, w: Words, at: np.ndarray, heads: np.ndarray
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` plus n_words, n_hit, leak_items (sorted as strings), leak_matches (longest match of each
-    benchmark suffix in the document's shard, where it lies in this document) and leak_spans (hit words)."""
+    benchmark suffix in this document) and leak_spans (hit words)."""
     bench = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(item_text, F.lit("")).alias("t")).where("i is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-(size[0] + 64 * size[1]) // block_bytes))

@@ -49,6 +49,28 @@ def test_longest_matches_and_removal(spark):
     assert [r.doc_id for r in D.remove_leaked(docs, bench).collect()] == [2]
 
 
+@pytest.mark.parametrize("window", [1, 3, 10])
+def test_every_document_has_its_own_longest_matches(spark, window):
+    rng = np.random.default_rng(5)
+    leak = [f"w{i}" for i in range(14)]
+    docs = [(i, " ".join([f"x{i}"] * i + leak[i % 4 :] + ["gap", *leak[:11]])) for i in range(9)] + [(20 + i, " ".join(rng.choice(["a", "b"], 30))) for i in range(5)] + [(40, "w3"), (41, None)]
+    items = [("p", " ".join(["q", *leak, "r"])), ("q", " ".join(leak[2:9])), ("s", " ".join(rng.choice(["a", "b"], 25))), ("t", "w3")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = D.find_leaks(frame, bench, window=window).collect()
+    for r in rows:
+        d, want = words(r.text), {}
+        for name, text in items:
+            w = words(text)
+            for i in range(len(w)):
+                for j in range(len(d)):
+                    n = next((k for k in range(len(w) - i) if j + k == len(d) or w[i + k] != d[j + k]), len(w) - i)
+                    if n >= min(len(w), window) and n > want.get((name, i), (0, 0))[1]:
+                        want[name, i] = j, n
+        assert {(m.item_id, m.item_word): (m.doc_word, m.n_words) for m in r.leak_matches} == want and len(r.leak_matches) == len(want)
+    assert all(r.contaminated == (r.longest_match > 0) for r in D.leak_report(frame, bench, window=window).collect())
+
+
 def test_empty_tables(spark, odd):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.leak_report(odd, none).where("contaminated").count() == 0
