@@ -195,15 +195,15 @@ def _tiles(batches: Iterator[pa.RecordBatch], over: Fraction) -> Iterator[pa.Rec
         yield done(rows)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component for every node of ``edges`` (u, v) but those smallest ones.
 
-    Each round is two aggregations and two joins on distributed data, checkpointed.
+    Each round is two aggregations and two joins on distributed data, checkpointed; the last one changes nothing.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
         # large star: greater neighbours move to the smallest of the neighbourhood

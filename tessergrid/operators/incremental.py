@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,15 +36,15 @@ def history(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("version", F.row_number().over(w)).withColumn("state", F.when(F.col("version") == n, "current").otherwise("stale"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", most_depth: int = 64) -> DataFrame:
-    """(node, depth): everything under the roots, by one join a level; a node counts where it is first reached."""
+def closure(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(node, depth): everything under the roots, however deep, by one join a level; a node counts where it is first reached."""
     spark = edges.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     seen = front = roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    for depth in range(1, most_depth + 1):
+    for depth in count(1):  # nodes that were seen do not come again, so cycles end
         reached = front.join(edges, front["node"] == edges[parent]).select(F.col(child).alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         front = reached.withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():

@@ -74,6 +74,12 @@ def test_closure_survives_cycles(spark):
     assert got == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_closure_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(67)], "parent string, child string").coalesce(1)
+    got = {(r.node, r.depth) for r in incremental.closure(edges, spark.createDataFrame([("n0",)], "n string")).collect()}
+    assert got == {(f"n{i}", i) for i in range(68)}
+
+
 def test_upsert_and_history(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert {(r.k, r.v) for r in incremental.upsert(old, new, "k").collect()} == {(1, "a"), (2, "c")}
