@@ -169,9 +169,16 @@ def read_section(t: Tables) -> DataFrame:
 
 @query("T18", "SELECT doc_id, (doc_id % 7 = 0 AND length(text) > 500) AS stale FROM documents WHERE length(text) > 100")
 def staleness_check(t: Tables) -> DataFrame:
-    cut = units.regions(t.documents.where(F.char_length("text") > 100), "doc_id", "text", 100).where("region = 0")
-    now = t.documents.select("doc_id", F.when((F.col("doc_id") % 7 == 0) & (F.char_length("text") > 500), F.concat(F.lit("#"), "text")).otherwise(F.col("text")).alias("now"))
-    return cut.join(now, "doc_id").select("doc_id", (F.substring("now", F.col("start") + 1, F.char_length("region_text")) != F.col("region_text")).alias("stale"))
+    now = t.documents.select("doc_id", F.when((F.col("doc_id") % 7 == 0) & (F.char_length("text") > 500), F.concat(F.lit("#"), "text")).otherwise(F.col("text")).alias("text"))
+    return stale_texts(t.documents.where(F.char_length("text") > 100), now, "doc_id", "text", 100)
+
+
+def stale_texts(was: DataFrame, now: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, stale): whether any region of the stored text reads differently now, or the whole has another hash."""
+    parents = now.select(key, F.col(text).alias("now")).join(was.select(key, F.sha2(text, 256).alias("parent_sha")), key)
+    read = F.substring("now", F.col("start") + 1, F.char_length("region_text"))
+    found = units.regions(was, key, text, size).withColumnRenamed("doc_id", key).join(parents, key)
+    return found.groupBy(key).agg(F.bool_or(F.coalesce((read != F.col("region_text")) | (F.sha2("now", 256) != F.col("parent_sha")), F.lit(True))).alias("stale"))
 
 
 @query("T19 R6", "SELECT doc_id, contains(text, 'and the') AS anchored FROM documents")

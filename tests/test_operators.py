@@ -80,6 +80,16 @@ def test_closure_of_a_deep_chain(spark):
     assert got == {(f"n{i}", i) for i in range(68)}
 
 
+def test_edits_anywhere_are_stale(spark):
+    from tessergrid.plans.evidence_queries import stale_texts
+
+    text = "abcdefghij" * 5
+    now = {1: text, 2: text[:45] + "X" + text[46:], 3: text + "more", 4: "X" + text[1:], 5: "short", 6: None}
+    was = spark.createDataFrame([(i, "short" if i == 5 else text) for i in now], "id int, text string")
+    new = spark.createDataFrame(list(now.items()), "id int, text string")
+    assert {r.id: r.stale for r in stale_texts(was, new, "id", "text", 20).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True}
+
+
 def test_upsert_and_history(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string")
     assert {(r.k, r.v) for r in incremental.upsert(old, new, "k").collect()} == {(1, "a"), (2, "c")}
