@@ -1,21 +1,24 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions only.
 
-A line is its set of words (ASCII letters lower-cased, split at ASCII
-punctuation and space). A line is removed when an earlier line, in the order of
-(doc_id, line number), has a word set with Jaccard similarity at or over the
-threshold. Earlier lines count whether or not they are removed themselves, so the
-result does not depend on any processing order.
-
-1. Words are ordered by rarity: counts over all lines, in a table of a fixed
+A line is its set of words (lower-cased, split at ASCII punctuation and space). A
+line is removed when an earlier line, in the order of (doc_id, line number), has a
+word set with Jaccard similarity at or over the threshold. Earlier lines count
+whether or not they are removed themselves, so the result does not depend on any
+processing order.
+
+1. Texts are read into words once: every line is stored as the set of its words'
+   64-bit hashes. All that follows reads that table.
+2. Words are ordered by rarity: counts over all lines, in a table of a fixed
    number of hash slots (rarity only steers the order; any order is correct).
-2. Lines with the same set collapse to their first line; copies go.
-3. The first |x| - ceil(t |x|) + 1 words of each distinct line are its prefix.
-   Lines meet on (prefix word, length class), under length, positional and
-   bitmap filters, each of which only drops pairs that cannot reach t.
-4. First every line meets two lines of each of its groups, the earliest and the one
-   with most copies, and the two best of those are verified (linear in the group);
-   pairs whose later line that settles are not looked at again.
-5. Surviving pairs are verified on the words themselves.
+3. Lines with the same set (two hashes of 64 bits) collapse to their first line;
+   copies go.
+4. The first |x| - ceil(t |x|) + 1 words of each distinct line are its prefix.
+   Lines first meet the earliest line with the same least or greatest prefix word
+   (by two other hashes): linear in any group's size. Those that it matches are
+   settled, and pairs whose later line is settled are not looked at again.
+5. All others meet on prefix words, under length, positional and bitmap filters,
+   each of which only drops pairs that cannot reach t.
+6. Surviving pairs are verified on the full word sets.
 
 Defined cases: a null text stays null, an empty one empty; lines without a word
 are never removed; rows with one doc_id are repeats of one row; rows with a null
@@ -28,33 +31,43 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .textops import SharedTables
 
 THRESHOLD = 0.8
-#: Hash slots of the rarity table: its size, whatever the vocabulary.
+#: Hash slots of the rarity table and of the filter of wanted lines: their size, whatever the input.
 SLOTS = 1 << 20
 #: Parts in which prefix words are joined, one after the other.
-TURNS = 4
+TURNS = 2
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), _GAP), "")
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, line_no, words): the distinct word hashes of every line."""
+    each = docs.where("id is not null and body is not null").select("id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    hashes = F.array_distinct(F.transform(F.split(F.lower("line"), _GAP), lambda w: F.xxhash64(w)))
+    return each.select("id", "line_no", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("words"))
+
 
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.where("id is not null and body is not null").select("id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
 
+def _slot_table(counts: DataFrame) -> Column:
+    """A literal of one byte a slot, 1 + n of (slot, n), n from 0 to 126."""
+    every = counts.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
+    listed = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
+    return F.lit(every.agg(F.array_join(F.transform(listed, lambda x: F.char(x["n"] + 1)), "").alias("bytes")).first()[0].encode("ascii"))
 
-def rarity(docs: DataFrame) -> bytes:
-    """For each hash slot one byte, 1 to 125: four times the binary logarithm of the words that fall in it."""
-    slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    counts = docs.select(F.explode(F.split(F.lower("body"), _GAP)).alias("word")).where("word <> ''").groupBy(slot.alias("slot")).agg(F.least(F.lit(124), F.floor(4 * F.log2(F.count("*")))).cast("int").alias("rank"))
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
-    listed = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("rank", F.lit(0)).alias("rank"))))
-    return every.agg(F.array_join(F.transform(listed, lambda x: F.char(x["rank"] + 1)), "").alias("ranks")).first()[0].encode("ascii")
+
+def _look_up(table: Column, h: Column) -> Column:
+    return F.ascii(F.substring(table, _slot(h) + 1, F.lit(1)).cast("string"))
+
+
+def rarity(lines: DataFrame) -> Column:
+    """For each hash slot four times the binary logarithm of the words that fall in it, as a table of bytes."""
+    slots = lines.select(F.explode("words").alias("w")).select(_slot(F.col("w")).alias("slot"))
+    return _slot_table(slots.groupBy("slot").agg(F.least(F.lit(124), F.floor(4 * F.log2(F.count("*")))).cast("int").alias("n")))
 
 
 def _parity(words: Column) -> Column:
@@ -68,109 +81,105 @@ def _least_shared(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * F.lit(t / (1 + t)) - 1e-9)
 
 
-def _may_match(a: str, b: str, t: float) -> Column:
-    """Length, positional and bitmap filter for an index entry of an earlier line ``a`` and a later ``b``."""
+def _alike(a: str, b: str, t: float) -> Column:
+    """Length and bitmap filter."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    p, q = F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    need = _least_shared(n, m, t)
-    most = F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1)
-    differ = F.bit_count(F.col(f"{a}.even").bitwiseXOR(F.col(f"{b}.even"))) + F.bit_count(F.col(f"{a}.odd").bitwiseXOR(F.col(f"{b}.odd")))
-    return (F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)) & (most >= need) & (differ <= n + m - 2 * need)
-
-
-def _flat(pairs: DataFrame) -> DataFrame:
-    """One row for each prefix word that two lines share, with what is left of the shorter after it."""
-    rest = F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
-    return pairs.select(F.col("b.id").alias("b_id"), F.col("b.line_no").alias("b_no"), F.col("a.id").alias("a_id"), F.col("a.line_no").alias("a_no"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"), rest.alias("rest"))
-
-
-def _bounded(flat: DataFrame, t: float) -> DataFrame:
-    """Pairs of lines whose shared prefix words, and what is left after the last of them, can make up the overlap."""
-    met = flat.groupBy("b_id", "b_no", "a_id", "a_no", "a_n", "b_n").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
-    return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("b_id", "b_no", "a_id", "a_no", "k")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, t: float, kept: SharedTables) -> DataFrame:
-    """The later lines (id, line_no) of pairs whose word sets reach the threshold."""
-    pairs = kept.store(pairs.select("b_id", "b_no", "a_id", "a_no"))
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("a_no").alias("no")), F.struct(F.col("b_id").alias("id"), F.col("b_no").alias("no")))).alias("x")).groupBy(F.col("x.id").alias("wid")).agg(F.collect_set("x.no").alias("nos"))
-    found = docs.join(kept.store(wanted), F.col("id") == F.col("wid")).withColumn("parts", F.split("body", "\n")).select("id", F.explode("nos").alias("line_no"), "parts")
-    words = kept.store(found.select("id", "line_no", F.array_distinct(_words(F.get("parts", F.col("line_no")))).alias("words")).dropDuplicates(["id", "line_no"]), large=True)
-    first = pairs.join(words.select(F.col("id").alias("b_id"), F.col("line_no").alias("b_no"), F.col("words").alias("b_words")), ["b_id", "b_no"])
-    both = first.join(words.select(F.col("id").alias("a_id"), F.col("line_no").alias("a_no"), F.col("words").alias("a_words")), ["a_id", "a_no"])
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    total = F.size("a_words") + F.size("b_words")
-    out = kept.store(both.where(shared * (1 + t) >= total * t - 1e-9).select(F.col("b_id").alias("id"), F.col("b_no").alias("line_no")).distinct())
-    kept.drop(words)
-    kept.drop(pairs)
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (F.least(n, m) >= F.ceil(F.greatest(n, m) * t - 1e-9)) & (differ <= n + m - 2 * _least_shared(n, m, t))
+
+
+def _rest(a: str, b: str) -> Column:
+    """What is left of the shorter of two lines after a word they share."""
+    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) - 1
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in (b, a) for c in ("id", "line_no")]
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, t: float, kept: SharedTables) -> DataFrame:
+    """The later lines (id, line_no) of pairs (a_id, a_line_no, b_id, b_line_no) whose word sets reach the threshold."""
+    pairs = kept.store(pairs, large=True)
+    ends = [pairs.select(F.col(f"{x}_id").alias("id"), F.col(f"{x}_line_no").alias("line_no")) for x in "ab"]
+    wanted = kept.store(ends[0].unionByName(ends[1]).distinct())
+    # a filter of fixed size lets most lines without a pair go before the shuffle
+    at = F.xxhash64("id", "line_no")
+    flags = _slot_table(wanted.select(_slot(at).alias("slot")).distinct().withColumn("n", F.lit(1)))
+    words = kept.store(lines.where(_look_up(flags, at) > 1).join(wanted, ["id", "line_no"]).dropDuplicates(["id", "line_no"]), large=True)
+    of = lambda x: words.select(*[F.col(c).alias(f"{x}_{c}") for c in words.columns])
+    both = pairs.join(of("b"), ["b_id", "b_line_no"]).join(of("a"), ["a_id", "a_line_no"])
+    shared, total = F.size(F.array_intersect("a_words", "b_words")), F.size("a_words") + F.size("b_words")
+    out = kept.store(both.where(shared * (1 + t) >= total * t - 1e-9).select(F.col("b_id").alias("id"), F.col("b_line_no").alias("line_no")).distinct())
+    for x in (pairs, wanted, words):
+        kept.drop(x)
     return out
 
 
+def _sets(lines: DataFrame, t: float) -> DataFrame:
+    """(id, line_no, n, h1, h2, bits, prefix) of every line with words."""
+    ranks = rarity(lines)
+    token = lambda h: F.shiftleft(_look_up(ranks, h).cast("bigint"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
+    n = F.size("words")
+    tokens = lines.where(n > 0).select("id", "line_no", n.alias("n"), _parity(F.col("words")).alias("bits"), F.sort_array(F.transform("words", token)).alias("tokens"))
+    rarest = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)
+    return tokens.select("id", "line_no", "n", "bits", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), rarest.alias("prefix"))
+
+
+def _heads(firsts: DataFrame, t: float) -> DataFrame:
+    """Each line with the earliest line of each of its groups, where the two may match."""
+    hashed = [F.transform("prefix", lambda w, k=k: F.xxhash64(w, F.lit(k))) for k in (1, 2)]
+    keys = F.array_distinct(F.array(F.array_min(hashed[0]), F.array_max(hashed[0]), F.array_min(hashed[1])))
+    rows = firsts.select("id", "line_no", "n", "bits", F.explode(keys).alias("key"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("id", "line_no", "n", "bits")).alias("a"), F.count("*").alias("many")).where("many > 1").select("key", "a")
+    met = rows.select("key", F.struct("id", "line_no", "n", "bits").alias("b")).join(heads, "key")
+    return met.where((F.struct("a.id", "a.line_no") < F.struct("b.id", "b.line_no")) & _alike("a", "b", t)).select(*_pair("a", "b")).distinct()
+
+
+def _meeting(firsts: DataFrame, t: float, kept: SharedTables) -> DataFrame:
+    """Pairs of distinct lines that may reach the threshold, without those whose later line is no longer open."""
+    word = firsts.select("id", "line_no", "n", "bits", "open", F.posexplode("prefix").alias("pos", "word"))
+    # of two lines the shorter is found by its first |x| - ceil(2t / (1 + t) |x|) + 1 words
+    short = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
+    first = F.expr("x.id < y.id or (x.id = y.id and x.line_no < y.line_no)")
+    ordered = F.expr("x.n < y.n") | (F.expr("x.n = y.n") & first)
+    wanted = F.when(first, F.col("y.open")).otherwise(F.col("x.open"))
+    reach = F.least(F.col("x.pos"), F.col("y.pos")) + 1 + _rest("x", "y") >= _least_shared(F.col("x.n"), F.col("y.n"), t)
+    flat = None
+    # prefix words are taken in turns, so that only a part of both sides is in shuffle files at a time
+    for turn in range(TURNS):
+        mine = word.where(F.pmod(F.col("word"), F.lit(TURNS)) == turn)
+        pairs = mine.where(short).alias("x").join(mine.alias("y"), F.expr("x.word = y.word")).where(ordered & wanted & reach & _alike("x", "y", t))
+        side = lambda c: [F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(f"a_{c}"), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"b_{c}")]
+        part = kept.store(pairs.select(*side("id"), *side("line_no"), *side("n"), _rest("x", "y").alias("rest")), large=True)
+        flat = part if flat is None else flat.unionByName(part)
+    met = flat.groupBy("a_id", "a_line_no", "b_id", "b_line_no", "a_n", "b_n").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
+    # shared prefix words, and what is left after the last of them, must make up the overlap
+    return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("a_id", "a_line_no", "b_id", "b_line_no")
+
+
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, line_no) of every line that an earlier line matches."""
     t = threshold
     kept = SharedTables(docs.sparkSession)
-    base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
-    ranks = F.lit(rarity(base.where("id is not null and body is not null")))
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    rank = lambda h: F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
-    token = lambda h: F.shiftleft(rank(h), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
-    size = F.size("words")
-    lines = kept.store(
-        _lines(base)
-        .select("id", "line_no", F.sort_array(F.transform(hashes, token)).alias("words"))
-        .where(size > 0)
-        .select(
-            "id",
-            "line_no",
-            size.alias("n"),
-            F.xxhash64("words").alias("h1"),
-            F.xxhash64(F.lit(1), "words").alias("h2"),
-            _parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) == 0)).alias("even"),
-            _parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(64)) != 0)).alias("odd"),
-            F.slice("words", F.lit(1), size - F.ceil(size * t - 1e-9).cast("int") + 1).alias("prefix"),
-        )
-    )
-    firsts = kept.store(lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count("*").alias("copies"), F.first("even").alias("even"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), large=True)
-    copies = kept.store(lines.select("id", "line_no", "h1", "h2", "n").join(firsts.select("h1", "h2", "n", "at"), ["h1", "h2", "n"]).where(F.struct("id", "line_no") != F.col("at")).select("id", "line_no"))
-    kept.drop(lines)
+    lines = kept.store(_lines(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))))
+    sets = kept.store(_sets(lines, t))
+    same = ["h1", "h2", "n"]
+    firsts = kept.store(sets.groupBy(*same).agg(F.min(F.struct("id", "line_no")).alias("at"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")).select(*same, "at.id", "at.line_no", "bits", "prefix"), large=True)
+    heads = firsts.select(*same, F.col("id").alias("first_id"), F.col("line_no").alias("first_no"))
+    copies = kept.store(sets.select("id", "line_no", *same).join(heads, same).where("id <> first_id or line_no <> first_no").select("id", "line_no"))
+    kept.drop(sets)
     if t >= 1:
         return copies
     # {n words} and the same with one more reach t from n = t / (1 - t) on; smaller sets only match themselves
-    least = math.floor(t / (1 - t) + 1e-9)
-    kind = F.floor(F.log("n") / F.lit(-math.log(t)) + 1e-9).cast("int")
-    line = F.struct(F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "pos", "even", "odd")
-    entries = firsts.where(F.col("n") >= least).select("n", "at", "copies", "even", "odd", F.posexplode("prefix").alias("pos", "word")).select("word", kind.alias("kind"), "copies", line.alias("b"))
-    # of each group two lines are tried first: the earliest, and the one with most copies
-    group = Window.partitionBy("word", "kind")
-    often = F.struct("copies", (-F.col("b.id")).alias("id"), (-F.col("b.line_no")).alias("no"), "b")
-    headed = entries.withColumn("many", F.count("*").over(group)).withColumn("heads", F.array_distinct(F.array(F.min("b").over(group), F.max(often).over(group)["b"]))).where("many > 1")
-    earlier = F.expr("a.id < b.id or (a.id = b.id and a.line_no < b.line_no)")
-    tried = _bounded(_flat(headed.select("b", F.explode("heads").alias("a")).where(earlier & _may_match("a", "b", t))), t)
-    best = Window.partitionBy("b_id", "b_no").orderBy(F.desc("k"), "a_id", "a_no")
-    easy = _verified(tried.withColumn("place", F.row_number().over(best)).where("place <= 2"), base, t, kept)
-    # the rest: every pair whose later line is still open. It is joined by a merge, as what is settled grows with the input
-    settled = easy.select(F.struct("id", "line_no").alias("s")).hint("merge")
-    flagged = firsts.where(F.col("n") >= least).select("at", "n", "even", "odd", "prefix").join(settled, F.col("at") == F.col("s"), "left")
-    flagged = kept.store(flagged.select("at", "n", "even", "odd", "prefix", F.col("s").isNull().alias("open")), large=True)
+    open_ = firsts.where(F.col("n") >= math.floor(t / (1 - t) + 1e-9)).select("id", "line_no", "n", "bits", "prefix")
+    easy = _verified(_heads(open_, t), lines, t, kept)
+    # joined by a merge, as what is settled grows with the input
+    settled = easy.select("id", "line_no", F.lit(False).alias("still")).hint("merge")
+    flagged = kept.store(open_.join(settled, ["id", "line_no"], "left").select("id", "line_no", "n", "bits", "prefix", F.coalesce("still", F.lit(True)).alias("open")), large=True)
     kept.drop(firsts)
-    marked = flagged.select("n", "at", "even", "odd", "open", F.posexplode("prefix").alias("pos", "word")).select("word", line.alias("x"), "open")
-    # of two lines the shorter is found by its first |x| - ceil(2t / (1 + t) |x|) + 1 words
-    short = F.col("x.pos") < F.col("x.n") - F.ceil(F.col("x.n") * (2 * t / (1 + t)) - 1e-9) + 1
-    first = F.expr("x.id < y.id or (x.id = y.id and x.line_no < y.line_no)")
-    ordered = F.expr("x.n < y.n") | (F.expr("x.n = y.n") & first)
-    wanted = F.when(first, F.col("y_open")).otherwise(F.col("x_open"))
-    # prefix words are taken in turns, so that only a part of both sides is in shuffle files at a time
-    flat = None
-    for turn in range(TURNS):
-        mine = marked.where(F.pmod(F.xxhash64("word", F.lit(3)), F.lit(TURNS)) == turn)
-        index = mine.where(short).withColumnRenamed("open", "x_open")
-        probe = mine.select("word", F.col("x").alias("y"), F.col("open").alias("y_open"))
-        pairs = index.join(probe, "word").where(ordered & wanted & _may_match("x", "y", t))
-        part = kept.store(_flat(pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))), large=True)
-        flat = part if flat is None else flat.unionByName(part)
+    rest = _verified(_meeting(flagged, t, kept), lines, t, kept)
     kept.drop(flagged)
-    rest = _verified(_bounded(flat, t), base, t, kept)
+    kept.drop(lines)
     return copies.unionByName(easy).unionByName(rest)
 
 
