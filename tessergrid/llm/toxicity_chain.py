@@ -4,7 +4,9 @@ The categories are label columns in a fixed order. The linear model of each sees
 which words a document holds and the probabilities that the models before it give;
 those probabilities are out-of-fold during training, so that a later model learns
 from what earlier ones say about documents they have not seen. All documents are
-scored in one pass, without a shuffle.
+scored in one pass, without a shuffle. With one toxicity label, as in the tables
+here, the chain has one toxicity link, after that of ``quality``; any list of label
+columns makes a longer one.
 
 The models are fitted on a bounded sample: about ``PER_CLASS`` labelled documents
 for each combination of labels, weighted back to their numbers in the table.
@@ -17,6 +19,7 @@ train; repeated label rows count as often as they occur.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +32,8 @@ from .textops import Words, append_columns, slices, string_bytes
 BUCKETS = 1 << 20
 PER_CLASS = 4000
 FOLDS = 4
-#: A word is a feature of a category if its rate differs by so many standard errors; the strongest are kept.
-LEAST_Z, MOST_FEATURES = 4.0, 256
+#: A word is a feature of a category if its rate differs by so many standard errors between the two classes; all such words are.
+LEAST_Z = 4.0
 RIDGE = 0.1
 
 
@@ -50,63 +53,82 @@ def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Link:
-    """One model of the chain: features, their weights, weights of earlier log-odds, intercept."""
+    """One model of the chain: features, their weights, weights of the earlier probabilities, intercept."""
 
     features: np.ndarray
     weights: np.ndarray
     earlier: np.ndarray
     intercept: float
 
-    def log_odds(self, rows: np.ndarray, buckets: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
+    def probabilities(self, rows: np.ndarray, buckets: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.features, buckets), max(len(self.features) - 1, 0))
         hit = self.features[at] == buckets if len(self.features) else np.zeros(len(buckets), bool)
-        return self.intercept + np.bincount(rows[hit], self.weights[at[hit]], n) + before @ self.earlier
+        return _probability(self.intercept + np.bincount(rows[hit], self.weights[at[hit]], n) + before @ self.earlier)
 
 
 def _probability(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """The logistic function, 0 and 1 from log-odds of 30 on."""
+    return np.where(x <= -30, 0.0, np.where(x >= 30, 1.0, 1 / (1 + np.exp(-np.clip(x, -30, 30)))))
+
+
+def _conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The solution of a positive definite system, given by its products and its diagonal."""
+    x = np.zeros(len(target))
+    left = target.copy()
+    z = left / diagonal
+    way, size = z.copy(), left @ z
+    for _ in range(10 * len(target)):
+        if np.abs(left).max() < 1e-9:
+            break
+        along = product(way)
+        step = size / (way @ along)
+        x += step * way
+        left -= step * along
+        z = left / diagonal
+        size, before = left @ z, size
+        way = z + way * (size / before)
+    return x
 
 
 def fit_link(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, weight: np.ndarray, before: np.ndarray) -> Link:
-    """Ridge logistic regression on selected words and the log-odds before, by Newton's method.
+    """Ridge logistic regression on words and the probabilities before, by Newton's method over sparse rows.
 
     Features are chosen and weighted on the sample as it is; the intercept is then moved to the table's rates.
     """
-    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1])
     if not len(y) or y.min() == y.max():
-        return Link(*none, 30.0 if len(y) and y[0] else -30.0)
+        return Link(np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), 30.0 if len(y) and y[0] else -30.0)
     n, n1 = len(y), y.sum()
     ones = np.bincount(buckets, y[rows], BUCKETS)
     every = np.bincount(buckets, minlength=BUCKETS)
     rate = every / n
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / (n - n1)))
     z = np.where(every >= 3, np.abs(ones / n1 - (every - ones) / (n - n1)) / spread, 0)
-    strong = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    features = np.sort(strong[z[strong] >= LEAST_Z])
+    features = np.flatnonzero(z >= LEAST_Z)
     place = np.full(BUCKETS, -1)
     place[features] = np.arange(len(features))
     hit = place[buckets] >= 0
-    x = np.zeros((n, len(features) + before.shape[1] + 1), np.float64)
-    x[rows[hit], place[buckets[hit]]] = 1
-    x[:, len(features) : -1] = before
-    x[:, -1] = 1
-    penalty = np.full(x.shape[1], RIDGE)
+    row, column = rows[hit], place[buckets[hit]]
+    dense = np.column_stack([before, np.ones(n)])
+    d = len(features)
+    penalty = np.full(d + dense.shape[1], RIDGE)
     penalty[-1] = 1e-6
-    beta = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = _probability(x @ beta)
-        gradient = x.T @ (y - p) - penalty * beta
+    forth = lambda b: np.bincount(row, b[:d][column], n) + dense @ b[d:]
+    back = lambda r: np.concatenate([np.bincount(column, r[row], d), dense.T @ r])
+    beta = np.zeros(d + dense.shape[1])
+    for _ in range(50):
+        p = _probability(forth(beta))
         v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(penalty), gradient)
+        diagonal = np.concatenate([np.bincount(column, v[row], d), (dense**2).T @ v]) + penalty
+        step = _conjugate_gradient(lambda b, v=v: back(v * forth(b)) + penalty * b, back(y - p) - penalty * beta, diagonal)
         beta += step
         if np.abs(step).max() < 1e-6:
             break
     odds = (weight[y == 1].sum() / n1) / (weight[y == 0].sum() / (n - n1))
-    return Link(features, beta[: len(features)], beta[len(features) : -1], float(beta[-1] + np.log(odds)))
+    return Link(features, beta[:d], beta[d:-1], float(beta[-1] + np.log(odds)))
 
 
 def fit_chain(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> list[Link]:
-    """One link per column of ``labels``; earlier log-odds are out-of-fold."""
+    """One link per column of ``labels``; the earlier probabilities it learns from are out-of-fold."""
     n = len(labels)
     before = np.zeros((n, 0))
     chain = []
@@ -118,7 +140,7 @@ def fit_chain(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, weight:
             number = np.cumsum(kept) - 1
             own = kept[rows]
             link = fit_link(number[rows[own]], buckets[own], y[kept], weight[kept], before[kept])
-            out[~kept] = np.clip(link.log_odds(rows, buckets, n, before)[~kept], -30, 30)
+            out[~kept] = link.probabilities(rows, buckets, n, before)[~kept]
         chain.append(fit_link(rows, buckets, y, weight, before))
         before = np.column_stack([before, out])
     return chain
@@ -128,13 +150,10 @@ def score_texts(column: pa.Array, chain: list[Link]) -> np.ndarray:
     """Probabilities (texts x categories)."""
     n = len(column)
     rows, buckets = word_buckets(column)
-    before = np.zeros((n, 0))
+    out = np.zeros((n, 0))
     for link in chain:
-        before = np.column_stack([before, np.clip(link.log_odds(rows, buckets, n, before), -30, 30)])
-    out = _probability(before)
+        out = np.column_stack([out, link.probabilities(rows, buckets, n, out)])
     out[np.bincount(rows, minlength=n) == 0] = 0
-    out[before <= -30] = 0
-    out[(before >= 30) & (out > 0)] = 1
     return out
 
 
