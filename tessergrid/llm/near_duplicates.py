@@ -234,13 +234,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pivots = keyed.groupBy("key").agg(F.min("member").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c").checkpoint()
     linked = keyed.join(pivots, "key").groupBy("member", "weight").agg(F.sort_array(F.collect_set("pivot")).alias("pivots"))
     linked = linked.checkpoint()
-    pairs = linked.select("*", F.explode("pivots").alias("pivot"))
+    pairs = linked.select("member", F.explode("pivots").alias("pivot"))
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).checkpoint()
+    # a member's block of each of its pivots is settled before texts move, so that no task gets all members of a pivot
+    spot = F.struct("pivot", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"))
+    spots = pairs.join(sizes, "pivot").groupBy("member").agg(F.collect_list(spot).alias("spots"))
     # the texts of linked documents, pivots among them, are fetched once
-    held = kept.store(linked.join(base.where("id is not null"), F.col("member") == F.col("id")).select("member", "weight", "pivots", "body"), large=True)
-    members = held.select("member", "weight", "pivots", F.col("body").alias("member_text"), F.explode("pivots").alias("pivot"))
-    roots = held.select(F.col("member").alias("pivot"), F.col("body").alias("pivot_text")).join(sizes, "pivot")
-    compared = members.join(roots, "pivot").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumns({"left": F.lit(0), "right": F.col("blocks")})
+    held = kept.store(linked.join(spots, "member").join(base.where("id is not null"), F.col("member") == F.col("id")).select("member", "weight", "pivots", "spots", "body"), large=True)
+    members = held.select("member", "weight", "pivots", F.col("body").alias("member_text"), F.explode("spots").alias("spot")).select("*", "spot.pivot", "spot.block", "spot.blocks").drop("spot")
+    roots = held.select(F.col("member").alias("pivot"), F.col("body").alias("pivot_text")).join(sizes, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    compared = members.join(roots, ["pivot", "block"]).withColumns({"left": F.lit(0), "right": F.col("blocks")})
     fields = "member bigint, weight bigint, pivots array<bigint>, pivot bigint, left int, right int, block int, n_pivot int, n_minus int, n_own int, difference binary"
     compared = compared.select("member", "weight", "pivots", "pivot", "left", "right", "block", "member_text", "pivot_text")
     deltas = compared.mapInArrow(lambda it: _differences(it, n), fields)
