@@ -267,18 +267,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id
     if blocks == 1:
         return one(docs, 0)
     # more blocks: what one block finds is carried along in the row; no shuffle and no join
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
     out = one(docs, 0)
     for k in range(1, blocks):
-        out = out.withColumnsRenamed({c: f"_{c}" for c in ("n_hit", "leak_items", "leak_matches", "leak_spans")})
+        out = out.withColumnsRenamed({c: f"{mark}{c}" for c in ("n_hit", "leak_items", "leak_matches", "leak_spans")})
         out = one(out, k)
-        both = F.concat("_leak_spans", "leak_spans")
+        both = F.concat(f"{mark}leak_spans", "leak_spans")
         words = F.array_distinct(F.flatten(F.transform(both, lambda s: F.sequence(s["first"], s["last"]))))
         out = (
             out.withColumn("n_hit", F.size(words).cast("bigint"))
-            .withColumn("leak_items", F.array_sort(F.array_union("_leak_items", "leak_items")))
-            .withColumn("leak_matches", F.concat("_leak_matches", "leak_matches"))
+            .withColumn("leak_items", F.array_sort(F.array_union(f"{mark}leak_items", "leak_items")))
+            .withColumn("leak_matches", F.concat(f"{mark}leak_matches", "leak_matches"))
             .withColumn("leak_spans", both)
-            .drop("_n_hit", "_leak_items", "_leak_matches", "_leak_spans")
+            .drop(*[f"{mark}{c}" for c in ("n_hit", "leak_items", "leak_matches", "leak_spans")])
         )
     return out
 
