@@ -31,6 +31,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textops import SharedTables
 
@@ -154,7 +155,18 @@ def _meeting(firsts: DataFrame, t: float, kept: SharedTables) -> DataFrame:
         flat = part if flat is None else flat.unionByName(part)
     met = flat.groupBy("a_id", "a_line_no", "b_id", "b_line_no", "a_n", "b_n").agg(F.count("*").alias("k"), F.min("rest").alias("rest"))
     # shared prefix words, and what is left after the last of them, must make up the overlap
-    return met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("a_id", "a_line_no", "b_id", "b_line_no")
+    return kept.store(met.where(F.col("k") + F.col("rest") >= _least_shared(F.col("a_n"), F.col("b_n"), t)).select("a_id", "a_line_no", "b_id", "b_line_no", "k"), large=True)
+
+
+def _witnessed(pairs: DataFrame, lines: DataFrame, t: float, kept: SharedTables) -> DataFrame:
+    """The later lines of pairs that reach the threshold; of each line the two likeliest pairs are verified first, the others where both fail."""
+    likely = F.row_number().over(Window.partitionBy("b_id", "b_line_no").orderBy(F.desc("k"), "a_id", "a_line_no"))
+    placed = kept.store(pairs.withColumn("place", likely))
+    ends = ["a_id", "a_line_no", "b_id", "b_line_no"]
+    soon = _verified(placed.where("place <= 2").select(*ends), lines, t, kept)
+    done = soon.select(F.col("id").alias("b_id"), F.col("line_no").alias("b_line_no"))
+    late = _verified(placed.where("place > 2").join(done, ["b_id", "b_line_no"], "left_anti").select(*ends), lines, t, kept)
+    return soon.unionByName(late)
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -177,7 +189,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     settled = easy.select("id", "line_no", F.lit(False).alias("still")).hint("merge")
     flagged = kept.store(open_.join(settled, ["id", "line_no"], "left").select("id", "line_no", "n", "bits", "prefix", F.coalesce("still", F.lit(True)).alias("open")), large=True)
     kept.drop(firsts)
-    rest = _verified(_meeting(flagged, t, kept), lines, t, kept)
+    rest = _witnessed(_meeting(flagged, t, kept), lines, t, kept)
     kept.drop(flagged)
     kept.drop(lines)
     return copies.unionByName(easy).unionByName(rest)

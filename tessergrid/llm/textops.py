@@ -147,12 +147,14 @@ def append_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Ar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one is only set where the session names none (tests, a single machine)."""
+    """The shared folder for checkpoints; one is only set on a single machine whose session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -172,7 +174,8 @@ class SharedTables:
         """``df``, written and read again; ``large`` says that its plan shuffled much, which is then let go."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
+        # hashes of words repeat: a dictionary of up to 8 MB a column halves them
+        df.write.option("parquet.dictionary.page.size", str(8 << 20)).parquet(path)
         if large:
             del df
             self.release()
