@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Ordinal words of editions, in order.
-ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
 
 
 @F.pandas_udf(T.StringType())

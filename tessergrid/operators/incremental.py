@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
+#: Levels of a closure that are read one by one before they are written as one.
+_MERGE = 16
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """(key, change): insert, update, same or delete, by fingerprint."""
@@ -37,20 +43,22 @@ def history(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
-    """(node, depth): everything under the roots, however deep, by one join a level; a node counts where it is first reached."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    """(node, depth): everything under the roots, however deep, by one join a level; a node counts where it is first reached.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    seen = front = roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    A level is written once and appended; every ``_MERGE`` levels become one, so that plans stay short.
+    """
+    front = stored(roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    levels = [front]
     for depth in count(1):  # nodes that were seen do not come again, so cycles end
+        seen = reduce(DataFrame.unionByName, levels)
+        if len(levels) > _MERGE:
+            seen = stored(seen)
+            levels = [seen]
         reached = front.join(edges, front["node"] == edges[parent]).select(F.col(child).alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        front = reached.withColumn("depth", F.lit(depth)).checkpoint()
+        front = stored(reached.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front).checkpoint()
-    return seen
+            return seen
+        levels.append(front)
 
 
 def cascade(children: DataFrame, deleted: DataFrame, *references: tuple[str, str]) -> DataFrame:

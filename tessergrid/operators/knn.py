@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,26 +13,21 @@ from .ranking import top_per
 def knn_graph(df: DataFrame, key: str, group: str, vector: str, k: int = 3, blocks: int | None = None, rows_per_block: int = 4096) -> DataFrame:
     """(left, right, score): for each group of vectors its k most similar other groups, by the best pair of vectors.
 
-    Vectors are dealt into blocks of a bounded number of rows; every pair of blocks meets in one task as two
-    matrices. A task keeps k groups per vector, so what is shuffled is linear in the number of block pairs.
-    Scores are cosines over 0; ties go to the smaller id. Zero and non-finite vectors take no part.
+    Vectors are dealt into blocks of a bounded number of rows; every two blocks meet once, in one task, as two
+    matrices that answer both ways. A task keeps k groups per vector, so what is shuffled is linear in the number
+    of block pairs. Scores are cosines over 0 of vectors of one dimension; ties go to the smaller id. Zero and
+    non-finite vectors take no part.
     """
     v = F.col(vector).cast("array<double>")
     rows = df.where(v.isNotNull() & (F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) > 0) & ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
     if blocks is None:
         blocks = max(1, -(-rows.count() // rows_per_block))
-    rows = rows.select(F.col(key).alias("key"), F.col(group).alias("grp"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    # a row is a left row in its own block's tasks and a right row in those of all blocks
-    lefts = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").alias("a"), F.col("other").alias("b"), F.lit(True).alias("is_left"), "key", "grp", "v")
-    rights = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("other").alias("a"), F.col("block").alias("b"), F.lit(False).alias("is_left"), "key", "grp", "v")
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = rows.select(F.col(group).alias("grp"), v.alias("v"), F.size(v).alias("d"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = rows.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "grp", "d", "v")
 
-    def meet(table: pa.Table) -> pa.Table:
-        is_left = table.column("is_left").to_numpy()
-        grp = table.column("grp").to_numpy()
-        m = np.array(table.column("v").to_pylist(), np.float64)
-        m /= np.sqrt((m * m).sum(1, keepdims=True))
-        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        out: list[tuple[int, int, float]] = []
+    def best(grp: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        out = []
         for a in range(0, len(left), 512):
             part = left[a : a + 512]
             scores = m[part] @ m[right].T
@@ -46,12 +40,21 @@ def knn_graph(df: DataFrame, key: str, group: str, vector: str, k: int = 3, bloc
                         break
                     seen.setdefault(int(grp[right[j]]), float(row[j]))
                 out += [(int(grp[part[i]]), g, s) for g, s in seen.items()]
+        return out
+
+    def meet(table: pa.Table) -> pa.Table:
+        block, grp = table.column("block").to_numpy(), table.column("grp").to_numpy()
+        m = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(block), -1)
+        m = m / np.sqrt((m * m).sum(1, keepdims=True))
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        sides = [np.flatnonzero(block == x) for x in (a, b)]
+        out = best(grp, m, *sides) + (best(grp, m, *sides[::-1]) if a != b else [])
         x = list(zip(*out, strict=True)) if out else ([], [], [])
         return pa.table({"left": pa.array(x[0], pa.int64()), "right": pa.array(x[1], pa.int64()), "score": pa.array(x[2], pa.float64())})
 
-    found = lefts.unionByName(rights).groupBy("a", "b").applyInArrow(meet, "left bigint, right bigint, score double")
-    best = found.groupBy("left", "right").agg(F.max("score").alias("score"))
-    return top_per(best, ["left"], [F.round("score", 9).desc(), F.col("right")], k)
+    found = dealt.groupBy("a", "b", "d").applyInArrow(meet, "left bigint, right bigint, score double")
+    linked = found.groupBy("left", "right").agg(F.max("score").alias("score"))
+    return top_per(linked, ["left"], [F.round("score", 9).desc(), F.col("right")], k)
 
 
 __all__ = ["knn_graph"]

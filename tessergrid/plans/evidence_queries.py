@@ -27,7 +27,7 @@ def search_terms(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_sort(T.terms(F.col("text"), unicode=False)).alias("terms"))
 
 
-_FORMS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.FORM_OF.items()) + "}"
+_FORMS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.WORD_FORMS.items()) + "}"
 
 
 @query("T2", f"SELECT s_suppkey, list_transform(regexp_extract_all(lower(x), '[a-z]+'), lambda w: coalesce(({_FORMS_SQL})[w], w)) AS forms FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Teaching robotics systems' WHEN 1 THEN 'Choose the calibrated sensors' ELSE s_name END AS x FROM supplier)")
@@ -62,9 +62,9 @@ def posting_search(t: Tables) -> DataFrame:
     return top.select("doc_id", "specificity", "body_terms", "title_terms")
 
 
-@query("T5", "SELECT form, list_sort(list(word)) AS words FROM (VALUES " + ", ".join(f"('{f}', '{w}')" for f, ws in T.WORD_FORMS.items() for w in ws.split() if f in ("robot", "analysis")) + ") v(form, word) GROUP BY form")
+@query("T5", "SELECT form, list_sort(list_distinct(list(word) || [form])) AS words FROM (VALUES " + ", ".join(f"('{f}', '{w}')" for w, f in T.WORD_FORMS.items() if f in ("robot", "analysis")) + ") v(form, word) GROUP BY form")
 def expanded_query(t: Tables) -> DataFrame:
-    forms = t.spark.createDataFrame([(w, f) for w, f in T.FORM_OF.items()], "word string, form string")
+    forms = t.spark.createDataFrame([(w, f) for f in sorted(set(T.WORD_FORMS.values())) for w in T.words_of(f)], "word string, form string")
     wanted = t.spark.createDataFrame([("robot",), ("analysis",)], "form string")
     return forms.join(F.broadcast(wanted), "form").groupBy("form").agg(F.array_sort(F.collect_list("word")).alias("words"))
 
@@ -123,7 +123,7 @@ WITH p AS (SELECT a.vec_id // 4 AS l, b.vec_id // 4 AS r, max(list_cosine_simila
 SELECT l AS "left", r AS "right", round(s, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY l ORDER BY round(s, 9) DESC, r) <= 3""")
 def knn_graph(t: Tables) -> DataFrame:
     rows = t.embeddings.withColumn("parent", F.floor(F.col("vec_id") / 4))
-    return knn.knn_graph(rows, "vec_id", "parent", "embedding", 3, rows_per_block=256).select("left", "right", F.round("score", 6).alias("score"))
+    return knn.knn_graph(rows, "vec_id", "parent", "embedding", 3).select("left", "right", F.round("score", 6).alias("score"))
 
 
 # --- units and views

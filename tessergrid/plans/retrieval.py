@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import stored
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -27,11 +28,15 @@ def postings(docs: DataFrame, doc_id: str, text: str, wanted: list[str] | None =
 def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str], unicode: bool = True) -> DataFrame:
     """(doc_id, rank): BM25 with k1 = 1.2, b = 0.75, negated, so that less is better; idf has a floor of 1e-6.
 
+    Texts are read once: each document's length and its query terms are stored, and all statistics come from those.
     A query has few terms, so their document frequencies are a row each and join by broadcast of a bounded table.
     """
-    sizes = docs.select(F.size(T.tokens(F.col(text), unicode)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings(docs, doc_id, text, sorted(set(query)), unicode)
-    df = found.groupBy("term").agg(F.count("*").alias("df")).limit(len(set(query)))
+    wanted = sorted(set(query))
+    words = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text), unicode).alias("words"))
+    read = stored(words.select("doc_id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(wanted)).alias("hits")))
+    sizes = read.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    found = read.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = found.groupBy("term").agg(F.count("*").alias("df")).limit(len(wanted))
     stats = df.join(F.broadcast(sizes))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,16 @@ def get_session(name: str = "tessergrid", cores: int | str = "*", **conf: str) -
     return builder.getOrCreate()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read from the shared folder of checkpoints afterwards; one is only made on a single machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 class Tables:
     """``t.orders`` is the table ``orders`` of the folder; columns and filters reach the scan."""
 
