@@ -9,6 +9,9 @@ and headings of the article itself are never taken for template, however many
 pages carry the same article, nor is a subtree that holds half of the page's text;
 pages with one and the same main content count once, whatever element holds it.
 
+Form controls, media and what shows only without scripts (``noscript``) are not read; formulas (``math``) and what
+stands in for an object are.
+
 Defined cases: null or empty html gives an empty text; a page without an article
 is read from <main>, else from the body; unclosed and stray tags are tolerated as
 browsers do; a page whose url has no host is counted under the empty host; repeated
@@ -42,7 +45,7 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 # What elements are.
 _BLOCKS = frozenset("html body div section article main nav header footer aside form ul ol li dl dt dd table thead tbody tfoot tr caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog fieldset center hr menu search".split())
-_UNREAD = frozenset("script style title textarea noscript template iframe svg math object select button canvas audio video head option".split())
+_UNREAD = frozenset("script style title textarea noscript template iframe svg select button canvas audio video head option".split())
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd tr figcaption caption".split())
 _VOID = frozenset("hr br img input meta link wbr col source track embed area base param".split())
 _SPACED = frozenset("br td th img".split())
@@ -53,6 +56,8 @@ _DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login comment comments respond disqus replies share sharing social related recommended widget".split()
 )
 _OUTSIDE_ARTICLE = frozenset("header masthead topbar".split())
+#: Words that say nothing of themselves: with one of the names above, a class still names such an element.
+_NEUTRAL = frozenset("box boxes wrap wrapper container content bar list section area block panel item items link links button buttons icons inner outer top bottom left right site page global main slot unit form text message banner group row col footer header js sm md lg".split())
 
 
 class Node:
@@ -64,6 +69,19 @@ class Node:
         self.digest, self.size = "", 0
 
 
+def _named(names: list[str], inside: bool) -> bool:
+    """Whether a class or an id says that an element is none of the main text.
+
+    Outside the article a part of a name is enough; inside it the whole must say so, so that ``related-work`` or
+    ``notice-board-history`` stays while ``share-buttons`` goes.
+    """
+    for name in names:
+        parts = {x for x in _PART.split(name) if x}
+        if parts & _DROPPED_NAMES and (not inside or parts <= _DROPPED_NAMES | _NEUTRAL):
+            return True
+    return False
+
+
 def _boilerplate(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is none of the main text, and whether it says it is the main part."""
     main = False
@@ -71,8 +89,9 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
         role = found.get("role", "")
         main = role == "main"
-        names = {x for k in ("class", "id") if k in found for x in _PART.split(found[k])}
-        if role in _DROPPED_ROLES or (names & _DROPPED_NAMES and tag not in ("html", "body")) or (not inside and names & _OUTSIDE_ARTICLE):
+        names = [x for k in ("class", "id") if k in found for x in found[k].split()]
+        top = not inside and any(x in _OUTSIDE_ARTICLE for n in names for x in _PART.split(n))
+        if role in _DROPPED_ROLES or top or (tag not in ("html", "body") and _named(names, inside)):
             return True, main
     return tag in _DROPPED_TAGS or (tag == "header" and not inside), main
 

@@ -94,5 +94,51 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 """
 
 
+# strings of 50 bytes are compared as 100 hexadecimal digits; a run goes on while the next string starts within it
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), cut AS (SELECT doc_id, c, h[2 * c + 1:2 * c + 1098] AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0), 500)) AS c FROM d)
+), w AS (SELECT doc_id, c + p AS p, h[2 * p + 1:2 * p + 100] AS s FROM (SELECT doc_id, c, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM cut)
+), least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), r AS (SELECT doc_id, p FROM w JOIN least USING (s) WHERE m < doc_id
+), mark AS (SELECT *, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -99) + 50 AS new FROM r
+), run AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark) GROUP BY doc_id, k
+), gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM run UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(len(h)) // 2 FROM d LEFT JOIN run ON run.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (SELECT doc_id, string_agg(h[2 * x + 1:2 * y], '' ORDER BY x) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+), n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# lines meet on any of their rarest words; whoever shares none of them has a Jaccard similarity under 0.8
+OP9_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), s AS (SELECT doc_id, no, line, list_distinct(regexp_extract_all(lower(line), '{_WORDS}')) AS w FROM l
+), k AS (SELECT min((doc_id, no)) AS first, list_sort(w) AS w FROM s WHERE len(w) > 0 GROUP BY list_sort(w)
+), f AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM k) GROUP BY x
+), o AS (SELECT first, w, x, row_number() OVER (PARTITION BY first ORDER BY n, x) AS place FROM (SELECT first, w, unnest(w) AS x FROM k) JOIN f USING (x)
+), p AS (SELECT * FROM o WHERE place <= len(w) - ceil(0.8 * len(w) - 1e-9) + 1
+), near AS (SELECT DISTINCT b.first FROM p a JOIN p b ON a.x = b.x AND a.first < b.first AND len(a.w) >= 0.8 * len(b.w) - 1e-9 AND len(b.w) >= 0.8 * len(a.w) - 1e-9 WHERE len(list_intersect(a.w, b.w)) * 1.8 >= (len(a.w) + len(b.w)) * 0.8 - 1e-9
+), gone AS (SELECT s.doc_id, s.no FROM s JOIN k ON list_sort(s.w) = k.w WHERE len(s.w) > 0 AND ((s.doc_id, s.no) <> k.first OR k.first IN (SELECT first FROM near))
+), kept AS (SELECT s.doc_id, count(*) AS n, count(g.no) AS r, string_agg(line, chr(10) ORDER BY s.no) FILTER (WHERE g.no IS NULL) AS kept FROM s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.no = s.no GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS kept FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+# every two documents with a common n-gram are compared on their whole sets
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents
+), g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d WHERE len(w) > 0
+), c AS (SELECT min(doc_id) AS copy_of, count(*) AS weight, g FROM g GROUP BY g
+), e AS (SELECT copy_of, unnest(g) AS x, len(g) AS n FROM c
+), m AS (SELECT a.copy_of AS a, b.copy_of AS b FROM e a JOIN e b ON a.x = b.x AND a.copy_of <> b.copy_of GROUP BY a.copy_of, b.copy_of, a.n, b.n HAVING count(*) * 9 >= (a.n + b.n) * 4
+), r(a, b) AS (SELECT copy_of, copy_of FROM c UNION SELECT r.a, m.b FROM r JOIN m ON m.a = r.b
+), cls AS (SELECT a AS copy_of, min(b) AS class_id FROM r GROUP BY a
+), n AS (SELECT m.a AS copy_of, count(*) AS sets, sum(weight) AS docs FROM m JOIN c ON c.copy_of = m.b GROUP BY m.a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(c.copy_of, d.doc_id) AS copy_of, (coalesce(docs, 0) + coalesce(weight, 1) - 1)::BIGINT AS n_links, coalesce(sets, 0)::BIGINT AS n_text_links
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN c ON c.g = g.g LEFT JOIN cls ON cls.copy_of = c.copy_of LEFT JOIN n ON n.copy_of = c.copy_of
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_chat_views": chat_views.SQL, "op5_vector_search": OP5_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_chat_views": chat_views.SQL, "op5_vector_search": OP5_SQL, "op7_repeated_bytes": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}

@@ -70,3 +70,65 @@ def test_mixtures_of_many_languages_are_kept(spark):
     more = docs.unionByName(spark.createDataFrame([(-1, mixed, None), (-2, "Hi", None), (-3, "12 34", None)], docs.schema))
     assert L.identify(more.where("doc_id = -1"), L.train(docs)).first().score < 0.5
     assert {r.doc_id for r in L.keep_identified(more).where("doc_id < 0").collect()} == {-1, -2}
+
+
+def by_hand(text, langs, table):
+    """The mixture of one text in plain loops: n-grams by hand, EM by hand, languages admitted one at a time."""
+    low = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode())
+    found = {}
+
+    def count(data):
+        for i in range(len(data) - L.GRAM + 1):
+            if data[i] != 32 or data[i + 1] != 32:
+                code = np.array([int.from_bytes(data[i : i + L.GRAM], "big")], np.uint64)
+                bucket = int(L.mix(code * L.MULT)[0] >> np.uint64(48))
+                found[bucket] = found.get(bucket, 0) + 1
+
+    count(low)
+    if not found:
+        count(b" " + low + b"  ")
+    if not found or not any(c.isalpha() for c in text):
+        return "und", {}
+    grams = [(n, [float(x) - float(table[b].max()) for x in table[b]]) for b, n in sorted(found.items())]
+    total = sum(n for n, _ in grams)
+
+    def em(allowed):
+        theta = {k: 1 / len(allowed) for k in allowed}
+        for _ in range(L.ROUNDS):
+            got = dict.fromkeys(allowed, 0.0)
+            for n, logp in grams:
+                p = {k: math.exp(logp[k]) * theta[k] for k in allowed}
+                s = max(sum(p.values()), 1e-30)
+                for k in allowed:
+                    got[k] += n * p[k] / s
+            theta = {k: v / total for k, v in got.items()}
+        return theta, sum(n * math.log(max(sum(math.exp(logp[k]) * theta[k] for k in allowed), 1e-30)) for n, logp in grams)
+
+    every, _ = em(range(len(langs)))
+    alone = [sum(n * logp[k] for n, logp in grams) for k in range(len(langs))]
+    chosen = [max(range(len(langs)), key=lambda k: alone[k])]
+    share, like = {chosen[0]: 1.0}, alone[chosen[0]]
+    for k in sorted((k for k in every if k not in chosen), key=lambda k: -every[k]):
+        if every[k] * total <= 1:
+            break
+        theta, gained = em([*chosen, k])
+        if gained - like <= L.PENALTY * math.log(max(total, 2)) / 2:
+            break
+        chosen, share, like = [*chosen, k], theta, gained
+    return langs[max(share, key=lambda k: share[k])], {langs[k]: v for k, v in share.items() if v > 0}
+
+
+def test_same_as_by_hand(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, table = model = L.train(docs)
+    text = {r.lang: r.text for r in docs.where("n_chars between 1500 and 3000").orderBy("doc_id").collect()}
+    texts = [t[a : a + 150] + " " + u[a : a + 90] for a in (0, 300, 600) for t in text.values() for u in text.values()]
+    texts += [r.text for r in docs.where("n_chars < 600").orderBy("doc_id").limit(60).collect()] + [r.text for r in odd.where("length(text) < 2000").collect()] + ["Hi", "漢", "2024: b", "!"]
+    rows = L.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(2), model).collect()
+    mixed = 0
+    for r in rows:
+        pred, mix = by_hand(r.text, langs, table)
+        mixed += len(mix) > 1
+        assert r.lang_pred == pred and set(r.lang_mix) == set(mix), r.text
+        assert all(abs(r.lang_mix[k] - v) < 5e-3 for k, v in mix.items())
+    assert mixed > 10

@@ -71,3 +71,31 @@ def test_sample_pages(spark):
         inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_innocent_names_and_formulas_stay_in_an_article():
+    page = """<body><div class="site-notice">no</div><article><h1>T</h1><section class="related-work"><p>one</p></section><div id="notice-board-history">two</div><p class="social-history menu-design">three</p>
+    <div class="share-buttons">no</div><div class="comments">no</div><div class="ad">no</div><p>four <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object data="f.swf"><p>five</p></object><noscript>no</noscript><button>no</button></article></body>"""
+    assert P.main_text(page).split("\n\n") == ["T", "one", "two", "three", "four x=2", "five"]
+
+
+def test_template_rule_by_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    pages, parts = [], {}
+    for host, n in (("one.org", 6), ("two.org", 30), ("three.org", 150)):
+        pool = [(f"{host} block {k} says {'so ' * (k % 4)}", rng.choice([0.02, 0.1, 0.19, 0.25, 0.9])) for k in range(12)]
+        for i in range(n):
+            blocks = [f"Story {i} of {host} " + "is long and its own " * 40] + [b.strip() for b, p in pool if rng.random() < p]
+            rng.shuffle(blocks)
+            parts[len(pages)] = (host, blocks)
+            pages.append((len(pages), f"https://{host}/{i}", "<body>" + "".join(f"<section><div><p>{b}</p></div></section>" for b in blocks) + "</body>"))
+    on, size = Counter((h, b) for h, bs in parts.values() for b in set(bs)), Counter(h for h, _ in parts.values())
+    gone = {(h, b) for (h, b), n in on.items() if n >= P.MIN_PAGES and n >= min(P.MIN_SHARE * size[h], P.MANY_PAGES)}
+    assert {h for h, _ in gone} == set(size) and len(on) > len(gone)
+    want = {k: "\n\n".join(b for b in bs if (h, b) not in gone) for k, (h, bs) in parts.items()}
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for limit in (100_000, 0):
+        assert {r.page_id: r.text for r in P.extract_pages(frame, broadcast_rows=limit).collect()} == want
