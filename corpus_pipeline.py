@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessergrid.llm import decontaminate, language_mix, line_dedup, near_duplicates, tokenize_bpe
 from tessergrid.llm.queries import PATTERN, RANK_FILE
-from tessergrid.llm.textops import ensure_checkpoint_dir, table
+from tessergrid.llm.textops import delete, ensure_checkpoint_dir, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    delete(spark, folder, at_exit=True)
     return docs

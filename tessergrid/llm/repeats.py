@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffix_sort import MEMORY, suffix_buckets
+from .suffix_sort import MEMORY, DiskQueue, suffix_buckets
 from .textops import BYTE_CODE, MULT, SharedTables, append_columns, mix, slices, spans, string_bytes
 
 LENGTH = 50
@@ -261,12 +262,15 @@ def _sort_strings(text: np.ndarray, at: np.ndarray, number: np.ndarray, winner:
         winner[own] = np.repeat(np.minimum.reduceat(winner[own], same), np.diff(np.append(same, len(own))))
 
 
-def _shard(packed: pa.Table, length: int) -> pa.Table:
+def _shard(packed: pa.Table, length: int, memory: int, spills: Accumulator | None) -> pa.Table:
     grow = zstandard.ZstdDecompressor().decompress
     ids = np.concatenate([np.frombuffer(grow(x), np.int64) for x in packed.column("ids").to_pylist()])
     meta = np.concatenate([np.frombuffer(grow(x), np.int32).reshape(3, -1) for x in packed.column("meta").to_pylist()], axis=1)
     text = np.frombuffer(b"".join([grow(x) for x in packed.column("text").to_pylist()]), np.uint8)
-    doc, a, b = repeated_spans(ids, meta[1].astype(np.int64), meta[2].astype(np.int64), meta[0].view(np.uint32), text, length)
+    before = DiskQueue.total_spills
+    doc, a, b = repeated_spans(ids, meta[1].astype(np.int64), meta[2].astype(np.int64), meta[0].view(np.uint32), text, length, memory)
+    if spills is not None:
+        spills.add(DiskQueue.total_spills - before)
     order = np.lexsort((a, doc))
     doc, pairs = doc[order], np.stack([a[order], b[order]], 1).astype(np.int32)
     cut = np.append(np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)), len(doc)) if len(doc) else np.zeros(1, np.int64)
@@ -286,14 +290,17 @@ def _merge(found: list[bytes] | None) -> np.ndarray:
     return np.stack([pairs[first, 0], reach[np.append(first[1:], len(pairs)) - 1]], 1)
 
 
-def repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(span_id, spans): for each document that loses bytes, lists of packed (first, last + 1) pairs."""
+def repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, spills: Accumulator | None = None) -> DataFrame:
+    """(span_id, spans): for each document that loses bytes, lists of packed (first, last + 1) pairs.
+
+    A queue of a sort moves to disk beyond ``memory`` bytes; ``spills`` counts how often that happens.
+    """
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("body")).where(f"id is not null and octet_length(body) >= {length}")
     total = base.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     grown = 1 + (length - 1) * 2 / (length - GRAM + 2)
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-total * grown // shard_bytes)))
     packed = base.mapInArrow(lambda it: _pack(it, shards, length, GRAM), "shard int, n int, ids binary, meta binary, text binary")
-    return packed.groupBy("shard").applyInArrow(lambda t: _shard(t, length), "span_id bigint, spans binary").groupBy("span_id").agg(F.collect_list("spans").alias("spans"))
+    return packed.groupBy("shard").applyInArrow(lambda t: _shard(t, length, memory, spills), "span_id bigint, spans binary").groupBy("span_id").agg(F.collect_list("spans").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -23,8 +23,8 @@ from pathlib import Path
 
 import numpy as np
 
-#: Bytes that the queues of one sort hold in memory before they move to disk.
-MEMORY = 256 << 20
+#: Bytes that a queue holds in memory before it moves to disk: less than the queues of a shard of 8 MB need.
+MEMORY = 4 << 20
 #: Alphabets up to this size are swept character by character.
 SMALL_ALPHABET = 1024
 
@@ -32,6 +32,9 @@ SMALL_ALPHABET = 1024
 class DiskQueue:
     """Runs of (position, shared prefix) per character; in order of insertion within a character."""
 
+    #: How often any queue of this process has moved to disk.
+    total_spills = 0
+
     def __init__(self, keys: int, kind: type, memory: int = MEMORY):
         self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(keys)]
         self.kind, self.memory, self.held, self.folder = kind, memory, 0, None
@@ -47,6 +50,7 @@ class DiskQueue:
     def _spill(self) -> None:
         self.folder = self.folder or Path(tempfile.mkdtemp(prefix="suffixes-"))
         self.spills += 1
+        DiskQueue.total_spills += 1
         for key, parts in enumerate(self.parts):
             for k, name in enumerate(("at", "lcp")):
                 if parts:

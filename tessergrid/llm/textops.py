@@ -162,8 +162,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return have.get()
 
 
+def delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder, now or when the session's process ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(target) if at_exit else store.delete(target, True)
+
+
 class SharedTables:
-    """Intermediate results as Parquet in the cluster's shared folder: they cut lineage and outlive executors."""
+    """Intermediate results as Parquet in the cluster's shared folder: they cut lineage and outlive executors, not the session."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -174,8 +181,11 @@ class SharedTables:
         """``df``, written and read again; ``large`` says that its plan shuffled much, which is then let go."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
+        fresh = self.made == 1
         # hashes of words repeat: a dictionary of up to 8 MB a column halves them
         df.write.option("parquet.dictionary.page.size", str(8 << 20)).parquet(path)
+        if fresh:
+            delete(self.spark, self.folder, at_exit=True)
         if large:
             del df
             self.release()
@@ -185,8 +195,7 @@ class SharedTables:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a stored result that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, df._stored_at)
 
     def release(self) -> None:
         """Let Spark delete shuffle files of plans that are done: it does so once the driver's garbage is collected.
@@ -203,4 +212,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SharedTables", "Words", "append_columns", "ensure_checkpoint_dir", "mix", "ngram_hash", "range_hash", "slices", "spans", "string_bytes", "table"]
+__all__ = ["SharedTables", "Words", "append_columns", "delete", "ensure_checkpoint_dir", "mix", "ngram_hash", "range_hash", "slices", "spans", "string_bytes", "table"]

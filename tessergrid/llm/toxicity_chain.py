@@ -35,6 +35,8 @@ FOLDS = 4
 #: A word is a feature of a category if its rate differs by so many standard errors between the two classes; all such words are.
 LEAST_Z = 4.0
 RIDGE = 0.1
+#: Training ends when the gradient has fallen to this part of the first.
+SMALL = 1e-6
 
 
 def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,14 +73,15 @@ def _probability(x: np.ndarray) -> np.ndarray:
     return np.where(x <= -30, 0.0, np.where(x >= 30, 1.0, 1 / (1 + np.exp(-np.clip(x, -30, 30)))))
 
 
-def _conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """The solution of a positive definite system, given by its products and its diagonal."""
+def _conjugate_gradient(product: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray, close: float) -> np.ndarray:
+    """The solution of a positive definite system, given by its products and its diagonal, up to a part ``close`` of the target."""
     x = np.zeros(len(target))
     left = target.copy()
     z = left / diagonal
     way, size = z.copy(), left @ z
+    enough = close * np.abs(target).max()
     for _ in range(10 * len(target)):
-        if np.abs(left).max() < 1e-9:
+        if np.abs(left).max() <= enough:
             break
         along = product(way)
         step = size / (way @ along)
@@ -115,14 +118,18 @@ def fit_link(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, weight: np.nd
     forth = lambda b: np.bincount(row, b[:d][column], n) + dense @ b[d:]
     back = lambda r: np.concatenate([np.bincount(column, r[row], d), dense.T @ r])
     beta = np.zeros(d + dense.shape[1])
-    for _ in range(50):
+    first = None
+    for _ in range(60):
         p = _probability(forth(beta))
+        gradient = back(y - p) - penalty * beta
+        steep = np.abs(gradient).max()
+        first = steep if first is None else first
+        if steep <= SMALL * first:
+            break
         v = np.maximum(p * (1 - p), 1e-6)
         diagonal = np.concatenate([np.bincount(column, v[row], d), (dense**2).T @ v]) + penalty
-        step = _conjugate_gradient(lambda b, v=v: back(v * forth(b)) + penalty * b, back(y - p) - penalty * beta, diagonal)
-        beta += step
-        if np.abs(step).max() < 1e-6:
-            break
+        # a step is solved as closely as it is worth: roughly at first, closely near the end
+        beta += _conjugate_gradient(lambda b, v=v: back(v * forth(b)) + penalty * b, gradient, diagonal, min(0.1, (steep / first) ** 0.5))
     odds = (weight[y == 1].sum() / n1) / (weight[y == 0].sum() / (n - n1))
     return Link(features, beta[:d], beta[d:-1], float(beta[-1] + np.log(odds)))
 

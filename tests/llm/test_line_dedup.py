@@ -64,3 +64,7 @@ def test_no_python_in_the_plan(spark, odd):
     with redirect_stdout(io.StringIO()) as out:
         L.line_report(odd).explain()
     assert "Python" not in out.getvalue() and "Arrow" not in out.getvalue()
+
+
+def test_sql(same):
+    same("op9_line_dedup")

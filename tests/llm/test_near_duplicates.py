@@ -94,3 +94,7 @@ def test_components(spark):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     got = {r.node: r.root for r in N.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {k: v for k, v in root.items() if k in touched and k != v}
+
+
+def test_sql(same):
+    same("op10_ngram_join")

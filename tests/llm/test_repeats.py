@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 from hypothesis import given, settings
@@ -81,3 +82,23 @@ def test_minimizers_depend_on_the_string_only():
     raw = rng.integers(97, 100, 400).astype(np.uint8)
     alone = [int(R.minimizers(raw[i : i + 50], 50, 12)[0]) for i in range(351)]
     assert R.minimizers(raw, 50, 12).tolist() == alone
+
+
+def test_sort_moves_to_disk_when_a_shard_is_far_larger_than_its_memory(spark):
+    rng = random.Random(6)
+    sources = ["".join(rng.choices("abcd ", k=4000)) for _ in range(4)]
+
+    def piece():
+        at = rng.randrange(3700)
+        return rng.choice(sources)[at : at + rng.randint(60, 300)]
+
+    rows = [(i, "".join(piece() + rng.choice("xyz") * 3 for _ in range(20))) for i in range(120)]
+    size, memory, spills = sum(len(t) for _, t in rows), 4000, spark.sparkContext.accumulator(0)
+    assert size / 4 > 20 * memory  # of four shards, one for each shuffle partition
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert got(R.repeat_report(docs, memory=memory, spills=spills)) == expected(rows)
+    assert spills.value > 0
+
+
+def test_sql(same):
+    same("op7_repeated_bytes")
