@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LABELLED = r"(?i)\bISBN(?:-1[03])?\s*:?\s*([0-9X][0-9X\- ]{8,20}[0-9X])\b"
+# Fixed value: how a citation labels an ISBN.
+LABELLED = r"(?i)\bISBN(?:-1[03])?\s*:?\s*([0-9Xx][0-9Xx\- ]{8,20}[0-9Xx])\b"
 
 
-def _digit(digits: Column, i: int) -> Column:
-    return F.substring(digits, i + 1, 1).try_cast("int")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _weighted(digits: Column, n: int, weight) -> Column:
-    total = F.lit(0)
-    for i in range(n):
-        total = total + _digit(digits, i) * weight(i)
-    return total
+def _weighted(digits: Column, n: int, weight: Callable[[Column], Column]) -> Column:
+    one = lambda i: F.substring(digits, i, F.lit(1)).try_cast("int") * weight(i)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda total, i: total + one(i))
 
 
 def check13(digits: Column) -> Column:
     """Check digit of twelve digits."""
-    return (10 - _weighted(digits, 12, lambda i: 1 if i % 2 == 0 else 3) % 10) % 10
+    return (10 - _weighted(digits, 12, lambda i: 3 - 2 * (i % 2)) % 10) % 10
 
 
 def check10(digits: Column) -> Column:
     """Check character of nine digits."""
-    rest = (11 - _weighted(digits, 9, lambda i: 10 - i) % 11) % 11
-    return F.when(rest == 10, F.lit("X")).otherwise(rest.cast("string"))
+    return bound((11 - _weighted(digits, 9, lambda i: 11 - i) % 11) % 11, lambda rest: F.when(rest == 10, F.lit("X")).otherwise(rest.cast("string")))
 
 
 def canonical(value: Column) -> Column:
     """The ISBN-13 of a valid ISBN in any spelling, else an empty string."""
-    raw = F.upper(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^0-9Xx]", ""))
-    ten, thirteen = raw.rlike(r"^[0-9]{9}[0-9X]$"), raw.rlike(r"^[0-9]{13}$")
-    body = F.concat(F.lit("978"), F.substring(raw, 1, 9))
-    return (
-        F.when(ten & (check10(raw) == F.substring(raw, 10, 1)), F.concat(body, check13(body).cast("string")))
-        .when(thirteen & (check13(raw) == _digit(raw, 12)), raw)
-        .otherwise(F.lit(""))
-    )
+
+    def read(raw: Column) -> Column:
+        ten, thirteen = raw.rlike(r"^[0-9]{9}[0-9X]$"), raw.rlike(r"^[0-9]{13}$")
+        made = bound(F.concat(F.lit("978"), F.substring(raw, 1, 9)), lambda body: F.concat(body, check13(body).cast("string")))
+        sound13 = check13(F.substring(raw, 1, 12)).cast("string") == F.substring(raw, 13, 1)
+        return F.when(ten & (check10(F.substring(raw, 1, 9)) == F.substring(raw, 10, 1)), made).when(thirteen & sound13, raw).otherwise(F.lit(""))
+
+    return bound(F.upper(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^0-9Xx]", "")), read)
 
 
 def labelled(citation: Column) -> Column:

@@ -19,7 +19,7 @@ class _Reader(HTMLParser):
         self.parts: list[str] = []
         self.size = 0
         self.silent = 0
-        self.open: tuple[int, int] | None = None
+        self.open: tuple[int, int, int] | None = None
         self.headings: list[dict] = []
         self.images: list[dict] = []
 
@@ -37,14 +37,14 @@ class _Reader(HTMLParser):
         elif tag in _BREAKS:
             self.add("\n")
             if re.fullmatch("h[1-6]", tag):
-                self.open = (int(tag[1]), self.size)
+                self.open = (int(tag[1]), self.size, len(self.parts))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag in _BREAKS:
             if self.open and tag == f"h{self.open[0]}":
-                title = "".join(self.parts)[self.open[1] :].strip()
+                title = "".join(self.parts[self.open[2] :]).strip()
                 if title:
                     self.headings.append({"level": self.open[0], "title": title, "offset": self.open[1]})
                 self.open = None

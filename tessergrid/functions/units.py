@@ -2,86 +2,101 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNIT_BYTES = 4000
-_ENDS = ("\n", ". ", "! ", "? ")
+CONTEXT = 256
+#: A unit may end after a line break, or after the white space behind a sentence.
+_BOUNDARY = re.compile(r"\n|(?<=[.!?])\s+")
 
 
 def spans(text: str, most: int = UNIT_BYTES) -> list[tuple[int, int]]:
-    """Character ranges of at most ``most`` UTF-8 bytes that together are the text, cut after the last
-    line or sentence end in the second half of a unit where there is one."""
-    raw = text.encode("utf-8")
-    out, a, chars = [], 0, 0
-    while a < len(raw):
-        b = min(a + most, len(raw))
-        while b < len(raw) and raw[b] & 0xC0 == 0x80:
-            b -= 1
-        part = raw[a:b].decode("utf-8")
-        if b < len(raw):
-            cut = max(part.rfind(e) + len(e) for e in _ENDS if e in part) if any(e in part for e in _ENDS) else 0
-            if cut > len(part) // 2:
-                part = part[:cut]
+    """Character ranges of at most ``most`` UTF-8 bytes that together are the text; a unit that does not reach the
+    end stops at the last boundary in its second half, where there is one."""
+    raw = text.encode("utf-8", "surrogatepass")
+    out, at, chars = [], 0, 0
+    while at < len(raw):
+        end = min(at + most, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        part = raw[at:end].decode("utf-8", "surrogatepass")
+        if end < len(raw):
+            ends = [m.end() for m in _BOUNDARY.finditer(part)]
+            if ends and ends[-1] >= len(part) // 2:
+                part = part[: ends[-1]]
         out.append((chars, chars + len(part)))
         chars += len(part)
-        a += len(part.encode("utf-8"))
+        at += len(part.encode("utf-8", "surrogatepass"))
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_UNIT = T.ArrayType(T.StructType([*_SPAN.elementType.fields, *[T.StructField(n, T.StringType()) for n in ("unit_text", "before", "after")]]))
+
+
+@F.pandas_udf(_SPAN)
 def unit_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in spans(t or "")])
 
 
-def retrieval_units(docs: DataFrame, doc_id: str, text: str, context: int = 256) -> DataFrame:
-    """(doc_id, unit, start, end, unit_text, before, after): units with the characters around them."""
-    cut = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.posexplode(unit_spans(F.col(text))).alias("unit", "span"))
-    a, b = F.col("span.start"), F.col("span.end")
-    begin = F.greatest(a - context, F.lit(0))
-    return cut.select("doc_id", "unit", a.alias("start"), b.alias("end"), F.substring("body", a + 1, b - a).alias("unit_text"), F.substring("body", begin + 1, a - begin).alias("before"), F.substring("body", b + 1, F.lit(context)).alias("after"))
-
-
-def regions(docs: DataFrame, doc_id: str, text: str, size: int = 6000) -> DataFrame:
-    """(doc_id, region, start, region_text): fixed cuts of ``size`` characters, without Python."""
-    n = F.char_length(F.col(text))
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size)))
-    cut = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.posexplode(starts).alias("region", "start"))
-    return cut.select("doc_id", "region", "start", F.substring("body", F.col("start") + 1, F.lit(size)).alias("region_text"))
-
-
-def best_window(text: Column, wanted: list[str], allowance: int) -> Column:
-    """Where an excerpt of ``allowance`` characters starts: a quarter of it before the hit that the most distinct terms follow."""
-
-    @F.pandas_udf(T.IntegerType())
-    def start(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> int:
-            low = (t or "").lower()
-            hits = sorted((m, w) for w in wanted for m in _occurrences(low, w))
-            if not hits:
-                return 0
-            best, at, a, counts = 0, hits[0][0], 0, {}
-            for b, (_, w) in enumerate(hits):
-                counts[w] = counts.get(w, 0) + 1
-                while hits[b][0] - hits[a][0] > allowance:
-                    counts[hits[a][1]] -= 1
-                    if not counts[hits[a][1]]:
-                        del counts[hits[a][1]]
-                    a += 1
-                if len(counts) > best:
-                    best, at = len(counts), hits[a][0]
-            return max(0, min(at - allowance // 4, len(low) - allowance))
-
-        return texts.map(one)
-
-    return start(text)
-
-
-def _occurrences(text: str, word: str) -> list[int]:
-    out, at = [], text.find(word)
-    while at >= 0:
-        out.append(at)
-        at = text.find(word, at + 1)
-    return out
+@F.pandas_udf(_UNIT)
+def units_of(text: pd.Series) -> pd.Series:
+    one = lambda t: [{"start": a, "end": b, "unit_text": t[a:b], "before": t[max(0, a - CONTEXT) : a], "after": t[b : b + CONTEXT]} for a, b in spans(t)]
+    return text.map(lambda t: one(t or ""))
+
+
+def retrieval_units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, unit, start, end, unit_text, before, after): units with the characters around them; a text is cut once."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(units_of(F.col(text))).alias("unit", "u")).select("doc_id", "unit", "u.*")
+
+
+def regions(docs: DataFrame, doc_id: str, text: str, size: int = 6000, context: int = 600) -> DataFrame:
+    """(doc_id, region, start, region_text, before, after): fixed cuts of ``size`` characters, without Python.
+
+    A text is cut once, from front to back; context comes from the neighbours, not from the text again.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{1,{size}}})"))
+    beside = lambda x, i, step: F.when((i + step >= 0) & (i + step < F.size(x)), F.get(x, i + step)).otherwise("")
+    cut = F.transform("pieces", lambda p, i: F.struct(p.alias("region_text"), F.right(beside(F.col("pieces"), i, -1), F.lit(context)).alias("before"), F.left(beside(F.col("pieces"), i, 1), F.lit(context)).alias("after")))
+    each = docs.select(F.col(doc_id).alias("doc_id"), pieces.alias("pieces")).select("doc_id", F.posexplode(cut).alias("region", "r"))
+    return each.select("doc_id", "region", (F.col("region") * size).alias("start"), "r.*")
+
+
+def excerpt(text: Column, wanted: list[str], allowance: int, anchor: Column | None = None) -> Column:
+    """Struct of start and end of the stretch of ``allowance`` characters to show.
+
+    It begins a quarter of the allowance before its anchor: the given one, else the first of the words of the text that
+    the most distinct wanted words follow within the allowance, else the start.
+    """
+    sought = frozenset(w.casefold() for w in wanted)
+
+    def best(t: str) -> int:
+        hits = [(m.start(), m.group().casefold()) for m in re.finditer(r"\w+", t) if m.group().casefold() in sought]
+        top, where, last, counts = 0, 0, 0, Counter()
+        for at, word in hits:  # the stretch from each hit on; its end only moves forward
+            while last < len(hits) and hits[last][0] < at + allowance:
+                counts[hits[last][1]] += 1
+                last += 1
+            distinct = sum(1 for n in counts.values() if n)
+            if distinct > top:
+                top, where = distinct, at
+            counts[word] -= 1
+        return where
+
+    @F.pandas_udf(_SPAN.elementType)
+    def cut(texts: pd.Series, anchors: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, a in zip(texts, anchors, strict=True):
+            t = t or ""
+            at = best(t) if a is None or a != a else int(a)
+            start = max(0, min(at - allowance // 4, len(t) - allowance))
+            rows.append((start, min(len(t), start + allowance)))
+        return pd.DataFrame(rows, columns=["start", "end"])
+
+    return cut(text, F.lit(None).cast("int") if anchor is None else anchor)

@@ -71,3 +71,66 @@ def cascade(children: DataFrame, deleted: DataFrame, *references: tuple[str, str
 def pending(rows: DataFrame, done: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """Rows whose current fingerprint has not been processed."""
     return rows.join(done.select(key, fingerprint), [key, fingerprint], "left_anti")
+
+
+def import_scope(scopes: DataFrame, members: DataFrame, links: DataFrame, edges: DataFrame, reviewed: DataFrame, fixed: DataFrame, scope: str, fingerprint: str, current: DataFrame, current_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What importing a scope anew does to nodes and edges: (node, action) and (edge, action); nothing if it is as it was.
+
+    ``scopes`` is (scope, fingerprint), ``members`` (scope, node), ``links`` (scope, edge), ``edges`` (edge, src, dst, status),
+    ``reviewed`` and ``fixed`` nodes; ``current`` and ``current_links`` are what the scope has now. An edge that no scope has any
+    more goes unless it was reviewed. A node that the scope has no more stays if another scope has it, is deactivated if an edge
+    that is left or a review names it, stays if it is fixed, and goes otherwise.
+    """
+    same = scopes.where((F.col("scope") == scope) & (F.col("fingerprint") == fingerprint)).limit(1).count() == 1
+    mine, others = members.where(F.col("scope") == scope).select("node"), members.where(F.col("scope") != scope).select("node").distinct()
+    own = links.where(F.col("scope") == scope).select("edge")
+    held = links.where(F.col("scope") != scope).select("edge").unionByName(current_links.select("edge")).distinct()
+    gone = own.join(held, "edge", "left_anti").distinct()
+    told = gone.join(edges, "edge").select("edge", F.when(F.col("status") == "reviewed", "keep").otherwise("delete").alias("action"))
+    left = edges.join(told.where("action = 'delete'"), "edge", "left_anti")
+    named = left.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(reviewed.select("node")).distinct()
+    mark = lambda df, name: df.select("node").distinct().withColumn(name, F.lit(True))
+    stale = mine.join(current.select("node"), "node", "left_anti").distinct()
+    seen = stale.join(mark(others, "elsewhere"), "node", "left").join(mark(named, "named"), "node", "left").join(mark(fixed, "fixed"), "node", "left")
+    action = F.when(F.col("elsewhere"), "keep").when(F.col("named"), "deactivate").when(F.col("fixed"), "keep").otherwise("delete")
+    nodes = seen.select("node", action.alias("action"))
+    return (nodes.limit(0), told.limit(0)) if same else (nodes, told)
+
+
+def import_claims(claims: DataFrame, regions: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Knowledge read from a region: (claim, fault), null for what is taken, and the (claim, status) of what was there before.
+
+    ``claims`` is (claim, region_id, region_fingerprint, kind, title, content, claim_type, quote, visual), ``regions`` (region_id,
+    fingerprint, text, needs_visual), ``earlier`` (claim, region_id, title). A claim says what it is, quotes its region as it is
+    now, and has been seen where the page must be. What a taken claim of the same region and title replaces is superseded.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    both = claims.join(regions.withColumnRenamed("fingerprint", "now"), "region_id", "left")
+    fault = (
+        F.when(F.col("now").isNull(), "unknown region")
+        .when(F.col("now") != F.col("region_fingerprint"), "stale region")
+        .when(F.col("needs_visual") & ~F.coalesce("visual", F.lit(False)), "page not inspected")
+        .when(blank("title") | blank("kind") | blank("content"), "incomplete")
+        .when(F.coalesce("claim_type", F.lit("source-claim")) != "source-claim", "not a source claim")
+        .when(blank("quote"), "no anchor")
+        .when(~F.contains("text", "quote"), "quote not in region")
+    )
+    judged = both.select("claim", "region_id", "title", fault.alias("fault"))
+    taken = judged.where("fault is null").select("region_id", "title").distinct().withColumn("again", F.lit(True))
+    status = F.when(F.col("again"), "superseded").otherwise("current")
+    return judged.select("claim", "fault"), earlier.join(taken, ["region_id", "title"], "left").select("claim", status.alias("status"))
+
+
+def star(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Institutions (id, name), schools (id, institution_id, name) and courses (course_key, institution_id, school_id, title) of flat rows.
+
+    Ids are of names, so the same name is one row whoever writes it; a course without a school has none. The last row of a
+    course counts, by ``at``.
+    """
+    iid = F.substring(F.sha2(F.lower(F.trim("institution")), 256), 1, 24)
+    sid = F.when(F.coalesce(F.trim("school"), F.lit("")) != "", F.substring(F.sha2(F.concat_ws("|", F.lower(F.trim("institution")), F.lower(F.trim("school"))), 256), 1, 24))
+    named = rows.withColumns({"institution_id": iid, "school_id": sid})
+    institutions = named.groupBy(F.col("institution_id").alias("id")).agg(F.min(F.trim("institution")).alias("name"))
+    schools = named.where("school_id is not null").groupBy(F.col("school_id").alias("id"), "institution_id").agg(F.min(F.trim("school")).alias("name"))
+    last = named.groupBy("course_key").agg(F.max_by(F.struct("institution_id", "school_id", "title"), "at").alias("c"))
+    return institutions, schools, last.select("course_key", "c.*")

@@ -6,12 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 
 def top_per(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; the limit is pushed below the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``name``: the place of each row in a total order, from 1, without a task that sees all rows.
+
+    Rows are sorted by range; the sizes of the ranges, one row each, give every range its first number.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = stored(ranged.withColumn("_range", F.shiftright("_at", 33)))
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.col("_at") - F.shiftleft("_range", 33)
+    return kept.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn(name, (F.col("_before") + within + 1).cast("int")).drop("_at", "_range", "_before")
+
+
 def stratified_sample(df: DataFrame, strata: list[str], key: str, seed: str, n: int, interleave: str) -> DataFrame:
     """n rows drawn round-robin from the strata, in an order fixed by a hash of the seed and the key.
 

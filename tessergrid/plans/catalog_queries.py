@@ -46,30 +46,6 @@ def nested_flag(t: Tables) -> DataFrame:
     return nested.select("o_custkey", F.exists("rows", lambda r: (r["o_orderpriority"] == "1-URGENT") | (r["o_orderstatus"] == "P")).alias("flagged"))
 
 
-@query("F6", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 5 IN (1, 2) END AS is_book, regexp_matches(lower(p_type), '\\b(brass|copper)\\b') AND NOT regexp_matches(lower(p_type), 'polished') AS eligible FROM part")
-def material_flags(t: Tables) -> DataFrame:
-    spelled = F.element_at(F.array(*[F.lit(x) for x in ("maybe", " TRUE", "1", "No", "f ")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    kind = F.lower("p_type")
-    return t.part.select("p_partkey", T.flag(spelled).alias("is_book"), (kind.rlike(r"\b(brass|copper)\b") & ~kind.rlike("polished")).alias("eligible"))
-
-
-@query("F7", r"""
-SELECT doc_id, regexp_matches(text, '\n\s*\n') AS has_gap, length(trim(text)) > 280 AS is_long,
-  len(regexp_extract_all(lower(text), '\bthe\b')) > 1 AS repeated FROM documents""")
-def statement_flags(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.col("text").rlike(r"\n\s*\n").alias("has_gap"), (F.char_length(F.trim("text")) > 280).alias("is_long"), (F.regexp_count(F.lower("text"), F.lit(r"\bthe\b")) > 1).alias("repeated"))
-
-
-@query("F8", """
-SELECT page_id, CASE WHEN contains(u, 'blog') THEN 'found' WHEN contains(u, 'www') THEN 'ambiguous' WHEN contains(u, 'm.') THEN 'reference' ELSE 'not-researched' END AS status,
-  trim(regexp_replace(lower(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '\\s+', ' ', 'g')) = '' AS blank
-FROM (SELECT page_id, html, lower(url) AS u FROM pages)""".replace("\\\\", "\\"))
-def status_ladder(t: Tables) -> DataFrame:
-    u = F.lower("url")
-    status = F.when(u.contains("blog"), "found").when(u.contains("www"), "ambiguous").when(u.contains("m."), "reference").otherwise("not-researched")
-    return t.pages.select("page_id", status.alias("status"), (T.plain_text(F.col("html")) == "").alias("blank"))
-
-
 @query("F9", "SELECT o_custkey, list_sort(list(o_orderkey) FILTER (WHERE o_totalprice > 100000)) AS big FROM orders GROUP BY o_custkey")
 def compact_projection(t: Tables) -> DataFrame:
     nested = t.orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("rows"))
@@ -298,14 +274,6 @@ def multi_source_merge(t: Tables) -> DataFrame:
     return aggregates.merge_sources(rows, ["key"], "doc_id", ["lang"], ["source"], {"needs_review": F.col("n_chars") > 2000})
 
 
-@query("A4", """
-SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'P' WHEN bool_or(o_orderstatus = 'O') THEN 'O' WHEN bool_or(o_orderstatus = 'F') THEN 'F' END AS status, count(DISTINCT o_orderpriority) AS n_materials
-FROM orders GROUP BY o_custkey""")
-def precedence_status(t: Tables) -> DataFrame:
-    got = t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"), F.count_distinct("o_orderpriority").alias("n_materials"))
-    return got.select("o_custkey", aggregates.precedence(F.col("s"), ["P", "O", "F"]).alias("status"), "n_materials")
-
-
 @query("A5", """
 WITH link AS (SELECT l_suppkey AS course, l_partkey AS book, count(DISTINCT l_returnflag) AS sources, count(*) AS n FROM lineitem GROUP BY ALL),
 book AS (SELECT book, count(*) AS courses FROM link GROUP BY book)
@@ -334,11 +302,6 @@ def hierarchical_counts(t: Tables) -> DataFrame:
     return rows.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), F.count_if(F.col("c_acctbal") > 0).alias("solvent"))
 
 
-@query("A9", "SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
-def conditional_summary(t: Tables) -> DataFrame:
-    return t.lineitem.agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"), F.count_distinct("l_suppkey").alias("suppliers"))
-
-
 @query("A10", """
 SELECT p_name, arg_max(p_brand, (p_size > 25, -p_partkey)) AS p_brand, -max((p_size > 25, -p_partkey))[2] AS p_partkey, bool_and(p_retailprice > 1000) AS all_verified, count(*) AS n_variants
 FROM part GROUP BY p_name""")
@@ -469,7 +432,7 @@ def heap_topk(t: Tables) -> DataFrame:
 @query("W7", "SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(p_type), p_type) AS place FROM part GROUP BY p_type")
 def group_ordering(t: Tables) -> DataFrame:
     counted = t.part.groupBy("p_type").agg(F.count("*").alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.lower("p_type"), "p_type")).cast("bigint"))
+    return ranking.numbered(counted, [F.desc("n"), F.lower("p_type"), F.col("p_type")]).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("W8", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")
@@ -537,26 +500,11 @@ def edge_dedupe(t: Tables) -> DataFrame:
     return every.groupBy(F.sha2(F.concat_ws("|", "src", "relation", "dst"), 256).alias("id")).agg(F.count("*").alias("n"))
 
 
-@query("M3", """
-WITH m AS (SELECT source AS scope, doc_id % 100 AS node FROM documents), cur AS (SELECT doc_id % 100 AS node FROM documents WHERE source = 'src1' AND n_chars > 3000),
-stale AS (SELECT DISTINCT node FROM m WHERE scope = 'src1' AND node NOT IN (SELECT node FROM cur))
-SELECT node, CASE WHEN node IN (SELECT node FROM m WHERE scope <> 'src1') THEN 'keep' ELSE 'delete' END AS action FROM stale""")
-def scope_import(t: Tables) -> DataFrame:
-    members = t.documents.select(F.col("source").alias("scope"), (F.col("doc_id") % 100).alias("node"))
-    current = t.documents.where("source = 'src1' and n_chars > 3000").select((F.col("doc_id") % 100).alias("node"))
-    return incremental.finish_scope(members, "src1", current, "node")
-
-
 @query("M4 P4", "SELECT user_id, event_id, row_number() OVER w AS version, CASE WHEN lead(event_id) OVER w IS NULL THEN 'current' ELSE 'stale' END AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def review_history(t: Tables) -> DataFrame:
     return incremental.history(t.events.select("user_id", "event_id", "ts"), "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", F.col("version").cast("bigint").alias("version"), "state")
 
 
-@query("M5", "SELECT DISTINCT sha256(c_mktsegment) AS segment_id, c_mktsegment AS label FROM customer")
-def star_projection(t: Tables) -> DataFrame:
-    return t.customer.select(F.sha2("c_mktsegment", 256).alias("segment_id"), F.col("c_mktsegment").alias("label")).distinct()
-
-
 @query("M7", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def legacy_dedupe(t: Tables) -> DataFrame:
     return t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"))

@@ -129,18 +129,6 @@ def knn_graph(t: Tables) -> DataFrame:
 # --- units and views
 
 
-@query("S10", """
-SELECT doc_id, (start // 6000)::INTEGER AS region, start::BIGINT AS start, substr(text, start + 1, 6000) AS region_text
-FROM (SELECT doc_id, text, unnest(range(0, length(text), 6000)) AS start FROM documents)""")
-def chunk_regions(t: Tables) -> DataFrame:
-    return units.regions(t.documents, "doc_id", "text", 6000).withColumn("start", F.col("start").cast("bigint"))
-
-
-@query("T12 T13")
-def utf8_units(t: Tables) -> DataFrame:
-    return units.retrieval_units(t.documents, "doc_id", "text")
-
-
 @query("T12", "SELECT doc_id, length(text) AS n, sha256(text) AS sha FROM documents WHERE text <> ''")
 def units_rebuild(t: Tables) -> DataFrame:
     cut = units.retrieval_units(t.documents, "doc_id", "text")
@@ -148,45 +136,6 @@ def units_rebuild(t: Tables) -> DataFrame:
     return cut.groupBy("doc_id").agg(F.sum(F.char_length("unit_text")).alias("n"), F.sha2(whole, 256).alias("sha"))
 
 
-@query("T11")
-def excerpt_window(t: Tables) -> DataFrame:
-    start = units.best_window(F.col("text"), QUERY_TERMS, 400)
-    return t.documents.select("doc_id", "text", start.alias("start")).select("doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(400)).alias("excerpt"))
-
-
-@query("T16", """
-SELECT conv_id, turn, lag(turn) OVER w AS before, lead(turn) OVER w AS after, sha256(text) AS fingerprint FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-def read_region(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"), F.sha2("text", 256).alias("fingerprint"))
-
-
-@query("T17", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS section FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY conv_id")
-def read_section(t: Tables) -> DataFrame:
-    rows = t.conversations.where("turn between 1 and 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return rows.select("conv_id", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("section"))
-
-
-@query("T18", "SELECT doc_id, (doc_id % 7 = 0 AND length(text) > 500) AS stale FROM documents WHERE length(text) > 100")
-def staleness_check(t: Tables) -> DataFrame:
-    now = t.documents.select("doc_id", F.when((F.col("doc_id") % 7 == 0) & (F.char_length("text") > 500), F.concat(F.lit("#"), "text")).otherwise(F.col("text")).alias("text"))
-    return stale_texts(t.documents.where(F.char_length("text") > 100), now, "doc_id", "text", 100)
-
-
-def stale_texts(was: DataFrame, now: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, stale): whether any region of the stored text reads differently now, or the whole has another hash."""
-    parents = now.select(key, F.col(text).alias("now")).join(was.select(key, F.sha2(text, 256).alias("parent_sha")), key)
-    read = F.substring("now", F.col("start") + 1, F.char_length("region_text"))
-    found = units.regions(was, key, text, size).withColumnRenamed("doc_id", key).join(parents, key)
-    return found.groupBy(key).agg(F.bool_or(F.coalesce((read != F.col("region_text")) | (F.sha2("now", 256) != F.col("parent_sha")), F.lit(True))).alias("stale"))
-
-
-@query("T19 R6", "SELECT doc_id, contains(text, 'and the') AS anchored FROM documents")
-def quote_check(t: Tables) -> DataFrame:
-    quotes = t.documents.select("doc_id", F.lit("and the").alias("quote"))
-    return t.documents.join(quotes, "doc_id").select("doc_id", F.contains("text", "quote").alias("anchored"))
-
-
 @query("S11", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> '' AS has_h1 FROM pages")
 def html_headings(t: Tables) -> DataFrame:
     made = t.pages.select("page_id", markup.html_structure(F.col("html")).alias("s"))
@@ -228,13 +177,6 @@ def isbn_extract(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", found.alias("isbns"), (F.size(found) == 1).alias("single"))
 
 
-@query("E3", "SELECT DISTINCT s_suppkey, unnest(['9780306406157', '9780131103627']) AS isbn FROM supplier WHERE s_suppkey < 5")
-def parse_isbns(t: Tables) -> DataFrame:
-    text = F.lit("0306406152, 978-0-13-110362-7;0131103628\nnonsense")
-    parts = t.supplier.where("s_suppkey < 5").select("s_suppkey", F.explode(F.split(text, r"[,;\n]")).alias("x"))
-    return parts.select("s_suppkey", isbn.canonical(F.col("x")).alias("isbn")).where("isbn <> ''").distinct()
-
-
 @query("E4", """
 SELECT p_partkey, CASE WHEN p_size < 10 THEN 'title-author-edition' WHEN p_size < 20 THEN 'title-edition' ELSE 'title' END AS basis,
   CASE WHEN p_size < 10 THEN 'citation:' || lower(p_name) || '|' || lower(p_brand) || '|' || p_size WHEN p_size < 20 THEN 'title-edition:' || lower(p_name) || '|' || p_size ELSE 'title-candidate:' || lower(p_name) END AS key FROM part""")
@@ -254,55 +196,11 @@ def stable_ids(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", identity.stable_id(identity.folded(F.col("c_name")), F.col("c_nationkey").cast("string")).alias("stable_id"), T.canonical_fingerprint(name=F.col("c_name"), key=F.col("c_custkey")).alias("fingerprint"))
 
 
-@query("E7", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '3' WHEN 1 THEN '12' ELSE 'revised' END AS edition FROM part")
-def edition_identity(t: Tables) -> DataFrame:
-    text = F.when(F.col("p_partkey") % 3 == 0, "Third edition").when(F.col("p_partkey") % 3 == 1, "12th ed.").otherwise("Revised")
-    return t.part.select("p_partkey", identity.edition_number(text).alias("edition"))
-
-
-@query("E8", "SELECT s_suppkey, ['knuth', 'pike', lower(s_name)] AS surnames FROM supplier")
-def author_surnames(t: Tables) -> DataFrame:
-    names = F.concat(F.lit("Donald Knuth; Pike, Rob and "), F.replace("s_name", F.lit(" "), F.lit("")))
-    return t.supplier.select("s_suppkey", identity.surnames(names).alias("surnames"))
-
-
-@query("E9", "SELECT p_partkey, p_name AS title FROM part")
-def display_title(t: Tables) -> DataFrame:
-    cited = F.concat("p_name", F.lit(" (2nd ed., 1999), ISBN 0306406152"))
-    return t.part.select("p_partkey", F.trim(F.regexp_replace(cited, r"(?i)\s*(?:\([^)]*\bed\.?[^)]*\)|,?\s*ISBN.*$)", "")).alias("title"))
-
-
-@query("E10", """
-SELECT p_partkey, CASE WHEN p_size < 10 THEN 'course-source-isbn' WHEN p_size < 15 THEN 'invalid-course-source-isbn' WHEN p_size < 25 THEN 'publisher-edition-matched' WHEN p_size < 35 THEN 'publisher-edition-unconfirmed' ELSE 'missing' END AS status FROM part""")
-def match_ladder(t: Tables) -> DataFrame:
-    s = F.col("p_size")
-    own = F.when(s < 10, "0306406152").when(s < 15, "0306406153")
-    given = t.part.select("p_partkey", own.alias("own"), isbn.canonical(own).alias("ok"))
-    resolved = t.part.where("p_size >= 15 and p_size < 35").select("p_partkey", (s < 25).alias("verified"))
-    status = F.when(F.col("ok") != "", "course-source-isbn").when(F.col("own").isNotNull(), "invalid-course-source-isbn").when(F.col("verified"), "publisher-edition-matched").when(~F.col("verified"), "publisher-edition-unconfirmed").otherwise("missing")
-    return given.join(resolved, "p_partkey", "left").select("p_partkey", status.alias("status"))
-
-
 @query("E12", "SELECT p_brand AS query, count(*) AS books, count(*) FILTER (WHERE p_size < 10) AS ready FROM part GROUP BY p_brand")
 def search_plan(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_brand").alias("query")).agg(F.count("*").alias("books"), F.count_if(F.col("p_size") < 10).alias("ready"))
 
 
-@query("E13", """
-SELECT key, arg_min(name, source) AS name, max(length(name)) AS longest, list_sort(list(DISTINCT source)) AS sources FROM (
-  SELECT md5(s_suppkey::VARCHAR) AS key, s_name AS name, 'a' AS source FROM supplier UNION ALL SELECT md5(c_custkey::VARCHAR), c_name, 'b' FROM customer) GROUP BY key""")
-def source_merge_first_nonnull(t: Tables) -> DataFrame:
-    a = t.supplier.select(F.md5(F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("name"), F.lit("a").alias("source"))
-    b = t.customer.select(F.md5(F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("name"), F.lit("b").alias("source"))
-    return a.unionByName(b).groupBy("key").agg(F.min_by("name", "source").alias("name"), F.max(F.length("name")).cast("bigint").alias("longest"), F.array_sort(F.collect_set("source")).alias("sources"))
-
-
-@query("E14", "SELECT DISTINCT md5((o_custkey % 50)::VARCHAR) AS md5 FROM orders WHERE o_custkey % 2 = 0")
-def verified_membership(t: Tables) -> DataFrame:
-    key = F.when(F.col("o_custkey") % 2 == 0, F.md5((F.col("o_custkey") % 50).cast("string"))).otherwise("not-a-hash")
-    return t.orders.select(key.alias("md5")).where(F.col("md5").rlike("^[0-9a-f]{32}$")).distinct()
-
-
 @query("E15 E26", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#]|$)') AS public FROM pages")
 def url_parts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), identity.public_url(F.col("url")).alias("public"))
@@ -315,24 +213,6 @@ def public_urls(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", identity.public_url(url).alias("public"))
 
 
-@query("E17", f"SELECT doc_id, contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' than ') AS supported FROM documents")
-def token_support(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.contains_phrase(T.tokens(F.col("text"), unicode=False), ["than"]).alias("supported"))
-
-
-@query("E18", "SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) = list_sort(list(DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'O' END)) AS same FROM orders GROUP BY o_custkey")
-def set_equality(t: Tables) -> DataFrame:
-    other = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("O")
-    return t.orders.groupBy("o_custkey").agg((F.array_sort(F.collect_set("o_orderstatus")) == F.array_sort(F.collect_set(other))).alias("same"))
-
-
-@query("E19", "SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cell FROM events")
-def decode_rows(t: Tables) -> DataFrame:
-    """Columnar rows in which a cell may repeat the one above it."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.last(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), ignorenulls=True).over(w).alias("cell"))
-
-
 @query("K1 E20", r"SELECT s_suppkey, CASE WHEN regexp_matches(trim(x), '^[=+\-@]') THEN '''' || x ELSE x END AS cell FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '=SUM(1)' WHEN 1 THEN ' @x' ELSE s_name END AS x FROM supplier)")
 def formula_guard(t: Tables) -> DataFrame:
     x = F.when(F.col("s_suppkey") % 3 == 0, "=SUM(1)").when(F.col("s_suppkey") % 3 == 1, " @x").otherwise(F.col("s_name"))
@@ -349,29 +229,11 @@ def daily_bucket(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/Los_Angeles")).alias("day"))
 
 
-@query("E23", "SELECT s_suppkey, [2024, 2025] AS years, s_suppkey % 2 = 0 AS agrees FROM supplier")
-def year_range(t: Tables) -> DataFrame:
-    text = F.when(F.col("s_suppkey") % 2 == 0, "Fall 2024-25").otherwise("AY 2024-25")
-    start = F.regexp_extract(text, r"(20\d\d)-(\d\d)", 1).cast("int")
-    return t.supplier.select("s_suppkey", F.sequence(start, F.floor(start / 100).cast("int") * 100 + F.regexp_extract(text, r"(20\d\d)-(\d\d)", 2).cast("int")).alias("years"), F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit(r"(fall|spring)")), F.array(F.lit("fall"))).alias("agrees"))
-
-
-@query("E25", r"SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages")
-def html_citations(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("<li>")).cast("bigint").alias("items"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
-
-
 @query("E26", "SELECT o_custkey, max((year(o_orderdate), o_orderkey))[2] AS latest FROM orders GROUP BY o_custkey")
 def latest_version(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.max(F.struct(F.year("o_orderdate").alias("y"), "o_orderkey")).alias("m")).select("o_custkey", F.col("m.o_orderkey").alias("latest"))
 
 
-@query("E27", "SELECT event_id, (props->>'$.k')::BIGINT BETWEEN 0 AND 50 AS valid FROM events")
-def json_rules(t: Tables) -> DataFrame:
-    parsed = F.from_json("props", "k bigint", {"mode": "PERMISSIVE"})
-    return t.events.select("event_id", F.coalesce(parsed["k"].between(0, 50), F.lit(False)).alias("valid"))
-
-
 @query("E28", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['sum'] ELSE ['argmax'] END::VARCHAR[] AS faults FROM supplier")
 def distribution_check(t: Tables) -> DataFrame:
     m = F.col("s_suppkey") % 3
@@ -379,11 +241,6 @@ def distribution_check(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", classify.distribution_faults(p, F.when(m == 2, "y").otherwise("x")).alias("faults"))
 
 
-@query("E30", r"SELECT page_id, regexp_extract(html, '\b(1[5-9]\d\d|20\d\d)\b', 1) AS year, len(regexp_extract_all(html, 'href=')) AS links FROM pages")
-def result_fields(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_extract("html", r"\b(1[5-9]\d\d|20\d\d)\b", 1).alias("year"), F.regexp_count("html", F.lit("href=")).cast("bigint").alias("links"))
-
-
 @query("E31 E35", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' ELSE 'unknown' END AS format, md5(CASE s_suppkey % 3 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN 'PK' || chr(3) || chr(4) || 'x' ELSE 'text' END) AS md5 FROM supplier")
 def magic_bytes(t: Tables) -> DataFrame:
     m = F.col("s_suppkey") % 3
@@ -394,18 +251,6 @@ def magic_bytes(t: Tables) -> DataFrame:
 _SECRET_SQL = ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in T.SECRET_PATTERNS.items() if "\"'" not in p)
 
 
-@query("E32 K12", f"SELECT doc_id, {_SECRET_SQL} FROM documents")
-def secret_scan(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in T.SECRET_PATTERNS.items() if "\"'" not in p])
-
-
-@query("E33", "SELECT p_partkey, ['CS' || p_size, 'EE' || p_size] AS aliases FROM part")
-def code_aliases(t: Tables) -> DataFrame:
-    code = F.concat(F.lit("CS/EE "), F.col("p_size").cast("string"))
-    number = F.regexp_extract(code, r"(\d+)$", 1)
-    return t.part.select("p_partkey", F.transform(F.split(F.regexp_replace(code, r"\s*\d+$", ""), "/"), lambda p: F.concat(p, number)).alias("aliases"))
-
-
 @query("E34", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN l_returnflag END, o_orderstatus) AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def inherited_defaults(t: Tables) -> DataFrame:
     own = F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))
@@ -429,27 +274,6 @@ def rule_classify(t: Tables) -> DataFrame:
     return classify.phrase_hits(t.part, "p_partkey", {"p_type": 4, "p_name": 1}, TAXONOMY, {"soft": ("plated", ["tin", "nickel"])})
 
 
-@query("R2", f"""
-WITH {_hit_sql()}, r AS (SELECT *, rank() OVER (PARTITION BY p_partkey ORDER BY b DESC) AS r FROM h)
-SELECT p_partkey, CASE WHEN count(*) = 1 THEN min(area) ELSE 'other' END AS "primary", list_sort(list(area)) AS candidates FROM r WHERE r = 1 GROUP BY p_partkey""")
-def primary_area(t: Tables) -> DataFrame:
-    return classify.primary(classify.phrase_hits(t.part, "p_partkey", {"p_type": 4, "p_name": 1}, TAXONOMY), "p_partkey")
-
-
-@query("R3", "SELECT c_custkey, n_name AS context FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND left(c_mktsegment, 1) = CASE WHEN n_nationkey % 2 = 0 THEN 'B' ELSE 'M' END")
-def prefix_context(t: Tables) -> DataFrame:
-    dim = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, "B").otherwise("M").alias("prefix"), F.col("n_name").alias("context"))
-    return t.customer.withColumn("prefix", F.left("c_mktsegment", F.lit(1))).join(dim, ["c_nationkey", "prefix"], "left").select("c_custkey", "context")
-
-
-@query("R5 R7 R8", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'model' WHEN doc_id % 3 = 0 THEN 'refined' ELSE lang END AS label, CASE WHEN doc_id % 5 = 0 THEN 'model' WHEN doc_id % 3 = 0 THEN 'refinement' ELSE 'base' END AS basis FROM documents")
-def review_overlay(t: Tables) -> DataFrame:
-    base = t.documents.select("doc_id", F.col("lang").alias("label"))
-    model = base.where("doc_id % 5 = 0").withColumn("label", F.lit("model"))
-    refined = base.where("doc_id % 3 = 0").withColumn("label", F.lit("refined"))
-    return classify.overlay(base, (model, "model"), (refined, "refinement"), key="doc_id", value="label")
-
-
 @query("R9 R10 R12", "SELECT doc_id FROM documents WHERE 0.90 + (doc_id % 10) / 100.0 >= 0.95 AND doc_id % 4 <> 0")
 def confidence_gate(t: Tables) -> DataFrame:
     p = F.create_map(F.lit("yes"), F.when(F.col("doc_id") % 4 == 0, 0.6).otherwise(0.97), F.lit("no"), F.lit(0.03))
@@ -457,14 +281,6 @@ def confidence_gate(t: Tables) -> DataFrame:
     return classify.gate(rows, "confidence", "p").select("doc_id")
 
 
-@query("R13 R11", "SELECT p_partkey, area, min(layer)::INTEGER AS layer FROM (SELECT p_partkey, string_split(p_type, ' ')[1] AS area, 1 AS layer FROM part UNION ALL SELECT p_partkey, unnest(string_split(p_type, ' ')), 2 FROM part) GROUP BY ALL")
-def facet_union(t: Tables) -> DataFrame:
-    parts = F.split("p_type", " ")
-    a = t.part.select("p_partkey", parts[0].alias("area"), F.lit(1).alias("layer"))
-    b = t.part.select("p_partkey", F.explode(parts).alias("area"), F.lit(2).alias("layer"))
-    return a.unionByName(b).groupBy("p_partkey", "area").agg(F.min("layer").alias("layer"))
-
-
 @query("R16", "SELECT p_partkey, length(p_type)::INTEGER AS answer FROM part")
 def state_inference(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", "p_type", F.sha2("p_type", 256).alias("state"))
@@ -483,17 +299,6 @@ def byte_batches(t: Tables) -> DataFrame:
 # --- planning
 
 
-@query("P1 P2", f"""
-WITH {_BM25}, lex AS (SELECT doc_id FROM bm ORDER BY round(rank, 9), doc_id LIMIT 1000), m AS (SELECT doc_id, lang, n_chars, len(list_intersect(list_distinct({_TOKENS}), ['thre', 'than', 'erst', 'ther'])) AS found FROM documents WHERE doc_id IN (SELECT doc_id FROM lex))
-SELECT lang, doc_id, rank, CASE WHEN rank = 1 AND found = 4 THEN 'must-have' ELSE 'supplemental' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY -found, -n_chars, doc_id) AS rank FROM m) WHERE rank <= 3""")
-def education_plan(t: Tables) -> DataFrame:
-    found = retrieval.bm25(t.documents, "doc_id", "text", QUERY_TERMS, unicode=False).orderBy(F.round("rank", 9), "doc_id").limit(1000)
-    wanted = F.array(*[F.lit(w) for w in QUERY_TERMS])
-    rows = t.documents.join(found.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "n_chars", F.size(F.array_intersect(T.tokens(F.col("text"), unicode=False), wanted)).alias("found"))
-    top = ranking.top_per(rows, ["lang"], [-F.col("found"), -F.col("n_chars"), F.col("doc_id")], 3)
-    return top.select("lang", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.when((F.col("rank") == 1) & (F.col("found") == 4), "must-have").otherwise("supplemental").alias("tier"))
-
-
 @query("P3", """
 WITH r AS (SELECT c_nationkey, o_orderpriority AS req, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS turn FROM orders JOIN customer ON o_custkey = c_custkey),
 f AS (SELECT o_custkey, turn, req FROM r QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY turn, req) = 1)
@@ -509,33 +314,13 @@ def review_decisions(t: Tables) -> DataFrame:
     return t.orders.join(known, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("decision"))
 
 
-@query("P5", "SELECT p.p_partkey, p_brand FROM part p JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) l ON p_partkey = l_partkey")
-def proposal_plan(t: Tables) -> DataFrame:
-    proposed = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return t.part.join(proposed, "p_partkey", "left_semi").select("p_partkey", "p_brand")
-
-
-@query("P6", "SELECT p_partkey, sha256(p_name || '|' || p_brand) AS fingerprint FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0")
-def selection_replay(t: Tables) -> DataFrame:
-    now = t.part.select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand"), 256).alias("fingerprint"))
-    saved = t.part.where("p_partkey % 3 = 0").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("changed")), 256).alias("fingerprint"))
-    return now.join(saved, ["p_partkey", "fingerprint"], "left_semi")
-
-
 @query("P7", "SELECT source, list_sort(list(doc_id) FILTER (WHERE contains(text, 'and the'))) AS variants FROM documents GROUP BY source")
 def quote_lineage(t: Tables) -> DataFrame:
     hits = t.documents.where(F.col("text").contains("and the")).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("variants"))
     return t.documents.select("source").distinct().join(hits, "source", "left")
 
 
-@query("P8", "SELECT o_custkey, bool_or(o_totalprice > 300000) AS named, count(*) FILTER (WHERE o_orderstatus = 'P') AS roles FROM orders GROUP BY o_custkey")
-def planner_flags(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") > 300000).alias("named"), F.count_if(F.col("o_orderstatus") == "P").alias("roles"))
-
-
 @query("P9", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'backlog' WHEN quality = 1 THEN 'ready' ELSE 'review' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
 def discovery_backlog(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     return rows.select("doc_id", F.when(F.col("quality").isNull(), "backlog").when(F.col("quality") == 1, "ready").otherwise("review").alias("state"))
-
-

@@ -42,12 +42,6 @@ def backoff(t: Tables) -> DataFrame:
     return t.events.select("event_id", jobs.backoff(F.col("event_id") % 9).alias("delay"))
 
 
-@query("Q9 Q10", "SELECT event_id FROM events WHERE event_id % 3 <> 0 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE value > 95)")
-def resumable_pending(t: Tables) -> DataFrame:
-    stopped = t.events.where("value > 95").select("user_id", "event_type").distinct()
-    return t.events.where("event_id % 3 <> 0").join(stopped, ["user_id", "event_type"], "left_anti").select("event_id")
-
-
 @query("Q2", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_windows(t: Tables) -> DataFrame:
     made = jobs.windowed(_events(t), "ts", ["event_type"], "1 hour", None, "value")

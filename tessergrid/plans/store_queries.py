@@ -10,27 +10,6 @@ from ..session import Tables
 from ..sources import archives, sinks
 
 
-@query("S3 S14", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS records FROM supplier")
-def first_collection(t: Tables) -> DataFrame:
-    """Of a JSON object the first known collection that is there."""
-    m = F.col("s_suppkey") % 3
-    text = F.when(m == 0, '{"courses":[{"k":1},{"k":2}]}').when(m == 1, '{"other":[1,2],"records":[{"k":1}]}').otherwise("{}")
-    parsed = F.from_json(text, ", ".join(f"{c} array<struct<k:int>>" for c in archives.COLLECTIONS))
-    found = F.coalesce(*[parsed[c] for c in archives.COLLECTIONS])
-    return t.supplier.select("s_suppkey", F.coalesce(F.size(found), F.lit(0)).alias("records"))
-
-
-@query("S4 S5", "SELECT l_partkey AS course_key, list_sort(list(DISTINCT l_shipdate::DATE)) AS sources, count(*) AS n_rows FROM lineitem GROUP BY l_partkey")
-def source_rows(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_partkey").alias("course_key")).agg(F.array_sort(F.collect_set(F.to_date("l_shipdate"))).alias("sources"), F.count("*").alias("n_rows"))
-
-
-@query("S1 S2 S7 S9", "SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 9 = 0 THEN text || '?' ELSE text END) AS sound FROM documents")
-def checked_records(t: Tables) -> DataFrame:
-    promised = t.documents.select("doc_id", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")), 256).alias("sha"))
-    return t.documents.join(promised, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("sha")).alias("sound"))
-
-
 @query("S8", "SELECT doc_id, source, sha256(text) AS fingerprint FROM documents WHERE doc_id = 17")
 def evidence_lookup(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "source", "text", F.sha2("text", 256).alias("fingerprint"))
@@ -43,20 +22,6 @@ def owned_rows(t: Tables) -> DataFrame:
     return t.customer.where(F.col("c_nationkey") == 3).select("c_custkey", "c_name")
 
 
-@query("S16 S6", "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'done' ELSE 'not-completed' END AS status FROM part")
-def report_import(t: Tables) -> DataFrame:
-    report = t.part.where("p_size < 20").select("p_partkey", F.lit("done").alias("status"))
-    return archives.import_report(t.part.select("p_partkey"), report, "p_partkey")
-
-
-@query("S12", "SELECT conv_id, turn, CASE WHEN n > 3 THEN 'too many' END AS gap FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
-def staged_figures(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.select("conv_id", "turn", F.when(n > 3, "too many").alias("gap"))
-
-
 @query("K5 K2 K6", "SELECT c_custkey, o.o_orderkey AS book FROM customer LEFT JOIN orders o ON c_custkey = o_custkey AND o_totalprice > 200000")
 def explode_books(t: Tables) -> DataFrame:
     books = t.orders.where("o_totalprice > 200000").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("books"))
@@ -64,37 +29,6 @@ def explode_books(t: Tables) -> DataFrame:
     return sinks.explode_books(rows, "books")
 
 
-@query("K3 K4", "SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
-def snapshot_manifest(t: Tables) -> DataFrame:
-    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("lang", "source")]))
-    return t.documents.select(pair.alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
-
-
-@query("K7 M6", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(*) FILTER (WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans FROM orders")
-def backup_check(t: Tables) -> DataFrame:
-    known = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known"))
-    return t.orders.join(known, "o_custkey", "left").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.count_if(F.col("known").isNull()).alias("orphans"))
-
-
-@query("K8 K10", "SELECT '{\"id\":' || event_id || ',\"state\":\"' || event_type || '\"}' AS line FROM events")
-def job_export(t: Tables) -> DataFrame:
-    return t.events.select(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("state"))).alias("line"))
-
-
-@query("K9", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT unnest([conv_id, conv_id + 100]) FROM conversations)")
-def cited_regions(t: Tables) -> DataFrame:
-    cited = t.conversations.groupBy("conv_id").agg(F.flatten(F.collect_set(F.array(F.col("conv_id"), F.col("conv_id") + 100))).alias("ids")).select(F.explode("ids").alias("doc_id"))
-    return t.documents.select("doc_id").join(cited, "doc_id", "left_semi")
-
-
-@query("M9", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'superseded' WHEN contains(text, 'the') THEN 'reviewed' ELSE 'rejected' END AS status FROM documents")
-def anchored_import(t: Tables) -> DataFrame:
-    """Knowledge is reviewed if its quote occurs in its region; what a later import replaces is superseded."""
-    later = t.documents.where("doc_id % 6 = 0").select("doc_id", F.lit(True).alias("again"))
-    status = F.when(F.col("again"), "superseded").when(F.contains("text", F.lit("the")), "reviewed").otherwise("rejected")
-    return t.documents.join(later, "doc_id", "left").select("doc_id", status.alias("status"))
-
-
 @query("M10", """
 WITH h AS (SELECT conv_id, turn, 1 + (turn * 7 + conv_id) % 4 AS level FROM conversations), p AS (SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM h a LEFT JOIN h b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level < a.level GROUP BY ALL)
 SELECT conv_id, count(*) AS nodes, count(*) FILTER (WHERE parent IS NULL) AS roots, true AS sound FROM p GROUP BY conv_id""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,32 @@ def get_session(name: str = "tessergrid", cores: int | str = "*", **conf: str) -
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df``, computed once and read from the shared folder of checkpoints afterwards; one is only made on a single machine."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share; one is only made on a single machine that names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes with the session."""
+    made = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return made
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once and read from the shared folder of checkpoints afterwards."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -20,6 +20,7 @@ from ..operators.joins import mismatches
 
 #: An archive may unpack to so many bytes.
 MOST_BYTES = 20_000_000
+# The collections that a file may hold, in the order in which they are looked for.
 COLLECTIONS = ("classifications", "courses", "records", "reviews", "sample")
 
 
@@ -59,17 +60,17 @@ def read_payloads(spark: SparkSession, path: str, schema: str, expected: DataFra
 
     ``expected`` (file, sha256, records) is checked before rows are used. Files are unpacked where they are read.
     """
-    rows = _rows(spark, path)
+    rows = unpacked(spark, path)
     if expected is not None:
         found = rows.select("file", "sha256", "records").distinct()
         assert_empty(expected.join(found, ["file", "sha256", "records"], "left_anti"), "files that are missing or changed")
     return rows.select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
+def unpacked(spark: SparkSession, paths: list[str] | str, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame:
     """(dataset, file, sha256, records, value): the rows of files as JSON, with the folder they are in."""
     part = lambda k: F.element_at(F.split("path", "/"), k)
-    files = _binary(spark, path).select(part(-2).alias("dataset"), part(-1).alias("file"), "content")
+    files = spark.read.format("binaryFile").load(paths).select(part(-2).alias("dataset"), part(-1).alias("file"), "content")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,7 +79,7 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
                 text = lzma.decompress(content) if name.endswith(".xz") else content
                 data = json.loads(text)
                 if isinstance(data, dict):
-                    data = next((data[c] for c in COLLECTIONS if isinstance(data.get(c), list)), None)
+                    data = next((data[c] for c in collections if isinstance(data.get(c), list)), None)
                 if not isinstance(data, list):
                     raise ValueError(f"{name} holds no known collection")
                 out += [(dataset, name, hashlib.sha256(content).hexdigest(), len(data), json.dumps(r, ensure_ascii=False)) for r in data]
@@ -87,12 +88,6 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(unpack, "dataset string, file string, sha256 string, records bigint, value string")
 
 
-def scan_datasets(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Rows of all */materials*.json[.xz] files under a root, with the dataset (folder) they come from, grouped by course_key."""
-    rows = _rows(spark, f"{root}/*/*material*").select("dataset", "file", F.from_json("value", schema).alias("r")).select("dataset", "file", "r.*")
-    return rows.groupBy("course_key").agg(F.array_sort(F.collect_set(F.struct("dataset", "file"))).alias("sources"), F.count("*").alias("n_rows"))
-
-
 def load_pairs(spark: SparkSession, pairs: list[tuple[str, str]], schema: str, label_schema: str, key: str = "course_key") -> DataFrame:
     """Inventories joined one to one with their classifications, pair by pair, under the union of their columns."""
     out = None

@@ -37,11 +37,11 @@ def inline_image(src: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(s) for s in src], columns=["bytes", "sha256", "gap"])
 
 
-def stage(images: DataFrame, page: str, order: str, src: str) -> DataFrame:
+def stage(images: DataFrame, page: str, order: str, src: str, *, most_files: int = MOST_FILES, most_bytes: int = MOST_ALL) -> DataFrame:
     """``images`` with bytes, sha256 and gap; what goes over a page's number or total of bytes becomes a gap, not an error."""
     w = Window.partitionBy(page).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     looked = images.withColumn("f", inline_image(F.col(src))).select(*images.columns, "f.*")
     kept = F.col("gap").isNull()
     counted = looked.withColumns({"_n": F.sum(kept.cast("int")).over(w), "_total": F.sum(F.when(kept, F.col("bytes")).otherwise(0)).over(w)})
-    over = F.when(F.col("_n") > MOST_FILES, "too many images").when(F.col("_total") > MOST_ALL, "images too large together")
+    over = F.when(F.col("_n") > most_files, "too many images").when(F.col("_total") > most_bytes, "images too large together")
     return counted.withColumn("gap", F.coalesce("gap", over)).withColumn("sha256", F.when(F.col("gap").isNull(), F.col("sha256"))).drop("_n", "_total")

@@ -165,6 +165,10 @@ def test_brief():
     assert [(c["description"], c["priority"]) for c in got["capabilities"]] == [("calibrate robot sensors", "essential"), ("machine vision", "supplemental"), ("Compare archives", "essential")]
     assert got["exclude"] == ["drones"] and got["existing_knowledge"] == ["linear algebra"] and got["institutions"] == ["mit"]
     brief.validate_brief(got, 3)
+    lists = brief.extract_intent("Optional welding, without painting, wall papering and must have loads; use only Yale and MIT. Optional loads", {"MIT": "mit", "Yale": "yale"})
+    assert [(c["description"], c["priority"]) for c in lists["capabilities"]] == [("welding", "supplemental"), ("loads", "essential")]
+    assert lists["exclude"] == ["painting", "wall papering"] and lists["institutions"] == ["mit", "yale"] and lists["constraints"] == ["use only Yale and MIT"]
+    assert brief.extract_intent("Read 6.003 notes.\n\n")["capabilities"][0]["description"] == "Read 6.003 notes"
     for wrong, n in (({}, 3), (got, 0), (got, True), (got | {"exclude": [""]}, 3)):
         with pytest.raises(ValueError):
             brief.validate_brief(wrong, n)
@@ -176,3 +180,19 @@ def test_bounded_answers():
     assert out == 0 and len(kept) == 4 and all(len(r["text"]) <= 750 for r in kept)
     kept, out = brief.bounded(rows, 900)
     assert len(kept) + out == 4 and out > 0 and rows[0]["text"] == "é" * 3000
+
+
+def test_numbered_over_ranges(spark):
+    rows = [(i * 37 % 101, f"r{i}") for i in range(101)]
+    got = {r.v: r.place for r in ranking.numbered(spark.createDataFrame(rows, "k int, v string").repartition(5), [F.col("k").desc()]).collect()}
+    assert got == {v: 101 - k for k, v in rows}
+    assert ranking.numbered(spark.createDataFrame([], "k int"), [F.col("k")]).count() == 0
+
+
+def test_knn_does_not_depend_on_blocks(spark):
+    import random
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, i // 2, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(90, 90, [0.0] * 4), (91, 91, [1.0, 2.0])], "id int, grp int, v array<double>")
+    runs = [sorted((r.left, r.right, round(r.score, 9)) for r in knn.knn_graph(df, "id", "grp", "v", 3, blocks=b).collect()) for b in (1, 4)]
+    assert runs[0] == runs[1] and len(runs[0]) > 50

@@ -4,7 +4,7 @@ import lzma
 
 import pytest
 
-from tessergrid.sources import archives, assets, sinks
+from tessergrid.sources import archives, assets, course_map, sinks
 
 
 def _archive(folder, rows, parts=3):
@@ -32,15 +32,10 @@ def test_multipart_archive(spark, tmp_path):
 
 
 def test_payloads_pairs_and_datasets(spark, tmp_path):
-    for d, keys in (("a", ["k1", "k2"]), ("b", ["k2"])):
-        (tmp_path / d).mkdir()
-        (tmp_path / d / "materials.json").write_text(json.dumps([{"course_key": k} for k in keys]))
     (tmp_path / "inv.json.xz").write_bytes(lzma.compress(json.dumps({"courses": [{"course_key": "k1", "title": "T"}]}).encode()))
     (tmp_path / "cls.json").write_text(json.dumps({"classifications": [{"course_key": "k1", "area": "x"}]}))
     pair = archives.load_pairs(spark, [(f"{tmp_path}/inv.json.xz", f"{tmp_path}/cls.json")], "course_key string, title string", "course_key string, area string")
     assert [(r.title, r.area) for r in pair.collect()] == [("T", "x")]
-    sources = {r.course_key: r.n_rows for r in archives.scan_datasets(spark, str(tmp_path), "course_key string").collect()}
-    assert sources["k2"] == 2
     wrong = spark.createDataFrame([("cls.json", "0", 1)], "file string, sha256 string, records bigint")
     with pytest.raises(ValueError):
         archives.read_payloads(spark, f"{tmp_path}/cls.json", "course_key string", wrong)
@@ -104,3 +99,43 @@ def test_sinks(spark, tmp_path):
     leaky = spark.createDataFrame([("token = 'abcdefghijklmnop'",)], "t string")
     with pytest.raises(ValueError):
         sinks.export_public(leaky, ["t"], f"{tmp_path}/public2")
+
+
+def _pair(spark, root, courses, labels):
+    for name, kind, rows in (("inv", "courses", courses), ("cls", "classifications", labels)):
+        course_map.put_dataset(spark, f"{root}/{name}", {"p.json": (kind, json.dumps({kind: rows}).encode(), len(rows))})
+
+
+def test_course_map_is_strict(spark, tmp_path):
+    _pair(spark, tmp_path, [{"course_key": "a"}], [{"course_key": "a", "primary_academic_area": "law"}])
+    load = lambda **k: course_map.load_course_map(spark, str(tmp_path), [("inv", "cls")], **k)
+    assert [r.course_key for r in load().collect()] == ["a"]
+    with pytest.raises(ValueError):
+        course_map.load_course_map(spark, str(tmp_path), [("inv", "none")])
+    with pytest.raises(ValueError):
+        course_map.load_course_map(spark, str(tmp_path), [("none", "none")], allow_partial=True)
+    for wrong in ([("b", "x")], [("a", "x"), ("a", "y")]):
+        with pytest.raises(ValueError):
+            load(reviews=spark.createDataFrame(wrong, "course_key string, primary_academic_area string"))
+    _pair(spark, tmp_path, [{"course_key": "a"}, {"course_key": "b"}], [{"course_key": "a"}])
+    with pytest.raises(ValueError):
+        load()
+
+
+def test_materials_must_be_what_the_manifest_names(spark, tmp_path):
+    course_map.put_dataset(spark, f"{tmp_path}/one", {"materials.json": ("materials", json.dumps({"materials": [{"course_key": "a"}]}).encode(), 1)})
+    assert course_map.scan_materials(spark, str(tmp_path)).count() == 1
+    assert course_map.scan_materials(spark, str(tmp_path), ("one",)).count() == 0
+    course_map.put(spark, f"{tmp_path}/one/materials.json", json.dumps({"materials": [{"course_key": "b"}]}).encode())
+    with pytest.raises(ValueError):
+        course_map.scan_materials(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        course_map.one_collection(spark, f"{tmp_path}/one", "records", "course_key string")
+
+
+def test_secrets_are_not_exported(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "fine"), (2, "password = 'abcdefghijklmnop'")], "id int, said string")
+    with pytest.raises(ValueError):
+        sinks.export_public(rows, ["id", "said"], f"{tmp_path}/out")
+    sinks.export_public(rows, ["id"], f"{tmp_path}/ids")
+    assert spark.read.parquet(f"{tmp_path}/ids").columns == ["id"]
