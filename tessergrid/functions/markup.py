@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BREAKS = frozenset("p div section article li ul ol table tr td th h1 h2 h3 h4 h5 h6 br blockquote pre header footer nav main aside figure figcaption dd dt".split())
+# Elements at whose start, and at whose end, a line breaks; headings do both.
+_HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_STARTS = ("p", "div", "br", "li", "tr", "section", "figure", *_HEADS)
+_ENDS = ("p", "div", "li", "tr", "section", "figure", "figcaption", *_HEADS)
 _SILENT = frozenset(("script", "style"))
 
 
@@ -19,6 +22,7 @@ class _Reader(HTMLParser):
         self.parts: list[str] = []
         self.size = 0
         self.silent = 0
+        self.math = 0
         self.open: tuple[int, int, int] | None = None
         self.headings: list[dict] = []
         self.images: list[dict] = []
@@ -30,23 +34,29 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SILENT:
             self.silent += 1
+            return
+        self.math += tag == "math" and not self.silent
+        if self.math and not self.silent:
+            self.add(self.get_starttag_text() or "")
         elif tag == "img" and not self.silent:
             found = dict(attrs)
             self.images.append({"src": found.get("src") or "", "alt": found.get("alt") or "", "offset": self.size})
             self.add(found.get("alt") or "")
-        elif tag in _BREAKS:
+        elif tag in _STARTS and not self.silent:
             self.add("\n")
-            if re.fullmatch("h[1-6]", tag):
+            if tag in _HEADS:
                 self.open = (int(tag[1]), self.size, len(self.parts))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag in _BREAKS:
-            if self.open and tag == f"h{self.open[0]}":
+        elif self.math and not self.silent:
+            self.add(f"</{tag}>")
+            self.math -= tag == "math"
+        elif tag in _ENDS and not self.silent:
+            if self.open and tag in _HEADS:
                 title = "".join(self.parts[self.open[2] :]).strip()
-                if title:
-                    self.headings.append({"level": self.open[0], "title": title, "offset": self.open[1]})
+                self.headings.append({"level": self.open[0], "title": title, "offset": self.open[1]})
                 self.open = None
             self.add("\n")
 
@@ -63,7 +73,7 @@ STRUCTURE = T.StructType([T.StructField("text", _TEXT), T.StructField("headings"
 
 @F.pandas_udf(STRUCTURE)
 def html_structure(html: pd.Series) -> pd.DataFrame:
-    """Text with line breaks at blocks, headings and images with their places in that text."""
+    """Text with line breaks at blocks, headings and images with their places in that text; formulas keep their markup."""
 
     def one(h: str | None) -> tuple:
         reader = _Reader()

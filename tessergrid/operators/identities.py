@@ -244,3 +244,47 @@ def same_identity(expected: DataFrame, seen: DataFrame, fields: list[str]) -> Da
 
 
 __all__ = ["affirmed", "book_key", "code_aliases", "course_code", "course_key", "decoded_rows", "display_title", "edition", "faulty_sets", "institution", "merged_results", "plain", "reading_role", "same_identity", "same_person", "stable_id", "supported", "surnames", "verified", "versions_agree", "words", "years"]
+
+
+def public_link(url: Column) -> Column:
+    """http or https with a host, no user, and no query key that looks like a secret's."""
+    sound = url.rlike(r"^(?i:https?)://[^/?#@\s]+(?:[/?#]|$)") & ~url.rlike(r"^[^:]+:///")
+    secret = url.rlike(r"(?i)\?(?:[^#]*&)?[^=&#]*(?:token|password|secret|credential|signature|api.?key)[^=&#]*=[^&#]")
+    return F.coalesce(sound & ~secret, F.lit(False))
+
+
+def bare_code(value: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s-]", ""))
+
+
+def code_supported(value: Column, excerpt: Column) -> Column:
+    """Whether an excerpt has a code by itself, however it spaces it."""
+    signs = F.filter(F.split(bare_code(value), ""), lambda c: c != "")
+    spaced = F.array_join(F.transform(signs, lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), r"[\s-]*")
+    pattern = F.concat(F.lit(r"(?i)(?<![\w.])"), spaced, F.lit(r"(?:(?![\w.])|(?=\.\s))"))
+    return (F.size(signs) > 0) & F.coalesce(F.rlike(excerpt, pattern), F.lit(False))
+
+
+#: Bases on which a course of a source is one of the catalogue, and what each asks for.
+BASES = ("exact-code-and-title", "official-code-with-title-variant", "official-renumbering", "official-code-alias", "official-yale-term-suffix")
+
+
+def basis_fault(r: dict[str, Column]) -> Column:
+    """Why a match of a source's course with a catalogue's does not hold on the basis it claims; null where it does.
+
+    ``r`` has basis, university, source_code, source_title, code, title, rationale and excerpt.
+    """
+    same_code, same_title = bare_code(r["code"]) == bare_code(r["source_code"]), plain(r["title"]) == plain(r["source_title"])
+    no_reason = F.coalesce(F.trim(r["rationale"]), F.lit("")) == ""
+    both = code_supported(r["code"], r["excerpt"]) & code_supported(r["source_code"], r["excerpt"])
+    suffix = (r["university"] == "yale") & bare_code(r["source_code"]).rlike(r"^[a-z]{2,}\d{4}$") & bare_code(r["code"]).isin(F.concat(bare_code(r["source_code"]), F.lit("a")), F.concat(bare_code(r["source_code"]), F.lit("b")))
+    named = code_supported(r["code"], r["excerpt"]) & supported(r["title"], r["excerpt"])
+    basis = F.coalesce(r["basis"], F.lit(BASES[0]))
+    return (
+        F.when(~basis.isin(*BASES), "unknown basis")
+        .when(basis == BASES[4], F.when(~suffix, "no term suffix").when(no_reason, "no rationale").when(~named, "not in the official catalogue"))
+        .when(basis.isin(*BASES[2:4]), F.when(no_reason, "no rationale").when(~both, "excerpt lacks a code"))
+        .when(~same_code, "codes differ")
+        .when(basis == BASES[0], F.when(~same_title, "titles differ"))
+        .when(no_reason, "no rationale")
+    )

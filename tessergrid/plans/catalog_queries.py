@@ -166,15 +166,6 @@ def requested_semi(t: Tables) -> DataFrame:
     return t.orders.join(asked, ["o_custkey", "o_orderpriority"], "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("J10 E29", """
-SELECT c.c_custkey, s.s_suppkey, CASE WHEN c.num = s.num AND c_nationkey = s_nationkey THEN 'exact' WHEN c.num = s.num THEN 'renumbered' END AS basis
-FROM (SELECT *, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS num FROM customer) c JOIN (SELECT *, regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT AS num FROM supplier) s ON c.num = s.num""")
-def match_bases(t: Tables) -> DataFrame:
-    num = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("bigint").alias("num")
-    a, b = t.customer.select("c_custkey", "c_nationkey", num("c_name")), t.supplier.select("s_suppkey", "s_nationkey", num("s_name"))
-    return a.join(b, "num").select("c_custkey", "s_suppkey", F.when(F.col("c_nationkey") == F.col("s_nationkey"), "exact").otherwise("renumbered").alias("basis"))
-
-
 @query("J11", """
 SELECT p.p_partkey, CASE WHEN n = 1 THEN k END AS resolved, n > 1 AS ambiguous FROM part p
 LEFT JOIN (SELECT p_name AS nm, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY p_name) r ON p.p_name = r.nm""")
@@ -355,16 +346,6 @@ def state_histogram(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("phase"), F.when(F.col("value") > 50, "complete").otherwise("pending").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("A18", "SELECT doc_id, ceil(length(text) / 1000)::BIGINT AS n_units, true AS complete FROM documents WHERE length(text) > 0")
-def unit_coverage(t: Tables) -> DataFrame:
-    from ..functions.units import regions
-
-    cut = regions(t.documents, "doc_id", "text", 1000)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "region_text"))), lambda x: x["region_text"]), "")
-    got = cut.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sha2(joined, 256).alias("h"))
-    return got.join(t.documents.select("doc_id", F.sha2("text", 256).alias("w")), "doc_id").select("doc_id", "n_units", (F.col("h") == F.col("w")).alias("complete"))
-
-
 @query("A19", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def usage_summary(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))

@@ -147,12 +147,6 @@ def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", markup.html_structure(F.col("html")).alias("s")).select("page_id", "s.text", "s.headings", "s.images")
 
 
-@query("S13")
-def markdown_outline(t: Tables) -> DataFrame:
-    made = F.concat(F.lit("# "), F.left("text", F.lit(10)), F.lit("\n\n## Part\n"), "text")
-    return t.documents.select("doc_id", markup.markdown_headings(made).alias("headings"))
-
-
 # --- identities and scalars
 
 _ISBN_SQL = """
@@ -196,23 +190,11 @@ def stable_ids(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", identity.stable_id(identity.folded(F.col("c_name")), F.col("c_nationkey").cast("string")).alias("stable_id"), T.canonical_fingerprint(name=F.col("c_name"), key=F.col("c_custkey")).alias("fingerprint"))
 
 
-@query("E12", "SELECT p_brand AS query, count(*) AS books, count(*) FILTER (WHERE p_size < 10) AS ready FROM part GROUP BY p_brand")
-def search_plan(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.col("p_brand").alias("query")).agg(F.count("*").alias("books"), F.count_if(F.col("p_size") < 10).alias("ready"))
-
-
 @query("E15 E26", r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(url, '^https?://[A-Za-z0-9.-]+(:[0-9]+)?([/?#]|$)') AS public FROM pages")
 def url_parts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), identity.public_url(F.col("url")).alias("public"))
 
 
-@query("E16", "SELECT s_suppkey, s_suppkey % 4 = 0 AS public FROM supplier")
-def public_urls(t: Tables) -> DataFrame:
-    samples = ["https://example.org/a?b=1", "ftp://example.org", "https://user@example.org/", "https://example.org/?api_key=1"]
-    url = F.get(F.array(*[F.lit(u) for u in samples]), (F.col("s_suppkey") % 4).cast("int"))
-    return t.supplier.select("s_suppkey", identity.public_url(url).alias("public"))
-
-
 @query("K1 E20", r"SELECT s_suppkey, CASE WHEN regexp_matches(trim(x), '^[=+\-@]') THEN '''' || x ELSE x END AS cell FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '=SUM(1)' WHEN 1 THEN ' @x' ELSE s_name END AS x FROM supplier)")
 def formula_guard(t: Tables) -> DataFrame:
     x = F.when(F.col("s_suppkey") % 3 == 0, "=SUM(1)").when(F.col("s_suppkey") % 3 == 1, " @x").otherwise(F.col("s_name"))
@@ -234,29 +216,9 @@ def latest_version(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.max(F.struct(F.year("o_orderdate").alias("y"), "o_orderkey")).alias("m")).select("o_custkey", F.col("m.o_orderkey").alias("latest"))
 
 
-@query("E28", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['sum'] ELSE ['argmax'] END::VARCHAR[] AS faults FROM supplier")
-def distribution_check(t: Tables) -> DataFrame:
-    m = F.col("s_suppkey") % 3
-    p = F.create_map(F.lit("x"), F.when(m == 1, 0.9).otherwise(0.7), F.lit("y"), F.lit(0.3))
-    return t.supplier.select("s_suppkey", classify.distribution_faults(p, F.when(m == 2, "y").otherwise("x")).alias("faults"))
-
-
-@query("E31 E35", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' ELSE 'unknown' END AS format, md5(CASE s_suppkey % 3 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN 'PK' || chr(3) || chr(4) || 'x' ELSE 'text' END) AS md5 FROM supplier")
-def magic_bytes(t: Tables) -> DataFrame:
-    m = F.col("s_suppkey") % 3
-    content = F.when(m == 0, F.lit(b"%PDF-1.7")).when(m == 1, F.lit(b"PK\x03\x04x")).otherwise(F.lit(b"text"))
-    return t.supplier.select("s_suppkey", markup.file_format(content).alias("format"), F.md5(content).alias("md5"))
-
-
 _SECRET_SQL = ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in T.SECRET_PATTERNS.items() if "\"'" not in p)
 
 
-@query("E34", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN l_returnflag END, o_orderstatus) AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def inherited_defaults(t: Tables) -> DataFrame:
-    own = F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.coalesce(own, "o_orderstatus").alias("status"))
-
-
 # --- classification
 
 TAXONOMY = {"metals": ["steel", "polished steel", "copper"], "alloys": ["brass", "bronze"], "soft": ["tin", "nickel"]}
@@ -318,9 +280,3 @@ def review_decisions(t: Tables) -> DataFrame:
 def quote_lineage(t: Tables) -> DataFrame:
     hits = t.documents.where(F.col("text").contains("and the")).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("variants"))
     return t.documents.select("source").distinct().join(hits, "source", "left")
-
-
-@query("P9", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'backlog' WHEN quality = 1 THEN 'ready' ELSE 'review' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
-def discovery_backlog(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("quality").isNull(), "backlog").when(F.col("quality") == 1, "ready").otherwise("review").alias("state"))

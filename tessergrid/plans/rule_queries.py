@@ -156,3 +156,17 @@ SELECT facet, CASE WHEN len(reasons) = 0 THEN 'candidate' WHEN course IS NULL OR
   CASE WHEN len(reasons) = 0 THEN CASE WHEN kinds = ['reading'] THEN 'reading-context-candidate' WHEN kinds = ['course'] THEN 'course-metadata-candidate' ELSE 'course-and-reading-context-candidate' END END AS basis, round(mass, 6) AS mass, reasons FROM r""")
 def facet_decisions(t: Tables) -> DataFrame:
     return R.facet_decisions(_SUPPORT.frame(t.spark), _ANCHORS.frame(t.spark))
+
+
+_BOUND = Fixture("bound", "course_key string, dataset_order int, source_fp string, rules_fp string", (("a", 2, "s2", "r2"), ("a", 0, "s0", "r0"), ("a", 1, "s0", None), ("b", 0, "s9", "r9"), ("c", 0, None, "r1"), ("c", 1, "s1", "r1")))
+
+
+@query("R5", f"""
+WITH {_BOUND.sql}, j AS (SELECT course_key, string_agg(coalesce(source_fp, '') || '|' || coalesce(rules_fp, ''), chr(10) ORDER BY dataset_order) AS text, count(*) AS n, any_value(source_fp) AS s, any_value(rules_fp) AS r FROM bound GROUP BY course_key)
+SELECT course_key, n AS datasets, CASE WHEN n = 1 THEN s ELSE sha256(text) END AS source_fingerprint FROM j""")
+def merged_fingerprints(t: Tables) -> DataFrame:
+    """A course of several datasets is bound to what each said of it, in their order; one of a single dataset keeps its fingerprint."""
+    pair = F.concat_ws("|", F.coalesce("source_fp", F.lit("")), F.coalesce("rules_fp", F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dataset_order", pair.alias("p")))), lambda x: x["p"]), "\n")
+    grouped = _BOUND.frame(t.spark).groupBy("course_key").agg(F.count("*").alias("datasets"), F.first("source_fp").alias("s"), joined.alias("text"))
+    return grouped.select("course_key", "datasets", F.when(F.col("datasets") == 1, F.col("s")).otherwise(F.sha2("text", 256)).alias("source_fingerprint"))
