@@ -6,8 +6,11 @@ id loses it. Equal strings are brought together without moving every suffix:
 1. Each string of ``length`` bytes has a minimizer, the least hash among its
    grams of ``GRAM`` bytes, which depends on its bytes only. Neighbouring strings
    mostly have one minimizer, so a document is cut into segments (runs of string
-   starts with one minimizer) that overlap by ``length`` - 1 bytes. Segments go,
-   packed and compressed by map batch, to the shard of their minimizer.
+   starts with one minimizer) that overlap by ``length`` - 1 bytes. Within a map
+   batch equal segments are aggregated: a document that shares one with a smaller id
+   of the batch loses it there and then, so a passage that many documents share
+   leaves a batch once. Segments go, packed and compressed by batch, to the shard of
+   their minimizer.
 2. In a shard, minimizers of one document only are dropped, equal segments
    collapse, and so fall strings whose hash one document has alone. The suffixes of
    what is left are sorted by external induced sorting, which also yields
@@ -95,21 +98,31 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.arange(int(size.sum())) + np.repeat(start - edge, size)]
 
 
+def _content_keys(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the content of each segment: of its strings, in order, and of how many they are."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    hashes = window_hashes(raw, length)
+    step, edge = _ramp(size)
+    return mix(np.add.reduceat(mix(hashes[np.repeat(start, size) + step] + step.astype(np.uint64)), edge) + size.astype(np.uint64))
+
+
 _PACKED = ["shard", "n", "ids", "meta", "text"]
 
 
 def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) in; per shard and pack a row of compressed segments out."""
+    """(id, text) in; per shard and pack a row of compressed segments out, and a row of negative shard with what is lost already."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     held: list[tuple] = []
     bytes_held = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal bytes_held
-        start, size, least, ids, place, raw = [], [], [], [], [], []
+        start, size, least, ids, place, raw, key = [], [], [], [], [], [], []
         base = 0
         for own_raw, own_offsets, own_ids in held:
             s, n, m, row = _segments(own_raw, own_offsets, length, gram)
+            key.append(_content_keys(own_raw, s, n, length))
             start.append(s + base)
             size.append(n)
             least.append(m)
@@ -119,7 +132,13 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int
             base += len(own_raw)
         held.clear()
         bytes_held = 0
-        start, size, least, ids, place, raw = (np.concatenate(x) for x in (start, size, least, ids, place, raw))
+        start, size, least, ids, place, raw, key = (np.concatenate(x) for x in (start, size, least, ids, place, raw, key))
+        number, first = _collapse(raw, start, size + length - 1, key)
+        lowest = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, number, ids)
+        later = ids > lowest[number]
+        gone = ids[later], np.stack([place[later], place[later] + size[later] + length - 1]).astype(np.int32)
+        start, size, least, ids, place = (x[~later] for x in (start, size, least, ids, place))
         shard = (mix(least.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
@@ -130,6 +149,9 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int
             text = _gather(raw, start[own], size[own] + length - 1)
             for c, v in zip(_PACKED, (int(shard[own[0]]), len(own), squeeze(ids[own].tobytes()), squeeze(meta.tobytes()), squeeze(text.tobytes())), strict=True):
                 rows[c].append(v)
+        if len(gone[0]):
+            for c, v in zip(_PACKED, (-1 - int(gone[0][0]) % shards, len(gone[0]), squeeze(gone[0].tobytes()), squeeze(gone[1].tobytes()), b""), strict=True):
+                rows[c].append(v)
         return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), pa.array(rows["n"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in _PACKED[2:])], _PACKED)
 
     for batch in batches:
@@ -168,10 +190,11 @@ def _collapse(text: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.nda
     twin = first[number]
     alike = size == size[twin]
     both = np.flatnonzero(alike & (twin != np.arange(len(start))))
-    if len(both):
-        edge = np.cumsum(size[both]) - size[both]
-        differ = _gather(text, start[both], size[both]) != _gather(text, start[twin[both]], size[both])
-        alike[both] = ~np.logical_or.reduceat(differ, edge)
+    for a, b in slices(np.concatenate([[0], np.cumsum(size[both])]), 1 << 20):
+        some = both[a:b]
+        edge = np.cumsum(size[some]) - size[some]
+        differ = _gather(text, start[some], size[some]) != _gather(text, start[twin[some]], size[some])
+        alike[some] = ~np.logical_or.reduceat(differ, edge)
     for k in np.flatnonzero(~alike):
         number[k], first = len(first), np.append(first, k)
     return number, first
@@ -199,8 +222,8 @@ def repeated_spans(ids: np.ndarray, place: np.ndarray, count: np.ndarray, least:
     text = _gather(text, start, count + length - 1)
     start = np.cumsum(count + length - 1) - (count + length - 1)
     hashes = window_hashes(text, length)
-    step, edge = _ramp(count)
     # a segment's content is known by the hashes of its strings
+    step, edge = _ramp(count)
     key = mix(np.add.reduceat(mix(hashes[np.repeat(start, count) + step] + step.astype(np.uint64)), edge) + count.astype(np.uint64))
     number, first = _collapse(text, start, count + length - 1, key)
     lowest, highest = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
@@ -265,12 +288,15 @@ def _sort_strings(text: np.ndarray, at: np.ndarray, number: np.ndarray, winner:
 def _shard(packed: pa.Table, length: int, memory: int, spills: Accumulator | None) -> pa.Table:
     grow = zstandard.ZstdDecompressor().decompress
     ids = np.concatenate([np.frombuffer(grow(x), np.int64) for x in packed.column("ids").to_pylist()])
-    meta = np.concatenate([np.frombuffer(grow(x), np.int32).reshape(3, -1) for x in packed.column("meta").to_pylist()], axis=1)
-    text = np.frombuffer(b"".join([grow(x) for x in packed.column("text").to_pylist()]), np.uint8)
-    before = DiskQueue.total_spills
-    doc, a, b = repeated_spans(ids, meta[1].astype(np.int64), meta[2].astype(np.int64), meta[0].view(np.uint32), text, length, memory)
-    if spills is not None:
-        spills.add(DiskQueue.total_spills - before)
+    meta = np.concatenate([np.frombuffer(grow(x), np.int32).reshape(-1, n) for x, n in zip(packed.column("meta").to_pylist(), packed.column("n").to_pylist(), strict=True)], axis=1)
+    if packed.column("shard")[0].as_py() < 0:  # lost within a batch
+        doc, a, b = ids, meta[0].astype(np.int64), meta[1].astype(np.int64)
+    else:
+        text = np.frombuffer(b"".join([grow(x) for x in packed.column("text").to_pylist()]), np.uint8)
+        before = DiskQueue.total_spills
+        doc, a, b = repeated_spans(ids, meta[1].astype(np.int64), meta[2].astype(np.int64), meta[0].view(np.uint32), text, length, memory)
+        if spills is not None:
+            spills.add(DiskQueue.total_spills - before)
     order = np.lexsort((a, doc))
     doc, pairs = doc[order], np.stack([a[order], b[order]], 1).astype(np.int32)
     cut = np.append(np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)), len(doc)) if len(doc) else np.zeros(1, np.int64)
