@@ -12,8 +12,9 @@ result does not depend on any processing order.
    Lines meet on (prefix word, length class), under length, positional and
    bitmap filters, each of which only drops pairs that cannot reach t.
 4. First every line meets two lines of each of its groups, the earliest and the one
-   with most copies, and the two best of those are verified (linear in the group);
-   pairs whose later line that settles are not looked at again.
+   with most copies, and the two best of those are verified (linear in the group, and
+   a group of a frequent word is split, so that none is gathered in one task); pairs
+   whose later line that settles are not looked at again.
 5. Surviving pairs are verified on the words themselves.
 
 Defined cases: a null text stays null, an empty one empty; lines without a word
@@ -36,6 +37,8 @@ THRESHOLD = 0.8
 SLOTS = 1 << 20
 #: Parts in which prefix words are joined, one after the other.
 TURNS = 4
+#: From this rank on, that is from about 16,000 lines with a word, a group is split; a part has about so many lines.
+SPLIT_RANK = 57
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -138,8 +141,11 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # {n words} and the same with one more reach t from n = t / (1 - t) on; smaller sets only match themselves
     least = math.floor(t / (1 - t) + 1e-9)
     kind = F.floor(F.log("n") / F.lit(-math.log(t)) + 1e-9).cast("int")
+    # a group of a frequent word is split by the lines' documents: each part has heads of its own
+    doublings = F.greatest(F.lit(0), F.floor((F.shiftrightunsigned("word", 52) - SPLIT_RANK) / 4) + 1).cast("int")
+    part = F.xxhash64("at.id").bitwiseAND(F.call_function("shiftleft", F.lit(1), doublings).cast("bigint") - 1).cast("int")
     line = F.struct(F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), "n", "pos", "even", "odd")
-    entries = firsts.where(F.col("n") >= least).select("n", "at", "copies", "even", "odd", F.posexplode("prefix").alias("pos", "word")).select("word", kind.alias("kind"), "copies", line.alias("b"))
+    entries = firsts.where(F.col("n") >= least).select("n", "at", "copies", "even", "odd", F.posexplode("prefix").alias("pos", "word")).select("word", (part * 1024 + kind).alias("kind"), "copies", line.alias("b"))
     # of each group two lines are tried first: the earliest, and the one with most copies
     group = Window.partitionBy("word", "kind")
     often = F.struct("copies", (-F.col("b.id")).alias("id"), (-F.col("b.line_no")).alias("no"), "b")

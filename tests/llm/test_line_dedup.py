@@ -50,6 +50,14 @@ def test_many_near_lines(spark, seed):
     assert got(L.line_report(docs)) == expected(rows)
 
 
+def test_split_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "SPLIT_RANK", 4)  # every word of two lines or more
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*base[: rng.randint(9, 12)], f"x{rng.randint(0, 3)}"])) for i in range(60)]
+    assert got(L.line_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))) == expected(rows)
+
+
 def test_sample_data(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert got(L.line_report(docs)) == expected([(r.doc_id, r.text) for r in docs.collect()])

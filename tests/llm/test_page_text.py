@@ -85,10 +85,10 @@ def test_template_rule_by_brute_force(spark):
 
     rng = random.Random(8)
     pages, parts = [], {}
-    for host, n in (("one.org", 6), ("two.org", 30), ("three.org", 150)):
+    for host, n in (("one.org", 15), ("two.org", 30), ("three.org", 150)):
         pool = [(f"{host} block {k} says {'so ' * (k % 4)}", rng.choice([0.02, 0.1, 0.19, 0.25, 0.9])) for k in range(12)]
         for i in range(n):
-            blocks = [f"Story {i} of {host} " + "is long and its own " * 40] + [b.strip() for b, p in pool if rng.random() < p]
+            blocks = [f"Story {i} of {host}" + " is long and its own" * 40] + [b.strip() for b, p in pool if rng.random() < p]
             rng.shuffle(blocks)
             parts[len(pages)] = (host, blocks)
             pages.append((len(pages), f"https://{host}/{i}", "<body>" + "".join(f"<section><div><p>{b}</p></div></section>" for b in blocks) + "</body>"))
