@@ -42,7 +42,7 @@ LENGTH = 50
 GRAM = 12
 #: Bytes of segments a shard holds, about, and bytes of text a map batch packs at a time.
 SHARD_BYTES = 8 << 20
-PACK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 _SEPARATOR = 255  # no byte of UTF-8
 
 
@@ -138,6 +138,7 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int
         np.minimum.at(lowest, number, ids)
         later = ids > lowest[number]
         gone = ids[later], np.stack([place[later], place[later] + size[later] + length - 1]).astype(np.int32)
+        del key, number
         start, size, least, ids, place = (x[~later] for x in (start, size, least, ids, place))
         shard = (mix(least.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
@@ -157,7 +158,7 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int
     for batch in batches:
         raw, offsets = string_bytes(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in slices(offsets, 1 << 20):
+        for a, b in slices(offsets, 1 << 18):
             held.append((raw[offsets[a] : offsets[b]].copy(), offsets[a : b + 1] - offsets[a], ids[a:b]))
             bytes_held += int(offsets[b] - offsets[a])
             if bytes_held > PACK_BYTES:

@@ -94,3 +94,30 @@ def test_sample_data(spark):
     read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
     docs, bench = read("documents"), read("benchmark")
     assert got(D.leak_report(docs, bench)) == expected([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+
+
+def test_several_blocks_with_clashing_columns(spark, odd):
+    text = {r.doc_id: r.text for r in odd.collect()}
+    bench = spark.createDataFrame([(1, text[6]), (2, " ".join(text[10].split()[500:530])), (3, "one two")], "item_id bigint, text string")
+    names = ["_n_hit", "_leak_items", "__leak_spans", "_text", "leak"]
+    clash = odd.withColumns({n: odd.source for n in names})
+    found = D.find_leaks(clash, bench, block_bytes=200)
+    assert set(clash.columns) <= set(found.columns) and {r.doc_id for r in found.where("n_hit > 0").collect()} == {r.doc_id for r in D.find_leaks(odd, bench).where("n_hit > 0").collect()}
+    assert D.remove_leaked(clash, bench, block_bytes=200).columns == clash.columns
+
+
+def test_a_long_item_takes_little_memory(spark):
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    long_ = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    tracemalloc.start()
+    D._Matcher(D.load_benchmark([("1", long_)], 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    docs = spark.createDataFrame([(1, "x " + " ".join(long_.split()[7000:12_000]) + " y"), (2, "w1 w2 w3")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, long_)], "item_id bigint, text string")
+    rows = {r.doc_id: (r.n_hit, r.longest_match) for r in D.leak_report(docs, bench).collect()}
+    assert rows == {1: (5000, 5000), 2: (0, 0)}
