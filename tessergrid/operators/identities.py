@@ -288,3 +288,9 @@ def basis_fault(r: dict[str, Column]) -> Column:
         .when(basis == BASES[0], F.when(~same_title, "titles differ"))
         .when(no_reason, "no rationale")
     )
+
+
+def harvested_urls(payload: Column) -> Column:
+    """Sorted http(s) URLs of a JSON text, at any depth, under keys that say url."""
+    keyed = F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(r'"[^"]*url[^"]*"\s*:\s*(\[[^\]]*\]|"[^"]*")'))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(keyed, lambda v: F.regexp_extract_all(v, F.lit(r'"(https?://[^"/?#\s][^"]*)"'))))))

@@ -116,9 +116,9 @@ def match_requirements(fields: DataFrame, requirements: list[str], *, search_ter
     spark = fields.sparkSession
     if not wordings:
         return spark.createDataFrame([], "course_id string, requirement string, query_used string, field string, passage string, matched_terms array<string>, missing_terms array<string>, coverage double, lexical_fit double, strength int, label_terms array<string>, context_review boolean, work_review boolean, support string")
-    asked = fields.sparkSession.range(1).select(F.explode(F.array(*[_literal(w) for w in wordings])).alias("a"))
+    asked = F.array(*[_literal(w) for w in wordings])
     cut = passages(fields)
-    met = cut.join(F.broadcast(asked), F.arrays_overlap("said", "a.wanted")).withColumn("found", F.array_intersect("a.wanted", "said"))
+    met = cut.withColumn("a", F.explode(F.filter(asked, lambda a: F.arrays_overlap(F.col("said"), a["wanted"])))).withColumn("found", F.array_intersect("a.wanted", "said"))
     label = F.col("field").isin(*LABELS)
     labels = met.where(label).groupBy("course_id", F.col("a.requirement").alias("requirement"), F.col("a.place").alias("place")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("label_terms"))
     n_found, n_wanted, generic = F.size("found"), F.size("a.wanted"), _words(T.GENERIC_WORDS)

@@ -86,6 +86,15 @@ rule(
     lambda: {"html": render.html_link(c("title"), c("url")), "markdown": render.markdown_link(c("title"), c("url"))},
 )
 
+rule(
+    "harvested_urls", "E15", "payload string", "urls array<string>",
+    [
+        ('{"source_url": "https://b.example/x", "more": {"urls": ["http://a.example", "ftp://c", "https://b.example/x"], "note": "https://no.example"}}', ["http://a.example", "https://b.example/x"]), ('[{"course_url_list": []}, {"deep": [{"url": "https://d.example?q=1"}]}]', ["https://d.example?q=1"]),
+        ('{"url": null, "urls": ["https://", "https:///x"]}', []), ("", []), (None, []), ('{"URL": "https://upper.example"}', []), ('{"link": "https://e.example"}', []),
+    ],
+    lambda: {"urls": N.harvested_urls(c("payload"))},
+)
+
 _REVIEWED = Fixture("records", "course_key string, source_fingerprint string, classification_fingerprint string, status string, urls array<string>, texts array<string>", (("a", "s", "c", "candidate", ["u1", "u2"], ["Signals and Systems", "On the history of loads."]), ("b", "s", "c", "reviewed", ["u1"], ["x"])))
 _REVIEWS = Fixture(
     "reviews",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessergrid.functions import identity, isbn, markup, units, vectors
 from tessergrid.functions import text as T
-from tessergrid.operators import aggregates, classify, filters, incremental, joins, knn, ranking
+from tessergrid.operators import aggregates, classify, evidence, filters, incremental, joins, knn, ranking
 from tessergrid.plans import brief, retrieval
 from tessergrid.streaming import jobs
 
@@ -81,13 +81,14 @@ def test_closure_of_a_deep_chain(spark):
 
 
 def test_edits_anywhere_are_stale(spark):
-    from tessergrid.plans.evidence_queries import stale_texts
-
-    text = "abcdefghij" * 5
-    now = {1: text, 2: text[:45] + "X" + text[46:], 3: text + "more", 4: "X" + text[1:], 5: "short", 6: None}
-    was = spark.createDataFrame([(i, "short" if i == 5 else text) for i in now], "id int, text string")
-    new = spark.createDataFrame(list(now.items()), "id int, text string")
-    assert {r.id: r.stale for r in stale_texts(was, new, "id", "text", 20).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False, 6: True}
+    was = spark.createDataFrame([(1, "x" * 150), (2, "y" * 195 + "end" + "y" * 40), (3, ""), (4, "gone"), (5, "z" * 120)], "doc_id int, text string")
+    now = spark.createDataFrame([(1, "x" * 150), (2, "y" * 195 + "END" + "y" * 40), (3, ""), (5, "z" * 90)], "doc_id int, text string")
+    cut = lambda df: units.regions(df, "doc_id", "text", 100, 20)
+    hashes = was.select("doc_id", F.lit("-").alias("was")).join(now.select("doc_id", F.lit("-").alias("now")), "doc_id", "left")
+    faults = {(r.doc_id, r.region): r.fault for r in evidence.region_faults(cut(was), cut(now), hashes).collect()}
+    assert faults == {(1, 0): None, (1, 1): None, (2, 0): None, (2, 1): "text-differs", (2, 2): "context-differs", (4, 0): "unknown-source", (5, 0): "text-differs", (5, 1): "offsets"}
+    whole = was.select("doc_id", F.sha2("text", 256).alias("was")).join(now.select("doc_id", F.sha2("text", 256).alias("now")), "doc_id", "left")
+    assert {r.doc_id for r in evidence.region_faults(cut(was), cut(now), whole).where("fault = 'source-changed'").collect()} == {2, 5}
 
 
 def test_upsert_and_history(spark):
