@@ -33,20 +33,24 @@ OPEN, CLOSE, MARK = "<|im_start|>", "<|im_end|>\n", "<|im_"
 
 
 def _in_order(turns: DataFrame, kept: SharedTables) -> DataFrame:
-    """conv_id, ord (from 0 in its dialogue), role, text."""
+    """conv_id, role, text, and where each turn stands in the order of all: ``at``, whose upper bits are its ``range``."""
     # repeated rows are told apart, so that a range may end between them
     keys = ["conv_id", F.col("turn").asc_nulls_first(), "role", "tie", "copy"]
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = turns.withColumns({"tie": F.md5("text"), "copy": F.monotonically_increasing_id()}).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
-    placed = kept.store(ranged.withColumn("at", at).withColumn("range", F.shiftright("at", 33)).drop("tie", "copy", "turn"), large=True)
+    return kept.store(ranged.withColumn("at", at).withColumn("range", F.shiftright("at", 33)).drop("tie", "copy", "turn"), large=True)
+
+
+def _chunked(placed: DataFrame, sizes: DataFrame, chunk_turns: int) -> DataFrame:
+    """``placed`` with ``ord``, the place of a turn in its dialogue from 0, and its ``chunk``; ``sizes`` are turns a dialogue and range."""
     # of each range only the first dialogue can have begun before it, so there is one row a range
-    sizes = placed.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     begun = sizes.withColumn("before", F.sum("n").over(earlier)).where("before is not null").select(F.col("conv_id").alias("own"), F.col("range").alias("its"), "before")
     here = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("at"))
     numbered = placed.withColumn("here", here).join(F.broadcast(begun), F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("range") == F.col("its")), "left")
-    return numbered.select("conv_id", (F.col("here") - 1 + F.coalesce("before", F.lit(0))).cast("bigint").alias("ord"), "role", "text")
+    ord_ = (F.col("here") - 1 + F.coalesce("before", F.lit(0))).cast("bigint")
+    return numbered.withColumn("ord", ord_).withColumn("chunk", F.floor(F.col("ord") / chunk_turns)).drop("at", "range", "here", "own", "its", "before")
 
 
 def perspectives(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
@@ -58,22 +62,26 @@ def perspectives(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
         F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"\s+", " ").alias("role"),
         F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit("<| im_")).alias("text"),
     )
-    said = kept.store(_in_order(rows, kept).withColumn("chunk", F.floor(F.col("ord") / chunk_turns)), large=True)
-    chunks, who = said.select("conv_id", "chunk").distinct(), said.where("role <> 'system'").select(F.col("conv_id").alias("own"), F.col("role").alias("participant")).distinct()
+    placed = _in_order(rows, kept)
+    sizes = kept.store(placed.groupBy("conv_id", "range").agg(F.count("*").alias("n")))
+    last = F.floor((F.sum("n") - 1) / chunk_turns)
+    chunks = sizes.groupBy("conv_id").agg(last.alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("chunk"))
+    who = placed.where("role <> 'system'").select(F.col("conv_id").alias("own"), F.col("role").alias("participant")).distinct()
     wanted = chunks.join(who, F.col("conv_id").eqNullSafe(F.col("own"))).select(F.col("conv_id").alias("own"), F.col("chunk").alias("its"), "participant")
     mine = F.col("role") == F.col("participant")
     head = F.when(mine, F.lit(f"{OPEN}assistant\n")).when(F.col("role") == "system", F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), F.col("role"), F.lit("\n")))
     seen = lambda rows: rows.join(wanted, F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("chunk") == F.col("its"))).select("conv_id", "chunk", "participant", "ord", mine.alias("mine"), head.alias("head"), *[c for c in ("text", "size") if c in rows.columns])
     view = ["conv_id", "chunk", "participant"]
     # lengths alone say where chunks start; texts need not move for it
-    sizes = seen(said.select("conv_id", "chunk", "ord", "role", F.length("text").alias("size"))).groupBy(*view).agg(F.sum(F.length("head") + F.col("size") + len(CLOSE)).alias("length"))
+    lean = _chunked(placed.select("conv_id", "at", "range", "role", F.length("text").alias("size")), sizes, chunk_turns)
+    lengths = seen(lean).groupBy(*view).agg(F.sum(F.length("head") + F.col("size") + len(CLOSE)).alias("length"))
     before = Window.partitionBy("conv_id", "participant").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("conv_id").alias("own"), F.col("chunk").alias("its"), F.col("participant").alias("whose"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("start"))
+    starts = lengths.select(F.col("conv_id").alias("own"), F.col("chunk").alias("its"), F.col("participant").alias("whose"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint").alias("start"))
     within = Window.partitionBy(*view).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    placed = seen(said).withColumn("piece", F.concat("head", "text", F.lit(CLOSE))).withColumn("stop", F.sum(F.length("piece")).over(within))
+    pieces = seen(_chunked(placed, sizes, chunk_turns)).withColumn("piece", F.concat("head", "text", F.lit(CLOSE))).withColumn("stop", F.sum(F.length("piece")).over(within))
     first = F.col("stop") - F.length("piece") + F.length("head")
     span = F.when(F.col("mine"), F.struct("ord", first.alias("start"), (first + F.length("text")).alias("end")))
-    made = placed.groupBy(*view).agg(
+    made = pieces.groupBy(*view).agg(
         F.count("*").alias("n_turns"),
         F.count_if("mine").alias("n_masked_turns"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "").alias("rendered"),
