@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_views, decontaminate, language_mix, line_dedup, near_duplicates, page_text, repeats, tokenize_bpe, toxicity_chain, vector_search
+from . import chat_views, decontaminate, language_mix, line_dedup, near_duplicates, page_text, phrases, repeats, tokenize_bpe, toxicity_chain, vector_search, window_dedup
 from .textops import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,8 +56,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.window_report(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_decontaminate, op2_language_mix, op3_chat_views, op4_byte_bpe, op5_vector_search, op6_page_text, op7_repeated_bytes, op8_toxicity_chain, op9_line_dedup, op10_ngram_join)
+    made = (op1_decontaminate, op2_language_mix, op3_chat_views, op4_byte_bpe, op5_vector_search, op6_page_text, op7_repeated_bytes, op8_toxicity_chain, op9_line_dedup, op10_ngram_join, op11_repeated_windows, op12_phrases)
     return {f.__name__: f for f in made}
 
 
@@ -141,4 +149,4 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN c ON c.g = g.g LEFT JOIN cls
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_chat_views": chat_views.SQL, "op5_vector_search": OP5_SQL, "op7_repeated_bytes": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_chat_views": chat_views.SQL, "op5_vector_search": OP5_SQL, "op7_repeated_bytes": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_repeated_windows": window_dedup.SQL, "op12_phrases": phrases.SQL}

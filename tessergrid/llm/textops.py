@@ -208,8 +208,20 @@ class SharedTables:
             self.spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """For each wanted name one like it that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["SharedTables", "Words", "append_columns", "delete", "ensure_checkpoint_dir", "mix", "ngram_hash", "range_hash", "slices", "spans", "string_bytes", "table"]
+__all__ = ["SharedTables", "Words", "append_columns", "delete", "ensure_checkpoint_dir", "mix", "ngram_hash", "range_hash", "slices", "spans", "string_bytes", "table", "unused"]
