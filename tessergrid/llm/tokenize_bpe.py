@@ -6,6 +6,10 @@ Every alternative of such a pattern matches either a run of white space or
 (one optional leading space and) a run without white space, so the tokens of the
 parts, end to end, are those of the whole. A text without such a place is not cut.
 
+The pattern's matcher cannot take a run of a million white-space characters. Such a run is
+one match of the pattern, less its last character if a word follows: that match is encoded
+by itself, as the one piece it is.
+
 Defined cases: a null text encodes to no ids; an empty text likewise; decoding
 returns raw bytes, so ids that end inside a character lose nothing.
 """
@@ -27,6 +31,9 @@ from .textops import append_columns
 #: Characters of text given to the encoder at a time.
 PART_CHARS = 1 << 16
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
+#: Runs that are given to the merges as a piece, past the matcher.
+LONG_RUN = 1 << 14
+_SPACES = regex.compile(rf"\s{{{LONG_RUN},}}+")
 
 
 @lru_cache(maxsize=4)
@@ -53,9 +60,17 @@ def parts(text: str, most: int = PART_CHARS) -> list[str]:
 def encode(enc: tiktoken.Encoding, text: str | None) -> list[int]:
     if not text:
         return []
-    if len(text) <= PART_CHARS:
+    if len(text) <= LONG_RUN:
         return enc.encode_ordinary(text)
-    return [i for part in parts(text) for i in enc.encode_ordinary(part)]
+    out: list[int] = []
+    at = 0
+    for run in _SPACES.finditer(text):
+        # before a word the last character goes with the word, or is a match of its own
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += [i for part in parts(text[at : run.start()]) for i in enc.encode_ordinary(part)]
+        out += enc._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + [i for part in parts(text[at:]) for i in enc.encode_ordinary(part)]
 
 
 def encode_texts(docs: DataFrame, rank_file: str, pattern: str, *, text: str = "text", out: str = "ids") -> DataFrame:

@@ -41,3 +41,22 @@ def test_long_text():
     text = "".join(rng.choice(["word ", "x", "  \n", "9", "é"]) for _ in range(200_000))
     assert len(B.parts(text)) > 1
     assert B.encode(B.encoding(RANKS, PATTERN), text) == B.encoding(RANKS, PATTERN).encode_ordinary(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\t ", "é", "ab", "1", "!", "\u3000"]), st.integers(1, 12)), max_size=8))
+def test_long_runs_are_pieces(runs):
+    """With a limit of four characters for what goes to the matcher, ids are those of the whole."""
+    text = "".join(x * n for x, n in runs)
+    enc, kept = B.encoding(RANKS, PATTERN), (B.LONG_RUN, B._SPACES)
+    B.LONG_RUN, B._SPACES = 4, __import__("regex").compile(r"\s{4,}+")
+    try:
+        assert B.encode(enc, text) == enc.encode_ordinary(text)
+    finally:
+        B.LONG_RUN, B._SPACES = kept
+
+
+def test_millions_of_blanks():
+    enc = B.encoding(RANKS, PATTERN)
+    for text in (" " * 3_000_000, "a" + "\n" * 2_000_000 + "b", "x " + "\t " * 1_000_000 + "!"):
+        assert enc.decode_bytes(B.encode(enc, text)) == text.encode()
