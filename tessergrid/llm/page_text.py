@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -39,8 +41,9 @@ MANY_PAGES = 25
 #: Template subtrees up to this number are broadcast; beyond it, pages are joined with theirs.
 BROADCAST_ROWS = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_SPECIAL = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PART = re.compile(r"[^a-z0-9]+")
 
 # What elements are.
@@ -49,6 +52,7 @@ _UNREAD = frozenset("script style title textarea noscript template iframe svg se
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd tr figcaption caption".split())
 _VOID = frozenset("hr br img input meta link wbr col source track embed area base param".split())
 _SPACED = frozenset("br td th img".split())
+_LISTS = frozenset("li ul ol menu".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROPPED_TAGS = frozenset("nav footer aside form dialog menu search".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -61,12 +65,83 @@ _NEUTRAL = frozenset("box boxes wrap wrapper container content bar list section
 
 
 class Node:
-    __slots__ = ("digest", "dropped", "inside", "kids", "parent", "size", "tag")
+    __slots__ = ("digest", "dropped", "inside", "kids", "list", "main", "parent", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, inside: bool):
         self.tag, self.parent, self.dropped, self.inside = tag, parent, dropped, inside
         self.kids: list[Node | str] = []
         self.digest, self.size = "", 0
+        #: The nearest list or list item that it is or lies in; whether it is or lies in a main part.
+        self.list: Node | None = self if tag in _LISTS else parent.list if parent else None
+        self.main: bool = parent.main if parent else False
+
+
+class Markup:
+    """The tags of a page, from a place on, in time that grows with the page only, whatever it holds.
+
+    A tag ends at the first > outside quotes. Where that is for a tag that begins anywhere is worked out once, from the end
+    of the page; what has no such end is text.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.special = [m.start() for m in _SPECIAL.finditer(html)]
+        n = len(self.special)
+        self.end = [-1] * (n + 1)
+        later = {'"': n, "'": n}
+        for k in range(n - 1, -1, -1):
+            c = html[self.special[k]]
+            if c == ">":
+                self.end[k] = self.special[k] + 1
+            else:
+                self.end[k] = self.end[later[c] + 1] if later[c] < n else -1
+                later[c] = k
+        self.absent: set[str] = set()
+        self.stop = -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Start, end, whether an end tag, name (None if not an element) and attributes of the next tag."""
+        html = self.html
+        while (a := html.find("<", at)) >= 0:
+            at = a + 1
+            if html.startswith("<!--", a):
+                b = html.find("-->", a + 4)
+                return a, b + 3 if b >= 0 else len(html), False, None, ""
+            if html.startswith(("<!", "<?"), a):
+                b = self._find(">", a + 2)
+                if b >= 0:
+                    return a, b + 1, False, None, ""
+            else:
+                name = at + html.startswith("/", at)
+                if html[name : name + 1].isalpha() and html[name].isascii():
+                    stop = self._name_end(name)
+                    b = self.end[bisect_left(self.special, stop)]
+                    if b >= 0:
+                        return a, b, name > at, html[name:stop].lower(), html[stop : b - 1]
+        return None
+
+    def _name_end(self, at: int) -> int:
+        """Where a name that begins here ends; names that begin within it end there as well."""
+        if at > self.stop:
+            self.stop = _NAME_END.search(self.html, at).start()
+        return self.stop
+
+    def _find(self, what: str, at: int) -> int:
+        """What is not found from one place on is not looked for again."""
+        if what in self.absent:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def search(self, pattern: str, at: int) -> re.Match | None:
+        if pattern in self.absent:
+            return None
+        found = re.compile(pattern, re.I).search(self.html, at)
+        if found is None:
+            self.absent.add(pattern)
+        return found
 
 
 def _named(names: list[str], inside: bool) -> bool:
@@ -111,32 +186,36 @@ def parse(html: str) -> tuple[Node, list[Node], list[Node]]:
             if joined:
                 now.kids.append(joined)
 
+    def leave(node: Node) -> None:
+        """Close what is open down to ``node``, and that as well."""
+        nonlocal now
+        while now is not node.parent:
+            opened[now.tag] -= 1
+            now = now.parent
+
+    opened: Counter[str] = Counter()
+    markup = Markup(html)
     at = 0
-    for m in _TOKEN.finditer(html):
-        a, b = m.span()
-        tag = m[2]
-        if a < at:  # within an element whose content is skipped
-            continue
+    while found := markup.next(at):
+        a, b, ends, tag, attributes = found
         if a > at:
             text.append(html[at:a])
         at = b
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:  # an end tag
-            if tag in _BLOCKS:
+        if ends:
+            if opened[tag]:
                 node = now
-                while node is not root and node.tag != tag:
+                while node.tag != tag:
                     node = node.parent
-                if node is not root:
-                    end_text()
-                    now = node.parent
+                end_text()
+                leave(node)
             continue
         if tag in _UNREAD:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, b)
+            if not attributes.endswith("/"):
+                close = markup.search(rf"</{re.escape(tag)}\s*>", b)
                 if tag == "head":
-                    body = re.compile(r"<body\b", re.I).search(html, b)
+                    body = None if close else markup.search(r"<body\b", b)
                     at = close.end() if close else body.start() if body else b
                 else:
                     at = close.end() if close else len(html)
@@ -144,16 +223,12 @@ def parse(html: str) -> tuple[Node, list[Node], list[Node]]:
         if tag in _BLOCKS:
             end_text()
             if now.tag == "p" or (now.tag in _HEADINGS and tag in _HEADINGS):
-                now = now.parent
-            if tag == "li":
-                node = now
-                while node is not root and node.tag not in ("li", "ul", "ol", "menu"):
-                    node = node.parent
-                if node.tag == "li":
-                    now = node.parent
+                leave(now)
+            if tag == "li" and now.list and now.list.tag == "li":
+                leave(now.list)
             if tag in ("tr", "dt", "dd") and now.tag in ("tr", "dt", "dd"):
-                now = now.parent
-            drop, main = _boilerplate(tag, m[3], now.inside)
+                leave(now)
+            drop, main = _boilerplate(tag, attributes, now.inside)
             node = Node(tag, now, now.dropped or drop, now.inside or tag == "article")
             now.kids.append(node)
             if not node.dropped:
@@ -161,8 +236,10 @@ def parse(html: str) -> tuple[Node, list[Node], list[Node]]:
                     articles.append(node)
                 elif tag == "main" or main:
                     mains.append(node)
+                    node.main = True
             if tag not in _VOID:
                 now = node
+                opened[tag] += 1
         elif tag in _SPACED:
             text.append(" ")
     if at < len(html):
@@ -188,19 +265,10 @@ def _seal(node: Node) -> None:
 def _roots(tree: Node, articles: list[Node], mains: list[Node]) -> list[Node]:
     if articles:
         return articles
-    outer = [m for m in mains if not _within(m, mains)]
+    outer = [m for m in mains if not m.parent.main]
     return outer or [tree]
 
 
-def _within(node: Node, others: list[Node]) -> bool:
-    up = node.parent
-    while up is not None:
-        if any(up is o for o in others):
-            return True
-        up = up.parent
-    return False
-
-
 def _deletable(tree: Node, roots: list[Node]) -> Iterator[Node]:
     """Subtrees that may be template: not a paragraph of the article, and not half of the text or more."""
     main = {id(r) for r in roots}

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from tessergrid.llm import page_text as P
 from tests.conftest import DATA
 
@@ -19,6 +23,28 @@ def test_awkward_pages():
     assert P.host_of("https://Ex.org/a") == "ex.org" and P.host_of(None) == "" and P.host_of("http://[bad") == ""
 
 
+LONG = {
+    "comparisons": "a<b and c<d " * 80_000, "no end": "<a " * 300_000, "glued": "<svg" * 250_000, "glued, quoted": "<svg" * 250_000 + '"', "stray ends": "<div>" * 100_000 + "</p>" * 100_000,
+    "open quotes": '<a b="' * 150_000, "one name": "<div x=1 " + "a" * 1_000_000 + ">", "heads": "<head>" * 150_000, "lists": "<ul>" + "<div>" * 60_000 + "<li></li>" * 60_000,
+    "mains": "<div>" * 60_000 + "<main></main>" * 60_000, "declarations": "<!" * 500_000, "scripts": "<script>" + "</script " * 100_000, "blanks": "<p " + " " * 1_000_000 + "a=b" + " " * 1_000_000 + ">x",
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_pages_take_time_in_proportion(name):
+    began = time.process_time()
+    P._page_hashes(LONG[name])
+    assert time.process_time() - began < 25  # about a second; hours for what looks ahead from each place
+
+
+def test_what_is_no_tag_is_text():
+    assert P.main_text("<p>a<b and c<d") == "a<b and c<d"
+    assert P.main_text("<p>1 < 2 <3 </ 4</p><p title='>' class=\"x>y\">in</p>") == "1 < 2 <3 </ 4\n\nin"
+    assert P.main_text('<p>said <a href="x>open</p>') == 'said <a href="x>open'
+    assert P.main_text("<p>a<!x</p><p>b<!-- c") == "a\n\nb"
+    assert P.main_text("<script>if (a<b ? 'x>y' : \"</script><p>after</p>") == "after"
+
+
 def site(n, host="a.org", block="<div><p>Read our other stories</p><p>and more</p></div>"):
     return [(i, f"https://{host}/{i}", f"<body><div>{block}</div><div><p>Story {host} {i} is a long text of its own, longer than what the site adds</p></div></body>") for i in range(n)]
 
