@@ -46,15 +46,6 @@ def section_ends(df: DataFrame, parent: str, order: str, start: str, parent_end:
     return df.withColumn("section_end", F.coalesce(F.lead(start).over(w), F.col(parent_end)))
 
 
-def outline_parents(df: DataFrame, group: str, order: str, level: str, deepest: int = 6) -> DataFrame:
-    """parent: the nearest earlier heading of a lower level."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(w).alias(f"last{k}") for k in range(1, deepest)]
-    wide = df.select("*", *last)
-    below = [F.when(F.col(level) > k, F.col(f"last{k}")) for k in range(1, deepest)]
-    return wide.withColumn("parent", F.greatest(*below)).drop(*[f"last{k}" for k in range(1, deepest)])
-
-
 def within_budget(df: DataFrame, group: list[str], order: list[Column], cost: Column, budget: int, most: int) -> DataFrame:
     """The longest prefix of each group that costs no more than the budget, of at most ``most`` rows."""
     w = Window.partitionBy(*group).orderBy(*order)

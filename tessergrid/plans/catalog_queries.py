@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import aggregates, filters, incremental, joins, ranking
+from ..operators import aggregates, filters, incremental, joins, ranking, trees
 from ..registry import query
 from ..session import Tables
 
@@ -258,10 +258,10 @@ def recurrence_cross_group(t: Tables) -> DataFrame:
 
 
 @query("A3", """
-SELECT left(lower(text), 30) AS key, arg_min(lang, doc_id) AS lang, list_sort(list(DISTINCT source)) AS source, bool_or(n_chars > 2000) AS needs_review, count(*) AS n_sources
+SELECT sha256(regexp_replace(trim(lower(text)), '[ \t\r\n]+', ' ', 'g')) AS key, arg_min(lang, doc_id) AS lang, list_sort(list(DISTINCT source)) AS source, bool_or(n_chars > 2000) AS needs_review, count(*) AS n_sources
 FROM documents GROUP BY 1""")
 def multi_source_merge(t: Tables) -> DataFrame:
-    rows = t.documents.withColumn("key", F.left(F.lower("text"), F.lit(30)))
+    rows = t.documents.withColumn("key", F.sha2(F.regexp_replace(F.trim(F.lower("text")), r"[ \t\r\n]+", " "), 256))
     return aggregates.merge_sources(rows, ["key"], "doc_id", ["lang"], ["source"], {"needs_review": F.col("n_chars") > 2000})
 
 
@@ -440,7 +440,20 @@ WITH h AS (SELECT *, 1 + (turn * 7 + conv_id) % 4 AS level FROM conversations)
 SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM h a LEFT JOIN h b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level < a.level GROUP BY a.conv_id, a.turn""")
 def outline_tree(t: Tables) -> DataFrame:
     headings = t.conversations.select("conv_id", "turn", (1 + (F.col("turn") * 7 + F.col("conv_id")) % 4).alias("level"))
-    return ranking.outline_parents(headings, "conv_id", "turn", "level").select("conv_id", "turn", "parent")
+    return trees.parents(headings, "conv_id", "turn", "level").select("conv_id", "turn", "parent")
+
+
+_DEEP = "SELECT *, 1 + (len(text) * 31 + turn * 7) % 50 AS level FROM conversations WHERE text IS NOT NULL"
+
+
+@query("W11 T17 M10", f"""
+WITH h AS ({_DEEP})
+SELECT a.conv_id, a.turn, a.level, max(b.turn) FILTER (WHERE b.turn < a.turn AND b.level < a.level) AS parent, min(b.turn) FILTER (WHERE b.turn > a.turn AND b.level <= a.level) AS ends
+FROM h a JOIN h b ON a.conv_id = b.conv_id GROUP BY ALL""")
+def deep_sections(t: Tables) -> DataFrame:
+    """Parents and sections of an outline of 50 levels."""
+    rows = t.conversations.where("text is not null").select("conv_id", "turn", (1 + (F.char_length("text") * 31 + F.col("turn") * 7) % 50).alias("level"))
+    return trees.sections(rows, "conv_id", "turn", "level")
 
 
 @query("W12", "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations")

@@ -50,12 +50,12 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 @query("T4", f"""
 WITH h AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), w AS (SELECT * FROM h WHERE term IN ('thre', 'than', 'erst', 'ther')),
-s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(left(text, 80)), '[a-z]+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]+')) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT term, ln(1 + any_value(n) / (1 + count(*))) AS w FROM w, n GROUP BY term)
 SELECT w.doc_id, round(sum(df.w), 6) AS specificity, count(*) AS body_terms, count(s.term) AS title_terms FROM w JOIN df USING (term) LEFT JOIN s ON s.doc_id = w.doc_id AND s.term = w.term
 GROUP BY w.doc_id ORDER BY round(sum(df.w), 6) DESC, count(*) DESC, count(s.term) DESC, w.doc_id LIMIT 30""")
 def posting_search(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "text", F.left("text", F.lit(80)).alias("title"))
+    docs = t.documents.select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     found = retrieval.field_search(docs, "doc_id", {"body": "text", "title": "title"}, QUERY_TERMS, unicode=False)
     top = found.withColumn("specificity", F.round("specificity", 6)).orderBy(F.desc("specificity"), F.desc("body_terms"), F.desc("title_terms"), "doc_id").limit(30)
     return top.select("doc_id", "specificity", "body_terms", "title_terms")

@@ -34,10 +34,10 @@ WITH h AS (SELECT conv_id, turn, 1 + (turn * 7 + conv_id) % 4 AS level FROM conv
 SELECT conv_id, count(*) AS nodes, count(*) FILTER (WHERE parent IS NULL) AS roots, true AS sound FROM p GROUP BY conv_id""")
 def tree_validation(t: Tables) -> DataFrame:
     """A document tree is sound if every parent is a node of it that comes before."""
-    from ..operators.ranking import outline_parents
+    from ..operators.trees import parents
 
     headings = t.conversations.select("conv_id", "turn", (1 + (F.col("turn") * 7 + F.col("conv_id")) % 4).alias("level"))
-    nodes = outline_parents(headings, "conv_id", "turn", "level").select("conv_id", "turn", "parent")
+    nodes = parents(headings, "conv_id", "turn", "level").select("conv_id", "turn", "parent")
     known = nodes.select("conv_id", F.col("turn").alias("parent"), F.lit(True).alias("there"))
     judged = nodes.join(known, ["conv_id", "parent"], "left")
     sound = F.bool_and(F.col("parent").isNull() | (F.coalesce("there", F.lit(False)) & (F.col("parent") < F.col("turn"))))
