@@ -10,12 +10,12 @@ Most windows of a corpus occur once. A count-min sketch says so without moving t
    one without hardly ever does.
 2. Each pack keeps the windows with both bits. Those that repeat inside the pack lose
    their later occurrences there and then, so a passage that many documents share leaves
-   a pack once. What is left is grouped exactly, by two independent 64-bit hashes, and
-   ranked by document and place: all but the first of a group are lost.
+   a pack once. What is left meets by hash, packed by pack, and is grouped exactly, by two
+   independent 64-bit hashes: all but the first of a group, by document and place, are lost.
 3. The lost places meet their documents again in one join.
 
-Nothing is collected or broadcast; a pack moves about five bytes a window for the sketch, and
-24 more for windows that seem to repeat.
+Nothing is collected or broadcast; a pack moves about three bytes a window for the sketch, and
+18 more for windows that seem to repeat.
 
 Words are runs of bytes other than ASCII white space, unchanged. Defined cases: a null
 text has no words; texts of fewer than ``length`` words lose none; occurrences are ordered
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packs import grow, numbered, packs, squeeze
@@ -43,6 +43,8 @@ LENGTH = 20
 GAP = r"\x20\x09-\x0D"
 #: Cells of a block of the sketch, at most: what one task adds up at a time.
 BLOCK_BITS = 23
+#: Bytes of text to a shard of the exact grouping, about.
+SHARD_BYTES = 8 << 20
 #: Words longer than this are hashed by blake2b: polynomials are only safe for short ones.
 SHORT = 64
 
@@ -114,21 +116,27 @@ class Windows:
         return [(self.hash >> down).astype(np.int64), (mix(self.hash ^ _OTHER_MULT) >> down).astype(np.int64)]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], length: int, bits: int, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(text, id, key) in; out: each pack, and its cells by block of the sketch."""
+def _packed(batches: Iterator[pa.RecordBatch], length: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(text, id, key) in, packs out."""
     for number, pack in numbered(packs(batches, GAP, length - 1), TaskContext.get().partitionId()):
-        found = Windows(pack.raw, pack.offsets, length)
         ids, keys = (pack.rows.column(c).to_numpy() for c in ("id", "key"))
         meta = [squeeze(x) for x in (pack.offsets.astype(np.int64), pack.before.astype(np.int64), ids.astype(np.int64), keys.astype(np.int32))]
-        rows = [{"pack": number, "text": squeeze(pack.raw), "meta": meta}]
-        for r, cells in enumerate(found.cells(bits)):
-            cells = np.sort(cells)
-            shard = cells >> block
-            cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(cells))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                inside = (cells[a:b] & ((1 << block) - 1)).astype(np.uint32)
-                rows.append({"pack": number, "shard": int(shard[a]) + (r << (bits - block)), "n": int(b - a), "cells": squeeze(np.diff(inside, prepend=np.uint32(0)))})
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        yield pa.RecordBatch.from_pylist([{"pack": number, "text": squeeze(pack.raw), "meta": meta}], schema)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], length: int, bits: int, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Packs in; out: the cells of each by block of the sketch."""
+    for batch in batches:
+        for number, text, meta in zip(batch.column("pack").to_pylist(), batch.column("text"), batch.column("meta"), strict=True):
+            found, rows = Windows(grow(text.as_py(), np.uint8), grow(meta[0].as_py(), np.int64), length), []
+            for r, cells in enumerate(found.cells(bits)):
+                cells = np.sort(cells)
+                shard = cells >> block
+                cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(cells))
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    inside = (cells[a:b] & ((1 << block) - 1)).astype(np.uint32)
+                    rows.append({"pack": number, "shard": int(shard[a]) + (r << (bits - block)), "n": int(b - a), "cells": squeeze(np.diff(inside, prepend=np.uint32(0)))})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def _answers(parts: pa.Table, block: int) -> pa.Table:
@@ -142,13 +150,14 @@ def _answers(parts: pa.Table, block: int) -> pa.Table:
     return pa.table({"pack": parts.column("pack"), "shard": parts.column("shard"), "n": parts.column("n"), "bits": pa.array([np.packbits(several[c]).tobytes() for c in cells], pa.binary())})
 
 
-_CANDIDATES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("spot", pa.int64()), ("lost", pa.binary())])
+_PARTS = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
+_LOST = pa.schema([("id", pa.int64()), ("key", pa.int32()), ("places", pa.binary())])
 
 
-def _candidates(packed: pa.Table, answers: pa.Table, length: int, bits: int, block: int) -> pa.Table:
-    """Of a pack the first occurrences of windows that may repeat; and by document the places of later ones."""
+def _candidates(packed: pa.Table, answers: pa.Table, length: int, bits: int, block: int, shards: int) -> pa.Table:
+    """Of a pack the first occurrences of windows that may repeat, by shard of their hash; and, under a negative shard, later ones."""
     if not packed.num_rows or not answers.num_rows:
-        return _CANDIDATES.empty_table()
+        return _PARTS.empty_table()
     raw = grow(packed.column("text")[0].as_py(), np.uint8)
     offsets, before, ids, keys = (grow(x.as_py(), t) for x, t in zip(packed.column("meta")[0], (np.int64, np.int64, np.int64, np.int32), strict=True))
     found = Windows(raw, offsets, length)
@@ -159,55 +168,73 @@ def _candidates(packed: pa.Table, answers: pa.Table, length: int, bits: int, blo
         row = told[r * len(cells) : (r + 1) * len(cells)]
         several[np.argsort(cells)[row == 0]] = False
     keep = np.flatnonzero(several)
-    h1, h2 = found.hash[keep], found.other_hash()[keep]
     row = found.row[keep]
-    doc, place, key = ids[row], before[row] + found.place[keep], keys[row]
+    own, late = _firsts(found.hash[keep], found.other_hash()[keep], ids[row], before[row] + found.place[keep], keys[row])
+    shard = (mix(own[0]) % np.uint64(shards)).astype(np.int32)
+    made = []
+    for number, (h1, h2, doc, place, key) in ((shard, own), (np.full(len(late[0]), -1 - packed.column("pack")[0].as_py() % shards, np.int32), late)):
+        order = np.lexsort((place, key, doc, number))  # neighbouring windows of a document are written side by side
+        cut = np.append(np.flatnonzero(np.diff(number[order], prepend=np.iinfo(np.int32).min)), len(order))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            at = order[a:b]
+            hashes = (squeeze(h1[at]), squeeze(h2[at])) if number[at[0]] >= 0 else (None, None)
+            made.append((int(number[at[0]]), b - a, squeeze(np.diff(doc[at], prepend=0)), squeeze(key[at]), squeeze(np.diff(place[at], prepend=0).astype(np.int32)), *hashes))
+    return pa.Table.from_pylist([dict(zip(_PARTS.names, x, strict=True)) for x in made], _PARTS)
+
+
+def _firsts(*columns: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(h1, h2, document, place, key) of windows, parted into the first of each hash (and rows of the same id and place) and later ones."""
+    h1, h2, doc, place, key = columns
     order = np.lexsort((key, place, doc, h2, h1))
-    h1, h2, doc, place, key = (x[order] for x in (h1, h2, doc, place, key))
+    h1, h2, doc, place, key = columns = [x[order] for x in columns]
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     first = (doc == doc[head]) & (place == place[head])
-    again = first & ~new
-    again[1:] &= key[1:] == key[:-1]  # a repetition of a whole row
-    spot = (place << 32) | (key.astype(np.int64) & 0xFFFFFFFF)
-    own = np.flatnonzero(first & ~again)
-    late = np.flatnonzero(~first)
-    late = late[np.lexsort((key[late], doc[late]))]
-    cut = np.append(np.flatnonzero((np.diff(doc[late], prepend=0) != 0) | (np.diff(key[late], prepend=0) != 0) | (np.arange(len(late)) == 0)), len(late))
-    blobs = [squeeze(place[late[a:b]].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    head = late[cut[:-1]]
-    some = pa.table([h1[own].view(np.int64), h2[own].view(np.int64), doc[own], spot[own], pa.nulls(len(own), pa.binary())], schema=_CANDIDATES)
-    gone = pa.table([doc[head], pa.nulls(len(head), pa.int64()), doc[head], spot[head] & 0xFFFFFFFF, pa.array(blobs, pa.binary())], schema=_CANDIDATES)
-    return pa.concat_tables([some, gone])
+    again = np.zeros(len(h1), bool)  # a repetition of a whole row
+    again[1:] = first[1:] & ~new[1:] & (key[1:] == key[:-1])
+    return [x[first & ~again] for x in columns], [x[~first] for x in columns]
+
+
+def _group(parts: pa.Table) -> pa.Table:
+    """A shard's windows: all but the first of each hash are lost; out: the places by document."""
+    column = lambda name, kind, sums: np.concatenate([np.cumsum(grow(x, kind), dtype=np.int64) if sums else grow(x, kind) for x in parts.column(name).to_pylist()])
+    doc, key, place = column("ids", np.int64, True), column("keys", np.int32, False), column("places", np.int32, True)
+    if parts.column("shard")[0].as_py() >= 0:
+        doc, place, key = _firsts(column("h1", np.uint64, False), column("h2", np.uint64, False), doc, place, key)[1][2:]
+    order = np.lexsort((place, key, doc))
+    doc, place, key = doc[order], place[order], key[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    cut = np.append(np.flatnonzero(new), len(doc))
+    blobs = [squeeze(place[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([doc[cut[:-1]], key[cut[:-1]], pa.array(blobs, pa.binary())], schema=_LOST)
 
 
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, key, starts, packed): for each document that loses words the first words of lost windows, as numbers and squeezed; ``key`` is the hash of its text."""
+    """(id, key, places): for each document that loses words the first words of lost windows, squeezed; ``key`` is the hash of its text."""
     spark = docs.sparkSession
     base = docs.select(F.col(text).alias("body"), F.col(doc_id).cast("bigint").alias("id"), F.hash(F.col(text)).alias("key")).where(f"id is not null and octet_length(body) >= {2 * length - 1}")
     total = base.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     bits = max(int(total - 1).bit_length(), 16)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = max(min(BLOCK_BITS, bits - (partitions - 1).bit_length()), 10)
-    fields = "pack bigint, text binary, meta array<binary>, shard int, n int, cells binary"
-    schema = pa.schema([("pack", pa.int64()), ("text", pa.binary()), ("meta", pa.list_(pa.binary())), ("shard", pa.int32()), ("n", pa.int32()), ("cells", pa.binary())])
+    shards = max(partitions, total // SHARD_BYTES)
+    schema = pa.schema([("pack", pa.int64()), ("text", pa.binary()), ("meta", pa.list_(pa.binary()))])
+    cells = pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("n", pa.int32()), ("cells", pa.binary())])
     kept = SharedTables(spark)
-    made = kept.store(base.mapInArrow(lambda it: _sketch(it, length, bits, block, schema), fields))
-    told = made.where("shard is not null").select("pack", "shard", "n", "cells").groupBy("shard").applyInArrow(lambda t: _answers(t, block), "pack bigint, shard int, n int, bits binary")
-    whole = made.where("shard is null").select("pack", "text", "meta")
-    some = whole.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(lambda a, b: _candidates(a, b, length, bits, block), "h1 bigint, h2 bigint, id bigint, spot bigint, lost binary")
-    place = F.shiftright("spot", 32).cast("int")
-    ranked = some.withColumn("nth", F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", place)))
-    gone = ranked.where("nth > 1 or lost is not null").groupBy("id", F.col("spot").bitwiseAND(0xFFFFFFFF).alias("key"))
-    return gone.agg(F.collect_list(F.when(F.col("lost").isNull(), place)).alias("starts"), F.collect_list("lost").alias("packed"))
+    made = kept.store(base.mapInArrow(lambda it: _packed(it, length, schema), "pack bigint, text binary, meta array<binary>"))
+    parts = made.mapInArrow(lambda it: _sketch(it, length, bits, block, cells), "pack bigint, shard int, n int, cells binary")
+    told = kept.store(parts.groupBy("shard").applyInArrow(lambda t: _answers(t, block), "pack bigint, shard int, n int, bits binary"), large=True)
+    some = made.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(lambda a, b: _candidates(a, b, length, bits, block, shards), "shard int, n int, ids binary, keys binary, places binary, h1 binary, h2 binary")
+    return some.groupBy("shard").applyInArrow(_group, "id bigint, key int, places binary").groupBy("id", "key").agg(F.collect_list("places").alias("places"))
 
 
-def lost_words(starts: list[int], packed: list[bytes], length: int) -> np.ndarray:
+def lost_words(places: list[bytes] | None, length: int) -> np.ndarray:
     """For each word of a text, as far as any is lost, whether it is."""
-    at = np.concatenate([np.asarray(starts or [], np.int64), *(grow(x, np.int32).astype(np.int64) for x in packed or [])])
-    if not len(at):
+    if not places:
         return np.zeros(0, bool)
+    at = np.concatenate([grow(x, np.int32).astype(np.int64) for x in places])
     step = np.zeros(int(at.max()) + length + 1, np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, at + length, -1)
@@ -227,16 +254,16 @@ def _words(body: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
 def remove_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 and the kept words of each text, joined by one space; columns of those names are replaced."""
     found = SharedTables(docs.sparkSession).store(repeated_windows(docs, doc_id=doc_id, text=text, length=length), large=True)
-    names = unused(docs, "lost_id", "lost_key", "lost_starts", "lost_packed", "lost_row")
-    lost_id, lost_key, starts, packed, row = names
-    found = found.toDF(*names[:4])
-    both = docs.join(found, (docs[doc_id] == found[lost_id]) & (F.hash(docs[text]).cast("bigint").bitwiseAND(0xFFFFFFFF) == found[lost_key]), "left")
-    both = both.withColumn(row, F.struct(F.col(text).alias("t"), F.col(starts).alias("s"), F.col(packed).alias("p"))).drop(*names[:4])
+    names = unused(docs, "lost_id", "lost_key", "lost_places", "lost_row")
+    lost_id, lost_key, places, row = names
+    found = found.toDF(*names[:3])
+    both = docs.join(found, (docs[doc_id] == found[lost_id]) & (F.hash(docs[text]) == found[lost_key]), "left")
+    both = both.withColumn(row, F.struct(F.col(text).alias("t"), F.col(places).alias("p"))).drop(*names[:3])
 
     def run(column: pa.Array) -> list[pa.Array]:
         n_words, n_removed, digest, kept = [], [], [], []
-        for t, s, p in zip(column.field("t").cast(pa.large_binary()), column.field("s"), column.field("p"), strict=True):
-            lost = lost_words(s.as_py(), p.as_py(), length)
+        for t, p in zip(column.field("t").cast(pa.large_binary()), column.field("p"), strict=True):
+            lost = lost_words(p.as_py(), length)
             n, left = 0, []
             for own in _words(t.as_py() or b""):
                 gone = lost[n : n + len(own)]
