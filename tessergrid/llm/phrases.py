@@ -64,7 +64,7 @@ def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def _first(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[pa.RecordBatch]:
-    """(text, lang) in; out: the words of each pack with their numbers and counts, and its texts as numbers."""
+    """(text, lang) in; out: the words of each pack with their numbers and counts, how many a language has, and its texts as numbers."""
     for number, pack in numbered(packs(batches, GAP, most_words - 1), TaskContext.get().partitionId()):
         low = LOWER[pack.raw]
         mask = _WORD[low]
@@ -84,7 +84,9 @@ def _first(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[pa.Re
         passed = np.cumsum(_BREAK[low], dtype=np.int32)
         gap = np.flatnonzero((row[1:] != row[:-1]) | (passed[start[1:]] != passed[end[:-1] - 1])) + 1
         seq, own = np.insert(code.astype(np.int32), gap, -1), np.insert(own, gap, False)
-        yield _rows(_FIRST, pack=number, seq=[squeeze(seq)], own=[np.packbits(own).tobytes()])
+        own_words = np.bincount(kinds // size, weights=count, minlength=len(langs.dictionary)).astype(np.int64)
+        yield _rows(_FIRST, pack=number, n=own_words, lang=langs.dictionary)
+        yield _rows(_FIRST, pack=number, lang=[f"{number}"], seq=[squeeze(seq)], own=[np.packbits(own).tobytes()])
 
 
 def _pairs(texts: pa.Table, names: pa.Table) -> pa.Table:
@@ -110,10 +112,10 @@ def _pairs(texts: pa.Table, names: pa.Table) -> pa.Table:
 
 
 def _named(parts: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Packs' numbers with the name and the count that all packs' equal ones share; rarer ones go, texts pass."""
+    """Packs' numbers with the name and the count that all packs' equal ones share; rarer ones go, rows without a number pass."""
     same = Window.partitionBy(*by)
     place = F.shiftleft("pack", _CODE_BITS).bitwiseOR(F.col("code").cast("bigint"))
-    return parts.withColumn("f", F.sum("n").over(same)).withColumn("name", F.min(place).over(same)).withColumn("first", F.col("name") == place).where(f"seq is not null or f >= {least}")
+    return parts.withColumn("f", F.sum("n").over(same)).withColumn("name", F.min(place).over(same)).withColumn("first", F.col("name") == place).where(f"code is null or f >= {least}")
 
 
 def _nodes(found: DataFrame, shorter: DataFrame | None) -> DataFrame:
@@ -137,11 +139,12 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of 2 to ``most_words`` words of each language."""
     kept = SharedTables(docs.sparkSession)
     base = docs.select(F.col(text).alias("body"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")).where("octet_length(body) > 0")
-    made = kept.store(base.mapInArrow(lambda it: _first(it, most_words), "pack bigint, code int, n bigint, lang string, word string, seq binary, own binary"))
-    total = made.where("word is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    texts = made.where("seq is not null").select("pack", "seq", "own")
-    words = _named(made.where("word is not null").drop("own"), ["lang", "word"], least)
-    named = kept.store(words.select("pack", "code", "name", "f", "first", F.when(F.col("first"), F.col("lang")).alias("lang"), F.when(F.col("first"), F.col("word")).alias("word")), large=True)
+    made = base.mapInArrow(lambda it: _first(it, most_words), "pack bigint, code int, n bigint, lang string, word string, seq binary, own binary")
+    words = _named(made, ["lang", "word"], least)
+    told = F.col("first") | F.col("code").isNull()
+    words = kept.store(words.select("pack", "code", "name", "f", "first", "n", F.when(told, F.col("lang")).alias("lang"), F.when(told, F.col("word")).alias("word"), "seq", "own"), large=True)
+    total = words.where("code is null and seq is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    texts, named = words.where("seq is not null").select("pack", "seq", "own"), words.where("code is not null")
     nodes = [_nodes(named, None)]
     for size in range(2, most_words + 1):
         pairs = texts.groupBy("pack").cogroup(named.select("pack", "code", "name").groupBy("pack")).applyInArrow(_pairs, "pack bigint, code int, n bigint, a bigint, b bigint, seq binary, own binary")
