@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessergrid.llm import decontaminate, language_mix, line_dedup, near_duplicates, tokenize_bpe
 from tessergrid.llm.queries import PATTERN, RANK_FILE
-from tessergrid.llm.textops import delete, ensure_checkpoint_dir, table
+from tessergrid.llm.textops import delete, ensure_checkpoint_dir, table, unused
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that earlier lines repeat; n_chars follows. A text left without any line goes."""
-    named = docs.withColumn("_had", F.length("text"))
-    lean = line_dedup.drop_repeated_lines(named)
-    lean = lean.where("_had is null or _had = 0 or trim(text) <> ''")
-    return lean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).drop("_had")
+    (had,) = unused(docs, "had")
+    lean = line_dedup.drop_repeated_lines(docs.withColumn(had, F.length("text")))
+    lean = lean.where(F.col(had).isNull() | (F.col(had) == 0) | (F.trim("text") != ""))
+    return lean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).drop(had)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textops import SharedTables
+from .textops import SharedTables, unused
 
 THRESHOLD = 0.8
 #: Hash slots of the rarity table: its size, whatever the vocabulary.
@@ -181,15 +181,16 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the text of each row less its removed lines; ``counts`` names columns for lines had and removed."""
-    gone = removed_lines(docs, doc_id=doc_id, text=text, threshold=threshold).groupBy("id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = SharedTables(docs.sparkSession).store(gone.withColumnRenamed("id", "_gone_id"))
-    joined = docs.join(gone, docs[doc_id] == F.col("_gone_id"), "left")
+    gone_id, lines = unused(docs, "gone_id", "gone_lines")
+    gone = removed_lines(docs, doc_id=doc_id, text=text, threshold=threshold).groupBy("id").agg(F.collect_set("line_no").alias(lines))
+    gone = SharedTables(docs.sparkSession).store(gone.withColumnRenamed("id", gone_id))
+    joined = docs.join(gone, docs[doc_id] == gone[gone_id], "left")
     parts = F.split(F.col(text), "\n")
-    left = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_gone", p["i"])), lambda p: p["x"])
-    new = F.when(F.col("_gone_id").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    left = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(lines, p["i"])), lambda p: p["x"])
+    new = F.when(F.col(gone_id).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     made = [new.alias(c) if c == text else docs[c] for c in docs.columns if not counts or c not in counts]
     if counts:
-        made += [F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias(counts[0]), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias(counts[1])]
+        made += [F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias(counts[0]), F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias(counts[1])]
     return joined.select(*made)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import MULT, SharedTables, Words, append_columns, ensure_checkpoint_dir, mix, ngram_hash, slices, string_bytes
+from .textops import MULT, SharedTables, Words, append_columns, ensure_checkpoint_dir, mix, ngram_hash, slices, string_bytes, unused
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members in a block; a tile holds two.
@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that are not the first of their group; rows without an id stay."""
-    later = near_duplicates(docs, doc_id=doc_id, **options).where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("_later")).distinct()
-    return docs.join(later, docs[doc_id] == F.col("_later"), "left_anti")
+    (name,) = unused(docs, "later")
+    later = near_duplicates(docs, doc_id=doc_id, **options).where(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias(name)).distinct()
+    return docs.join(later, docs[doc_id] == later[name], "left_anti")
 
 
 __all__ = ["choose_bands", "connected_components", "gram_sets", "keep_one", "near_duplicates"]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_sort import MEMORY, DiskQueue, suffix_buckets
-from .textops import BYTE_CODE, MULT, SharedTables, append_columns, mix, slices, spans, string_bytes
+from .textops import BYTE_CODE, MULT, SharedTables, append_columns, mix, slices, spans, string_bytes, unused
 
 LENGTH = 50
 GRAM = 12
@@ -333,8 +333,9 @@ def repeated_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of each text (which may end inside a character)."""
     found = SharedTables(docs.sparkSession).store(repeated_bytes(docs, doc_id=doc_id, text=text, **options), large=True)
-    found = found.withColumnsRenamed({"span_id": "_span_id", "spans": "_spans"})
-    joined = docs.join(found, docs[doc_id] == F.col("_span_id"), "left").withColumn("_row", F.struct(F.col(text).alias("t"), F.col("_spans").alias("s"))).drop("_span_id", "_spans")
+    span_id, found_spans, row = unused(docs, "span_id", "found_spans", "span_row")
+    found = found.withColumnsRenamed({"span_id": span_id, "spans": found_spans})
+    joined = docs.join(found, docs[doc_id] == found[span_id], "left").withColumn(row, F.struct(F.col(text).alias("t"), F.col(found_spans).alias("s"))).drop(span_id, found_spans)
 
     def run(column: pa.Array) -> list[pa.Array]:
         n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
@@ -350,7 +351,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             kept.append(left)
         return [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())]
 
-    return append_columns(joined, "_row", run, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").drop("_row")
+    return append_columns(joined, row, run, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").drop(row)
 
 
 def repeat_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -98,3 +98,8 @@ def test_components(spark):
 
 def test_sql(same):
     same("op10_ngram_join")
+
+
+def test_keep_one_with_clashing_names(odd):
+    kept = N.keep_one(odd)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()

@@ -29,3 +29,8 @@ def test_run(spark):
     enc = tokenize_bpe.encoding(P.RANK_FILE, P.PATTERN)
     assert len(out) > 100
     assert all(hashlib.sha256(enc.decode_bytes(r.ids)).hexdigest() == r.decoded_sha256 for r in out)
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    kept = P.duplicate_stage(spark, P.line_stage(spark, odd, DATA), DATA)
+    assert kept.columns == odd.columns and {(r.had, r.later, r.GONE_LINES) for r in kept.collect()} == {(6, 2, 1)}

@@ -102,3 +102,9 @@ def test_sort_moves_to_disk_when_a_shard_is_far_larger_than_its_memory(spark):
 
 def test_sql(same):
     same("op7_repeated_bytes")
+
+
+def test_columns_with_the_operator_s_names_stay(odd):
+    made = R.remove_repeats(odd)
+    assert [c for c in made.columns if c in odd.columns] == [c for c in odd.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
+    assert {(r.gone_id, r.span_row, r._row, r.spans) for r in made.collect()} == {(0, 5, 10, "s")}
