@@ -151,7 +151,7 @@ def _answers(parts: pa.Table, block: int) -> pa.Table:
 
 
 _PARTS = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
-_LOST = pa.schema([("id", pa.int64()), ("key", pa.int32()), ("places", pa.binary())])
+_LOST = pa.schema([("id", pa.int64()), ("key", pa.int32()), ("place", pa.int32())])
 
 
 def _candidates(packed: pa.Table, answers: pa.Table, length: int, bits: int, block: int, shards: int) -> pa.Table:
@@ -197,22 +197,16 @@ def _firsts(*columns: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def _group(parts: pa.Table) -> pa.Table:
-    """A shard's windows: all but the first of each hash are lost; out: the places by document."""
+    """A shard's windows: all but the first of each hash are lost; out: the places in their documents."""
     column = lambda name, kind, sums: np.concatenate([np.cumsum(grow(x, kind), dtype=np.int64) if sums else grow(x, kind) for x in parts.column(name).to_pylist()])
     doc, key, place = column("ids", np.int64, True), column("keys", np.int32, False), column("places", np.int32, True)
     if parts.column("shard")[0].as_py() >= 0:
         doc, place, key = _firsts(column("h1", np.uint64, False), column("h2", np.uint64, False), doc, place, key)[1][2:]
-    order = np.lexsort((place, key, doc))
-    doc, place, key = doc[order], place[order], key[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-    cut = np.append(np.flatnonzero(new), len(doc))
-    blobs = [squeeze(place[a:b].astype(np.int32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table([doc[cut[:-1]], key[cut[:-1]], pa.array(blobs, pa.binary())], schema=_LOST)
+    return pa.table([doc, key, place.astype(np.int32)], schema=_LOST)
 
 
 def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, key, places): for each document that loses words the first words of lost windows, squeezed; ``key`` is the hash of its text."""
+    """(id, key, places): for each document that loses words the first words of lost windows; ``key`` is the hash of its text."""
     spark = docs.sparkSession
     base = docs.select(F.col(text).alias("body"), F.col(doc_id).cast("bigint").alias("id"), F.hash(F.col(text)).alias("key")).where(f"id is not null and octet_length(body) >= {2 * length - 1}")
     total = base.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
@@ -227,14 +221,14 @@ def repeated_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     parts = made.mapInArrow(lambda it: _sketch(it, length, bits, block, cells), "pack bigint, shard int, n int, cells binary")
     told = kept.store(parts.groupBy("shard").applyInArrow(lambda t: _answers(t, block), "pack bigint, shard int, n int, bits binary"), large=True)
     some = made.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(lambda a, b: _candidates(a, b, length, bits, block, shards), "shard int, n int, ids binary, keys binary, places binary, h1 binary, h2 binary")
-    return some.groupBy("shard").applyInArrow(_group, "id bigint, key int, places binary").groupBy("id", "key").agg(F.collect_list("places").alias("places"))
+    return some.groupBy("shard").applyInArrow(_group, "id bigint, key int, place int").groupBy("id", "key").agg(F.collect_list("place").alias("places"))
 
 
-def lost_words(places: list[bytes] | None, length: int) -> np.ndarray:
+def lost_words(places: pa.ListScalar, length: int) -> np.ndarray:
     """For each word of a text, as far as any is lost, whether it is."""
-    if not places:
+    if not places.is_valid or not len(places):
         return np.zeros(0, bool)
-    at = np.concatenate([grow(x, np.int32).astype(np.int64) for x in places])
+    at = places.values.to_numpy().astype(np.int64)
     step = np.zeros(int(at.max()) + length + 1, np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, at + length, -1)
@@ -263,7 +257,7 @@ def remove_windows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def run(column: pa.Array) -> list[pa.Array]:
         n_words, n_removed, digest, kept = [], [], [], []
         for t, p in zip(column.field("t").cast(pa.large_binary()), column.field("p"), strict=True):
-            lost = lost_words(p.as_py(), length)
+            lost = lost_words(p, length)
             n, left = 0, []
             for own in _words(t.as_py() or b""):
                 gone = lost[n : n + len(own)]
