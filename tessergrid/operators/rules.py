@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .identities import plain
+from .identities import plain, words
+from .phrase_search import phrase_places
 
 # What a field group counts, areas of no or of every subject, words and phrases that do not go together.
 TIERS = {"official_department": 4, "official_school": 2, "course_title_or_subject_code": 3, "course_description": 1}
@@ -29,23 +30,22 @@ AFFILIATION_FIELDS = (
 )
 
 
-def phrase_evidence(fields: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
+def phrase_evidence(fields: DataFrame, terms: DataFrame) -> DataFrame:
     """(course_key, area, basis, tier, field, phrase, n_words): phrases of a taxonomy that stand in fields, word for word.
 
     ``fields`` is (course_key, basis, field, text), ``terms`` (area, phrase, topic): topics are sought in titles and
-    descriptions, others in departments and schools. Runs of up to ``longest`` words meet the phrases by an equi join.
+    descriptions, others in departments and schools. Every text is read once, whatever the phrases' lengths.
     """
-    said = F.split(plain(F.col("text")), " ")
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>")))))
     tier = F.lit(0)
     for basis, t in TIERS.items():
         tier = F.when(F.col("basis") == basis, t).otherwise(tier)
+    said = fields.select(F.struct("course_key", "basis", "field").alias("at"), words(F.col("text")).alias("w"))
+    spelled = terms.select("area", plain(F.col("phrase")).alias("phrase"), "topic").distinct()
+    found = phrase_places(said, "at", F.col("w"), spelled).select("at.*", "phrase").distinct()
     topical = F.col("basis").isin("course_title_or_subject_code", "course_description")
-    cut = fields.select("course_key", "basis", "field", topical.alias("topic"), tier.alias("tier"), plain(F.col("text")).rlike(NONHUMAN).alias("nonhuman"), said.alias("w")).select("*", F.explode(runs).alias("phrase"))
-    spelled = terms.select("area", plain(F.col("phrase")).alias("phrase"), "topic", F.size(F.split("phrase", " ")).alias("n_words"))
-    met = cut.join(F.broadcast(spelled), ["phrase", "topic"])
-    beasts = fields.select("course_key", "basis", plain(F.col("text")).rlike(NONHUMAN).alias("n")).groupBy("course_key", "basis").agg(F.bool_or("n").alias("beasts"))
-    held = met.join(beasts, ["course_key", "basis"]).where(~(F.col("beasts") & F.col("topic") & (F.col("area") == "health-medicine") & F.col("phrase").isin(*GUARDED)))
+    met = found.withColumns({"topic": topical, "tier": tier, "n_words": F.size(F.split("phrase", " "))}).join(spelled, ["phrase", "topic"])
+    beasts = fields.where(plain(F.col("text")).rlike(NONHUMAN)).select("course_key", "basis").distinct().withColumn("beasts", F.lit(True))
+    held = met.join(beasts, ["course_key", "basis"], "left").where(~(F.coalesce("beasts", F.lit(False)) & F.col("topic") & (F.col("area") == "health-medicine") & F.col("phrase").isin(*GUARDED)))
     return held.select("course_key", "area", "basis", "tier", "field", "phrase", "n_words").distinct()
 
 
@@ -114,7 +114,7 @@ def overlaid(rules: DataFrame, answers: DataFrame, refinements: DataFrame) -> Da
     kept = F.array_union(F.array_except(F.coalesce("reasons", none), F.array(*[F.lit(x) for x in OF_FIELDS])), once)
     kept = F.when(second.isNull(), kept).otherwise(F.array_union(F.array_except(kept, F.array(*[F.lit(x) for x in CLEARED])), again))
     given = F.when(second.isNotNull(), F.col("r_answer")).when(first.isin("candidate", "needs-review"), F.col("a_answer")).otherwise(UNRESOLVED)
-    strong = F.col("resolved") & (F.col("candidates") == F.array("rule_primary")) & (F.col("rule_primary") != UNRESOLVED) & (F.col("tier") >= 3) & ~F.arrays_overlap(F.coalesce("reasons", none), F.array(*[F.lit(x) for x in UNSOUND]))
+    strong = F.col("resolved") & (F.col("candidates") == F.array("rule_primary")) & ~F.col("rule_primary").isin("", UNRESOLVED) & (F.col("tier") >= 3) & ~F.arrays_overlap(F.coalesce("reasons", none), F.array(*[F.lit(x) for x in UNSOUND]))
     fall = (given == UNRESOLVED) & F.coalesce(strong, F.lit(False))
     primary = F.when(fall, F.col("rule_primary")).otherwise(given)
     kept = F.array_sort(F.when(F.col("warned"), F.array_union(kept, F.array(F.lit("bookstore-identity-unverified")))).otherwise(kept))

@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]", "timestamp": "TIMESTAMP"}
+SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]", "timestamp": "TIMESTAMP"}
 
 
 def sql_value(v: Any) -> str:
@@ -47,7 +47,7 @@ class Fixture:
     def sql(self) -> str:
         """``name AS (SELECT ... FROM (VALUES ...))``, for a WITH clause."""
         names = ", ".join(f'"{n}"' for n, _ in self.columns)
-        typed = ", ".join(f'"{n}"::{_SQL_TYPES[t]} AS "{n}"' for n, t in self.columns)
+        typed = ", ".join(f'"{n}"::{SQL_TYPES[t]} AS "{n}"' for n, t in self.columns)
         rows = ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in self.rows)
         return f"{self.name} AS (SELECT {typed} FROM (VALUES {rows}) v({names}))"
 

@@ -1,4 +1,4 @@
-"""Hybrid recall, excerpts, units and staleness, on documents and on a table of awkward nodes."""
+"""Hybrid recall, excerpts, units and staleness, on documents; tests run them on awkward nodes too."""
 
 from __future__ import annotations
 
@@ -12,13 +12,33 @@ from ..registry import query
 from ..session import Tables
 from . import fixtures as X
 from . import retrieval
-
-WANTED = ["drift", "robots", "sensors"]
+from .bound import Bound, Words
+
+WANTED = Words(("thre", "than", "erst"), ("drift", "robots", "sensors"))
+
+# Documents are regions of 25 sources; a third has two units, a seventh knowledge about it, every tenth has changed since.
+NODES = Bound(X.NODES, """
+    SELECT concat('r', CAST(doc_id AS STRING)) AS id, 'region' AS kind, concat('r', CAST(doc_id AS STRING)) AS parent, concat('s', CAST(doc_id % 25 AS STRING)) AS source_id, CAST(floor(doc_id / 25) AS INT) AS region_index, text, CAST(NULL AS STRING) AS review_state,
+      md5(text) AS fingerprint, CASE WHEN doc_id % 10 = 3 THEN 'old' ELSE md5(text) END AS stored, element_at(embedding, 1) AS x, element_at(embedding, 2) AS y FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id
+    UNION ALL SELECT concat('u', CAST(doc_id AS STRING), CASE WHEN part = 0 THEN 'a' ELSE 'b' END), 'retrieval-unit', concat('r', CAST(doc_id AS STRING)), concat('s', CAST(doc_id % 25 AS STRING)), NULL, substr(text, CAST(part * 200 + 1 AS INT), 200), NULL,
+      md5(text), md5(text), element_at(embedding, 3), element_at(embedding, CAST(part AS INT) + 4) FROM {documents} JOIN {embeddings} ON vec_id = doc_id CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1) WHERE doc_id % 3 = 0
+    UNION ALL SELECT concat('k', CAST(doc_id AS STRING)), 'knowledge', concat('r', CAST(doc_id AS STRING)), concat('s', CAST(doc_id % 25 AS STRING)), NULL, substr(text, 50, 100), CASE WHEN doc_id % 2 = 0 THEN 'reviewed' ELSE 'draft' END,
+      md5(text), md5(text), element_at(embedding, 6), element_at(embedding, 7) FROM {documents} JOIN {embeddings} ON vec_id = doc_id WHERE doc_id % 7 = 0""")
+LINKS = Bound(X.LINKS, """
+    SELECT concat('r', CAST(a.doc_id AS STRING)) AS src, concat('r', CAST(b.doc_id AS STRING)) AS dst, (a.doc_id * 31 % 97) / 100.0 AS cosine, CASE WHEN a.doc_id % 9 = 0 THEN 'stale' ELSE md5(a.text) END AS src_fp, md5(b.text) AS dst_fp
+    FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id + 1 + a.doc_id % 5
+    UNION ALL SELECT concat('r', CAST(a.doc_id AS STRING)), concat('r', CAST(b.doc_id AS STRING)), (b.doc_id * 17 % 89) / 100.0, md5(a.text), CASE WHEN b.doc_id % 8 = 0 THEN 'stale' ELSE md5(b.text) END FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id - a.doc_id % 7""")
+HEADINGS = Bound(X.HEADINGS, """
+    SELECT CAST(conv_id AS STRING) AS source_id, turn + 1 AS ord, length(text) % 7 + 1 AS level, split_part(text, '.', 1) AS title, CAST(floor(turn / 3) AS INT) + 1 AS page FROM {conversations}""")
+PAGE_COUNTS = Bound(X.PAGE_COUNTS, "SELECT CAST(conv_id AS STRING) AS source_id, CAST(floor(max(turn) / 3) AS INT) + 2 AS pages FROM {conversations} GROUP BY conv_id")
+CLAIMS = Bound(X.CLAIMS, """
+    SELECT concat('c', CAST(doc_id AS STRING)) AS claim, CASE WHEN doc_id % 11 = 0 THEN 'zz' ELSE concat('r', CAST(doc_id AS STRING)) END AS region_id,
+      CASE doc_id % 6 WHEN 0 THEN upper(substr(text, 20, 40)) WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE substr(text, 20, 40) END AS quote FROM {documents}""")
 _SENSE = [1.0, 0.2]
 
 _RECALL = f"""
-{X.NODES.sql}, tok AS (SELECT id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM nodes), sizes AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
-post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, unnest(w) AS term, len(w) AS dl FROM tok) WHERE term IN ('drift', 'robots', 'sensors') GROUP BY ALL),
+{NODES.sql}, tok AS (SELECT id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM nodes), sizes AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, unnest(w) AS term, len(w) AS dl FROM tok) WHERE term IN ({WANTED.sql}) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM post JOIN df USING (term), sizes GROUP BY id),
 sem AS (SELECT id, (x * 1.0 + y * 0.2) / sqrt(x * x + y * y) / sqrt(1.04) AS score FROM nodes WHERE x * x + y * y > 0),
@@ -27,18 +47,18 @@ firsts AS (SELECT c, parent, id, kind, r FROM chan JOIN nodes USING (id) WHERE k
 places AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY r) AS place FROM firsts),
 fused AS (SELECT parent, round(sum(1.0 / (60 + place)), 12) AS score, max(place) FILTER (WHERE c = 'lexical') AS lexical_place, max(place) FILTER (WHERE c = 'semantic') AS semantic_place,
   coalesce(max(id) FILTER (WHERE c = 'semantic' AND kind = 'retrieval-unit'), max(id) FILTER (WHERE c = 'lexical'), max(id) FILTER (WHERE c = 'semantic')) AS node_id FROM places GROUP BY parent),
-told AS (SELECT f.*, n.fingerprint <> n.stored AS stale FROM fused f JOIN nodes n ON n.id = node_id WHERE semantic_place IS NOT NULL OR n.kind = 'knowledge' OR regexp_matches(lower(n.text), '\\b(drift|robots|sensors)\\b')),
+told AS (SELECT f.*, n.fingerprint <> n.stored AS stale FROM fused f JOIN nodes n ON n.id = node_id WHERE semantic_place IS NOT NULL OR n.kind = 'knowledge' OR regexp_matches(lower(n.text), '\\b({WANTED.pattern})\\b')),
 ordered AS (SELECT *, row_number() OVER w AS position, sum(CASE WHEN stale THEN 0 ELSE 1 END) OVER w AS good FROM told WINDOW w AS (ORDER BY coalesce(semantic_place <> 1, true), score DESC, parent)),
 recalled AS (SELECT position::INTEGER AS position, parent, node_id, score, lexical_place::INTEGER AS lexical_place, semantic_place::INTEGER AS semantic_place, CASE WHEN stale THEN 'gap' ELSE 'result' END AS outcome
   FROM ordered WHERE good < 6 OR good = 6 AND NOT stale)"""
 
 
 def _recalled(t: Tables) -> DataFrame:
-    nodes = X.NODES.frame(t.spark).withColumns({"words": T.tokens(F.col("text"), unicode=False), "stale": F.col("fingerprint") != F.col("stored")})
-    lexical = retrieval.bm25(nodes, "id", "text", WANTED, unicode=False).select(F.col("doc_id").alias("id"), F.round("rank", 9).alias("rank"))
+    nodes = NODES.frame(t).withColumns({"words": T.tokens(F.col("text"), unicode=False), "stale": F.col("fingerprint") != F.col("stored")})
+    lexical = retrieval.bm25(nodes, "id", "text", WANTED.of(t), unicode=False).select(F.col("doc_id").alias("id"), F.round("rank", 9).alias("rank"))
     vectors = nodes.where("x is not null").select("id", F.array("x", "y").alias("v"))
     semantic = retrieval.cosine(vectors, "id", "v", _SENSE).select(F.col("key").alias("id"), F.round("score", 9).alias("score"))
-    return E.hybrid(nodes, lexical, semantic, WANTED, 6)
+    return E.hybrid(nodes, lexical, semantic, WANTED.of(t), 6)
 
 
 @query("T10", f"WITH {_RECALL} SELECT * FROM recalled")
@@ -120,7 +140,7 @@ def region_text_check(t: Tables) -> DataFrame:
 
 
 @query("T16 J16", f"""
-WITH {X.NODES.sql}, {X.LINKS.sql}, r AS (SELECT * FROM nodes WHERE kind = 'region'),
+WITH {NODES.sql}, {LINKS.sql}, r AS (SELECT * FROM nodes WHERE kind = 'region'),
 near AS (SELECT a.id, list(b.id ORDER BY b.region_index) AS neighbours FROM r a JOIN r b ON a.source_id = b.source_id AND a.id <> b.id AND abs(a.region_index - b.region_index) <= 2 GROUP BY a.id),
 live AS (SELECT l.* FROM links l JOIN nodes a ON a.id = src AND a.fingerprint = src_fp JOIN nodes b ON b.id = dst AND b.fingerprint = dst_fp),
 two AS (SELECT src AS id, dst AS other, cosine FROM live UNION ALL SELECT dst, src, cosine FROM live),
@@ -128,36 +148,36 @@ each_ AS (SELECT id, other, max(cosine) AS cosine FROM two GROUP BY id, other),
 alike AS (SELECT id, list(other ORDER BY cosine DESC, other) AS alike FROM best GROUP BY id)
 SELECT r.id, text, coalesce(neighbours, []) AS neighbours, coalesce(alike, []) AS alike, fingerprint <> stored AS stale FROM r LEFT JOIN near ON near.id = r.id LEFT JOIN alike ON alike.id = r.id""")
 def read_region(t: Tables) -> DataFrame:
-    nodes = X.NODES.frame(t.spark)
+    nodes = NODES.frame(t)
     regions = nodes.where("kind = 'region'")
-    best = E.current_links(X.LINKS.frame(t.spark), nodes).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))).alias("a"))
+    best = E.current_links(LINKS.frame(t), nodes).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))).alias("a"))
     near = E.neighbourhood(regions, 2).drop("source_id")
     none = F.array().cast("array<string>")
     return regions.join(near, "id").join(best, "id", "left").select("id", "text", "neighbours", F.coalesce(F.transform("a", lambda x: x["other"]), none).alias("alike"), (F.col("fingerprint") != F.col("stored")).alias("stale"))
 
 
 @query("T17 W10 W11 M10", f"""
-WITH {X.HEADINGS.sql}, {X.PAGE_COUNTS.sql}
+WITH {HEADINGS.sql}, {PAGE_COUNTS.sql}
 SELECT h.source_id, h.ord, h.level, h.title, h.page AS first_page,
   greatest(h.page, coalesce((SELECT n.page FROM headings n WHERE n.source_id = h.source_id AND n.ord > h.ord AND n.level <= h.level ORDER BY n.ord LIMIT 1), pages)) AS last_page,
   (SELECT max(p.ord) FROM headings p WHERE p.source_id = h.source_id AND p.ord < h.ord AND p.level < h.level) AS parent
 FROM headings h JOIN page_counts USING (source_id)""")
 def navigation_ranges(t: Tables) -> DataFrame:
-    return E.sections(X.HEADINGS.frame(t.spark), X.PAGE_COUNTS.frame(t.spark))
+    return E.sections(HEADINGS.frame(t), PAGE_COUNTS.frame(t))
 
 
 @query("T17", f"""
-WITH {X.NODES.sql} SELECT source_id, string_agg(text, chr(10) || chr(10) ORDER BY region_index) AS section, sum(length(text))::BIGINT AS n_chars FROM nodes WHERE kind = 'region' AND region_index BETWEEN 1 AND 2 GROUP BY source_id""")
+WITH {NODES.sql} SELECT source_id, string_agg(text, chr(10) || chr(10) ORDER BY region_index) AS section, sum(length(text))::BIGINT AS n_chars FROM nodes WHERE kind = 'region' AND region_index BETWEEN 1 AND 2 GROUP BY source_id""")
 def read_section(t: Tables) -> DataFrame:
-    rows = X.NODES.frame(t.spark).where("kind = 'region' and region_index between 1 and 2")
+    rows = NODES.frame(t).where("kind = 'region' and region_index between 1 and 2")
     parts = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("region_index", "text"))).alias("x"), F.sum(F.char_length("text")).alias("n_chars"))
     return parts.select("source_id", F.array_join(F.transform("x", lambda x: x["text"]), "\n\n").alias("section"), "n_chars")
 
 
 @query("T19 R6 P7", f"""
-WITH {X.CLAIMS.sql}, {X.NODES.sql}
+WITH {CLAIMS.sql}, {NODES.sql}
 SELECT claim, CASE WHEN n.id IS NULL THEN 'unknown-region' WHEN fingerprint <> stored THEN 'stale-region' WHEN trim(coalesce(quote, '')) = '' THEN 'no-quote' WHEN NOT contains(text, quote) THEN 'quote-not-found' END AS fault
 FROM claims c LEFT JOIN nodes n ON n.id = c.region_id""")
 def quote_check(t: Tables) -> DataFrame:
-    nodes = X.NODES.frame(t.spark).select("id", "text", (F.col("fingerprint") != F.col("stored")).alias("stale"))
-    return E.anchored_claims(X.CLAIMS.frame(t.spark), nodes)
+    nodes = NODES.frame(t).select("id", "text", (F.col("fingerprint") != F.col("stored")).alias("stale"))
+    return E.anchored_claims(CLAIMS.frame(t), nodes)
