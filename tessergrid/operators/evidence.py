@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import trees
+
 RRF = 60
 #: Candidates of a channel: the bound of what recall looks at.
 CHANNEL = 1000
@@ -90,18 +92,12 @@ def sections(headings: DataFrame, last_page: DataFrame) -> DataFrame:
     """(source_id, ord, level, title, first_page, last_page, parent): the ranges of an outline.
 
     A section ends where the next heading of its level or a lower one begins, at the last page of the source otherwise;
-    its parent is the nearest earlier heading of a lower level. Headings are (source_id, ord, level, title, page), levels 1 to 6.
+    its parent is the nearest earlier heading of a lower level. Headings are (source_id, ord, level, title, page), of any depth; a source may have any number.
     """
-    w = Window.partitionBy("source_id").orderBy("ord")
-    later, earlier = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
-    wide = headings.select("*", *[F.first(F.when(F.col("level") <= k, F.struct("ord", "page")), True).over(later).alias(f"next{k}") for k in range(1, 7)], *[F.last(F.when(F.col("level") == k, F.col("ord")), True).over(earlier).alias(f"last{k}") for k in range(1, 6)])
-    pick = F.lit(None).cast("int")
-    for k in range(1, 7):
-        pick = F.when(F.col("level") == k, F.col(f"next{k}.page").cast("int")).otherwise(pick)
-    parent = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > k, F.col(f"last{k}")) for k in range(1, 6)])
-    joined = wide.withColumn("until", pick).join(last_page, "source_id")
+    placed = trees.sections(headings, "source_id", "ord", "level").join(last_page, "source_id")
+    starts = headings.select("source_id", F.col("ord").cast("bigint").alias("ends"), F.col("page").alias("until"))
     end = F.greatest(F.col("page"), F.coalesce("until", F.col("pages")))
-    return joined.select("source_id", "ord", "level", "title", F.col("page").alias("first_page"), end.alias("last_page"), parent.alias("parent"))
+    return placed.join(starts, ["source_id", "ends"], "left").select("source_id", "ord", "level", "title", F.col("page").alias("first_page"), end.alias("last_page"), F.col("parent").cast("int").alias("parent"))
 
 
 def anchored_claims(claims: DataFrame, regions: DataFrame) -> DataFrame:

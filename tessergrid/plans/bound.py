@@ -39,6 +39,18 @@ class Bound:
         typed = ", ".join(f'"{n}"::{SQL_TYPES[k]} AS "{n}"' for n, k in self.rows.columns)
         return f"{self.rows.name} AS (SELECT {typed} FROM ({_TABLE.sub(lambda m: m[1], self.select).replace('element_at(', 'list_extract(')}))"
 
+    @property
+    def awkward_sql(self) -> str:
+        return self.rows.sql
+
+
+@dataclass(frozen=True)
+class Clause:
+    """SQL of a query that says something else over awkward rows."""
+
+    sql: str
+    awkward_sql: str
+
 
 @dataclass(frozen=True)
 class Words:
@@ -54,17 +66,19 @@ class Words:
     def sql(self) -> str:
         return ", ".join(map(sql_value, self.given))
 
+    @property
+    def awkward_sql(self) -> str:
+        return ", ".join(map(sql_value, self.awkward))
+
     @property
     def pattern(self) -> str:
         return "|".join(self.given)
 
 
-def on_rows(sql: str, *inputs: Bound | Words) -> str:
-    """The SQL of a query over awkward rows."""
-    for b in inputs:
-        if isinstance(b, Bound):
-            sql = sql.replace(b.sql, b.rows.sql)
-        else:
-            other = Words(b.awkward, b.given)
-            sql = sql.replace(b.sql, other.sql).replace(b.pattern, other.pattern)
+def on_rows(sql: str, *inputs: Bound | Clause | Words) -> str:
+    """The SQL of a query over awkward rows; what holds others is replaced before them."""
+    for b in sorted(inputs, key=lambda b: -len(b.sql)):
+        sql = sql.replace(b.sql, b.awkward_sql)
+        if isinstance(b, Words):
+            sql = sql.replace(f"({b.pattern})", f"({'|'.join(b.awkward)})")
     return sql

@@ -1,4 +1,4 @@
-"""Rules of the materials ledger, on a table of awkward listings."""
+"""Rules of the materials ledger, over listings read from the given tables; tests run them on awkward listings too."""
 
 from __future__ import annotations
 
@@ -9,8 +9,30 @@ from ..operators import ledger as L
 from ..registry import query
 from ..session import Tables
 from . import fixtures as X
+from .bound import Bound
 from .fixtures import sql_value
 
+# One in ten numbers has the right check digit.
+_ISBN = "concat('978', lpad(CAST(l_partkey % 40 AS STRING), 9, '0'), CAST(l_suppkey % 10 AS STRING))"
+_TITLE = """CASE l_suppkey % 17 WHEN 0 THEN 'No textbooks are required for this course.' WHEN 1 THEN 'None' WHEN 2 THEN 'TBA by instructor' WHEN 3 THEN 'All readings on Canvas' WHEN 4 THEN 'i>clicker'
+      WHEN 5 THEN concat('<b>', p_name, ' &amp; ', p_brand, '</b>') WHEN 6 THEN '' ELSE concat(p_name, ' ', p_brand) END"""
+LISTED = Bound(X.LISTED, f"""
+    SELECT CAST(l_orderkey AS STRING) AS course_key, l_linenumber AS line, CASE p_size % 9 WHEN 0 THEN 'Book' WHEN 1 THEN 'text_book' WHEN 2 THEN 'textbook' WHEN 3 THEN 'reading' WHEN 4 THEN 'device' WHEN 5 THEN 'book chapter' WHEN 6 THEN 'No textbook statement' WHEN 7 THEN 'e-book' ELSE 'monograph' END AS kind,
+      {_TITLE} AS title, CASE l_partkey % 4 WHEN 0 THEN concat(p_name, '. ISBN: ', {_ISBN}) WHEN 1 THEN concat('ISBN ', {_ISBN}, ' and later ISBN 0306406152') END AS citation, CASE WHEN l_partkey % 3 <> 0 THEN p_type END AS authors, CASE p_size % 4 WHEN 0 THEN '2' WHEN 1 THEN '' END AS edition,
+      CASE WHEN l_linenumber % 3 = 0 THEN {_ISBN} END AS isbn, CASE l_linenumber WHEN 3 THEN 'valid checksum' WHEN 6 THEN 'not checked' END AS isbn_validation, CASE WHEN l_partkey % 13 = 0 THEN concat('ISBN:', {_ISBN}) END AS recurrence_key,
+      CASE WHEN l_suppkey % 8 = 1 THEN 'library-course-reserve-candidate' END AS association, CASE WHEN l_suppkey % 9 = 2 THEN false END AS eligible, CASE WHEN l_suppkey % 2 = 0 THEN 'said so' END AS excerpt, CASE WHEN l_partkey % 31 = 0 THEN 'description' END AS source_field,
+      CASE l_partkey % 10 WHEN 0 THEN ' TRUE' WHEN 1 THEN 'no' END AS book_flag, CASE WHEN l_suppkey % 16 = 1 THEN split(concat(p_name, ' ', p_brand, ' ,another'), ',') END AS library_titles FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
+    UNION ALL SELECT concat('d', CAST(doc_id AS STRING)), 0, CASE WHEN doc_id % 2 = 0 THEN 'book' ELSE 'reading' END, CASE WHEN doc_id % 3 = 0 THEN text ELSE split_part(text, '.', 1) END, NULL, source, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{documents}}""")
+LEDGERS = Bound(X.LEDGERS, """
+    SELECT CAST(o_orderkey AS STRING) AS course_key, CASE o_custkey % 9 WHEN 0 THEN 'found' WHEN 1 THEN 'searched-no-public-material' WHEN 2 THEN 'source-access-limited' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'searched-no-book-evidence' WHEN 5 THEN 'has-saved-reference-records' WHEN 6 THEN 'zzz-other' ELSE 'found' END AS status,
+      CASE o_custkey % 5 WHEN 0 THEN split('ambiguous', ',') WHEN 1 THEN split('not-researched,found', ',') END AS more, CASE WHEN o_custkey % 4 <> 0 THEN concat('https://x.example/', CAST(o_custkey AS STRING)) END AS source, CASE o_custkey % 6 WHEN 0 THEN 'later terms' WHEN 1 THEN '' END AS gap FROM {orders} WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT CAST(o_orderkey AS STRING), 'found', NULL, 'https://y.example', NULL FROM {orders} WHERE o_orderkey % 4 = 1""")
+LISTED_COURSES = Bound(X.LISTED_COURSES, """
+    SELECT CAST(o_orderkey AS STRING) AS course_key, CASE o_custkey % 9 WHEN 0 THEN 'Found online' WHEN 1 THEN 'Login required' WHEN 2 THEN 'No public material' WHEN 3 THEN 'saved reference' WHEN 4 THEN 'not a reference' WHEN 5 THEN ' searched_no book evidence' WHEN 6 THEN 'AMBIGUOUS but found' END AS research_status,
+      CASE WHEN o_custkey % 4 = 0 THEN o_orderpriority WHEN o_custkey % 4 = 1 THEN '' END AS note, CASE WHEN o_custkey % 7 = 0 THEN 'https://c.example' END AS source_url FROM {orders}""")
+RESOLUTIONS = Bound(X.RESOLUTIONS, f"""
+    SELECT CAST(l_orderkey AS STRING) AS course_key, {_TITLE} AS title, min({_ISBN}) AS isbn, min(l_suppkey) % 4 = 0 AS confirmed FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE l_suppkey % 7 = 0 GROUP BY 1, 2""")
+
 _RULES = ", ".join(map(sql_value, L.NO_RESOURCE))
 _LABEL = r"(?i)\bISBN(?:-1[03])?\s*:?\s*([0-9Xx][0-9Xx\- ]{8,20}[0-9Xx])\b"
 
@@ -24,7 +46,7 @@ def _plain(x: str) -> str:
 
 #: Every listing with what it states and what it is; ISBNs are worked out once for each spelling.
 RULES = rf"""
-{X.LISTED.sql}, p AS (
+{LISTED.sql}, p AS (
   SELECT *, coalesce(title, '') AS t, regexp_replace({_plain('title')}, '^[ .;:,-]+|[ .;:,-]+$', '', 'g') AS said, translate({_plain('kind')}, '_-', '  ') AS kind_name, regexp_replace(coalesce(title, ''), '<[^>]*>', ' ', 'g') AS body FROM listed
 ), q AS (
   SELECT *, len(list_filter([{_RULES}], lambda x: regexp_matches(said, x))) > 0 AS nothing FROM p
@@ -70,7 +92,7 @@ RULES = rf"""
 
 @query("F6 F7 F8", f"WITH {RULES} SELECT course_key, line, kind_name, states, is_resource, is_evidence, is_book, is_learning_book FROM classified")
 def material_rules(t: Tables) -> DataFrame:
-    return L.classified(X.LISTED.frame(t.spark)).select("course_key", "line", "kind_name", "states", "is_resource", "is_evidence", "is_book", "is_learning_book")
+    return L.classified(LISTED.frame(t)).select("course_key", "line", "kind_name", "states", "is_resource", "is_evidence", "is_book", "is_learning_book")
 
 
 @query("E2 E4 E11", rf"""
@@ -80,12 +102,12 @@ SELECT course_key, line, own_isbn, raw, sisbn AS source_isbn,
   CASE WHEN NOT is_resource THEN NULL WHEN own_isbn <> '' THEN 'checksum-valid ISBN' WHEN na <> '' THEN 'normalized title, author, and edition' WHEN ne <> '' THEN 'normalized exact title and edition' ELSE 'normalized exact title/citation' END AS basis
 FROM ids""")
 def material_identities(t: Tables) -> DataFrame:
-    rows = L.classified(X.LISTED.frame(t.spark)).withColumns({"own": L.own_isbn(), "s": L.source_isbn(), "i": L.book_identity()})
+    rows = L.classified(LISTED.frame(t)).withColumns({"own": L.own_isbn(), "s": L.source_isbn(), "i": L.book_identity()})
     return rows.select("course_key", "line", F.col("own").alias("own_isbn"), "s.raw", F.col("s.isbn").alias("source_isbn"), "i.key", "i.basis")
 
 
 @query("A4 F8", rf"""
-WITH {RULES}, {X.LEDGERS.sql}, {X.LISTED_COURSES.sql}, mats AS (
+WITH {RULES}, {LEDGERS.sql}, {LISTED_COURSES.sql}, mats AS (
   SELECT course_key, list(DISTINCT states) FILTER (WHERE states IS NOT NULL) AS texts, bool_or(is_resource) AS resources, bool_or(is_evidence) AS evidence, count(*) AS n FROM (SELECT DISTINCT * FROM classified) GROUP BY course_key
 ), said AS (
   SELECT course_key, list_sort(list_distinct(flatten(list([status] || coalesce(more, []))))) AS said, list_sort(list(DISTINCT source) FILTER (WHERE source IS NOT NULL)) AS sources, list_sort(list(DISTINCT gap) FILTER (WHERE gap <> '')) AS gaps FROM ledgers GROUP BY course_key
@@ -102,11 +124,11 @@ WITH {RULES}, {X.LEDGERS.sql}, {X.LISTED_COURSES.sql}, mats AS (
 SELECT course_key, status, s AS evidence_statuses, n AS n_materials, CASE WHEN len(src) > 0 THEN src WHEN source_url IS NOT NULL THEN [source_url] ELSE [] END AS sources,
   CASE WHEN len(g) > 0 THEN g WHEN coalesce(note, '') <> '' THEN [note] WHEN status = 'not-researched' THEN ['Per-course books and other learning materials have not been researched in this source pass.'] ELSE [] END AS gaps FROM k""")
 def course_entries(t: Tables) -> DataFrame:
-    return L.course_entries(X.LISTED_COURSES.frame(t.spark), X.LEDGERS.frame(t.spark), X.LISTED.frame(t.spark))
+    return L.course_entries(LISTED_COURSES.frame(t), LEDGERS.frame(t), LISTED.frame(t))
 
 
 _MATCHED = rf"""
-{RULES}, {X.RESOLUTIONS.sql}, j AS (
+{RULES}, {RESOLUTIONS.sql}, j AS (
   SELECT s.*, r.isbn AS resolved, r.confirmed, coalesce(association, '') = 'library-course-reserve-candidate' AS reserve, CASE WHEN m[s.isbn] LIKE '97%' THEN m[s.isbn] ELSE '' END AS held
   FROM sourced s LEFT JOIN resolutions r ON r.course_key = s.course_key AND r.title = s.title WHERE is_learning_book
 ), matched AS (
@@ -121,7 +143,7 @@ _MATCHED = rf"""
 
 @query("E10", f"WITH {_MATCHED} SELECT * FROM matched")
 def match_ladder(t: Tables) -> DataFrame:
-    return L.book_matches(X.LISTED.frame(t.spark), X.RESOLUTIONS.frame(t.spark))
+    return L.book_matches(LISTED.frame(t), RESOLUTIONS.frame(t))
 
 
 @query("A9", f"""
@@ -129,4 +151,4 @@ WITH {_MATCHED} SELECT count(*) AS mappings, count(DISTINCT course_key) AS cours
   count(*) FILTER (WHERE status = 'library-reserve-candidate') AS reserve_candidates, count(*) FILTER (WHERE candidate <> '') AS candidates, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'invalid-course-source-isbn') AS invalid,
   count(*) FILTER (WHERE assigned = '' AND matched = '' AND candidate = '') AS without_any_isbn, count(*) FILTER (WHERE conflict) AS conflicts FROM matched""")
 def match_summary(t: Tables) -> DataFrame:
-    return L.summary(L.book_matches(X.LISTED.frame(t.spark), X.RESOLUTIONS.frame(t.spark)))
+    return L.summary(L.book_matches(LISTED.frame(t), RESOLUTIONS.frame(t)))

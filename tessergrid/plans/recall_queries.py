@@ -20,8 +20,10 @@ WANTED = Words(("thre", "than", "erst"), ("drift", "robots", "sensors"))
 NODES = Bound(X.NODES, """
     SELECT concat('r', CAST(doc_id AS STRING)) AS id, 'region' AS kind, concat('r', CAST(doc_id AS STRING)) AS parent, concat('s', CAST(doc_id % 25 AS STRING)) AS source_id, CAST(floor(doc_id / 25) AS INT) AS region_index, text, CAST(NULL AS STRING) AS review_state,
       md5(text) AS fingerprint, CASE WHEN doc_id % 10 = 3 THEN 'old' ELSE md5(text) END AS stored, element_at(embedding, 1) AS x, element_at(embedding, 2) AS y FROM {documents} LEFT JOIN {embeddings} ON vec_id = doc_id
-    UNION ALL SELECT concat('u', CAST(doc_id AS STRING), CASE WHEN part = 0 THEN 'a' ELSE 'b' END), 'retrieval-unit', concat('r', CAST(doc_id AS STRING)), concat('s', CAST(doc_id % 25 AS STRING)), NULL, substr(text, CAST(part * 200 + 1 AS INT), 200), NULL,
-      md5(text), md5(text), element_at(embedding, 3), element_at(embedding, CAST(part AS INT) + 4) FROM {documents} JOIN {embeddings} ON vec_id = doc_id CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1) WHERE doc_id % 3 = 0
+    UNION ALL SELECT concat('u', CAST(doc_id AS STRING), 'a'), 'retrieval-unit', concat('r', CAST(doc_id AS STRING)), concat('s', CAST(doc_id % 25 AS STRING)), NULL, substr(text, 1, 200), NULL,
+      md5(text), md5(text), element_at(embedding, 3), element_at(embedding, 4) FROM {documents} JOIN {embeddings} ON vec_id = doc_id WHERE doc_id % 3 = 0
+    UNION ALL SELECT concat('u', CAST(doc_id AS STRING), 'b'), 'retrieval-unit', concat('r', CAST(doc_id AS STRING)), concat('s', CAST(doc_id % 25 AS STRING)), NULL, substr(text, 201, 200), NULL,
+      md5(text), md5(text), element_at(embedding, 3), element_at(embedding, 5) FROM {documents} JOIN {embeddings} ON vec_id = doc_id WHERE doc_id % 3 = 0
     UNION ALL SELECT concat('k', CAST(doc_id AS STRING)), 'knowledge', concat('r', CAST(doc_id AS STRING)), concat('s', CAST(doc_id % 25 AS STRING)), NULL, substr(text, 50, 100), CASE WHEN doc_id % 2 = 0 THEN 'reviewed' ELSE 'draft' END,
       md5(text), md5(text), element_at(embedding, 6), element_at(embedding, 7) FROM {documents} JOIN {embeddings} ON vec_id = doc_id WHERE doc_id % 7 = 0""")
 LINKS = Bound(X.LINKS, """
@@ -42,7 +44,7 @@ post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, u
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM post JOIN df USING (term), sizes GROUP BY id),
 sem AS (SELECT id, (x * 1.0 + y * 0.2) / sqrt(x * x + y * y) / sqrt(1.04) AS score FROM nodes WHERE x * x + y * y > 0),
-chan AS (SELECT 'lexical' AS c, id, row_number() OVER (ORDER BY round(rank, 9), id) AS r FROM bm UNION ALL SELECT 'semantic', id, row_number() OVER (ORDER BY round(score, 9) DESC, id DESC) FROM sem),
+chan AS (SELECT * FROM (SELECT 'lexical' AS c, id, row_number() OVER (ORDER BY round(rank, 9), id) AS r FROM bm UNION ALL SELECT 'semantic', id, row_number() OVER (ORDER BY round(score, 9) DESC, id DESC) FROM sem) WHERE r <= {E.CHANNEL}),
 firsts AS (SELECT c, parent, id, kind, r FROM chan JOIN nodes USING (id) WHERE kind <> 'knowledge' OR review_state = 'reviewed' QUALIFY row_number() OVER (PARTITION BY c, parent ORDER BY r) = 1),
 places AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY r) AS place FROM firsts),
 fused AS (SELECT parent, round(sum(1.0 / (60 + place)), 12) AS score, max(place) FILTER (WHERE c = 'lexical') AS lexical_place, max(place) FILTER (WHERE c = 'semantic') AS semantic_place,

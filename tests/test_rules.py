@@ -3,12 +3,13 @@
 import pytest
 
 from tessergrid import registry
-from tessergrid.plans import recall_queries, rule_queries as Q
-from tessergrid.plans.bound import AwkwardRows, Bound, Words, on_rows
+from tessergrid.plans import ledger_queries, recall_queries, selection_queries
+from tessergrid.plans import rule_queries as Q
+from tessergrid.plans.bound import AwkwardRows, Bound, Clause, Words, on_rows
 from tests.conftest import table_of
 
-MODULES = [Q, recall_queries]
-INPUTS = [v for m in MODULES for v in vars(m).values() if isinstance(v, (Bound, Words))]
+MODULES = [Q, ledger_queries, recall_queries, selection_queries]
+INPUTS = [v for m in MODULES for v in vars(m).values() if isinstance(v, (Bound, Clause, Words))]
 
 
 def uses(q):
