@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import Tables, scratch
-from ..sources import archives, assets, course_map, sinks
+from ..sources import archives, assets, course_map, sinks, xz_parts
 from .fixtures import Fixture
 
 
@@ -35,6 +35,23 @@ def archive_rows(t: Tables) -> DataFrame:
     return archives.read_multipart_xz(t.spark, folder, manifest, "courses", "n_nationkey int, n_name string")
 
 
+@query("S1 S4", "SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-17'")
+def archive_parts(t: Tables) -> DataFrame:
+    """All lines as XZ parts by day of shipping, read back from a day on; parts of earlier days are not opened."""
+    folder = f"{scratch(t.spark)}/lines"
+    xz_parts.write_parts(t.lineitem, folder, by="l_shipdate")
+    return xz_parts.read_parts(t.spark, folder).where(F.col("l_shipdate") >= F.lit("1995-06-17").cast("timestamp_ntz"))
+
+
+@query("S1 S2", "SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order FROM orders GROUP BY o_orderpriority")
+def archive_totals(t: Tables) -> DataFrame:
+    """Totals over all parts of an archive of orders."""
+    folder = f"{scratch(t.spark)}/orders"
+    xz_parts.write_parts(t.orders, folder)
+    rows = xz_parts.read_parts(t.spark, folder)
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+
+
 @query("S2 S3", "SELECT 'list.json' AS file, r_regionkey AS k, r_name AS v FROM region UNION ALL SELECT 'packed.json.xz', n_nationkey, n_name FROM nation")
 def payload_rows(t: Tables) -> DataFrame:
     """A list, and an XZ object with several lists of which the first known one counts, under their hashes and counts."""

@@ -14,7 +14,7 @@ def get_session(name: str = "tessergrid", cores: int | str = "*", **conf: str) -
     On a cluster, master and memory come from spark-submit; ``cores`` only counts where no master is set.
     """
     builder = SparkSession.builder.appName(name)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false"} | conf
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true", "spark.ui.showConsoleProgress": "false"} | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
     if SparkSession.getActiveSession() is None:
