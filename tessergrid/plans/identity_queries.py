@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import identities as N
+from ..operators.block_codec import block_faults, encoded_rows
 from ..registry import query
 from ..session import Tables
 from .bound import Bound
@@ -196,27 +197,36 @@ def verified_membership(t: Tables) -> DataFrame:
     return N.verified(N.merged_results(_FOUND.frame(t.spark), "9780306406157")).select("md5", "title")
 
 
-_PACKED = Fixture(
-    "packed",
-    "set_id string, ord int, repeats int, nulls int, cells array<string>",
-    (
-        ("p", 1, 0, 0, ["0", "100", "AFAM", "History"]), ("p", 2, 5, 0, ["101", "Later history"]), ("p", 3, 15, 0, []), ("p", 4, 1, 2, ["EALL", "Poems"]), ("p", 5, 2, 0, ["1", "HIST", "Back"]), ("p", 6, 0, 15, []), ("p", 7, 15, 0, []), ("p", 8, 0, 8, ["1", "7", "X"]),
-        ("q", 1, 4, 0, ["0", "1", "T"]), ("q", 2, 0, 0, ["9", "2", "S", "U"]),
-    ),
-)
+_PACKED_COLUMNS = ["status", "priority", "customer", "year"]
+_CODED = {"status": {0: "F", 1: "O", 2: "P"}, "priority": {0: "1-URGENT", 1: "2-HIGH", 2: "3-MEDIUM", 3: "4-NOT SPECIFIED", 4: "5-LOW"}}
+
+
+def _packed(t: Tables) -> DataFrame:
+    """All orders, packed in blocks of a thousand keys; every fifth customer's years are not known."""
+    year = F.when(c("o_custkey") % 5 != 0, F.year("o_orderdate"))
+    rows = t.orders.select("o_orderkey", c("o_orderstatus").alias("status"), c("o_orderpriority").alias("priority"), c("o_custkey").alias("customer"), year.alias("year"))
+    return encoded_rows(rows, F.expr("o_orderkey div 1000"), "o_orderkey", _PACKED_COLUMNS, _CODED)
 
 
 @query("E19", """
-SELECT * FROM (VALUES ('p', 1, 'Yale', '100', 'AFAM', 'History'), ('p', 2, 'Yale', '101', 'AFAM', 'Later history'), ('p', 3, 'Yale', '101', 'AFAM', 'Later history'), ('p', 4, 'Yale', NULL, 'EALL', 'Poems'),
-  ('p', 5, 'Brown', NULL, 'HIST', 'Back'), ('p', 6, NULL, NULL, NULL, NULL), ('p', 7, NULL, NULL, NULL, NULL), ('p', 8, 'Brown', '7', 'X', NULL),
-  ('q', 1, 'Yale', '1', NULL, 'T'), ('q', 2, NULL, '2', 'S', 'U')) v(set_id, ord, college, number, subject, title)""")
+SELECT o_orderkey // 1000 AS set_id, o_orderkey AS ord, o_orderstatus AS status, o_orderpriority AS priority, o_custkey::VARCHAR AS customer, CASE WHEN o_custkey % 5 <> 0 THEN year(o_orderdate)::VARCHAR END AS year FROM orders""")
 def decode_rows(t: Tables) -> DataFrame:
-    return N.decoded_rows(_PACKED.frame(t.spark), ["college", "number", "subject", "title"], {"college": {0: "Yale", 1: "Brown"}})
+    """All orders, packed and spelled out again."""
+    return N.decoded_rows(_packed(t), _PACKED_COLUMNS, _CODED)
 
 
-@query("E19", "SELECT 'q' AS set_id")
+@query("E19", """
+SELECT * FROM (SELECT o_orderkey // 1000 AS set_id, o_orderkey AS ord, CASE WHEN o_orderkey % 1000 = 0 THEN 'nothing to repeat' WHEN o_custkey % 97 = 3 THEN 'mask too long' WHEN o_custkey % 89 = 5 THEN 'too many cells' WHEN o_custkey % 83 = 7 THEN 'incomplete' END AS fault FROM orders) WHERE fault IS NOT NULL""")
 def decode_faults(t: Tables) -> DataFrame:
-    return N.faulty_sets(_PACKED.frame(t.spark))
+    """What is wrong with packed orders of which some were damaged, by the customer they are of."""
+    key = t.orders.select(c("o_orderkey").alias("ord"), "o_custkey")
+    start, long, more, none = c("ord") % 1000 == 0, c("o_custkey") % 97 == 3, c("o_custkey") % 89 == 5, c("o_custkey") % 83 == 7
+    rows = _packed(t).join(key, "ord")
+    harmed = rows.withColumns({
+        "repeats": F.when(start, 1).when(long, c("repeats") + 16).otherwise(c("repeats")),
+        "cells": F.when(start, F.slice("cells", 2, 99)).when(long, c("cells")).when(more, F.concat("cells", F.array(F.lit("x")))).when(none, None).otherwise(c("cells")),
+    })
+    return block_faults(harmed.drop("o_custkey"), _PACKED_COLUMNS, _CODED)
 
 
 _EXPECTED_ROWS = Fixture("expected_fields", "key string, field string, value string", (("a", "title", "Signals"), ("a", "year", "2024"), ("b", "title", "Loads"), ("b", "term", "Fall"), ("c", "title", "X"), ("d", "title", "Y"), ("d", "year", ""), ("e", "title", "Z"), ("e", "other", "1")))
