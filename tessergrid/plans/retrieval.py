@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators.matching import normal_words
+from ..operators.ranking import numbered
 from ..session import stored
 
 K1, B = 1.2, 0.75
@@ -87,12 +88,13 @@ SOURCE_FIELDS, TITLE_FIELDS = ("title", "course_title", "description", "descript
 FACET_FIELDS = ("academic_areas", "discovery_academic_areas", "expertise_tags")
 
 
-def discover(fields: DataFrame, query: str, limit: int = 1000) -> DataFrame:
-    """Of (course_id, field, text): seven scores of the first ``limit`` courses that have a word of the query, and their ``place`` by them.
+def discover(fields: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Of (course_id, field, text): seven scores of the courses that have a word of the query, and their ``place`` by them.
 
     specificity (how rare the query words of its teaching fields are, generic ones apart), source_terms, field_terms (most in one
     field), phrase (the whole query stands in one), title_terms, official_terms, facet_terms; all descending, then the id.
-    Only words of the query are counted, and only rows with one are shuffled.
+    Only words of the query are counted, and only rows with one are shuffled; texts are read for words once, and once more for the
+    number of courses. With ``limit`` only the first are returned; without, places are numbered by range.
     """
     asked = [w for w in normal_words(query) if w not in T.PLAN_STOP_WORDS]
     wanted = F.array(*[F.lit(w) for w in sorted(set(asked))]).cast("array<string>")
@@ -103,13 +105,13 @@ def discover(fields: DataFrame, query: str, limit: int = 1000) -> DataFrame:
     kind = F.when(F.col("field").isin(*SOURCE_FIELDS), "source").when(F.col("field").isin(*FACET_FIELDS), "facet").otherwise("official")
     phrase = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).contains(f" {' '.join(asked)} ") if len(asked) > 1 else F.lit(False)
     told = read.select("course_id", kind.alias("kind"), F.col("field").isin(*TITLE_FIELDS).alias("title"), "found", phrase.alias("phrase"))
-    per = told.groupBy("course_id").agg(
+    per = stored(told.groupBy("course_id").agg(
         *[F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("found"))))).alias(k) for k in ("source", "official", "facet")],
         F.max(F.when(F.col("kind") == "source", F.size("found"))).alias("field_terms"),
         F.max(F.when(F.col("kind") == "source", F.col("phrase").cast("int"))).alias("phrase"),
         F.max(F.when(F.col("title"), F.size("found"))).alias("title_terms"),
         F.array_distinct(F.flatten(F.collect_list("found"))).alias("every"),
-    )
+    ))
     # a query has few words: one row each
     df = per.select(F.explode("every").alias("w")).groupBy("w").agg(F.count("*").alias("df")).limit(max(1, len(set(asked))))
     rare = df.join(F.broadcast(n)).select("w", F.when(F.col("w").isin(*T.GENERIC_WORDS), 0.0).otherwise(F.log1p(F.col("n") / (1 + F.col("df")))).alias("rare"))
@@ -118,4 +120,6 @@ def discover(fields: DataFrame, query: str, limit: int = 1000) -> DataFrame:
     scored = per.join(weights, "course_id", "left").select("course_id", F.coalesce("specificity", F.lit(0.0)).alias("specificity"), F.size("source").alias("source_terms"), z("field_terms").alias("field_terms"), z("phrase").alias("phrase"), z("title_terms").alias("title_terms"), F.size("official").alias("official_terms"), F.size("facet").alias("facet_terms"))
     keys = ["specificity", "source_terms", "field_terms", "phrase", "title_terms", "official_terms", "facet_terms"]
     order = [*[F.desc(k) for k in keys], F.col("course_id")]
+    if limit is None:
+        return numbered(scored, order)
     return scored.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
