@@ -73,15 +73,30 @@ class TextIndex:
         return texts.join(dead.select("doc_id", F.col("of").alias("batch")), ["doc_id", "batch"], "left_anti").select("doc_id", "fingerprint", "dl", "batch")
 
     def add(self, docs: DataFrame, batch: int, *, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Index the texts that are new or have changed."""
+        """Index the texts that are new or have changed.
+
+        Texts are dealt by block, and so is what comes of them: occurrences are counted in the row of their document and a
+        block's postings gathered where its documents are, so that only finished blocks move on to the files of their terms.
+        """
+        block = F.floor(F.col("doc_id") / BLOCK)
         rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-        rows = rows.groupBy("doc_id").agg(F.max("text").alias("text")).withColumn("fingerprint", F.sha2("text", 256))
-        old = self.documents(batch).select("doc_id", F.col("fingerprint").alias("was"), F.col("dl").alias("was_dl"), F.col("batch").alias("of"))
-        fresh = rows.join(old, "doc_id", "left").where("was is null or was <> fingerprint").withColumn("words", tokens(F.col("text"), self.unicode)).drop("text")
-        fresh = stored(fresh.withColumn("dl", F.size("words")))
-        each = fresh.select("doc_id", "dl", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        blocks = each.groupBy("term", F.floor(F.col("doc_id") / BLOCK).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings"))
-        dealt = blocks.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term", "block")
+        rows = rows.withColumn("block", block).repartition("block").groupBy("block", "doc_id").agg(F.max("text").alias("text")).withColumn("fingerprint", F.sha2("text", 256))
+        old = self.documents(batch).select(block.alias("block"), "doc_id", F.col("fingerprint").alias("was"), F.col("dl").alias("was_dl"), F.col("batch").alias("of"))
+        fresh = rows.join(old, ["block", "doc_id"], "left").where("was is null or was <> fingerprint").withColumn("words", F.sort_array(tokens(F.col("text"), self.unicode))).drop("text")
+        # as one string: no word has a space in it
+        fresh = stored(fresh.withColumn("dl", F.size("words")).withColumn("words", F.array_join("words", " ")))
+        # equal words stand together: where each begins tells how many there are
+        begins = F.filter(F.transform("words", lambda w, i: F.when((i == 0) | (F.get("words", i - 1) != w), i)), lambda i: i.isNotNull())
+        runs = F.transform("begins", lambda p, j: F.struct(F.get("words", p).alias("term"), (F.coalesce(F.get("begins", j + 1), F.col("dl")) - p).alias("tf")))
+        each = fresh.where("dl > 0").select("block", "doc_id", "dl", "words").repartition("block").withColumn("words", F.split("words", " ")).withColumn("begins", begins).select("block", "doc_id", "dl", F.inline(runs))
+        own = F.sort_array(F.collect_list(F.struct((F.col("doc_id") - F.col("block") * BLOCK).cast("int").alias("at"), "tf", "dl")))
+        # on the way a block is one array of whole numbers, three a document
+        flat = F.flatten(F.transform(own, lambda x: F.array(x["at"], x["tf"], x["dl"])))
+        moved = each.groupBy("term", "block").agg(flat.alias("own")).repartition(self._bucket(F.col("term")))
+        nth = lambda k: F.transform(F.sequence(F.lit(0), (F.size("own") / 3).cast("int") - 1), lambda i: F.get("own", 3 * i + k))
+        parted = moved.select("term", "block", nth(0).alias("at"), nth(1).alias("tf"), nth(2).alias("dl"), self._bucket(F.col("term")).alias("bucket"))
+        entry = F.transform("at", lambda x, i: F.struct((F.col("block") * BLOCK + x).alias("doc_id"), F.get("tf", i).cast("bigint").alias("tf"), F.get("dl", i).alias("dl")))
+        dealt = parted.sortWithinPartitions("bucket", "term", "block").select("term", "block", F.size("at").cast("bigint").alias("n"), F.array_max("tf").cast("bigint").alias("max_tf"), F.array_min("dl").alias("min_dl"), entry.alias("postings"), "bucket")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         self._bury(fresh.where("of is not null").select("doc_id", "of", F.col("was_dl").alias("dl")), batch)
         fresh.select("doc_id", "fingerprint", "dl").write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch}")
