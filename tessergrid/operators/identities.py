@@ -81,10 +81,10 @@ def course_key(university: Column, code: Column, title: Column, school: Column,
 def edition(value: Column) -> Column:
     """The number of an edition, from digits or an ordinal; what it says where it has none."""
     said = F.trim(F.regexp_replace(plain(value), r"\b(?:edition|ed)\b", ""))
-    out = F.when(said.rlike(r"^\d+(?:st|nd|rd|th)?$"), F.regexp_extract(said, r"^(\d+)", 1)).otherwise(said)
-    for i, word in enumerate(ORDINALS, 1):
-        out = F.when(said == word, str(i)).otherwise(out)
-    return out
+    ordinals = F.create_map(*[F.lit(x) for i, word in enumerate(ORDINALS, 1) for x in (word, str(i))])
+    number = lambda x: F.when(x.rlike(r"^\d+(?:st|nd|rd|th)?$"), F.regexp_extract(x, r"^(\d+)", 1)).otherwise(F.coalesce(F.try_element_at(ordinals, x), x))
+    # bound by a lambda, since a text that is asked for by name is worked out anew for every question
+    return F.get(F.transform(F.array(said), number), 0)
 
 
 def surnames(value: Column) -> Column:
