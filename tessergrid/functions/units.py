@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNIT_BYTES = 4000
 CONTEXT = 256
+#: Characters of units and context that a task holds before it hands them on.
+BATCH_CHARS = 1 << 20
 #: A unit may end after a line break, or after the white space behind a sentence.
 _BOUNDARY = re.compile(r"\n|(?<=[.!?])\s+")
 
@@ -37,7 +41,6 @@ def spans(text: str, most: int = UNIT_BYTES) -> list[tuple[int, int]]:
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_UNIT = T.ArrayType(T.StructType([*_SPAN.elementType.fields, *[T.StructField(n, T.StringType()) for n in ("unit_text", "before", "after")]]))
 
 
 @F.pandas_udf(_SPAN)
@@ -45,15 +48,37 @@ def unit_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in spans(t or "")])
 
 
-@F.pandas_udf(_UNIT)
-def units_of(text: pd.Series) -> pd.Series:
-    one = lambda t: [{"start": a, "end": b, "unit_text": t[a:b], "before": t[max(0, a - CONTEXT) : a], "after": t[b : b + CONTEXT]} for a, b in spans(t)]
-    return text.map(lambda t: one(t or ""))
-
-
 def retrieval_units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, unit, start, end, unit_text, before, after): units with the characters around them; a text is cut once."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(units_of(F.col(text))).alias("unit", "u")).select("doc_id", "unit", "u.*")
+    """(doc_id, unit, start, end, unit_text, before, after): units with the characters around them; a text is cut once.
+
+    Units leave a task in batches of about ``BATCH_CHARS`` characters, whatever the number and length of the texts that come in.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("unit", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("unit_text", "before", "after")]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, *[pa.int32()] * 3, *[pa.string()] * 3]
+            rest, held = [[] for _ in kinds[1:]], 0
+            of: list[int] = []
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(rest, kinds[1:], strict=True)]], names=schema.names)
+
+            for i, cell in enumerate(batch.column(1)):
+                t = cell.as_py() or ""
+                for unit, (a, b) in enumerate(spans(t)):
+                    of.append(i)
+                    for column, value in zip(rest, (unit, a, b, t[a:b], t[max(0, a - CONTEXT) : a], t[b : b + CONTEXT]), strict=True):
+                        column.append(value)
+                    held += b - a + 2 * CONTEXT
+                    if held > BATCH_CHARS:
+                        yield made()
+                        of, rest, held = [], [[] for _ in kinds[1:]], 0
+            if of:
+                yield made()
+
+    return rows.mapInArrow(cut, schema)
 
 
 def regions(docs: DataFrame, doc_id: str, text: str, size: int = 6000, context: int = 600) -> DataFrame:
