@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import stored
 
 # Verbs with which a requirement asks for work.
 ACTIONS = (
@@ -117,7 +118,10 @@ def match_requirements(fields: DataFrame, requirements: list[str], *, search_ter
     if not wordings:
         return spark.createDataFrame([], "course_id string, requirement string, query_used string, field string, passage string, matched_terms array<string>, missing_terms array<string>, coverage double, lexical_fit double, strength int, label_terms array<string>, context_review boolean, work_review boolean, support string")
     asked = F.array(*[_literal(w) for w in wordings])
-    cut = passages(fields)
+    missing = sorted(set(around) - {"expert", "expertise", "agent", "adviser", "advisor", "specialist"})
+    # matches, labels and context are read off the same passages: those with a word that any of them asks for are cut once
+    of_use = sorted({w for a in wordings for w in a.wanted} | set(missing))
+    cut = stored(passages(fields).where(F.arrays_overlap("said", _words(of_use))))
     met = cut.withColumn("a", F.explode(F.filter(asked, lambda a: F.arrays_overlap(F.col("said"), a["wanted"])))).withColumn("found", F.array_intersect("a.wanted", "said"))
     label = F.col("field").isin(*LABELS)
     labels = met.where(label).groupBy("course_id", F.col("a.requirement").alias("requirement"), F.col("a.place").alias("place")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("label_terms"))
@@ -149,7 +153,6 @@ def match_requirements(fields: DataFrame, requirements: list[str], *, search_ter
     labelled = per_wording.join(labels, ["course_id", "requirement", "place"], "left")
     # of several wordings the best, of equal ones the first
     best = labelled.groupBy("course_id", "requirement").agg(F.max(F.struct("b.coverage", "b.lexical_fit", "b.strength", (-F.col("place")).alias("p"), "b", F.coalesce("label_terms", F.array().cast("array<string>")).alias("labels"))).alias("m"))
-    missing = sorted(set(around) - {"expert", "expertise", "agent", "adviser", "advisor", "specialist"})
     source = cut.where(~F.col("field").isin(*LABELS, *CODES)).select("course_id", F.explode("said").alias("w")).where(F.col("w").isin(missing)).groupBy("course_id").agg(F.count_distinct("w").alias("n_context"))
     b = F.col("m.b")
     out = best.join(source, "course_id", "left").withColumn("context_review", F.lit(bool(missing)) & (F.coalesce("n_context", F.lit(0)) < len(missing)))
