@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packs import grow, numbered, packs, squeeze
-from .textops import LOWER, SharedTables, spans
+from .textops import LOWER, SharedTables, give_back, spans
 
 LEAST = 10
 MOST_WORDS = 3
@@ -63,6 +63,18 @@ def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
+def _numbers(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below ``most`` in order, and the number of each key among them; a table of all keys saves a sort where it is no larger than its input."""
+    if most > 8 * len(key):
+        kinds, code = np.unique(key, return_inverse=True)
+        return kinds, code.astype(np.int32)
+    number = np.zeros(most, np.int32)
+    number[key] = 1
+    kinds = np.flatnonzero(number)
+    number[kinds] = np.arange(len(kinds), dtype=np.int32)
+    return kinds, number[key]
+
+
 def _first(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[pa.RecordBatch]:
     """(text, lang) in; out: the words of each pack with their numbers and counts, how many a language has, and its texts as numbers."""
     for number, pack in numbered(packs(batches, GAP, most_words - 1), TaskContext.get().partitionId()):
@@ -71,22 +83,32 @@ def _first(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[pa.Re
         start, end = spans(mask, pack.offsets)
         if not len(start):
             continue
-        row = np.searchsorted(pack.offsets, start, side="right") - 1
+        row = (np.searchsorted(pack.offsets, start, side="right") - 1).astype(np.int32)
         edges = np.concatenate([[0], np.cumsum(end - start)])
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(low[mask])]).dictionary_encode()
+        del mask, edges
         langs = pack.rows.column("lang").combine_chunks().dictionary_encode()
         own = start - pack.offsets[row] < pack.own[row]
+        # a text ends, or a break stands before the word
+        gap = np.flatnonzero((row[1:] != row[:-1]) | np.logical_or.reduceat(_BREAK[low], np.append(end[:-1], start[1:]).reshape(2, -1).T.ravel())[::2]) + 1 if len(start) > 1 else np.zeros(0, np.int64)
+        del low, start, end
         size = len(words.dictionary)
         key = langs.indices.to_numpy()[row].astype(np.int64) * size + words.indices.to_numpy()
-        kinds, code = np.unique(key, return_inverse=True)
+        del row
+        kinds, code = _numbers(key, len(langs.dictionary) * size)
+        del key
         count = np.bincount(code, weights=own, minlength=len(kinds)).astype(np.int64)
-        yield _rows(_FIRST, pack=number, code=np.arange(len(kinds), dtype=np.int32), n=count, lang=langs.dictionary.take(pa.array(kinds // size)), word=words.dictionary.take(pa.array(kinds % size)).cast(pa.large_string()).cast(pa.string()))
-        passed = np.cumsum(_BREAK[low], dtype=np.int32)
-        gap = np.flatnonzero((row[1:] != row[:-1]) | (passed[start[1:]] != passed[end[:-1] - 1])) + 1
-        seq, own = np.insert(code.astype(np.int32), gap, -1), np.insert(own, gap, False)
+        found = _rows(_FIRST, pack=number, code=np.arange(len(kinds), dtype=np.int32), n=count, lang=langs.dictionary.take(pa.array(kinds // size)), word=words.dictionary.take(pa.array(kinds % size)).cast(pa.large_string()).cast(pa.string()))
         own_words = np.bincount(kinds // size, weights=count, minlength=len(langs.dictionary)).astype(np.int64)
+        del words, kinds, count
+        yield found
+        del found
         yield _rows(_FIRST, pack=number, n=own_words, lang=langs.dictionary)
-        yield _rows(_FIRST, pack=number, lang=[f"{number}"], seq=[squeeze(seq)], own=[np.packbits(own).tobytes()])
+        seq, own = squeeze(np.insert(code, gap, -1)), np.packbits(np.insert(own, gap, False)).tobytes()
+        del code, gap, pack
+        yield _rows(_FIRST, pack=number, lang=[f"{number}"], seq=[seq], own=[own])
+        del seq, own
+        give_back()
 
 
 def _pairs(texts: pa.Table, names: pa.Table) -> pa.Table:
@@ -106,9 +128,13 @@ def _pairs(texts: pa.Table, names: pa.Table) -> pa.Table:
     count = np.bincount(made, weights=own[at], minlength=len(kinds)).astype(np.int64)
     after = np.full(len(seq), -1, np.int32)
     after[at] = made
+    del at, made, called, seq
     pack = texts.column("pack")[0].as_py()
     rows = _rows(_NEXT, pack=pack, code=np.arange(len(kinds), dtype=np.int32), n=count, a=name[kinds // len(code)], b=name[kinds % len(code)])
-    return pa.Table.from_batches([rows, _rows(_NEXT, pack=pack, a=[pack], seq=[squeeze(after)], own=[np.packbits(own).tobytes()])])
+    text = _rows(_NEXT, pack=pack, a=[pack], seq=[squeeze(after)], own=[np.packbits(own).tobytes()])
+    del after, own, kinds, count, code, name
+    give_back()
+    return pa.Table.from_batches([rows, text])
 
 
 def _named(parts: DataFrame, by: list[str], least: int) -> DataFrame:

@@ -6,6 +6,7 @@ documents is one ``uint8`` array plus offsets and never a list of Python strings
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -26,6 +27,7 @@ BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uin
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LIBC = ctypes.CDLL(None)
 #: Bytes of words: digits, ASCII letters and every byte of a non-ASCII character.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = True
@@ -61,6 +63,14 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: Python workers outlive their tasks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)  # only glibc keeps what it could return, and only it has this
+    if trim is not None:
+        trim(0)
+
+
 def spans(mask: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values; runs are also cut at the offsets ``cuts``."""
     n = len(mask)
