@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_sort import MEMORY, DiskQueue, suffix_buckets
-from .textops import BYTE_CODE, MULT, SharedTables, append_columns, mix, slices, spans, string_bytes, unused
+from .textops import BYTE_CODE, MULT, SharedTables, append_columns, give_back, mix, slices, spans, string_bytes, unused
 
 LENGTH = 50
 GRAM = 12
@@ -163,8 +163,10 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int
             bytes_held += int(offsets[b] - offsets[a])
             if bytes_held > PACK_BYTES:
                 yield flush()
+                give_back()
     if held:
         yield flush()
+        give_back()
 
 
 def window_hashes(text: np.ndarray, length: int) -> np.ndarray:
@@ -298,6 +300,9 @@ def _shard(packed: pa.Table, length: int, memory: int, spills: Accumulator | Non
         doc, a, b = repeated_spans(ids, meta[1].astype(np.int64), meta[2].astype(np.int64), meta[0].view(np.uint32), text, length, memory)
         if spills is not None:
             spills.add(DiskQueue.total_spills - before)
+        del text
+    del ids, meta
+    give_back()
     order = np.lexsort((a, doc))
     doc, pairs = doc[order], np.stack([a[order], b[order]], 1).astype(np.int32)
     cut = np.append(np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)), len(doc)) if len(doc) else np.zeros(1, np.int64)
