@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def merge_sources(df: DataFrame, key: list[str], order: str, first: list[str], union: list[str], any_true: dict[str, Column]) -> DataFrame:
@@ -18,7 +19,11 @@ def merge_sources(df: DataFrame, key: list[str], order: str, first: list[str], u
 
 def recurrence(df: DataFrame, item: str, owner: str, owner_identity: str, least: int = 2) -> DataFrame:
     """Items that at least ``least`` owners have: rows, owners, owner identities, and the scope of the recurrence."""
-    counted = df.groupBy(item).agg(F.count("*").alias("n_rows"), F.count_distinct(owner).alias("n_owners"), F.count_distinct(owner_identity).alias("n_identities"))
+    # an owner counts with the first of its identities, so that rows need not be repeated for each of two distinct counts
+    each = df.select(F.col(item).alias("i"), F.col(owner).alias("o"), F.col(owner_identity).alias("d")).groupBy("i", "o", "d").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("i", "o").orderBy("d")) == 1
+    named = each.withColumn("own", (first & F.col("o").isNotNull()).cast("int")).groupBy("i", "d").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    counted = named.groupBy(F.col("i").alias(item)).agg(F.sum("n").alias("n_rows"), F.sum("own").alias("n_owners"), F.count("d").alias("n_identities"))
     return counted.where(F.col("n_owners") >= least).withColumn("scope", F.when(F.col("n_identities") > 1, "cross-identity").otherwise("same-identity"))
 
 
