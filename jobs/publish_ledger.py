@@ -53,8 +53,10 @@ def ledger_rows(spark: SparkSession, tables: str) -> DataFrame:
 def _summary(rows: DataFrame) -> DataFrame:
     """(institution, n_rows, fingerprint), whatever the order of the rows."""
     digest = F.sha2(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}), 256)
-    half = lambda a: F.sum(F.conv(F.substring(digest, a, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    return rows.groupBy("institution").agg(F.count("*").alias("n_rows"), F.concat_ws("-", half(1), half(16), half(31), half(46)).alias("fingerprint"))
+    # four 64-bit numbers of the digest are added up as halves, which as bigint hold the sums of 2^31 rows
+    part = lambda k: F.xxhash64(F.lit(k), "digest")
+    halves = [F.sum(h).cast("string") for k in range(4) for h in (F.shiftrightunsigned(part(k), 32), part(k).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return rows.select("institution", digest.alias("digest")).groupBy("institution").agg(F.count("*").alias("n_rows"), F.concat_ws("-", *halves).alias("fingerprint"))
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
