@@ -2,6 +2,7 @@ import datetime
 import decimal
 import json
 
+import pyarrow as pa
 import pytest
 
 from tessergrid.sources import xz_parts
@@ -71,3 +72,18 @@ def test_changed_parts_fail(spark, tmp_path, harm):
         victim.write_bytes(made[harm])
     with pytest.raises(Exception, match="cannot be read|is not the part"):
         xz_parts.read_parts(spark, str(tmp_path)).collect()
+
+
+def test_columns_are_spelled_and_read_whole(monkeypatch):
+    """Lines are what ``json.dumps`` writes; plain rows are read without a Python object a row, odd ones still are read."""
+    odd = ['a"b', "\\", "\x01\n", "é漢\x7f", "", None]
+    batch = pa.RecordBatch.from_pydict({"k": [1, None, -3, 4, 5, 2**62], "x": [0.1, 1e300, None, 2.0, -0.0, 1e-7], 's"t': odd, "p": ["u", None, "v w", "{}", "null", ", "], "b": [True, False, None, True, True, False], "a": [[1, None], [], None, [2], [3], [4]], "d": [datetime.date(2024, 1, 2)] * 5 + [None]})
+    spelled = [{k: v.isoformat() if isinstance(v, datetime.date) else v for k, v in r.items()} for r in batch.to_pylist()]
+    want = "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in spelled).encode()
+    assert bytes(xz_parts._json_lines(batch)) == want
+    assert bytes(xz_parts._json_lines(batch.slice(2, 3))) == b"".join(want.splitlines(True)[2:5])
+    lines = want.split(b"\n")[:-1]
+    nan = [b'{"k": 1, "x": NaN}']
+    assert xz_parts._parsed(nan, batch.schema).to_pydict()["x"][0] != xz_parts._parsed(nan, batch.schema).to_pydict()["x"][0]
+    monkeypatch.setattr(xz_parts, "_batch", None)
+    assert xz_parts._parsed(lines, batch.schema).equals(batch)
