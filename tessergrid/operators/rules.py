@@ -43,10 +43,12 @@ def phrase_evidence(fields: DataFrame, terms: DataFrame) -> DataFrame:
     spelled = terms.select("area", plain(F.col("phrase")).alias("phrase"), "topic").distinct()
     found = phrase_places(said, "at", F.col("w"), spelled).select("at.*", "phrase").distinct()
     topical = F.col("basis").isin("course_title_or_subject_code", "course_description")
-    met = found.withColumns({"topic": topical, "tier": tier, "n_words": F.size(F.split("phrase", " "))}).join(spelled, ["phrase", "topic"])
     beasts = fields.where(plain(F.col("text")).rlike(NONHUMAN)).select("course_key", "basis").distinct().withColumn("beasts", F.lit(True))
-    held = met.join(beasts, ["course_key", "basis"], "left").where(~(F.coalesce("beasts", F.lit(False)) & F.col("topic") & (F.col("area") == "health-medicine") & F.col("phrase").isin(*GUARDED)))
-    return held.select("course_key", "area", "basis", "tier", "field", "phrase", "n_words").distinct()
+    # what may be shuffled once more are phrases found, before each stands once for every area
+    marked = found.join(beasts, ["course_key", "basis"], "left").withColumns({"topic": topical, "tier": tier, "n_words": F.size(F.split("phrase", " "))})
+    held = marked.join(spelled, ["phrase", "topic"]).where(~(F.coalesce("beasts", F.lit(False)) & F.col("topic") & (F.col("area") == "health-medicine") & F.col("phrase").isin(*GUARDED)))
+    # a phrase found in a field and an area with that phrase are distinct, so their pairs are, and are not gathered once more
+    return held.select("course_key", "area", "basis", "tier", "field", "phrase", "n_words")
 
 
 def context_prefix(code: Column, subject_code: Column) -> Column:
