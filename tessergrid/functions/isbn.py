@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +18,9 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _weighted(digits: Column, n: int, weight: Callable[[Column], Column]) -> Column:
-    one = lambda i: F.substring(digits, i, F.lit(1)).try_cast("int") * weight(i)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda total, i: total + one(i))
+def _weighted(digits: Column, n: int, weight: Callable[[int], int]) -> Column:
+    # spelled out: a fold over a sequence would call a lambda a digit
+    return reduce(operator.add, [F.substring(digits, i, 1).try_cast("int") * weight(i) for i in range(1, n + 1)])
 
 
 def check13(digits: Column) -> Column:

@@ -37,6 +37,8 @@ NO_RESOURCE = (
     r"^(?:text ?book|book|course materials?|reading list) details? (?:will be|to be) provided(?: .*)?$",
     r"^(?:text ?book|book|course materials?|reading list) (?:will be|to be) announced(?: .*)?$",
 )
+#: All of them in one pattern, which is tried at the start alone: each begins with ``^``.
+NOTHING = "^(?:" + "|".join(f"(?:{p})" for p in NO_RESOURCE) + ")"
 # Wordings that no book is asked for, of places behind a login, and of what is still open.
 NO_BOOK = r"\bno (?:standard |required )?(?:books?|text ?books?|materials?|texts?)\b|\bno textbook is required\b|\bnot required\b|\bnot used\b|\buses no\b|\bdoes not require\b"
 BEHIND_LOGIN = r"\b(?:canvas|courseworks|lms)\b"
@@ -52,6 +54,9 @@ STATUSES = ("found", "searched-no-public-material", "source-access-limited", "am
 LONGEST_TITLE = 280
 
 
+_RULED = ("kind_name", "states", "is_resource", "is_evidence", "is_book", "is_learning_book")
+
+
 def any_of(text: Column, patterns: Iterable[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -64,46 +69,47 @@ def bare(title: Column) -> Column:
     return F.regexp_replace(T.plain_text(F.coalesce(title, F.lit(""))), r"^[ .;:,\-]+|[ .;:,\-]+$", "")
 
 
-def states_nothing(title: Column) -> Column:
-    return any_of(bare(title), NO_RESOURCE)
-
-
-def text_status(title: Column) -> Column:
-    """The status that a title states instead of naming a book; null where it states none."""
-    said, empty = bare(title), states_nothing(title)
+def text_status(said: Column, empty: Column) -> Column:
+    """The status that a bare title states instead of naming a book; null where it states none. ``empty``: it matches ``NOTHING``."""
     return F.when(empty & said.rlike(NO_BOOK), "explicit-no-textbook-stated").when(said.rlike(BEHIND_LOGIN), "source-access-limited").when(empty | said.rlike(STILL_OPEN), "ambiguous")
 
 
-def is_block(title: Column) -> Column:
-    """Whether a title is several entries in one: too long, with a blank line, numbered, or with several ISBNs."""
-    text = F.regexp_replace(F.coalesce(title, F.lit("")), r"<[^>]*>", " ")
+def is_block(text: Column) -> Column:
+    """Whether a title without markup is several entries in one: too long, with a blank line, numbered, or with several ISBNs."""
     numbered = F.regexp_count(text, F.lit(r"(?:^|[\r\n])\s*\d+[.)]\s+"))
     labels = F.regexp_count(text, F.lit(r"(?i)\bISBN(?:-1[03])?\b"))
-    return (F.char_length(F.trim(text)) > LONGEST_TITLE) | text.rlike(r"\n\s*\n") | (numbered > 1) | (labels > 1) | (F.size(I.labelled(text)) > 1)
+    # plain searches go before patterns: few titles have what these start from
+    listed = (F.contains(text, F.lit(".")) | F.contains(text, F.lit(")"))) & (numbered > 1)
+    labelled = F.contains(F.lower(text), F.lit("isbn")) & ((labels > 1) | (F.size(I.labelled(text)) > 1))
+    return (F.char_length(F.trim(text)) > LONGEST_TITLE) | (F.contains(text, F.lit("\n")) & text.rlike(r"\n\s*\n")) | listed | labelled
 
 
 def kind_of(kind: Column) -> Column:
     return F.translate(T.plain_text(F.coalesce(kind, F.lit(""))), "_-", "  ")
 
 
-def denies_book(kind: Column) -> Column:
-    return (kind_of(kind) == STATEMENT_KINDS[0]) | kind_of(kind).rlike(r"\bno (?:required )?textbooks?\b")
-
-
 def classified(materials: DataFrame) -> DataFrame:
-    """``materials`` with kind_name, states (a status or null), is_resource, is_evidence, is_book, is_learning_book."""
-    kind, title = kind_of(F.col("kind")), F.coalesce("title", F.lit(""))
-    states = F.when(denies_book(F.col("kind")), "explicit-no-textbook-stated").otherwise(text_status(title))
+    """``materials`` with kind_name, states (a status or null), is_resource, is_evidence, is_book, is_learning_book.
+
+    What several rules look at is worked out once a row, in columns of its own.
+    """
+    kind, title = F.col("kind_name"), F.coalesce("title", F.lit(""))
+    said, empty, stated, block, denies = (F.col(f"_ledger_{n}") for n in ("said", "empty", "stated", "block", "denies"))
+    read = materials.withColumns({"kind_name": kind_of(F.col("kind")), "_ledger_said": bare(title), "_ledger_text": F.regexp_replace(title, r"<[^>]*>", " ")})
+    read = read.withColumns({"_ledger_empty": said.rlike(NOTHING), "_ledger_denies": (kind == STATEMENT_KINDS[0]) | kind.rlike(r"\bno (?:required )?textbooks?\b"), "_ledger_block": is_block(F.col("_ledger_text"))})
+    read = read.withColumn("_ledger_stated", text_status(said, empty))
+    states = F.when(denies, "explicit-no-textbook-stated").otherwise(stated)
     eligible = F.coalesce("eligible", F.lit(True))
     reserved = (F.coalesce("association", F.lit("")) == RESERVE) & (kind == "book") & F.coalesce(F.exists("library_titles", lambda x: F.trim(x) == F.trim(title)), F.lit(False))
-    named = eligible & ~kind.isin(*STATEMENT_KINDS) & (title != "") & ~states_nothing(title)
-    told = text_status(title).isNotNull() | is_block(title) | title.rlike(r"(?i)^catalog description explicitly (?:states|says)\b")
-    resource = named & (reserved | ~told)
-    evidence = kind.isin(*STATEMENT_KINDS) | denies_book(F.col("kind")) | (~eligible & (F.coalesce("excerpt", F.lit("")) != "")) | (F.coalesce("source_field", F.lit("")) != "") | is_block(title)
+    named = eligible & ~kind.isin(*STATEMENT_KINDS) & (title != "") & ~empty
+    told = stated.isNotNull() | block | title.rlike(r"(?i)^catalog description explicitly (?:states|says)\b")
+    evidence = kind.isin(*STATEMENT_KINDS) | denies | (~eligible & (F.coalesce("excerpt", F.lit("")) != "")) | (F.coalesce("source_field", F.lit("")) != "") | block
     by_kind = ~kind.rlike("chapter|statement|block") & kind.rlike(r"\b(?:book|textbook|e ?book|monograph|workbook)\b")
-    book = resource & F.coalesce(T.flag(F.col("book_flag")), by_kind)
     thing = kind.isin(*DEVICE_KINDS) | F.trim(F.split_part(title, F.lit(" / "), F.lit(1))).rlike(DEVICE_TITLES)
-    return materials.withColumns({"kind_name": kind, "states": states, "is_resource": resource, "is_evidence": evidence, "is_book": book, "is_learning_book": book & ~thing})
+    made = read.withColumns({"states": states, "is_resource": named & (reserved | ~told), "is_evidence": evidence})
+    made = made.withColumn("is_book", F.col("is_resource") & F.coalesce(T.flag(F.col("book_flag")), by_kind))
+    made = made.withColumn("is_learning_book", F.col("is_book") & ~thing)
+    return made.select(*[c for c in materials.columns if c not in _RULED], *_RULED)
 
 
 def own_isbn(row: str = "") -> Column:
@@ -116,29 +122,34 @@ def own_isbn(row: str = "") -> Column:
     return F.when((c("isbn") == "") & (c("association") == RESERVE), "").when(value == "", cited).when(vouched, I.canonical(value)).otherwise("")
 
 
-def source_isbn() -> Column:
-    """Struct of raw and isbn: as a course source states it. Several different ISBNs in a citation identify none."""
+def source_isbn(own: Column | None = None) -> Column:
+    """Struct of raw and isbn: as a course source states it. Several different ISBNs in a citation identify none.
+
+    ``own`` is ``own_isbn()`` where it has been worked out.
+    """
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
     book = lambda x: I.bound(I.canonical(x), lambda i: F.when(i.rlike("^97[89]"), i).otherwise(""))
     tokens = F.array_distinct(F.transform(F.concat(F.regexp_extract_all(c("citation"), F.lit(I.LABELLED)), F.regexp_extract_all(c("title"), F.lit(I.LABELLED))), lambda x: F.trim(x)))
-    found = F.array_distinct(F.transform(tokens, book))
-    keyed = own_isbn()
     made = lambda raw, isbn: F.struct(raw.alias("raw"), isbn.alias("isbn"))
-    return F.when(c("isbn") != "", made(c("isbn"), book(c("isbn")))).when(F.size(tokens) > 0, made(F.array_join(tokens, "; "), F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(""))).otherwise(made(keyed, book(keyed)))
+    several = lambda named: I.bound(F.array_distinct(F.transform(named, book)), lambda found: made(F.array_join(named, "; "), F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise("")))
+    keyed = I.bound(own_isbn() if own is None else own, lambda x: made(x, F.when(x.rlike("^97[89]"), x).otherwise("")))  # it is canonical
+    cited = I.bound(tokens, lambda named: F.when(F.size(named) > 0, several(named)).otherwise(keyed))
+    return F.when(c("isbn") != "", I.bound(c("isbn"), lambda x: made(x, book(x)))).otherwise(cited)
 
 
-def book_identity() -> Column:
-    """Struct of key, basis: of a row of ``classified``; null where it names no resource."""
+def book_identity(own: Column | None = None) -> Column:
+    """Struct of key, basis: of a row of ``classified``; null where it names no resource. ``own`` as above."""
     c = lambda n: T.plain_text(F.coalesce(F.col(n), F.lit("")))
-    isbn, author, edition = own_isbn(), c("authors") != "", c("edition") != ""
     made = lambda key, basis: F.struct(key.alias("key"), F.lit(basis).alias("basis"))
-    return F.when(
-        F.col("is_resource"),
-        F.when(isbn != "", made(F.concat(F.lit("isbn:"), isbn), "checksum-valid ISBN"))
-        .when(author, made(F.concat(F.lit("citation:"), F.concat_ws("|", c("title"), c("authors"), c("edition"))), "normalized title, author, and edition"))
-        .when(edition, made(F.concat(F.lit("title-edition:"), F.concat_ws("|", c("title"), c("edition"))), "normalized exact title and edition"))
-        .otherwise(made(F.concat(F.lit("title-candidate:"), c("title")), "normalized exact title/citation")),
-    )
+
+    def named(x: Column) -> Column:
+        cited = made(F.concat(F.lit("citation:"), F.concat_ws("|", x["title"], x["authors"], x["edition"])), "normalized title, author, and edition")
+        printed = made(F.concat(F.lit("title-edition:"), F.concat_ws("|", x["title"], x["edition"])), "normalized exact title and edition")
+        return F.when(x["authors"] != "", cited).when(x["edition"] != "", printed).otherwise(made(F.concat(F.lit("title-candidate:"), x["title"]), "normalized exact title/citation"))
+
+    spelled = I.bound(F.struct(*[c(n).alias(n) for n in ("title", "authors", "edition")]), named)
+    known = lambda isbn: F.when(isbn != "", made(F.concat(F.lit("isbn:"), isbn), "checksum-valid ISBN")).otherwise(spelled)
+    return F.when(F.col("is_resource"), I.bound(own_isbn() if own is None else own, known))
 
 
 def research_status(value: Column) -> Column:

@@ -102,7 +102,8 @@ SELECT course_key, line, own_isbn, raw, sisbn AS source_isbn,
   CASE WHEN NOT is_resource THEN NULL WHEN own_isbn <> '' THEN 'checksum-valid ISBN' WHEN na <> '' THEN 'normalized title, author, and edition' WHEN ne <> '' THEN 'normalized exact title and edition' ELSE 'normalized exact title/citation' END AS basis
 FROM ids""")
 def material_identities(t: Tables) -> DataFrame:
-    rows = L.classified(LISTED.frame(t)).withColumns({"own": L.own_isbn(), "s": L.source_isbn(), "i": L.book_identity()})
+    own = F.col("own")
+    rows = L.classified(LISTED.frame(t)).withColumn("own", L.own_isbn()).withColumns({"s": L.source_isbn(own), "i": L.book_identity(own)})
     return rows.select("course_key", "line", F.col("own").alias("own_isbn"), "s.raw", F.col("s.isbn").alias("source_isbn"), "i.key", "i.basis")
 
 
