@@ -15,39 +15,76 @@ import argparse
 import json
 import logging
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from tessergrid import get_session  # noqa: E402
-from tessergrid.operators.aggregates import recurrence  # noqa: E402
 from tessergrid.operators.incremental import snapshot_diff  # noqa: E402
-from tessergrid.session import stored  # noqa: E402
+from tessergrid.session import drop, release, stored  # noqa: E402
 
 CONFIG = Path(__file__).with_suffix(".json")
 COLUMNS = "institution course_id course material_id material kind n_evidence n_orders first_seen last_seen statuses quantity recurrence n_courses".split()
 _LEDGER = "course_id bigint, course string, material_id bigint, material string, kind string, n_evidence bigint, n_orders bigint, first_seen date, last_seen date, statuses array<string>, quantity double, recurrence string, n_courses bigint, institution string"
 _MANIFEST = "institution string, n_rows bigint, fingerprint string, run bigint"
+#: So many different statuses are gathered as bits of a bigint; more of them as sets.
+_BITS = 62
 log = logging.getLogger("publish_ledger")
 
 
-def ledger_rows(spark: SparkSession, tables: str) -> DataFrame:
-    """The ledger as the tables have it now."""
+def _statuses(lines: DataFrame) -> tuple[Column, Callable[[str], Column], Callable[[str], Column]]:
+    """What a line's status is gathered as, how that is gathered, of lines and again of what was, and the array it spells."""
+    names = sorted(r[0] for r in lines.select("l_linestatus").where("l_linestatus is not null").distinct().limit(_BITS + 1).collect())
+    if len(names) > _BITS:
+        return F.array_compact(F.array("l_linestatus")), lambda c: F.array_distinct(F.flatten(F.collect_set(c))), F.array_sort
+    every = F.array(*map(F.lit, names)).cast("array<string>")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
+    return bit(F.array_position(every, F.col("l_linestatus")) - 1), F.bit_or, lambda c: F.filter(every, lambda _, k: F.coalesce(F.col(c), F.lit(0)).bitwiseAND(bit(k)) != 0)
+
+
+def _parts(spark: SparkSession, tables: str) -> tuple[DataFrame, DataFrame, Callable[[str], Column]]:
+    """What the ledger joins: pairs of course and material in their institutions, materials with their recurrence, how statuses are spelled.
+
+    Every shuffle of lines or pairs ends in a stored table, which is small, so that its files go before the next one is made.
+    """
     read = lambda name: spark.read.parquet(f"{tables}/{name}.parquet")
-    lines = read("lineitem").select(F.col("l_suppkey").alias("course_id"), F.col("l_partkey").alias("material_id"), "l_orderkey", "l_quantity", "l_linestatus", F.to_date("l_shipdate").alias("day"))
-    pair = lines.groupBy("course_id", "material_id").agg(
-        F.count("*").alias("n_evidence"), F.count_distinct("l_orderkey").alias("n_orders"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"),
-        F.array_sort(F.collect_set("l_linestatus")).alias("statuses"), F.sum("l_quantity").alias("quantity"),
-    )
+    said, gathered, spelled = _statuses(read("lineitem"))
+    lines = read("lineitem").where("l_suppkey is not null and l_partkey is not null").select(F.col("l_suppkey").alias("course_id"), F.col("l_partkey").alias("material_id"), "l_orderkey", "l_quantity", said.alias("statuses"), F.to_date("l_shipdate").alias("day"))
+    orders = stored(lines.groupBy("course_id", "material_id", "l_orderkey").agg(
+        F.count("*").alias("n_evidence"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), gathered("statuses").alias("statuses"), F.sum("l_quantity").alias("quantity"),
+    ))
+    release(spark)
+    pairs = stored(orders.groupBy("course_id", "material_id").agg(
+        F.sum("n_evidence").alias("n_evidence"), F.count("l_orderkey").alias("n_orders"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), gathered("statuses").alias("statuses"), F.sum("quantity").alias("quantity"),
+    ))
+    drop(orders)
+    release(spark)
     courses = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("course_id"), F.col("s_name").alias("course"), F.col("n_name").alias("institution"))
-    materials = read("part").select(F.col("p_partkey").alias("material_id"), F.col("p_name").alias("material"), F.col("p_type").alias("kind"))
-    # the pairs are read twice, for themselves and for how often materials recur
-    rows = stored(pair.join(courses, "course_id").join(materials, "material_id"))
-    again = recurrence(rows, "material_id", "course_id", "institution").select("material_id", F.col("scope").alias("recurrence"), F.col("n_owners").alias("n_courses"))
-    return rows.join(again, "material_id", "left").withColumns({"recurrence": F.coalesce("recurrence", F.lit("single")), "n_courses": F.coalesce("n_courses", F.lit(1))}).select(*COLUMNS)
+    # a course that is listed more than once counts once
+    first = F.row_number().over(Window.partitionBy("course_id").orderBy("institution")) == 1
+    placed = stored(pairs.join(courses.withColumn("own", first.cast("int")), "course_id"))
+    drop(pairs)
+    release(spark)
+    again = placed.groupBy("material_id", "institution").agg(F.sum("own").alias("own")).groupBy("material_id").agg(F.sum("own").alias("n_courses"), F.count("institution").alias("places"))
+    scope = F.when(F.col("n_courses") < 2, "single").when(F.col("places") > 1, "cross-identity").otherwise("same-identity")
+    named = read("part").select(F.col("p_partkey").alias("material_id"), F.col("p_name").alias("material"), F.col("p_type").alias("kind"))
+    materials = stored(named.join(again, "material_id").select("material_id", "material", "kind", "n_courses", scope.alias("recurrence")))
+    release(spark)
+    return placed, materials, spelled
+
+
+def _joined(placed: DataFrame, materials: DataFrame, spelled: Callable[[str], Column]) -> DataFrame:
+    return placed.join(materials, "material_id").withColumn("statuses", spelled("statuses")).select(*COLUMNS)
+
+
+def ledger_rows(spark: SparkSession, tables: str) -> DataFrame:
+    """The ledger as the tables have it now."""
+    return _joined(*_parts(spark, tables))
 
 
 def _summary(rows: DataFrame) -> DataFrame:
@@ -80,21 +117,28 @@ def read_ledger(spark: SparkSession, output: str) -> DataFrame:
 
 def run(spark: SparkSession, tables: str, output: str) -> list[str]:
     """Publish; the institutions written are returned."""
-    rows = stored(ledger_rows(spark, tables))
-    now = stored(_summary(rows))
+    placed, materials, spelled = _parts(spark, tables)
+    # rows are joined once to tell what has changed, and again to write it, instead of being kept
+    now = stored(_summary(_joined(placed, materials, spelled)))
+    release(spark)
     number, was = latest(spark, output)
     changes = stored(snapshot_diff(was, now, "institution", "fingerprint").where("change <> 'same'"))
     total = now.agg(F.count("*").alias("institutions"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
     log.info("read %s: %d rows of %d institutions", tables, total.rows, total.institutions)
+    names = []
     if changes.isEmpty():
         log.info("nothing has changed since run %d", number)
-        return []
-    written = changes.where("change <> 'delete'").select("institution")
-    new = rows.join(written, "institution", "left_semi").repartition("institution", "course_id").sortWithinPartitions("institution", "course_id", "material_id")
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("institution").parquet(f"{output}/ledger")
-    now.write.mode("overwrite").parquet(f"{output}/manifest/run={number + 1}")
-    names = sorted(r[0] for r in written.collect())
-    log.info("wrote %d institutions to %s as run %d: %s", len(names), output, number + 1, ", ".join(names))
+    else:
+        written = changes.where("change <> 'delete'").select("institution")
+        new = _joined(placed.join(written, "institution", "left_semi"), materials, spelled).sortWithinPartitions("institution", "course_id", "material_id")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("institution").parquet(f"{output}/ledger")
+        now.write.mode("overwrite").parquet(f"{output}/manifest/run={number + 1}")
+        names = sorted(r[0] for r in written.collect())
+        log.info("wrote %d institutions to %s as run %d: %s", len(names), output, number + 1, ", ".join(names))
+        del new, written
+    for df in (placed, materials, now, changes):
+        drop(df)
+    release(spark)
     return names
 
 

@@ -1,16 +1,22 @@
 import logging
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from jobs import index_texts, publish_ledger
+from jobs.registered import JOB2_SQL
 from tessergrid.operators.text_index import TextIndex
 from tessergrid.plans import retrieval
-from tests.conftest import DATA
+from tessergrid.session import shared_folder
+from tests.conftest import DATA, table_of
 
 WORDS = "ab cd ef gh ij kl mn op qr st".split()
+MOST = 10_000  # bytes of shuffles that a step of the ledger may find
 
 
 def counted(rows):
@@ -112,6 +118,61 @@ def test_ledger_replaces_only_what_changed(spark, tmp_path):
     assert gone not in {r.institution for r in publish_ledger.read_ledger(spark, out).collect()}
 
 
+def on_disk(spark):
+    """Bytes of each shuffle that Spark keeps, and the folders that have stored rows."""
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    sizes = Counter()
+    for path in map(Path, kept):
+        if path.name.startswith("shuffle_") and path.suffix == ".data" and path.exists():
+            sizes[path.name.split("_")[1]] += path.stat().st_size
+    return sizes, {p for p in Path(shared_folder(spark).removeprefix("file:")).glob("scratch-*") if any(p.rglob("part-*"))}
+
+
+def test_ledger_lets_shuffles_and_stored_rows_go(spark, tmp_path, monkeypatch):
+    sizes, had = on_disk(spark)
+    stored, held = publish_ledger.stored, []
+
+    def watched(df):
+        for _ in range(50):  # Spark deletes them a moment after it was let
+            now, folders = on_disk(spark)
+            now = sum(n for k, n in now.items() if k not in sizes)
+            if now < MOST:
+                break
+            time.sleep(0.2)
+        held.append((now, len(folders - had)))
+        return stored(df)
+
+    monkeypatch.setattr(publish_ledger, "stored", watched)
+    for _ in range(2):
+        publish_ledger.run(spark, DATA, str(tmp_path / "out"))
+        assert on_disk(spark)[1] == had
+    # a shuffle of lines or pairs takes more
+    assert max(n for n, _ in held) < MOST and max(n for _, n in held) <= 3, held
+
+
+@pytest.mark.parametrize("n_statuses", [2, 70])
+def test_ledger_of_odd_rows_equals_sql(spark, tmp_path, n_statuses):
+    rng = random.Random(n_statuses)
+    lines = [(rng.randint(1, 9) if k % 11 else None, rng.randint(1, 6), rng.randint(1, 5), float(rng.randint(1, 9)), f"é{k % n_statuses:02}", f"2024-01-{rng.randint(1, 28):02} 23:59:59") for k in range(400)]
+    lines += [(7, 1, 1, 1.0, "F", "2024-02-01 00:00:00")] * 300 + [(k, 2, 2, 2.0, "O", "2024-03-01 00:00:00") for k in range(300)]  # a line and a pair that come often
+    lines += [(1, None, 1, 1.0, "O", "2024-01-01 00:00:00"), (1, 1, None, 1.0, "O", "2024-01-01 00:00:00"), (1, 99, 1, 1.0, "O", "2024-01-01 00:00:00"), (1, 1, 98, 1.0, "O", "2024-01-01 00:00:00"), (1, 9, 1, 1.0, "F", None)]
+    made = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_linestatus string, day string").withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).drop("day"),
+        # a course in two institutions, one twice in the same, and one in none
+        "supplier": spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "b", 2), (3, "c", 3), (3, "c2", 3), (4, "d", 2), (5, "e", None)], "s_suppkey bigint, s_name string, s_nationkey int"),
+        "nation": spark.createDataFrame([(1, "N"), (2, "O"), (3, "P")], "n_nationkey int, n_name string"),
+        "part": spark.createDataFrame([(1, "p", "k"), (2, "q", "k"), (3, "r", None), (3, "r2", "k"), (4, None, "k"), (5, "t", "k"), (9, "z", "k")], "p_partkey bigint, p_name string, p_type string"),
+    }
+    duck = duckdb.connect()
+    for name, df in made.items():
+        df.repartition(3).write.parquet(f"{tmp_path}/tables/{name}.parquet")
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/tables/{name}.parquet/*.parquet'")
+    publish_ledger.run(spark, f"{tmp_path}/tables", f"{tmp_path}/out")
+    got, want = publish_ledger.read_ledger(spark, f"{tmp_path}/out"), duck.sql(JOB2_SQL)
+    assert table_of(got.columns, [tuple(r) for r in got.collect()]) == table_of(want.columns, want.fetchall())
+    assert publish_ledger.run(spark, f"{tmp_path}/tables", f"{tmp_path}/out") == []
+
+
 @pytest.mark.parametrize("name", ["job1_index_texts", "job2_publish_ledger"])
 def test_registered_jobs_match_sql(name, same):
     same(name)
