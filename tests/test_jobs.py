@@ -132,7 +132,7 @@ def test_ledger_lets_shuffles_and_stored_rows_go(spark, tmp_path, monkeypatch):
     sizes, had = on_disk(spark)
     stored, held = publish_ledger.stored, []
 
-    def watched(df):
+    def watched(df, **options):
         for _ in range(50):  # Spark deletes them a moment after it was let
             now, folders = on_disk(spark)
             now = sum(n for k, n in now.items() if k not in sizes)
@@ -140,7 +140,7 @@ def test_ledger_lets_shuffles_and_stored_rows_go(spark, tmp_path, monkeypatch):
                 break
             time.sleep(0.2)
         held.append((now, len(folders - had)))
-        return stored(df)
+        return stored(df, **options)
 
     monkeypatch.setattr(publish_ledger, "stored", watched)
     for _ in range(2):
